@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlake.operators import dedup, sampling
 from spanlake.operators.flatten import flatten_qa
+from spanlake.operators.tokens import tokenize_offsets
 from spanlake.operators.metrics import squad
 from spanlake.sources import views
 
@@ -40,8 +42,57 @@ def q_squad_em_f1(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("run", "id", "em", _round(F.col("f1")).alias("f1"))
 
 
+SEED = 42
+
+
+def q_drop_all_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    docs = views.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    out = dedup.drop_all_duplicates(docs, ["text"])
+    return out.select("doc_id", "lang", "source", "n_chars")
+
+
+def q_drop_all_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    p = views.pairs(spark, sf).select("Query", "Segment")
+    return dedup.drop_all_duplicates(p)
+
+
+def q_shuffle_rank(spark: SparkSession, sf: str) -> DataFrame:
+    docs = views.table(spark, sf, "documents").select("doc_id")
+    return sampling.shuffle(docs, "doc_id", SEED).select("doc_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+def q_sample_exact(spark: SparkSession, sf: str) -> DataFrame:
+    docs = views.table(spark, sf, "documents").select("doc_id", "lang")
+    s = sampling.sample_exact(docs, "doc_id", 100, SEED)
+    return s.select("doc_id", "lang", F.col("rank").cast("bigint").alias("rank"))
+
+
+def q_train_val_split(spark: SparkSession, sf: str) -> DataFrame:
+    p = views.pairs(spark, sf).select("pair_id")
+    s = sampling.train_val_split(p, "pair_id", 0.10, SEED)
+    return s.select("pair_id", "split", F.col("rank").cast("bigint").alias("rank"))
+
+
+def q_tokenize_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    docs = views.table(spark, sf, "documents").select("doc_id", "text")
+    t = tokenize_offsets(docs, "doc_id", "text")
+    return t.select(
+        "doc_id",
+        F.col("pos").cast("bigint").alias("pos"),
+        "tok",
+        F.col("start").cast("bigint").alias("start"),
+        F.col("end").cast("bigint").alias("end"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_qa": q_flatten_qa,
     "squad_em_f1": q_squad_em_f1,
+    "drop_all_duplicates": q_drop_all_duplicates,
+    "drop_all_duplicate_pairs": q_drop_all_duplicate_pairs,
+    "shuffle_rank": q_shuffle_rank,
+    "sample_exact": q_sample_exact,
+    "train_val_split": q_train_val_split,
+    "tokenize_offsets": q_tokenize_offsets,
 }
 FLAGSHIP = "squad_em_f1"

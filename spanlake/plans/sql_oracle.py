@@ -79,3 +79,66 @@ SELECT run, id,
              ELSE 2 * (same / len(pt)) * (same / len(gt)) / ((same / len(pt)) + (same / len(gt))) END, 6) AS f1
 FROM ov
 """
+
+PAIRS = """
+pairs AS (
+  SELECT CAST(u.conv_id AS VARCHAR) || '-' || CAST(u.turn AS VARCHAR) AS pair_id,
+         u.conv_id, u.turn, u.text AS "Query", a.text AS "Segment"
+  FROM conversations u JOIN conversations a
+    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant'
+)"""
+
+ORACLE["drop_all_duplicates"] = """
+SELECT doc_id, lang, source, n_chars FROM documents
+WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) = 1)
+"""
+
+ORACLE["drop_all_duplicate_pairs"] = f"""
+WITH {PAIRS}
+SELECT "Query", "Segment" FROM pairs GROUP BY "Query", "Segment" HAVING count(*) = 1
+"""
+
+ORACLE["shuffle_rank"] = """
+SELECT doc_id, CAST(row_number() OVER (ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), doc_id) AS BIGINT) AS rank
+FROM documents
+"""
+
+ORACLE["sample_exact"] = """
+SELECT doc_id, lang, rank FROM (
+  SELECT doc_id, lang,
+         CAST(row_number() OVER (ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), doc_id) AS BIGINT) AS rank
+  FROM documents) WHERE rank <= 100
+"""
+
+ORACLE["train_val_split"] = f"""
+WITH {PAIRS},
+r AS (
+  SELECT pair_id, CAST(row_number() OVER (ORDER BY md5('42|' || pair_id), pair_id) AS BIGINT) AS rank,
+         count(*) OVER () AS n
+  FROM pairs)
+SELECT pair_id, CASE WHEN rank <= ceil(n * 0.1) THEN 'val' ELSE 'train' END AS split, rank FROM r
+"""
+
+TOKENS_DOCS = f"""
+pieces AS (
+  SELECT doc_id,
+         unnest(regexp_extract_all(text, '{GAP_TOKEN_PATTERN}', 1)) AS gap,
+         unnest(regexp_extract_all(text, '{GAP_TOKEN_PATTERN}', 2)) AS tok,
+         unnest(range(len(regexp_extract_all(text, '{GAP_TOKEN_PATTERN}', 2)))) AS pos
+  FROM documents
+),
+doc_tokens AS (
+  SELECT doc_id, pos, tok,
+         sum(length(gap) + length(tok)) OVER (PARTITION BY doc_id ORDER BY pos
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(tok) AS start,
+         sum(length(gap) + length(tok)) OVER (PARTITION BY doc_id ORDER BY pos
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS "end"
+  FROM pieces
+)"""
+
+ORACLE["tokenize_offsets"] = f"""
+WITH {TOKENS_DOCS}
+SELECT doc_id, CAST(pos AS BIGINT) AS pos, tok, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end"
+FROM doc_tokens
+"""
