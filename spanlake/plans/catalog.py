@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from spanlake.operators import dedup, sampling
 from spanlake.operators.flatten import flatten_qa
 from spanlake.operators.tokens import tokenize_offsets
+from spanlake.operators import decode, windows
+from spanlake.functions.arrays import top_n_indices
 from spanlake.operators.metrics import squad
 from spanlake.sources import views
 
@@ -85,6 +87,55 @@ def q_tokenize_offsets(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+WIN_MAX_LENGTH, WIN_STRIDE = 128, 32  # driver queries: small windows so contexts overflow
+
+
+def _qa_windows(spark: SparkSession, sf: str) -> DataFrame:
+    ex = views.qa_examples(spark, sf)
+    return windows.window_features(
+        ex, max_length=WIN_MAX_LENGTH, stride=WIN_STRIDE, keep=["answer_start", "answer_end"]
+    )
+
+
+def q_sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
+    f = _qa_windows(spark, sf)
+    return f.select(
+        "id", *[F.col(c).cast("bigint").alias(c) for c in
+                ["window_no", "q_len", "ctx_first", "n_ctx", "seq_len", "ctx_start", "ctx_end"]]
+    )
+
+
+def q_align_span(spark: SparkSession, sf: str) -> DataFrame:
+    f = windows.align_span(_qa_windows(spark, sf))
+    return f.select(
+        "id", *[F.col(c).cast("bigint").alias(c) for c in ["window_no", "start_position", "end_position"]]
+    )
+
+
+def q_top_n_indices(spark: SparkSession, sf: str) -> DataFrame:
+    fl = views.span_logits(spark, sf)
+    n = views.SPAN_N_BEST
+    return fl.select(
+        F.col("id").cast("bigint").alias("id"),
+        F.col("window_no").cast("bigint").alias("window_no"),
+        F.array_join(top_n_indices("start_logits", n), " ").alias("top_start"),
+        F.array_join(top_n_indices("end_logits", n), " ").alias("top_end"),
+    )
+
+
+def q_best_span(spark: SparkSession, sf: str) -> DataFrame:
+    fl = views.span_logits(spark, sf)
+    ex = views.doc_examples(spark, sf)
+    b = decode.best_span(ex, fl, views.SPAN_N_BEST, views.SPAN_MAX_ANSWER)
+    return b.select(
+        F.col("id").cast("bigint").alias("id"),
+        "prediction_text",
+        F.col("start_char").cast("bigint").alias("start_char"),
+        F.col("end_char").cast("bigint").alias("end_char"),
+        _round(F.col("score"), 5).alias("score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_qa": q_flatten_qa,
     "squad_em_f1": q_squad_em_f1,
@@ -94,5 +145,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sample_exact": q_sample_exact,
     "train_val_split": q_train_val_split,
     "tokenize_offsets": q_tokenize_offsets,
+    "sliding_windows": q_sliding_windows,
+    "align_span": q_align_span,
+    "top_n_indices": q_top_n_indices,
+    "best_span": q_best_span,
 }
 FLAGSHIP = "squad_em_f1"

@@ -6,7 +6,7 @@ the Spark side uses (``spanlake.functions.text``).
 
 from __future__ import annotations
 
-from spanlake.functions.text import ASCII_PUNCTUATION, GAP_TOKEN_PATTERN, WS_CLASS
+from spanlake.functions.text import ASCII_PUNCTUATION, GAP_TOKEN_PATTERN, TOKEN_PATTERN, WS_CLASS
 
 PUNCT_SQL = ASCII_PUNCTUATION.replace("'", "''")
 
@@ -130,10 +130,10 @@ pieces AS (
 ),
 doc_tokens AS (
   SELECT doc_id, pos, tok,
-         sum(length(gap) + length(tok)) OVER (PARTITION BY doc_id ORDER BY pos
-             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(tok) AS start,
-         sum(length(gap) + length(tok)) OVER (PARTITION BY doc_id ORDER BY pos
-             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS "end"
+         CAST(sum(length(gap) + length(tok)) OVER (PARTITION BY doc_id ORDER BY pos
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(tok) AS BIGINT) AS start,
+         CAST(sum(length(gap) + length(tok)) OVER (PARTITION BY doc_id ORDER BY pos
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS "end"
   FROM pieces
 )"""
 
@@ -142,3 +142,134 @@ WITH {TOKENS_DOCS}
 SELECT doc_id, CAST(pos AS BIGINT) AS pos, tok, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end"
 FROM doc_tokens
 """
+
+
+def qa_windows(max_length: int, stride: int, n_special: int = 3) -> str:
+    """Window rows of qa_examples with their context tokens (range join on pos)."""
+    return f"""
+{QA_EXAMPLES},
+{TOKENS_DOCS},
+doc_n AS (SELECT doc_id, count(*) AS n FROM doc_tokens GROUP BY doc_id),
+ex AS (
+  SELECT e.id, e.doc_id, e.answer_start AS sc, e.answer_end AS ec,
+         len(regexp_extract_all(e.question, '{TOKEN_PATTERN}', 0)) AS qn,
+         coalesce(dn.n, 0) AS n
+  FROM qa_examples e LEFT JOIN doc_n dn USING (doc_id)
+),
+p AS (SELECT *, {max_length - n_special} - qn AS cap, {max_length - n_special - stride} - qn AS step FROM ex),
+w AS (
+  SELECT *, unnest(range(CASE WHEN n <= cap THEN 1
+                              ELSE CAST(ceil((n - cap) / step) AS BIGINT) + 1 END)) AS window_no
+  FROM p WHERE step > 0
+),
+wt AS (
+  SELECT w.*, t.pos, t.start, t."end"
+  FROM w LEFT JOIN doc_tokens t
+    ON t.doc_id = w.doc_id AND t.pos >= w.window_no * w.step AND t.pos < w.window_no * w.step + w.cap
+),
+wins AS (
+  SELECT id, window_no, qn, step, sc, ec,
+         count(pos) AS n_ctx, min(start) AS ctx_start, max("end") AS ctx_end,
+         count(*) FILTER (WHERE start <= sc) AS n_le,
+         count(*) FILTER (WHERE "end" >= ec) AS n_ge
+  FROM wt GROUP BY id, window_no, qn, step, sc, ec
+)"""
+
+
+ORACLE["sliding_windows"] = f"""
+WITH {qa_windows(128, 32)}
+SELECT id, CAST(window_no AS BIGINT) AS window_no, CAST(qn AS BIGINT) AS q_len,
+       CAST(window_no * step AS BIGINT) AS ctx_first, CAST(n_ctx AS BIGINT) AS n_ctx,
+       CAST(qn + 3 + n_ctx AS BIGINT) AS seq_len,
+       CAST(ctx_start AS BIGINT) AS ctx_start, CAST(ctx_end AS BIGINT) AS ctx_end
+FROM wins
+"""
+
+ORACLE["align_span"] = f"""
+WITH {qa_windows(128, 32)}
+SELECT id, CAST(window_no AS BIGINT) AS window_no,
+       CAST(CASE WHEN sc IS NULL OR ec IS NULL OR n_ctx = 0 OR ctx_start > sc OR ctx_end < ec THEN 0
+            ELSE qn + 2 + n_le - 1 END AS BIGINT) AS start_position,
+       CAST(CASE WHEN sc IS NULL OR ec IS NULL OR n_ctx = 0 OR ctx_start > sc OR ctx_end < ec THEN 0
+            ELSE qn + 2 + n_ctx - n_ge END AS BIGINT) AS end_position
+FROM wins
+"""
+
+
+def span_positions(max_length: int = 64, stride: int = 16, n_special: int = 3) -> str:
+    """Every position of every document window with its offsets and logits."""
+    cap = max_length - n_special
+    step = cap - stride
+    return f"""
+{TOKENS_DOCS},
+doc_n AS (
+  SELECT d.doc_id, count(t.pos) AS n FROM documents d LEFT JOIN doc_tokens t USING (doc_id)
+  GROUP BY d.doc_id
+),
+w AS (
+  SELECT doc_id, n, unnest(range(CASE WHEN n <= {cap} THEN 1
+                                      ELSE CAST(ceil((n - {cap}) / {step}) AS BIGINT) + 1 END)) AS window_no
+  FROM doc_n
+),
+we AS (
+  SELECT w.doc_id, w.window_no, w.n, e.embedding AS emb, len(e.embedding) AS m
+  FROM w JOIN embeddings e ON e.vec_id = w.doc_id
+),
+pos AS (
+  SELECT doc_id, window_no, n, emb, m, unnest(range(m)) AS p FROM we
+),
+lp AS (
+  SELECT doc_id, window_no, p,
+         emb[((p + window_no) % m) + 1] AS sv,
+         emb[((m - 1 - p + window_no) % m) + 1] AS ev,
+         CASE WHEN p >= {n_special - 1} AND p - {n_special - 1} < least({cap}, n - window_no * {step})
+              THEN window_no * {step} + p - {n_special - 1} END AS tpos
+  FROM pos
+)"""
+
+
+SPAN = span_positions() + """,
+top_s AS (
+  SELECT doc_id, window_no, p, tpos, sv,
+         row_number() OVER (PARTITION BY doc_id, window_no ORDER BY sv DESC, p DESC) - 1 AS r
+  FROM lp QUALIFY r < 5
+),
+top_e AS (
+  SELECT doc_id, window_no, p, tpos, ev,
+         row_number() OVER (PARTITION BY doc_id, window_no ORDER BY ev DESC, p DESC) - 1 AS r
+  FROM lp QUALIFY r < 5
+)"""
+
+ORACLE["top_n_indices"] = f"""
+WITH {SPAN}
+SELECT s.doc_id AS id, CAST(s.window_no AS BIGINT) AS window_no, s.top_start, e.top_end
+FROM (SELECT doc_id, window_no, string_agg(CAST(p AS VARCHAR), ' ' ORDER BY r) AS top_start
+      FROM top_s GROUP BY ALL) s
+JOIN (SELECT doc_id, window_no, string_agg(CAST(p AS VARCHAR), ' ' ORDER BY r) AS top_end
+      FROM top_e GROUP BY ALL) e USING (doc_id, window_no)
+"""
+
+ORACLE["best_span"] = f"""
+WITH {SPAN},
+cand AS (
+  SELECT s.doc_id, s.window_no, s.r AS sr, e.r AS er, s.tpos AS ts, e.tpos AS te,
+         CAST(s.sv + e.ev AS FLOAT) AS score
+  FROM top_s s JOIN top_e e USING (doc_id, window_no)
+  WHERE s.tpos IS NOT NULL AND e.tpos IS NOT NULL AND e.p >= s.p AND e.p - s.p + 1 <= 10
+),
+best AS (
+  SELECT * FROM cand
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, window_no, sr, er) = 1
+),
+chars AS (
+  SELECT b.doc_id, b.score, ts_.start AS start_char, te_."end" AS end_char
+  FROM best b
+  JOIN doc_tokens ts_ ON ts_.doc_id = b.doc_id AND ts_.pos = b.ts
+  JOIN doc_tokens te_ ON te_.doc_id = b.doc_id AND te_.pos = b.te
+)
+SELECT d.doc_id AS id,
+       coalesce(substring(d.text, c.start_char + 1, c.end_char - c.start_char), '') AS prediction_text,
+       CAST(c.start_char AS BIGINT) AS start_char, CAST(c.end_char AS BIGINT) AS end_char,
+       round(CAST(c.score AS DOUBLE), 5) AS score
+FROM documents d LEFT JOIN chars c USING (doc_id)
+"""

@@ -160,3 +160,44 @@ def references(examples: DataFrame) -> DataFrame:
             F.array(F.col("answer")).alias("text"), F.array(F.col("answer_start")).alias("answer_start")
         ).alias("answers"),
     )
+
+
+# fixed values: the span_logits contract of the test views
+SPAN_MAX_LENGTH = 64
+SPAN_STRIDE = 16
+SPAN_N_BEST = 5
+SPAN_MAX_ANSWER = 10
+
+
+def doc_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a question-less example: ``id`` (= doc_id), ``context``."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("context")
+    )
+
+
+def embedding_logits(features: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Attach model output to windows by key (D3): the vector of ``vec_id = id``,
+    rotated left by ``window_no`` for start logits and reversed for end logits."""
+    e = embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("_e"))
+    n = F.size("_e")
+    start = F.transform(
+        F.sequence(F.lit(0), n - 1), lambda i: F.get(F.col("_e"), (i + F.col("window_no")) % n)
+    )
+    return (
+        features.join(e, "id")
+        .withColumn("start_logits", start)
+        .withColumn("end_logits", F.reverse("start_logits"))
+        .drop("_e")
+    )
+
+
+def span_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of every document (64 positions, stride 16) with logits attached."""
+    from spanlake.operators.windows import window_features
+
+    feats = window_features(
+        doc_examples(spark, sf_dir), max_length=SPAN_MAX_LENGTH, stride=SPAN_STRIDE,
+        question_col=None,
+    )
+    return embedding_logits(feats, table(spark, sf_dir, "embeddings"))
