@@ -16,7 +16,7 @@ from spanlake.operators.flatten import flatten_qa
 from spanlake.operators.tokens import tokenize_offsets
 from spanlake.operators import decode, windows
 from spanlake.functions.arrays import top_n_indices
-from spanlake.operators.metrics import squad
+from spanlake.operators.metrics import bleu, registry, rouge, squad
 from spanlake.sources import views
 
 
@@ -136,6 +136,61 @@ def q_best_span(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _run_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    ex = views.qa_examples(spark, sf)
+    return views.runs(spark, sf).join(ex.select("id", "answer"), "id").withColumn(
+        "refs", F.array(F.col("answer"))
+    )
+
+
+def q_sentence_bleu(spark: SparkSession, sf: str) -> DataFrame:
+    r = bleu.with_bleu(_run_pairs(spark, sf), refs="refs", out="bleu")
+    return r.select("run", "id", _round(F.col("bleu")).alias("bleu"))
+
+
+def q_sacre_bleu(spark: SparkSession, sf: str) -> DataFrame:
+    r = bleu.with_bleu(_run_pairs(spark, sf), refs="refs", out="sacre_bleu", sacre=True)
+    return r.select("run", "id", _round(F.col("sacre_bleu")).alias("sacre_bleu"))
+
+
+def q_corpus_bleu(spark: SparkSession, sf: str) -> DataFrame:
+    r = bleu.with_bleu(_run_pairs(spark, sf), refs="refs", out="bleu")
+    c = bleu.corpus_bleu(r, "bleu_stats", by=["run"])
+    return c.select("run", _round(F.col("corpus_bleu")).alias("corpus_bleu"))
+
+
+def _rouge_q(n: int):
+    def q(spark: SparkSession, sf: str) -> DataFrame:
+        r = _run_pairs(spark, sf)
+        r = r.withColumn("s", rouge.rouge_n(F.col("prediction_text"), F.col("answer"), n))
+        return r.select(
+            "run", "id",
+            _round(F.col("s.precision")).alias("precision"),
+            _round(F.col("s.recall")).alias("recall"),
+            _round(F.col("s.fmeasure")).alias("fmeasure"),
+        )
+
+    return q
+
+
+def q_rouge_l(spark: SparkSession, sf: str) -> DataFrame:
+    r = rouge.with_rouge(_run_pairs(spark, sf), ref="answer")
+    return r.select(
+        "run", "id",
+        _round(F.col("rougeL.precision")).alias("precision"),
+        _round(F.col("rougeL.recall")).alias("recall"),
+        _round(F.col("rougeL.fmeasure")).alias("fmeasure"),
+    )
+
+
+def q_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
+    ex = views.qa_examples(spark, sf)
+    lb = registry.leaderboard(views.runs(spark, sf), views.references(ex),
+                              metrics=("exact_match", "bleu", "rouge_n"))
+    return lb.select("run", F.col("n").cast("bigint").alias("n"),
+                     *[_round(F.col(c)).alias(c) for c in lb.columns if c not in ("run", "n")])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_qa": q_flatten_qa,
     "squad_em_f1": q_squad_em_f1,
@@ -149,5 +204,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "align_span": q_align_span,
     "top_n_indices": q_top_n_indices,
     "best_span": q_best_span,
+    "sentence_bleu": q_sentence_bleu,
+    "sacre_bleu": q_sacre_bleu,
+    "corpus_bleu": q_corpus_bleu,
+    "rouge_1": _rouge_q(1),
+    "rouge_2": _rouge_q(2),
+    "rouge_l": q_rouge_l,
+    "leaderboard": q_leaderboard,
 }
 FLAGSHIP = "squad_em_f1"

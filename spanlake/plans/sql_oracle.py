@@ -6,7 +6,15 @@ the Spark side uses (``spanlake.functions.text``).
 
 from __future__ import annotations
 
-from spanlake.functions.text import ASCII_PUNCTUATION, GAP_TOKEN_PATTERN, TOKEN_PATTERN, WS_CLASS
+from spanlake.functions.text import (
+    ASCII_PUNCTUATION,
+    GAP_TOKEN_PATTERN,
+    ROUGE_SPLIT,
+    TOK13A_ENTITIES,
+    TOK13A_RULES,
+    TOKEN_PATTERN,
+    WS_CLASS,
+)
 
 PUNCT_SQL = ASCII_PUNCTUATION.replace("'", "''")
 
@@ -273,3 +281,125 @@ SELECT d.doc_id AS id,
        round(CAST(c.score AS DOUBLE), 5) AS score
 FROM documents d LEFT JOIN chars c USING (doc_id)
 """
+
+
+def tokens_13a(x: str) -> str:
+    s = f"replace(replace(replace({x}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    for ent, rep in TOK13A_ENTITIES:
+        s = f"replace({s}, '{ent}', '{rep}')"
+    s = f"(' ' || {s} || ' ')"
+    for pat, rep in TOK13A_RULES:
+        s = f"regexp_replace({s}, '{pat}', '{rep.replace('$', chr(92))}', 'g')"
+    return ws_split(s)
+
+
+def rouge_tokens(x: str) -> str:
+    return ws_split(f"regexp_replace(lower({x}), '{ROUGE_SPLIT}', ' ', 'g')")
+
+
+def ngrams(t: str, n: int) -> str:
+    if n == 1:
+        return t
+    return (f"list_transform(range(1, len({t}) - {n - 2}), "
+            f"lambda i: array_to_string({t}[i:i + {n - 1}], chr(31)))")
+
+
+def bleu_rows(tok) -> str:
+    ng = ",\n".join(
+        f"SELECT run, id, {n} AS n, len(p) AS pl, len(r) AS rl, "
+        f"{bag_overlap(ngrams('p', n), ngrams('r', n))} AS num, greatest(len(p) - {n - 1}, 0) AS den FROM toks"
+        for n in range(1, 5)
+    ).replace(",\nSELECT", " UNION ALL SELECT")
+    return RUNS + f""",
+toks AS (SELECT run, id, {tok('prediction_text')} AS p, {tok('answer')} AS r FROM runs),
+st AS ({ng}),
+agg AS (
+  SELECT run, id, any_value(pl) AS pl, any_value(rl) AS rl, min(num) AS mn,
+         sum(ln(CASE WHEN num > 0 THEN CAST(num AS DOUBLE) / den END)) AS sl
+  FROM st GROUP BY run, id
+)"""
+
+
+BLEU_VALUE = """CASE WHEN mn = 0 OR pl = 0 THEN 0.0
+  ELSE (CASE WHEN pl > rl THEN 1.0 ELSE exp(1.0 - CAST(rl AS DOUBLE) / pl) END) * exp(sl / 4.0) END"""
+
+ORACLE["sentence_bleu"] = f"""
+WITH {bleu_rows(ws_split)}
+SELECT run, id, round({BLEU_VALUE}, 6) AS bleu FROM agg
+"""
+
+ORACLE["sacre_bleu"] = f"""
+WITH {bleu_rows(tokens_13a)}
+SELECT run, id, round({BLEU_VALUE}, 6) AS sacre_bleu FROM agg
+"""
+
+ORACLE["corpus_bleu"] = f"""
+WITH {bleu_rows(ws_split)},
+c AS (
+  SELECT run, n, sum(num) AS num, sum(den) AS den FROM st GROUP BY run, n
+),
+lens AS (SELECT run, sum(pl) AS pl, sum(rl) AS rl FROM agg GROUP BY run),
+cc AS (
+  SELECT run, min(num) AS mn, sum(ln(CASE WHEN num > 0 THEN CAST(num AS DOUBLE) / den END)) AS sl
+  FROM c GROUP BY run
+)
+SELECT run, round({BLEU_VALUE}, 6) AS corpus_bleu FROM cc JOIN lens USING (run)
+"""
+
+
+def rouge_rows(n: int) -> str:
+    return RUNS + f""",
+toks AS (SELECT run, id, {rouge_tokens('prediction_text')} AS p, {rouge_tokens('answer')} AS r FROM runs),
+g AS (SELECT run, id, {ngrams('p', n)} AS gp, {ngrams('r', n)} AS gr FROM toks),
+h AS (SELECT run, id, len(gp) AS np, len(gr) AS nr, {bag_overlap('gp', 'gr')} AS hits FROM g),
+prf AS (
+  SELECT run, id, np, nr, hits,
+         CASE WHEN np = 0 OR nr = 0 OR hits = 0 THEN 0.0 ELSE CAST(hits AS DOUBLE) / np END AS pr,
+         CASE WHEN np = 0 OR nr = 0 OR hits = 0 THEN 0.0 ELSE CAST(hits AS DOUBLE) / nr END AS rc
+  FROM h
+)"""
+
+
+for _n in (1, 2):
+    ORACLE[f"rouge_{_n}"] = f"""
+WITH {rouge_rows(_n)}
+SELECT run, id, round(pr, 6) AS precision, round(rc, 6) AS recall,
+       round(CASE WHEN pr + rc = 0 THEN 0.0 ELSE 2 * pr * rc / (pr + rc) END, 6) AS fmeasure
+FROM prf
+"""
+
+
+def _leaderboard() -> str:
+    sq = f"""
+sq AS (
+  SELECT run, id,
+         CAST(array_to_string(pt, ' ') = array_to_string(gt, ' ') AS DOUBLE) AS em,
+         CASE WHEN same = 0 THEN 0.0
+              ELSE 2 * (same / len(pt)) * (same / len(gt)) / ((same / len(pt)) + (same / len(gt))) END AS f1
+  FROM ov
+)"""
+    return f"""
+WITH {SQUAD_ROWS.replace(RUNS, RUNS)},
+{sq},
+bl AS (SELECT * FROM ({ORACLE['sentence_bleu'].replace('WITH ', 'WITH ', 1)})),
+sb AS (SELECT * FROM ({ORACLE['sacre_bleu']})),
+r1 AS (SELECT run, id, precision AS r1p, recall AS r1r, fmeasure AS r1f FROM ({ORACLE['rouge_1']})),
+r2 AS (SELECT run, id, precision AS r2p, recall AS r2r, fmeasure AS r2f FROM ({ORACLE['rouge_2']})),
+nref AS (SELECT count(*) AS n FROM qa_examples)
+SELECT run, CAST(any_value(nref.n) AS BIGINT) AS n,
+       round(sum(em) * 100 / any_value(nref.n), 6) AS exact_match,
+       round(sum(f1) * 100 / any_value(nref.n), 6) AS f1,
+       round(sum(bleu) / any_value(nref.n), 6) AS bleu,
+       round(sum(sacre_bleu) / any_value(nref.n), 6) AS sacre_bleu_score,
+       round(sum(r1f) / any_value(nref.n), 6) AS rouge1_fmeasure,
+       round(sum(r1p) / any_value(nref.n), 6) AS rouge1_precision,
+       round(sum(r1r) / any_value(nref.n), 6) AS rouge1_recall,
+       round(sum(r2f) / any_value(nref.n), 6) AS rouge2_fmeasure,
+       round(sum(r2p) / any_value(nref.n), 6) AS rouge2_precision,
+       round(sum(r2r) / any_value(nref.n), 6) AS rouge2_recall
+FROM sq JOIN bl USING (run, id) JOIN sb USING (run, id) JOIN r1 USING (run, id) JOIN r2 USING (run, id), nref
+GROUP BY run
+"""
+
+
+ORACLE["leaderboard"] = _leaderboard()
