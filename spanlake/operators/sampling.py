@@ -33,9 +33,12 @@ def global_rank(
     bucket: Column,
     rank_col: str = "rank",
     with_total: bool = False,
+    broadcast_offsets: bool = True,
 ) -> DataFrame:
     """Exact 1-based rank of every row by ``order``; ``bucket`` must be a prefix
-    (monotone function) of that order and take a bounded number of values."""
+    (monotone function) of that order. With ``broadcast_offsets`` the caller
+    guarantees a bounded number of bucket values; otherwise the planner sizes the
+    offsets join itself."""
     b = df.withColumn("_bucket", bucket)
     sizes = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w_all = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -45,8 +48,8 @@ def global_rank(
         F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_total"),
     )
     w = Window.partitionBy("_bucket").orderBy(*order)
-    # offsets has at most one row per bucket value: a proven bound, safe to broadcast
-    ranked = b.join(F.broadcast(offsets), "_bucket").withColumn(
+    # offsets has one row per bucket value (16**digits for hash buckets: a proven bound)
+    ranked = b.join(F.broadcast(offsets) if broadcast_offsets else offsets, "_bucket").withColumn(
         rank_col, F.col("_offset") + F.row_number().over(w)
     )
     drop = ["_bucket", "_offset"] + ([] if with_total else ["_total"])

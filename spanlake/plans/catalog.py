@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from spanlake.operators import dedup, sampling
 from spanlake.operators.flatten import flatten_qa
 from spanlake.operators.tokens import tokenize_offsets
-from spanlake.operators import decode, windows
+from spanlake.operators import decode, encode, windows
 from spanlake.functions.arrays import top_n_indices
 from spanlake.operators.metrics import bleu, registry, rouge, squad
 from spanlake.sources import views
@@ -191,6 +191,43 @@ def q_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
                      *[_round(F.col(c)).alias(c) for c in lb.columns if c not in ("run", "n")])
 
 
+def _ids(c):
+    return F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), " ")
+
+
+def q_build_vocab(spark: SparkSession, sf: str) -> DataFrame:
+    docs = views.table(spark, sf, "documents").select("text")
+    v = encode.build_vocab(docs, ["text"])
+    return v.select("tok", F.col("cnt").cast("bigint").alias("cnt"), F.col("id").cast("bigint").alias("id"))
+
+
+def _pair_vocab(spark: SparkSession, sf: str):
+    p = views.pairs(spark, sf)
+    return p, encode.build_vocab(p, ["Query", "Segment"])
+
+
+def q_encode_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    p, v = _pair_vocab(spark, sf)
+    e = encode.encode_pairs(p, v, "pair_id", 64)
+    return e.select("pair_id", _ids("input_ids").alias("input_ids"),
+                    _ids("attention_mask").alias("attention_mask"), _ids("labels").alias("labels"))
+
+
+def q_batch_pad(spark: SparkSession, sf: str) -> DataFrame:
+    p, v = _pair_vocab(spark, sf)
+    e = encode.encode_pairs(p, v, "pair_id", max_len=None, pad=False)
+    b = encode.batch_pad(e, "pair_id", 16, SEED)
+    return b.select("pair_id", F.col("batch").cast("bigint").alias("batch"),
+                    _ids("input_ids").alias("input_ids"), _ids("attention_mask").alias("attention_mask"),
+                    _ids("labels").alias("labels"))
+
+
+def q_decode_text(spark: SparkSession, sf: str) -> DataFrame:
+    p, v = _pair_vocab(spark, sf)
+    e = encode.encode_pairs(p, v, "pair_id", 64)
+    return encode.decode(e, "pair_id", "labels", v, out="text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_qa": q_flatten_qa,
     "squad_em_f1": q_squad_em_f1,
@@ -211,5 +248,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rouge_2": _rouge_q(2),
     "rouge_l": q_rouge_l,
     "leaderboard": q_leaderboard,
+    "build_vocab": q_build_vocab,
+    "encode_pairs": q_encode_pairs,
+    "batch_pad": q_batch_pad,
+    "decode_text": q_decode_text,
 }
 FLAGSHIP = "squad_em_f1"

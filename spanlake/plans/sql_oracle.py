@@ -403,3 +403,77 @@ GROUP BY run
 
 
 ORACLE["leaderboard"] = _leaderboard()
+
+
+ORACLE["build_vocab"] = f"""
+WITH t AS (SELECT unnest(regexp_extract_all(text, '{TOKEN_PATTERN}', 0)) AS tok FROM documents)
+SELECT tok, CAST(count(*) AS BIGINT) AS cnt,
+       CAST(row_number() OVER (ORDER BY count(*) DESC, tok) - 1 + 4 AS BIGINT) AS id
+FROM t GROUP BY tok
+"""
+
+PAIR_TOKENS = PAIRS + f""",
+ptok AS (
+  SELECT pair_id, 'q' AS side, unnest(regexp_extract_all("Query", '{TOKEN_PATTERN}', 0)) AS tok,
+         unnest(range(len(regexp_extract_all("Query", '{TOKEN_PATTERN}', 0)))) AS pos FROM pairs
+  UNION ALL
+  SELECT pair_id, 's', unnest(regexp_extract_all("Segment", '{TOKEN_PATTERN}', 0)),
+         unnest(range(len(regexp_extract_all("Segment", '{TOKEN_PATTERN}', 0)))) FROM pairs
+),
+vocab AS (
+  SELECT tok, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, tok) - 1 + 4 AS id
+  FROM ptok GROUP BY tok
+),
+pid AS (
+  SELECT p.pair_id, s.side, list(v.id ORDER BY t.pos) FILTER (WHERE t.pos IS NOT NULL) AS ids
+  FROM pairs p CROSS JOIN (VALUES ('q'), ('s')) s(side)
+  LEFT JOIN ptok t ON t.pair_id = p.pair_id AND t.side = s.side
+  LEFT JOIN vocab v ON v.tok = t.tok
+  GROUP BY p.pair_id, s.side
+),
+enc AS (
+  SELECT pair_id,
+         [2] || coalesce(max(ids) FILTER (WHERE side = 'q'), []) || [3] AS q_full,
+         [2] || coalesce(max(ids) FILTER (WHERE side = 's'), []) || [3] AS s_full,
+         [2] || coalesce(max(ids) FILTER (WHERE side = 'q'), [])[1:62] || [3] AS q64,
+         [2] || coalesce(max(ids) FILTER (WHERE side = 's'), [])[1:62] || [3] AS s64
+  FROM pid GROUP BY pair_id
+)"""
+
+
+def ids_str(x: str) -> str:
+    return f"array_to_string(list_transform({x}, lambda v: CAST(v AS VARCHAR)), ' ')"
+
+
+ORACLE["encode_pairs"] = f"""
+WITH {PAIR_TOKENS}
+SELECT pair_id,
+       {ids_str('list_resize(q64, 64, 0)')} AS input_ids,
+       {ids_str('list_resize(list_transform(q64, lambda v: 1), 64, 0)')} AS attention_mask,
+       {ids_str('list_resize(s64, 64, 0)')} AS labels
+FROM enc
+"""
+
+ORACLE["batch_pad"] = f"""
+WITH {PAIR_TOKENS},
+r AS (
+  SELECT *, CAST((row_number() OVER (ORDER BY md5('42|' || pair_id), pair_id) - 1) // 16 AS BIGINT) AS batch
+  FROM enc
+),
+m AS (SELECT *, max(greatest(len(q_full), len(s_full))) OVER (PARTITION BY batch) AS L FROM r)
+SELECT pair_id, batch,
+       {ids_str('list_resize(q_full, L, 0)')} AS input_ids,
+       {ids_str('list_resize(list_transform(q_full, lambda v: 1), L, 0)')} AS attention_mask,
+       {ids_str('list_resize(s_full, L, -100)')} AS labels
+FROM m
+"""
+
+ORACLE["decode_text"] = f"""
+WITH {PAIR_TOKENS},
+dec AS (
+  SELECT pair_id, tok, pos FROM ptok WHERE side = 's' AND pos < 62
+)
+SELECT p.pair_id, coalesce(string_agg(d.tok, ' ' ORDER BY d.pos), '') AS text
+FROM pairs p LEFT JOIN dec d USING (pair_id)
+GROUP BY p.pair_id
+"""
