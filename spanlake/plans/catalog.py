@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from spanlake.operators import dedup, sampling
 from spanlake.operators.flatten import flatten_qa
 from spanlake.operators.tokens import tokenize_offsets
-from spanlake.operators import decode, encode, windows
+from spanlake.operators import decode, encode, scoring, windows
+from spanlake.plans import pairs as pair_plan
+from spanlake.plans import span as span_plan
 from spanlake.functions.arrays import top_n_indices
 from spanlake.operators.metrics import bleu, registry, rouge, squad
 from spanlake.sources import views
@@ -228,6 +230,25 @@ def q_decode_text(spark: SparkSession, sf: str) -> DataFrame:
     return encode.decode(e, "pair_id", "labels", v, out="text")
 
 
+def q_lexical_score(spark: SparkSession, sf: str) -> DataFrame:
+    ex = views.qa_examples(spark, sf)
+    h = scoring.lexical_hits(_qa_windows(spark, sf), ex)
+    return h.select("id", F.col("window_no").cast("bigint").alias("window_no"),
+                    F.col("pos").cast("bigint").alias("pos"), _round(F.col("weight")).alias("weight"))
+
+
+def q_span_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    ex = views.qa_examples(spark, sf)
+    r = span_plan.span_pipeline(ex)
+    return r.select("id", "prediction_text", "em", _round(F.col("f1")).alias("f1"))
+
+
+def q_pair_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    r = pair_plan.pair_pipeline(views.pairs(spark, sf), k_val=1000, seed=SEED)
+    return r.select("pair_id", "prediction_text", "em", _round(F.col("f1")).alias("f1"),
+                    _round(F.col("bleu")).alias("bleu"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_qa": q_flatten_qa,
     "squad_em_f1": q_squad_em_f1,
@@ -252,5 +273,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "encode_pairs": q_encode_pairs,
     "batch_pad": q_batch_pad,
     "decode_text": q_decode_text,
+    "lexical_score": q_lexical_score,
+    "span_pipeline": q_span_pipeline,
+    "pair_pipeline": q_pair_pipeline,
 }
-FLAGSHIP = "squad_em_f1"
+FLAGSHIP = "span_pipeline"

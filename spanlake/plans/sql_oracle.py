@@ -477,3 +477,131 @@ SELECT p.pair_id, coalesce(string_agg(d.tok, ' ' ORDER BY d.pos), '') AS text
 FROM pairs p LEFT JOIN dec d USING (pair_id)
 GROUP BY p.pair_id
 """
+
+
+def lexical(max_length: int, stride: int) -> str:
+    """Windows of qa_examples plus the question-term hits with their idf weight."""
+    return qa_windows(max_length, stride) + f""",
+qterms AS (
+  SELECT id, list_distinct(list_transform(regexp_extract_all(question, '{TOKEN_PATTERN}', 0),
+                                          lambda t: lower(t))) AS qset
+  FROM qa_examples
+),
+ctx AS (
+  SELECT w.id, w.window_no, w.qn, w.step, t.pos, lower(t.tok) AS term
+  FROM w JOIN doc_tokens t
+    ON t.doc_id = w.doc_id AND t.pos >= w.window_no * w.step AND t.pos < w.window_no * w.step + w.cap
+),
+ndoc AS (SELECT count(*) AS "N" FROM qa_examples),
+dfreq AS (
+  SELECT lower(t.tok) AS term, count(DISTINCT e.id) AS df
+  FROM qa_examples e JOIN doc_tokens t ON t.doc_id = e.doc_id GROUP BY 1
+),
+hits AS (
+  SELECT c.id, c.window_no, c.qn + 2 + c.pos - c.window_no * c.step AS seqpos,
+         ln(("N" + 1) / (df + 1)) + 1 AS weight
+  FROM ctx c JOIN qterms q USING (id) JOIN dfreq USING (term), ndoc
+  WHERE list_contains(q.qset, c.term)
+)"""
+
+
+ORACLE["lexical_score"] = f"""
+WITH {lexical(128, 32)}
+SELECT id, CAST(window_no AS BIGINT) AS window_no, CAST(seqpos AS BIGINT) AS pos,
+       round(weight, 6) AS weight
+FROM hits
+"""
+
+
+def _span_pipeline() -> str:
+    return f"""
+WITH {lexical(512, 128)},
+posn AS (
+  SELECT id, window_no, qn, step, n_ctx, unnest(range(512)) AS p FROM wins
+),
+lg AS (
+  SELECT n.id, n.window_no, n.qn, n.step, n.p,
+         CASE WHEN n.p >= n.qn + 2 AND n.p < n.qn + 2 + n.n_ctx THEN n.window_no * n.step + n.p - n.qn - 2 END AS tpos,
+         CAST(CASE WHEN n.p >= n.qn + 2 AND n.p < n.qn + 2 + n.n_ctx THEN coalesce(h.weight, 0.0)
+                   ELSE -10000.0 END AS FLOAT) AS v
+  FROM posn n LEFT JOIN hits h ON h.id = n.id AND h.window_no = n.window_no AND h.seqpos = n.p
+),
+top AS (
+  SELECT *, row_number() OVER (PARTITION BY id, window_no ORDER BY v DESC, p DESC) - 1 AS r
+  FROM lg QUALIFY r < 20
+),
+cand AS (
+  SELECT s.id, s.window_no, s.r AS sr, e.r AS er, s.tpos AS ts, e.tpos AS te, CAST(s.v + e.v AS FLOAT) AS score
+  FROM top s JOIN top e USING (id, window_no)
+  WHERE s.tpos IS NOT NULL AND e.tpos IS NOT NULL AND e.p >= s.p AND e.p - s.p + 1 <= 100
+),
+best AS (
+  SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, window_no, sr, er) = 1
+),
+pred AS (
+  SELECT e.id, e.answer,
+         coalesce(substring(e.context, a.start + 1, b2."end" - a.start), '') AS prediction_text
+  FROM qa_examples e
+  LEFT JOIN best b ON b.id = e.id
+  LEFT JOIN doc_tokens a ON a.doc_id = e.doc_id AND a.pos = b.ts
+  LEFT JOIN doc_tokens b2 ON b2.doc_id = e.doc_id AND b2.pos = b.te
+),
+tk AS (SELECT id, prediction_text, {squad_tokens('prediction_text')} AS pt, {squad_tokens('answer')} AS gt FROM pred),
+ov AS (SELECT *, {bag_overlap('pt', 'gt')} AS same FROM tk)
+SELECT id, prediction_text,
+       CAST(array_to_string(pt, ' ') = array_to_string(gt, ' ') AS DOUBLE) AS em,
+       round(CASE WHEN same = 0 THEN 0.0
+             ELSE 2 * (same / len(pt)) * (same / len(gt)) / ((same / len(pt)) + (same / len(gt))) END, 6) AS f1
+FROM ov
+"""
+
+
+ORACLE["span_pipeline"] = _span_pipeline()
+
+
+def _pair_pipeline() -> str:
+    return f"""
+WITH {PAIRS},
+uniq AS (
+  SELECT any_value(pair_id) AS pair_id, "Query", "Segment" FROM pairs
+  GROUP BY "Query", "Segment" HAVING count(*) = 1
+),
+r AS (
+  SELECT *, row_number() OVER (ORDER BY md5('42|' || pair_id), pair_id) AS rank, count(*) OVER () AS n
+  FROM uniq
+),
+val AS (
+  SELECT * FROM r WHERE rank <= ceil(n * 0.1)
+  QUALIFY row_number() OVER (ORDER BY md5('42|' || pair_id), pair_id) <= 1000
+),
+pred AS (
+  SELECT pair_id, "Segment" AS answer,
+         array_to_string(regexp_extract_all("Segment", '{TOKEN_PATTERN}', 0)[1:62], ' ') AS prediction_text
+  FROM val
+),
+tk AS (
+  SELECT pair_id, prediction_text, answer, {squad_tokens('prediction_text')} AS pt, {squad_tokens('answer')} AS gt,
+         {ws_split('prediction_text')} AS p, {ws_split('answer')} AS r
+  FROM pred
+),
+ov AS (SELECT *, {bag_overlap('pt', 'gt')} AS same FROM tk),
+st AS (
+  {" UNION ALL ".join(
+      f"SELECT pair_id, {n} AS n, len(p) AS pl, len(r) AS rl, {bag_overlap(ngrams('p', n), ngrams('r', n))} AS num, "
+      f"greatest(len(p) - {n - 1}, 0) AS den FROM tk" for n in range(1, 5))}
+),
+agg AS (
+  SELECT pair_id, any_value(pl) AS pl, any_value(rl) AS rl, min(num) AS mn,
+         sum(ln(CASE WHEN num > 0 THEN CAST(num AS DOUBLE) / den END)) AS sl
+  FROM st GROUP BY pair_id
+)
+SELECT pair_id, prediction_text,
+       CAST(array_to_string(pt, ' ') = array_to_string(gt, ' ') AS DOUBLE) AS em,
+       round(CASE WHEN same = 0 THEN 0.0
+             ELSE 2 * (same / len(pt)) * (same / len(gt)) / ((same / len(pt)) + (same / len(gt))) END, 6) AS f1,
+       round({BLEU_VALUE}, 6) AS bleu
+FROM ov JOIN agg USING (pair_id)
+"""
+
+
+ORACLE["pair_pipeline"] = _pair_pipeline()
