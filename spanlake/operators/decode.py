@@ -22,8 +22,10 @@ def attach_logits(features: DataFrame, logits: DataFrame, keys=("id", "window_no
 
 
 def window_best(feat_logits: DataFrame, n_best: int = 20, max_answer_length: int = 100) -> DataFrame:
-    """Best candidate of each window: ``id, window_no, best{score, start_char, end_char,
-    start_rank, end_rank}`` (NULL when no candidate survives)."""
+    """Best candidate of each window: ``id, window_no, best`` where ``best`` is the
+    ordering key ``{score, neg_window, neg_si, neg_ei, start_char, end_char}`` (NULL
+    when no candidate survives). The window number is inside the key so one ``max``
+    per example picks the first maximum across windows."""
     off = F.col("offsets")
     sl, el = F.col("start_logits"), F.col("end_logits")
 
@@ -47,6 +49,7 @@ def window_best(feat_logits: DataFrame, n_best: int = 20, max_answer_length: int
             ok,
             lambda c: F.struct(
                 (F.get(sl, c["s"]) + F.get(el, c["e"])).alias("score"),
+                (-F.col("window_no")).alias("neg_w"),
                 (-c["si"]).alias("neg_si"),
                 (-c["ei"]).alias("neg_ei"),
                 F.get(off, c["s"])["start"].alias("start_char"),
@@ -62,16 +65,10 @@ def window_best(feat_logits: DataFrame, n_best: int = 20, max_answer_length: int
 def best_span(examples: DataFrame, feat_logits: DataFrame, n_best: int = 20,
               max_answer_length: int = 100, context_col: str = "context") -> DataFrame:
     """``id, prediction_text, start_char, end_char, score`` for every example."""
-    wb = window_best(feat_logits, n_best, max_answer_length).where(F.col("best").isNotNull())
-    key = F.struct(
-        F.col("best.score").alias("score"),
-        (-F.col("window_no")).alias("neg_w"),
-        F.col("best.neg_si").alias("neg_si"),
-        F.col("best.neg_ei").alias("neg_ei"),
-        F.col("best.start_char").alias("start_char"),
-        F.col("best.end_char").alias("end_char"),
-    )
-    per_ex = wb.groupBy("id").agg(F.max(key).alias("b"))
+    # ``max`` skips windows without a candidate (NULL best); referencing ``best`` once
+    # keeps the candidate grid from being evaluated more than once per window.
+    wb = window_best(feat_logits, n_best, max_answer_length)
+    per_ex = wb.groupBy("id").agg(F.max("best").alias("b"))
     out = examples.select("id", context_col).join(per_ex, "id", "left")
     text = F.substring(
         F.col(context_col), F.col("b.start_char") + 1, F.col("b.end_char") - F.col("b.start_char")

@@ -64,6 +64,13 @@ def idf_table(examples: DataFrame, terms: DataFrame, id_col: str = "id",
     )
 
 
+def question_terms(examples: DataFrame, question_col: str = "question") -> DataFrame:
+    """Distinct lower-case question tokens (the only terms whose idf is needed)."""
+    return examples.select(
+        F.explode(F.array_distinct(F.transform(token_strings(question_col), F.lower))).alias("term")
+    ).distinct()
+
+
 def lexical_hits(features: DataFrame, examples: DataFrame, id_col: str = "id",
                  context_col: str = "context") -> DataFrame:
     """``id, window_no, pos, weight`` for every context position whose token is a
@@ -81,8 +88,8 @@ def lexical_hits(features: DataFrame, examples: DataFrame, id_col: str = "id",
     hits = pos_rows.select(
         "id", "window_no", "pos", F.lower("_z.tokens").alias("term"), "_qset"
     ).where(F.array_contains("_qset", F.col("term"))).drop("_qset")
-    terms = hits.select("term")
-    idf = idf_table(examples.withColumnRenamed(id_col, "id"), terms, "id", context_col)
+    ex = examples.withColumnRenamed(id_col, "id")
+    idf = idf_table(ex, question_terms(ex), "id", context_col)
     return hits.join(idf, "term").select("id", "window_no", "pos", F.col("idf").alias("weight"))
 
 

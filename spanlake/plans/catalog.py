@@ -19,9 +19,16 @@ from spanlake.plans import pairs as pair_plan
 from spanlake.plans import span as span_plan
 from spanlake.functions.arrays import top_n_indices
 from spanlake.operators.metrics import bleu, registry, rouge, squad
+from spanlake.session import cut_lineage
 from spanlake.sources import views
 
 
+def _examples(spark: SparkSession, sf: str) -> DataFrame:
+    """QA examples, materialised once per query (reliable checkpoint into the shared
+    folder): the containment join behind them feeds several branches of a plan."""
+    return cut_lineage(views.qa_examples(spark, sf))
+
+
 def _round(c, n: int = 6):
     return F.round(c.cast("double"), n)
 
@@ -39,9 +46,9 @@ def q_flatten_qa(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_squad_em_f1(spark: SparkSession, sf: str) -> DataFrame:
-    ex = views.qa_examples(spark, sf)
+    ex = _examples(spark, sf)
     refs = views.references(ex)
-    preds = views.runs(spark, sf)
+    preds = views.runs(spark, sf, ex)
     rows = squad.squad_rows(refs.join(preds, "id"))
     return rows.select("run", "id", "em", _round(F.col("f1")).alias("f1"))
 
@@ -92,8 +99,8 @@ def q_tokenize_offsets(spark: SparkSession, sf: str) -> DataFrame:
 WIN_MAX_LENGTH, WIN_STRIDE = 128, 32  # driver queries: small windows so contexts overflow
 
 
-def _qa_windows(spark: SparkSession, sf: str) -> DataFrame:
-    ex = views.qa_examples(spark, sf)
+def _qa_windows(spark: SparkSession, sf: str, ex: DataFrame | None = None) -> DataFrame:
+    ex = ex if ex is not None else _examples(spark, sf)
     return windows.window_features(
         ex, max_length=WIN_MAX_LENGTH, stride=WIN_STRIDE, keep=["answer_start", "answer_end"]
     )
@@ -139,8 +146,8 @@ def q_best_span(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _run_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    ex = views.qa_examples(spark, sf)
-    return views.runs(spark, sf).join(ex.select("id", "answer"), "id").withColumn(
+    ex = _examples(spark, sf)
+    return views.runs(spark, sf, ex).join(ex.select("id", "answer"), "id").withColumn(
         "refs", F.array(F.col("answer"))
     )
 
@@ -186,8 +193,8 @@ def q_rouge_l(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
-    ex = views.qa_examples(spark, sf)
-    lb = registry.leaderboard(views.runs(spark, sf), views.references(ex),
+    ex = _examples(spark, sf)
+    lb = registry.leaderboard(views.runs(spark, sf, ex), views.references(ex),
                               metrics=("exact_match", "bleu", "rouge_n"))
     return lb.select("run", F.col("n").cast("bigint").alias("n"),
                      *[_round(F.col(c)).alias(c) for c in lb.columns if c not in ("run", "n")])
@@ -231,14 +238,14 @@ def q_decode_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_lexical_score(spark: SparkSession, sf: str) -> DataFrame:
-    ex = views.qa_examples(spark, sf)
-    h = scoring.lexical_hits(_qa_windows(spark, sf), ex)
+    ex = _examples(spark, sf)
+    h = scoring.lexical_hits(_qa_windows(spark, sf, ex), ex)
     return h.select("id", F.col("window_no").cast("bigint").alias("window_no"),
                     F.col("pos").cast("bigint").alias("pos"), _round(F.col("weight")).alias("weight"))
 
 
 def q_span_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    ex = views.qa_examples(spark, sf)
+    ex = _examples(spark, sf)
     r = span_plan.span_pipeline(ex)
     return r.select("id", "prediction_text", "em", _round(F.col("f1")).alias("f1"))
 
@@ -249,6 +256,20 @@ def q_pair_pipeline(spark: SparkSession, sf: str) -> DataFrame:
                     _round(F.col("bleu")).alias("bleu"))
 
 
+def q_stream_tokenize(spark: SparkSession, sf: str) -> DataFrame:
+    from spanlake.streaming import qa_stream
+
+    out = qa_stream.run_to_parquet(qa_stream.token_stream(spark, sf), "stream-tokens")
+    t = spark.read.parquet(out)
+    return t.select(
+        "doc_id",
+        F.col("pos").cast("bigint").alias("pos"),
+        "tok",
+        F.col("start").cast("bigint").alias("start"),
+        F.col("end").cast("bigint").alias("end"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_qa": q_flatten_qa,
     "squad_em_f1": q_squad_em_f1,
@@ -276,5 +297,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lexical_score": q_lexical_score,
     "span_pipeline": q_span_pipeline,
     "pair_pipeline": q_pair_pipeline,
+    "stream_tokenize": q_stream_tokenize,
 }
 FLAGSHIP = "span_pipeline"

@@ -605,3 +605,5 @@ FROM ov JOIN agg USING (pair_id)
 
 
 ORACLE["pair_pipeline"] = _pair_pipeline()
+
+ORACLE["stream_tokenize"] = ORACLE["tokenize_offsets"]

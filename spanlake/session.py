@@ -55,10 +55,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared folder (never a local checkpoint)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df, name: str = "table"):
+    """Cut the lineage by writing a parquet table into the shared folder and reading it
+    back (one computation; a reliable ``checkpoint()`` would compute the plan twice).
+    Never a local checkpoint: the files outlive any executor."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 __all__ = ["get_spark", "checkpoint_root", "shared_dir", "cut_lineage"]

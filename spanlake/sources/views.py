@@ -132,10 +132,10 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def runs(spark: SparkSession, sf_dir: str, examples: DataFrame | None = None) -> DataFrame:
     """Scripted predictions: ``exact`` (the answer), ``wide`` (answer plus up to 20
     characters each side) and ``empty``; columns (run, id, prediction_text)."""
-    ex = qa_examples(spark, sf_dir)
+    ex = examples if examples is not None else qa_examples(spark, sf_dir)
     wide_from = F.greatest(F.col("answer_start") - 20, F.lit(0))
     wide = F.substring(
         "context", wide_from + 1, F.col("answer_end") + 20 - wide_from
