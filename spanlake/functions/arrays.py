@@ -53,3 +53,19 @@ def top_n_indices(values, n: int) -> Column:
     the higher index comes first (reverse of a stable ascending arg-sort) (F5)."""
     pairs = F.transform(_c(values), lambda v, i: F.struct(v.alias("v"), i.alias("i")))
     return F.transform(F.slice(F.sort_array(pairs, asc=False), 1, n), lambda z: z["i"])
+
+
+def explode_rows(arr, name: str) -> tuple[Column, Column]:
+    """``(generator, keep_condition)`` for one row per array element.
+
+    A plain ``explode`` makes the optimizer add a ``size(arr) > 0`` filter below it,
+    which evaluates an expensive array expression (a tokeniser) twice. The outer
+    generator has no such filter; the NULL row it emits for an empty array is dropped
+    by ``keep_condition`` afterwards. Elements themselves must not be NULL.
+    """
+    return F.explode_outer(_c(arr)).alias(name), F.col(name).isNotNull()
+
+
+def posexplode_rows(arr, pos: str, name: str) -> tuple[Column, Column]:
+    """Positional variant of :func:`explode_rows` (elements may be NULL)."""
+    return F.posexplode_outer(_c(arr)).alias(pos, name), F.col(pos).isNotNull()

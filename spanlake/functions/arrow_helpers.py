@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,46 @@ def _row_cumsum_batch(lists: pa.Array) -> pa.Array:
     )
 
 
+# Python's whitespace set (what str.split()/strip() remove), derived by rule; the same
+# characters as ``text.WS_CLASS``.
+WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+TOKEN_TYPE = T.ArrayType(
+    T.StructType([
+        T.StructField("tok", T.StringType()),
+        T.StructField("start", T.IntegerType()),
+        T.StructField("end", T.IntegerType()),
+    ])
+)
+
+
+def _pieces_batch(pieces: pa.Array) -> pa.Array:
+    """Each piece is leading whitespace + one token; returns the tokens with their
+    0-based code-point offsets, one running sum per row over the whole batch."""
+    if isinstance(pieces, pa.ChunkedArray):
+        pieces = pieces.combine_chunks()
+    offsets = np.asarray(pieces.offsets, dtype=np.int64)
+    offsets = offsets - offsets[0]
+    flat = pieces.flatten()
+    toks = pc.utf8_ltrim(flat, characters=WS_CHARS)
+    plen = np.asarray(pc.utf8_length(flat).fill_null(0), dtype=np.int64)
+    tlen = np.asarray(pc.utf8_length(toks).fill_null(0), dtype=np.int64)
+    total = np.concatenate(([0], np.cumsum(plen)))
+    ends = total[1:] - np.repeat(total[offsets[:-1]], np.diff(offsets))
+    starts = ends - tlen
+    items = pa.StructArray.from_arrays(
+        [toks, pa.array(starts, type=pa.int32()), pa.array(ends, type=pa.int32())],
+        names=["tok", "start", "end"],
+    )
+    return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), items, mask=pieces.is_null())
+
+
+@F.arrow_udf(TOKEN_TYPE)
+def pieces_to_tokens(pieces: pa.Array) -> pa.Array:
+    """``array<string>`` of whitespace+token pieces -> ``array<struct<tok,start,end>>``."""
+    return _pieces_batch(pieces)
+
+
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def row_cumsum(lists: pa.Array) -> pa.Array:
     """Inclusive running sum of each row's int array."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.functions.arrays import pad_array, skip_specials
+from spanlake.functions.arrays import explode_rows, pad_array, posexplode_rows, skip_specials
 from spanlake.operators.sampling import global_rank, shuffle
 from spanlake.operators.tokens import token_strings
 
@@ -24,7 +24,8 @@ def build_vocab(texts: DataFrame, cols: list[str]) -> DataFrame:
     """``tok, cnt, id`` over all tokens of ``cols``; ids after the specials, by count
     (desc) then token. Counting is partially pre-aggregated; the rank is exact and
     distributed (buckets = (count, first character), monotone in the order)."""
-    toks = texts.select(F.explode(F.flatten(F.array(*[token_strings(c) for c in cols]))).alias("tok"))
+    gen, keep = explode_rows(F.flatten(F.array(*[token_strings(c) for c in cols])), "tok")
+    toks = texts.select(gen).where(keep)
     counts = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("cnt"))
     ranked = global_rank(
         counts,
@@ -38,7 +39,8 @@ def build_vocab(texts: DataFrame, cols: list[str]) -> DataFrame:
 
 def encode_ids(df: DataFrame, key: str, col: str, vocab: DataFrame, out: str) -> DataFrame:
     """``key, out`` with the vocabulary ids of ``col``'s tokens (unknown -> UNK)."""
-    rows = df.select(key, F.posexplode(token_strings(col)).alias("pos", "tok"))
+    gen, keep = posexplode_rows(token_strings(col), "pos", "tok")
+    rows = df.select(key, gen).where(keep)
     ids = rows.join(vocab.select("tok", "id"), "tok", "left").select(
         key, "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")
     )
@@ -94,7 +96,8 @@ def batch_pad(encoded: DataFrame, key: str = "pair_id", batch_size: int = 16, se
 def decode(df: DataFrame, key: str, ids_col: str, vocab: DataFrame, out: str = "text",
            skip_special: bool = True) -> DataFrame:
     """ids -> text joined by spaces (G11), dropping specials and label padding."""
-    rows = df.select(key, F.posexplode(ids_col).alias("pos", "id"))
+    gen, keep = posexplode_rows(ids_col, "pos", "id")
+    rows = df.select(key, gen).where(keep)
     if skip_special:
         rows = rows.where(F.col("id") >= len(SPECIALS))
     named = rows.join(vocab.select("id", "tok"), "id", "left").select(

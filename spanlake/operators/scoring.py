@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanlake.functions.arrays import explode_rows, posexplode_rows
 from spanlake.operators.tokens import token_strings
 
 MASKED = -10000.0  # fixed value: logit for positions outside the context
@@ -47,10 +48,8 @@ def idf_table(examples: DataFrame, terms: DataFrame, id_col: str = "id",
               context_col: str = "context") -> DataFrame:
     """``term, idf`` with ``idf = ln((N + 1) / (df + 1)) + 1`` over examples' contexts,
     for the given terms only (semi-join before the count keeps the shuffle small)."""
-    ctx_terms = examples.select(
-        id_col,
-        F.explode(F.array_distinct(F.transform(token_strings(context_col), F.lower))).alias("term"),
-    )
+    gen, keep = explode_rows(F.array_distinct(F.transform(token_strings(context_col), F.lower)), "term")
+    ctx_terms = examples.select(id_col, gen).where(keep)
     dfreq = (
         ctx_terms.join(terms.select("term").distinct(), "term", "left_semi")
         .groupBy("term")
@@ -66,9 +65,8 @@ def idf_table(examples: DataFrame, terms: DataFrame, id_col: str = "id",
 
 def question_terms(examples: DataFrame, question_col: str = "question") -> DataFrame:
     """Distinct lower-case question tokens (the only terms whose idf is needed)."""
-    return examples.select(
-        F.explode(F.array_distinct(F.transform(token_strings(question_col), F.lower))).alias("term")
-    ).distinct()
+    gen, keep = explode_rows(F.array_distinct(F.transform(token_strings(question_col), F.lower)), "term")
+    return examples.select(gen).where(keep).distinct()
 
 
 def lexical_hits(features: DataFrame, examples: DataFrame, id_col: str = "id",
@@ -81,10 +79,10 @@ def lexical_hits(features: DataFrame, examples: DataFrame, id_col: str = "id",
             lambda z: F.lower(z["tokens"]),
         )
     )
-    pos_rows = features.select(
-        "id", "window_no", qset.alias("_qset"),
-        F.posexplode(F.arrays_zip("tokens", "seq_ids")).alias("pos", "_z"),
-    ).where(F.col("_z.seq_ids") == 1)
+    gen, keep = posexplode_rows(F.arrays_zip("tokens", "seq_ids"), "pos", "_z")
+    pos_rows = features.select("id", "window_no", qset.alias("_qset"), gen).where(
+        keep & (F.col("_z.seq_ids") == 1)
+    )
     hits = pos_rows.select(
         "id", "window_no", "pos", F.lower("_z.tokens").alias("term"), "_qset"
     ).where(F.array_contains("_qset", F.col("term"))).drop("_qset")

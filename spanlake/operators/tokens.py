@@ -2,8 +2,10 @@
 
 Tokens are runs of word characters or single other non-space characters. Offsets are
 0-based code points, end exclusive. The tokenizer is a narrow (per-row) expression:
-two JVM regex passes plus a vectorised Arrow running sum, so tokenising never needs a
-shuffle; token rows come from an ``explode`` of the per-row array.
+one JVM regex pass cuts the text into "leading whitespace + token" pieces, and one
+vectorised Arrow function per batch strips the whitespace and turns piece lengths into
+offsets with a single running sum. Tokenising never needs a shuffle; token rows come
+from an explode of the per-row array.
 """
 
 from __future__ import annotations
@@ -11,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.functions.arrow_helpers import row_cumsum
-from spanlake.functions.text import GAP_TOKEN_PATTERN
+from spanlake.functions.arrays import posexplode_rows
+from spanlake.functions.arrow_helpers import pieces_to_tokens
+from spanlake.functions.text import GAP_TOKEN_PATTERN, TOKEN_PATTERN
 
 
 def _c(col) -> Column:
@@ -21,23 +24,12 @@ def _c(col) -> Column:
 
 def token_array(text) -> Column:
     """``array<struct<tok:string, start:int, end:int>>`` for a text column."""
-    t = _c(text)
-    pat = F.lit(GAP_TOKEN_PATTERN)
-    gaps = F.regexp_extract_all(t, pat, F.lit(1))
-    toks = F.regexp_extract_all(t, pat, F.lit(2))
-    ends = row_cumsum(F.zip_with(gaps, toks, lambda g, k: F.length(g) + F.length(k)))
-    return F.zip_with(
-        toks,
-        ends,
-        lambda k, e: F.struct(
-            k.alias("tok"), (e - F.length(k)).alias("start"), e.alias("end")
-        ),
-    )
+    return pieces_to_tokens(F.regexp_extract_all(_c(text), F.lit(GAP_TOKEN_PATTERN), F.lit(0)))
 
 
 def token_strings(text) -> Column:
     """Just the token strings (no offsets, no Python)."""
-    return F.regexp_extract_all(_c(text), F.lit(GAP_TOKEN_PATTERN), F.lit(2))
+    return F.regexp_extract_all(_c(text), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
 def tokenize_offsets(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -46,9 +38,8 @@ def tokenize_offsets(df: DataFrame, id_col: str = "id", text_col: str = "text")
     The text column is dropped before the explode so token rows stay narrow.
     """
     arr = df.select(F.col(id_col), token_array(text_col).alias("_toks"))
-    return arr.select(
-        F.col(id_col), F.posexplode("_toks").alias("pos", "_t")
-    ).select(
+    gen, keep = posexplode_rows("_toks", "pos", "_t")
+    return arr.select(F.col(id_col), gen).where(keep).select(
         id_col,
         "pos",
         F.col("_t.tok").alias("tok"),

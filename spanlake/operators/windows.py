@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.functions.arrays import mask_offsets, pad_array
+from spanlake.functions.arrays import explode_rows, mask_offsets, pad_array
 from spanlake.functions.bags import let
 from spanlake.functions.text import strip_text
 from spanlake.operators.tokens import token_array
@@ -92,12 +92,10 @@ def window_features(
         step.alias("_step"),
         F.size("_ctx").alias("_n"),
     ).where(F.col("_step") > 0)
-    win = sized.select(
-        "*",
-        F.explode(
-            F.sequence(F.lit(0), window_count(F.col("_n"), F.col("_cap"), F.col("_step")) - 1)
-        ).alias("window_no"),
+    gen, keep_row = explode_rows(
+        F.sequence(F.lit(0), window_count(F.col("_n"), F.col("_cap"), F.col("_step")) - 1), "window_no"
     )
+    win = sized.select("*", gen).where(keep_row)
     first = F.col("window_no") * F.col("_step")
     win = win.select(
         "*",

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlake.functions.arrays import explode_rows
 from spanlake.functions.text import WORD_CLASS
 
 
@@ -43,12 +44,10 @@ def containment_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     Items without an inner word (two tokens or less) are tested by ``instr`` directly.
     Inputs: docs(doc_id, text), items(item_id, text).
     """
-    item_words = (
-        items.select("item_id", F.explode(F.array_distinct(_inner_words("text"))).alias("w"))
-    )
-    doc_words = docs.select(
-        "doc_id", F.explode(F.array_distinct(_words("text"))).alias("w")
-    )
+    gen, keep = explode_rows(F.array_distinct(_inner_words("text")), "w")
+    item_words = items.select("item_id", gen).where(keep)
+    gen, keep = explode_rows(F.array_distinct(_words("text")), "w")
+    doc_words = docs.select("doc_id", gen).where(keep)
     vocab = item_words.select("w").distinct()
     doc_freq = doc_words.join(vocab, "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
     anchors = (
