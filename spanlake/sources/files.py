@@ -46,6 +46,8 @@ def read_examples_csv(spark: SparkSession, path: str, na_as_null: bool = False)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
     )
     if na_as_null:
         r = r.option("nullValue", "NA")
@@ -53,12 +55,15 @@ def read_examples_csv(spark: SparkSession, path: str, na_as_null: bool = False)
 
 
 def write_examples_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header and no index column (A3); quotes doubled like pandas."""
+    """CSV with a header and no index column (A3); quotes doubled like pandas and
+    surrounding whitespace kept (Spark's writer trims it by default)."""
     (
         df.write.mode(mode)
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
