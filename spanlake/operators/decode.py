@@ -58,24 +58,43 @@ def window_best(feat_logits: DataFrame, n_best: int = 20, max_answer_length: int
         )
         return F.array_max(scored)
 
-    best = let(top_n_indices(sl, n_best), lambda st: let(top_n_indices(el, n_best), lambda en: grid(st, en)))
+    def with_text(b):
+        # the span text comes from the window's own text: one substring per window
+        text = F.substring(
+            F.col("ctx_text"), b["start_char"] - F.col("ctx_start") + 1, b["end_char"] - b["start_char"]
+        )
+        return F.when(b.isNull(), F.lit(None)).otherwise(
+            F.struct(
+                b["score"].alias("score"), b["neg_w"].alias("neg_w"), b["neg_si"].alias("neg_si"),
+                b["neg_ei"].alias("neg_ei"), b["start_char"].alias("start_char"),
+                b["end_char"].alias("end_char"), text.alias("text"),
+            )
+        )
+
+    best = let(
+        top_n_indices(sl, n_best),
+        lambda st: let(top_n_indices(el, n_best), lambda en: let(grid(st, en), with_text)),
+    )
     return feat_logits.select("id", "window_no", best.alias("best"))
 
 
 def best_span(examples: DataFrame, feat_logits: DataFrame, n_best: int = 20,
-              max_answer_length: int = 100, context_col: str = "context") -> DataFrame:
-    """``id, prediction_text, start_char, end_char, score`` for every example."""
-    # ``max`` skips windows without a candidate (NULL best); referencing ``best`` once
-    # keeps the candidate grid from being evaluated more than once per window.
-    wb = window_best(feat_logits, n_best, max_answer_length)
-    per_ex = wb.groupBy("id").agg(F.max("best").alias("b"))
-    out = examples.select("id", context_col).join(per_ex, "id", "left")
-    text = F.substring(
-        F.col(context_col), F.col("b.start_char") + 1, F.col("b.end_char") - F.col("b.start_char")
-    )
-    return out.select(
+              max_answer_length: int = 100) -> DataFrame:
+    """``id, prediction_text, start_char, end_char, score`` for every example.
+
+    Examples without a window (or without a surviving candidate) join the aggregation
+    as a NULL key, so every example gets a row without joining the contexts back: the
+    only shuffle is the (partially pre-aggregated) ``max`` by id, on small rows.
+    """
+    # ``max`` skips NULL keys; referencing ``best`` once keeps the candidate grid from
+    # being evaluated more than once per window.
+    wb = window_best(feat_logits, n_best, max_answer_length).select("id", "best")
+    key_type = wb.schema["best"].dataType
+    ids = examples.select("id", F.lit(None).cast(key_type).alias("best"))
+    per_ex = wb.unionByName(ids).groupBy("id").agg(F.max("best").alias("b"))
+    return per_ex.select(
         "id",
-        F.coalesce(text, F.lit("")).alias("prediction_text"),
+        F.coalesce(F.col("b.text"), F.lit("")).alias("prediction_text"),
         F.col("b.start_char").alias("start_char"),
         F.col("b.end_char").alias("end_char"),
         F.col("b.score").alias("score"),

@@ -62,10 +62,13 @@ def window_features(
     pad: bool = True,
 ) -> DataFrame:
     """Tokenise question and context, cut the context into overlapping windows and
-    label the answer span (G1-G7, C3, B7).
+    build the packed sequence of each window (G1-G5, G7, B7).
 
-    Output: ``id, window_no, q_len, ctx_first, n_ctx, seq_len, tokens, seq_ids,
-    offsets, ctx_start, ctx_end`` plus ``keep`` columns (e.g. answer_start/answer_end).
+    Output: ``id, window_no, <keep>, q_len, ctx_first, n_ctx, seq_len, ctx_start,
+    ctx_end, ctx_text, tokens, seq_ids, offsets, _w``. ``ctx_text`` is the context
+    between the window's first and last token, so later steps never need the whole
+    context again. All window slices are cut inside the example's row before the
+    explode: the explode carries only one window each, never the whole document.
     Examples whose question leaves no room (``cap <= stride``) are dropped here; see
     :func:`too_long`.
     """
@@ -73,34 +76,46 @@ def window_features(
     q_arr = (
         token_array(strip_text(question_col))
         if question_col
-        else F.filter(F.array(F.struct(
-            F.lit("").alias("tok"), F.lit(0).alias("start"), F.lit(0).alias("end"))), lambda x: F.lit(False))
+        else F.array().cast("array<struct<tok:string,start:int,end:int>>")
     )
     base = examples.select(
         F.col(id_col).alias("id"),
         *keep,
         q_arr.alias("_q"),
         token_array(context_col).alias("_ctx"),
+        F.col(context_col).alias("_context"),
     )
     qn = F.size("_q")
     cap = F.lit(max_length - n_special) - qn
     step = cap - F.lit(stride)
     sized = base.select(
-        "*",
-        qn.alias("q_len"),
-        cap.alias("_cap"),
-        step.alias("_step"),
-        F.size("_ctx").alias("_n"),
+        "*", qn.alias("q_len"), cap.alias("_cap"), step.alias("_step"), F.size("_ctx").alias("_n"),
     ).where(F.col("_step") > 0)
-    gen, keep_row = explode_rows(
-        F.sequence(F.lit(0), window_count(F.col("_n"), F.col("_cap"), F.col("_step")) - 1), "window_no"
+
+    def one_window(k):
+        first = k * F.col("_step")
+        return let(
+            F.slice("_ctx", first + 1, F.col("_cap")),
+            lambda w: F.struct(
+                k.alias("window_no"),
+                first.alias("ctx_first"),
+                w.alias("_w"),
+                F.get(w, 0)["start"].alias("ctx_start"),
+                F.get(w, F.size(w) - 1)["end"].alias("ctx_end"),
+                F.substring(
+                    F.col("_context"),
+                    F.get(w, 0)["start"] + 1,
+                    F.get(w, F.size(w) - 1)["end"] - F.get(w, 0)["start"],
+                ).alias("ctx_text"),
+            ),
+        )
+
+    all_windows = F.transform(
+        F.sequence(F.lit(0), window_count(F.col("_n"), F.col("_cap"), F.col("_step")) - 1), one_window
     )
-    win = sized.select("*", gen).where(keep_row)
-    first = F.col("window_no") * F.col("_step")
-    win = win.select(
-        "*",
-        first.alias("ctx_first"),
-        F.slice("_ctx", first + 1, F.col("_cap")).alias("_w"),
+    gen, keep_row = explode_rows(all_windows, "_win")
+    win = sized.select("id", *keep, "_q", "q_len", gen).where(keep_row).select(
+        "id", *keep, "_q", "q_len", "_win.*"
     )
     seq = F.concat(
         _specials(CLS, F.lit(1)),
@@ -110,28 +125,26 @@ def window_features(
         _specials(SEP, F.lit(1)),
     )
     win = win.select("*", seq.alias("_seq"))
-    seq_len = F.size("_seq")
     padded = (
         pad_array(F.col("_seq"), max_length, _specials(PAD, F.lit(1))[0]) if pad else F.col("_seq")
     )
-    w = F.col("_w")
-    m = F.size(w)
     return win.select(
         "id",
         "window_no",
         *keep,
         "q_len",
         "ctx_first",
-        m.alias("n_ctx"),
-        seq_len.alias("seq_len"),
+        F.size("_w").alias("n_ctx"),
+        F.size("_seq").alias("seq_len"),
+        "ctx_start",
+        "ctx_end",
+        "ctx_text",
         let(padded, lambda s: F.struct(
             F.transform(s, lambda t: t["tok"]).alias("tokens"),
             F.transform(s, lambda t: t["seg"]).alias("seq_ids"),
             mask_offsets(s).alias("offsets"),
         )).alias("_packed"),
-        F.get(w, 0)["start"].alias("ctx_start"),
-        F.get(w, m - 1)["end"].alias("ctx_end"),
-        F.col("_w"),
+        "_w",
     ).select("*", "_packed.*").drop("_packed")
 
 

@@ -175,28 +175,29 @@ def doc_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def embedding_logits(features: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Attach model output to windows by key (D3): the vector of ``vec_id = id``,
-    rotated left by ``window_no`` for start logits and reversed for end logits."""
-    e = embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("_e"))
+def embedding_logits(features: DataFrame) -> DataFrame:
+    """Model output per window from the document's vector ``_e`` (attached by key,
+    D3): rotated left by ``window_no`` for start logits, reversed for end logits."""
     n = F.size("_e")
     start = F.transform(
         F.sequence(F.lit(0), n - 1), lambda i: F.get(F.col("_e"), (i + F.col("window_no")) % n)
     )
     return (
-        features.join(e, "id")
-        .withColumn("start_logits", start)
+        features.withColumn("start_logits", start)
         .withColumn("end_logits", F.reverse("start_logits"))
         .drop("_e")
     )
 
 
 def span_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of every document (64 positions, stride 16) with logits attached."""
+    """Windows of every document that has a vector (64 positions, stride 16) with
+    logits attached. The key join runs before tokenising, so documents without
+    model output are never tokenised."""
     from spanlake.operators.windows import window_features
 
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("_e"))
+    docs = doc_examples(spark, sf_dir).join(e, "id")
     feats = window_features(
-        doc_examples(spark, sf_dir), max_length=SPAN_MAX_LENGTH, stride=SPAN_STRIDE,
-        question_col=None,
+        docs, max_length=SPAN_MAX_LENGTH, stride=SPAN_STRIDE, question_col=None, keep=["_e"],
     )
-    return embedding_logits(feats, table(spark, sf_dir, "embeddings"))
+    return embedding_logits(feats)
