@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.functions.arrays import explode_rows, mask_offsets, pad_array
+from spanlake.functions.arrays import explode_rows
 from spanlake.functions.bags import let
 from spanlake.functions.text import strip_text
 from spanlake.operators.tokens import token_array
@@ -22,27 +22,6 @@ from spanlake.operators.tokens import token_array
 # fixed values: special token strings
 CLS, SEP, PAD = "[CLS]", "[SEP]", "[PAD]"
 
-_SEQ_TYPE = "struct<tok:string,start:int,end:int,seg:int>"
-
-
-def _seg(arr: Column, seg) -> Column:
-    return F.transform(
-        arr,
-        lambda t: F.struct(
-            t["tok"].alias("tok"), t["start"].alias("start"), t["end"].alias("end"),
-            F.lit(seg).cast("int").alias("seg"),
-        ),
-    )
-
-
-def _specials(tok: str, n) -> Column:
-    one = F.struct(
-        F.lit(tok).alias("tok"), F.lit(None).cast("int").alias("start"),
-        F.lit(None).cast("int").alias("end"), F.lit(None).cast("int").alias("seg"),
-    )
-    return F.array_repeat(one, n)
-
-
 def window_count(n: Column, cap: Column, step: Column) -> Column:
     """1 if the context fits, else ``ceil((n - cap) / step) + 1``."""
     return F.when(n <= cap, F.lit(1)).otherwise(
@@ -60,10 +39,15 @@ def window_features(
     context_col: str = "context",
     keep: list[str] | None = None,
     pad: bool = True,
+    answer_cols: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Tokenise question and context, cut the context into overlapping windows and
     build the packed sequence of each window (G1-G5, G7, B7).
 
+    With ``answer_cols`` (start, end character columns) the answer's token bounds in
+    the whole context are computed once per example (``_S``, ``_E``) so that
+    :func:`align_span` needs no per-window scan.
+
     Output: ``id, window_no, <keep>, q_len, ctx_first, n_ctx, seq_len, ctx_start,
     ctx_end, ctx_text, tokens, seq_ids, offsets, _w``. ``ctx_text`` is the context
     between the window's first and last token, so later steps never need the whole
@@ -88,8 +72,17 @@ def window_features(
     qn = F.size("_q")
     cap = F.lit(max_length - n_special) - qn
     step = cap - F.lit(stride)
+    bounds = []
+    if answer_cols:
+        sc, ec = F.col(answer_cols[0]), F.col(answer_cols[1])
+        # offsets rise: last token starting at/before sc, first token ending at/after ec
+        bounds = [
+            (F.size(F.filter("_ctx", lambda t: t["start"] <= sc)) - 1).alias("_S"),
+            (F.size("_ctx") - F.size(F.filter("_ctx", lambda t: t["end"] >= ec))).alias("_E"),
+        ]
     sized = base.select(
         "*", qn.alias("q_len"), cap.alias("_cap"), step.alias("_step"), F.size("_ctx").alias("_n"),
+        *bounds,
     ).where(F.col("_step") > 0)
 
     def one_window(k):
@@ -114,38 +107,48 @@ def window_features(
         F.sequence(F.lit(0), window_count(F.col("_n"), F.col("_cap"), F.col("_step")) - 1), one_window
     )
     gen, keep_row = explode_rows(all_windows, "_win")
-    win = sized.select("id", *keep, "_q", "q_len", gen).where(keep_row).select(
-        "id", *keep, "_q", "q_len", "_win.*"
+    extra = ["_S", "_E"] if answer_cols else []
+    win = sized.select("id", *keep, *extra, "_q", "q_len", gen).where(keep_row).select(
+        "id", *keep, *extra, "_q", "q_len", "_win.*"
     )
-    seq = F.concat(
-        _specials(CLS, F.lit(1)),
-        _seg(F.col("_q"), 0),
-        _specials(SEP, F.lit(n_special - 2)),
-        _seg(F.col("_w"), 1),
-        _specials(SEP, F.lit(1)),
+    # Packed sequence from native array expressions (field extraction, concat, repeat):
+    # [CLS] question [SEP]*(n_special-2) window [SEP] [PAD]*
+    m = F.size("_w")
+    n_sep = n_special - 2
+    seq_len = F.col("q_len") + F.lit(n_special) + m
+    n_pad = F.greatest(F.lit(max_length) - seq_len, F.lit(0)) if pad else F.lit(0)
+    null_int = F.lit(None).cast("int")
+    null_off = F.lit(None).cast("struct<start:int,end:int>")
+    tokens = F.concat(
+        F.array(F.lit(CLS)), F.col("_q.tok"), F.array_repeat(F.lit(SEP), n_sep), F.col("_w.tok"),
+        F.array(F.lit(SEP)), F.array_repeat(F.lit(PAD), n_pad),
     )
-    win = win.select("*", seq.alias("_seq"))
-    padded = (
-        pad_array(F.col("_seq"), max_length, _specials(PAD, F.lit(1))[0]) if pad else F.col("_seq")
+    seq_ids = F.concat(
+        F.array(null_int), F.array_repeat(F.lit(0), F.col("q_len")), F.array_repeat(null_int, n_sep),
+        F.array_repeat(F.lit(1), m), F.array(null_int), F.array_repeat(null_int, n_pad),
+    )
+    offsets = F.concat(
+        F.array_repeat(null_off, F.col("q_len") + n_sep + 1),
+        F.arrays_zip(F.col("_w.start"), F.col("_w.end")).cast("array<struct<start:int,end:int>>"),
+        F.array_repeat(null_off, n_pad + 1),
     )
     return win.select(
         "id",
         "window_no",
         *keep,
+        *extra,
         "q_len",
         "ctx_first",
-        F.size("_w").alias("n_ctx"),
-        F.size("_seq").alias("seq_len"),
+        m.alias("n_ctx"),
+        seq_len.alias("seq_len"),
         "ctx_start",
         "ctx_end",
         "ctx_text",
-        let(padded, lambda s: F.struct(
-            F.transform(s, lambda t: t["tok"]).alias("tokens"),
-            F.transform(s, lambda t: t["seg"]).alias("seq_ids"),
-            mask_offsets(s).alias("offsets"),
-        )).alias("_packed"),
+        tokens.alias("tokens"),
+        seq_ids.alias("seq_ids"),
+        offsets.alias("offsets"),
         "_w",
-    ).select("*", "_packed.*").drop("_packed")
+    )
 
 
 def align_span(features: DataFrame, start_col: str = "answer_start", end_col: str = "answer_end",
@@ -164,8 +167,14 @@ def align_span(features: DataFrame, start_col: str = "answer_start", end_col: st
         sc.isNotNull() & ec.isNotNull() & (F.col("n_ctx") > 0)
         & (F.col("ctx_start") <= sc) & (F.col("ctx_end") >= ec)
     )
-    start_pos = ctx_off + F.size(F.filter(w, lambda t: t["start"] <= sc)) - 1
-    end_pos = ctx_off + F.col("n_ctx") - F.size(F.filter(w, lambda t: t["end"] >= ec))
+    if "_S" in features.columns:
+        # bounds from the whole context, clipped to the window (same as the scans)
+        a, b = F.col("ctx_first"), F.col("ctx_first") + F.col("n_ctx") - 1
+        start_pos = ctx_off + F.least(F.col("_S"), b) - a
+        end_pos = ctx_off + F.greatest(F.col("_E"), a) - a
+    else:
+        start_pos = ctx_off + F.size(F.filter(w, lambda t: t["start"] <= sc)) - 1
+        end_pos = ctx_off + F.col("n_ctx") - F.size(F.filter(w, lambda t: t["end"] >= ec))
     return features.select(
         "*",
         F.when(inside, start_pos).otherwise(F.lit(0)).alias("start_position"),

@@ -102,7 +102,8 @@ WIN_MAX_LENGTH, WIN_STRIDE = 128, 32  # driver queries: small windows so context
 def _qa_windows(spark: SparkSession, sf: str, ex: DataFrame | None = None) -> DataFrame:
     ex = ex if ex is not None else _examples(spark, sf)
     return windows.window_features(
-        ex, max_length=WIN_MAX_LENGTH, stride=WIN_STRIDE, keep=["answer_start", "answer_end"]
+        ex, max_length=WIN_MAX_LENGTH, stride=WIN_STRIDE, keep=["answer_start", "answer_end"],
+        answer_cols=("answer_start", "answer_end"),
     )
 
 

@@ -21,7 +21,8 @@ def prepare(examples: DataFrame, max_length: int = 512, stride: int = 128, n_spe
             checkpoint_features: bool = False) -> DataFrame:
     """Tokenise + window + label (the reference's preprocessing step)."""
     f = windows.window_features(
-        examples, max_length, stride, n_special, keep=["answer_start", "answer_end"]
+        examples, max_length, stride, n_special, keep=["answer_start", "answer_end"],
+        answer_cols=("answer_start", "answer_end"),
     )
     f = windows.align_span(f, n_special=n_special)
     return cut_lineage(f) if checkpoint_features else f

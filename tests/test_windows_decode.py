@@ -66,6 +66,39 @@ def test_align_span_edges(spark):
             assert " ".join(toks) in ctx
 
 
+def test_label_paths_agree(spark):
+    rnd = random.Random(2)
+    ctx = _ctx(60)
+    rows = []
+    for i in range(40):
+        a = rnd.randint(0, 59)
+        b = min(59, a + rnd.randint(0, 6))
+        s = ctx.index(f"w{a}") if a else 0
+        s = len(" ".join(f"w{k}" for k in range(a))) + (1 if a else 0)
+        e = len(" ".join(f"w{k}" for k in range(b + 1)))
+        rows.append((f"e{i}", "q x", ctx, s, e))
+    ex = _examples(spark, rows)
+    kw = dict(max_length=20, stride=5, n_special=3, keep=["answer_start", "answer_end"])
+    fast = windows.align_span(windows.window_features(ex, answer_cols=("answer_start", "answer_end"), **kw))
+    slow = windows.align_span(windows.window_features(ex, **kw))
+    cols = ["id", "window_no", "start_position", "end_position"]
+    assert sorted(map(tuple, fast.select(cols).collect())) == sorted(map(tuple, slow.select(cols).collect()))
+    for r in fast.collect():
+        if r.start_position:
+            assert r.tokens[r.start_position] == f"w{ctx[:r.answer_start].count(' ')}"
+
+
+def test_mask_offsets_function(spark):
+    from spanlake.functions.arrays import mask_offsets
+
+    df = spark.createDataFrame(
+        [([("a", 0, 1, None), ("b", 0, 1, 0), ("c", 2, 3, 1)],)],
+        "t array<struct<tok:string,start:int,end:int,seg:int>>",
+    )
+    got = df.select(mask_offsets("t")).first()[0]
+    assert got[0] is None and got[1] is None and (got[2].start, got[2].end) == (2, 3)
+
+
 def test_question_too_long_goes_to_side_output(spark):
     ex = _examples(spark, [("long", " ".join(["q"] * 20), "a b c", None, None), ("ok", "q", "a b c", None, None)])
     f = windows.window_features(ex, 16, 3, 3)
