@@ -64,10 +64,10 @@ def evaluate(preds: DataFrame, refs: DataFrame, metrics=("exact_match", "bleu"),
     rows = score_rows(pairs, metrics)
     cols = _row_metric_cols(metrics)
     sums = rows.groupBy(*by).agg(*[F.sum(c).alias(f"_s_{n}") for n, c in cols])
-    n_refs = refs.agg(F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(1))
-    joined = sums.withColumn("_k", F.lit(1)).join(F.broadcast(n_refs), "_k")  # one-row side
-    return joined.select(
-        *by, "n", *[F.try_divide(F.col(f"_s_{n}"), F.col("n").cast("double")).alias(n) for n, _ in cols]
+    n_refs = refs.agg(F.count(F.lit(1))).scalar()  # scalar subquery, evaluated once
+    return sums.select(
+        *by, n_refs.alias("n"),
+        *[F.try_divide(F.col(f"_s_{n}"), n_refs.cast("double")).alias(n) for n, _ in cols],
     )
 
 

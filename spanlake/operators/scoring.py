@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.functions.arrays import explode_rows, posexplode_rows
+from spanlake.functions.arrays import explode_rows
+from spanlake.functions.bags import let
 from spanlake.operators.tokens import token_strings
 
 MASKED = -10000.0  # fixed value: logit for positions outside the context
@@ -55,12 +56,8 @@ def idf_table(examples: DataFrame, terms: DataFrame, id_col: str = "id",
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
     )
-    n = examples.agg(F.count(F.lit(1)).alias("_N")).withColumn("_k", F.lit(1))
-    return (
-        dfreq.withColumn("_k", F.lit(1))
-        .join(F.broadcast(n), "_k")  # one-row side
-        .select("term", (F.log((F.col("_N") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    )
+    n = examples.agg(F.count(F.lit(1))).scalar()  # scalar subquery, evaluated once
+    return dfreq.select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def question_terms(examples: DataFrame, question_col: str = "question") -> DataFrame:
@@ -73,19 +70,27 @@ def lexical_hits(features: DataFrame, examples: DataFrame, id_col: str = "id",
                  context_col: str = "context") -> DataFrame:
     """``id, window_no, pos, weight`` for every context position whose token is a
     question term (the sparse form of the H3 logits)."""
+    # Hits are found inside the window's row: the question-term set is bound once per
+    # window and only matching context positions are exploded.
+    def hits_in(q):
+        marked = F.transform(
+            F.arrays_zip("tokens", "seq_ids"),
+            lambda z, i: F.struct(
+                i.alias("pos"), F.lower(z["tokens"]).alias("term"), z["seq_ids"].alias("seg")
+            ),
+        )
+        return F.filter(marked, lambda h: (h["seg"] == 1) & F.array_contains(q, h["term"]))
+
     qset = F.array_distinct(
         F.transform(
             F.filter(F.arrays_zip("tokens", "seq_ids"), lambda z: z["seq_ids"] == 0),
             lambda z: F.lower(z["tokens"]),
         )
     )
-    gen, keep = posexplode_rows(F.arrays_zip("tokens", "seq_ids"), "pos", "_z")
-    pos_rows = features.select("id", "window_no", qset.alias("_qset"), gen).where(
-        keep & (F.col("_z.seq_ids") == 1)
+    gen, keep = explode_rows(let(qset, hits_in), "_h")
+    hits = features.select("id", "window_no", gen).where(keep).select(
+        "id", "window_no", F.col("_h.pos").alias("pos"), F.col("_h.term").alias("term")
     )
-    hits = pos_rows.select(
-        "id", "window_no", "pos", F.lower("_z.tokens").alias("term"), "_qset"
-    ).where(F.array_contains("_qset", F.col("term"))).drop("_qset")
     ex = examples.withColumnRenamed(id_col, "id")
     idf = idf_table(ex, question_terms(ex), "id", context_col)
     return hits.join(idf, "term").select("id", "window_no", "pos", F.col("idf").alias("weight"))
