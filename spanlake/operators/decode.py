@@ -21,6 +21,14 @@ def attach_logits(features: DataFrame, logits: DataFrame, keys=("id", "window_no
     return features.join(logits, list(keys))
 
 
+def group_features(features: DataFrame, cols=("window_no",)) -> DataFrame:
+    """Features collected per example (E2): ``id, windows`` ordered by window number.
+    A group is bounded by one context's window count."""
+    return features.groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct(*cols))).alias("windows")
+    )
+
+
 def window_best(feat_logits: DataFrame, n_best: int = 20, max_answer_length: int = 100) -> DataFrame:
     """Best candidate of each window: ``id, window_no, best`` where ``best`` is the
     ordering key ``{score, neg_window, neg_si, neg_ei, start_char, end_char}`` (NULL

@@ -64,6 +64,10 @@ def containment_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
         .select("doc_id", "item_id")
     )
     short = items.join(item_words.select("item_id").distinct(), "item_id", "left_anti")
+    # Passages without an inner word (two tokens or less) cannot be anchored; only if
+    # any exist (one cheap look at the passage table) are they tested by ``instr``.
+    if short.limit(1).count() == 0:
+        return found
     short_found = (
         docs.select("doc_id", F.col("text").alias("d_text"))
         .join(short.select("item_id", F.col("text").alias("i_text")),

@@ -129,3 +129,31 @@ def test_best_span_against_reference_loop(spark):
         ws = [w[1:] for w in sorted(ws)]
         assert got[k] == pyref.best_span_loop(ws, 5, 4, ctx)
     assert got["c"] == ""
+
+
+def test_small_operators(spark):
+    import pandas as pd
+
+    from spanlake.functions.arrays import pad_array, skip_specials, token_span, truncate_array
+    from spanlake.functions.text import span_text
+    from spanlake.operators.scoring import map_batches
+
+    df = spark.createDataFrame([("Café au lait", ["[CLS]", "a", "b", "[SEP]", "c"])], "c string, t array<string>")
+    r = df.select(
+        span_text("c", F.lit(5), F.lit(7)).alias("s"),
+        token_span("t", F.lit(1), F.lit(2)).alias("ts"),
+        skip_specials("t", ["[CLS]", "[SEP]"]).alias("sk"),
+        pad_array(truncate_array("t", 2), 4, "[PAD]").alias("pd"),
+    ).first()
+    assert r.s == "au" and r.ts == "a b" and list(r.sk) == ["a", "b", "c"]
+    assert list(r.pd) == ["[CLS]", "a", "[PAD]", "[PAD]"]
+
+    def one_to_two(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([pdf, pdf]).assign(n=lambda x: x["id"] * 10)
+
+    out = map_batches(spark.range(3), one_to_two, "id long, n long")
+    assert sorted(r.n for r in out.collect()) == [0, 0, 10, 10, 20, 20]
+
+    feats = spark.createDataFrame([("a", 1), ("a", 0), ("b", 0)], "id string, window_no int")
+    g = {r.id: [w.window_no for w in r.windows] for r in decode.group_features(feats).collect()}
+    assert g == {"a": [0, 1], "b": [0]}
