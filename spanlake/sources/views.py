@@ -19,8 +19,32 @@ from spanlake.functions.arrays import explode_rows
 from spanlake.functions.text import WORD_CLASS
 
 
+# fixed value: partitions per core when a small source is spread out
+SPREAD_FACTOR = 4
+
+# the driver's text-heavy tables and their keys
+SPREAD_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a source stored in fewer files than the cluster has cores.
+
+    Such a source may be one parquet row group, which a scan hands to a single task, and
+    every per-row step fused into the scan (tokenising) would then run on one core. The
+    check is on the file listing (no data is read); the hash repartition by key costs a
+    shuffle of a table that small, and the key partitioning is kept by later
+    projections and explodes. A large table in many files is never repartitioned.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores * SPREAD_FACTOR, key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = SPREAD_KEYS.get(name)
+    return spread(df, key) if key else df
 
 
 def _words(col):
