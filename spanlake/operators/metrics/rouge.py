@@ -19,22 +19,35 @@ ROUGE_KEYS = ("rouge1", "rouge2", "rougeL")  # fixed value: reported keys
 
 
 def prf(hits: Column, n_pred: Column, n_ref: Column) -> Column:
-    """``struct<precision, recall, fmeasure>`` from hits and both unit counts."""
-    p = F.try_divide(hits.cast("double"), F.greatest(n_pred, F.lit(1)).cast("double"))
-    r = F.try_divide(hits.cast("double"), F.greatest(n_ref, F.lit(1)).cast("double"))
-    empty = (n_pred <= 0) | (n_ref <= 0) | (hits <= 0)
-    zero = F.lit(0.0)
-    return F.struct(
-        F.when(empty, zero).otherwise(p).alias("precision"),
-        F.when(empty, zero).otherwise(r).alias("recall"),
-        F.when(empty, zero).otherwise(F.try_divide(2 * p * r, p + r)).alias("fmeasure"),
-    )
+    """``struct<precision, recall, fmeasure>`` from hits and both unit counts (inputs
+    are bound once, so an overlap expression is never evaluated twice)."""
+
+    def body(t):
+        h, np_, nr = t["h"], t["np"], t["nr"]
+        p = F.try_divide(h.cast("double"), F.greatest(np_, F.lit(1)).cast("double"))
+        r = F.try_divide(h.cast("double"), F.greatest(nr, F.lit(1)).cast("double"))
+        empty = (np_ <= 0) | (nr <= 0) | (h <= 0)
+        zero = F.lit(0.0)
+        return let(
+            F.struct(p.alias("p"), r.alias("r"), empty.alias("e")),
+            lambda q: F.struct(
+                F.when(q["e"], zero).otherwise(q["p"]).alias("precision"),
+                F.when(q["e"], zero).otherwise(q["r"]).alias("recall"),
+                F.when(q["e"], zero)
+                .otherwise(F.try_divide(2 * q["p"] * q["r"], q["p"] + q["r"]))
+                .alias("fmeasure"),
+            ),
+        )
+
+    return let(F.struct(hits.alias("h"), n_pred.alias("np"), n_ref.alias("nr")), body)
 
 
 def rouge_n(pred: Column, ref: Column, n: int) -> Column:
     def score(p, r):
-        gp, gr = ngrams(p, n), ngrams(r, n)
-        return prf(bag_overlap(gp, gr), F.size(gp), F.size(gr))
+        return let(
+            ngrams(p, n),
+            lambda gp: let(ngrams(r, n), lambda gr: prf(bag_overlap(gp, gr), F.size(gp), F.size(gr))),
+        )
 
     return let(rouge_tokens(pred), lambda p: let(rouge_tokens(ref), lambda r: score(p, r)))
 

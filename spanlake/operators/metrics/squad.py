@@ -23,12 +23,18 @@ def pair_up(preds: DataFrame, refs: DataFrame, key: str = "id", how: str = "left
 
 
 def f1_from_counts(same: Column, n_pred: Column, n_gold: Column) -> Column:
-    """Token F1 from the overlap size and both token counts (0 when nothing matches)."""
-    prec = F.try_divide(same.cast("double"), n_pred)
-    rec = F.try_divide(same.cast("double"), n_gold)
-    return F.when(same == 0, F.lit(0.0)).otherwise(
-        F.try_divide(2 * prec * rec, prec + rec)
-    )
+    """Token F1 from the overlap size and both token counts (0 when nothing matches);
+    the overlap is bound once."""
+
+    def body(t):
+        prec = F.try_divide(t["s"].cast("double"), t["np"])
+        rec = F.try_divide(t["s"].cast("double"), t["ng"])
+        return F.when(t["s"] == 0, F.lit(0.0)).otherwise(
+            let(F.struct(prec.alias("p"), rec.alias("r")),
+                lambda q: F.try_divide(2 * q["p"] * q["r"], q["p"] + q["r"]))
+        )
+
+    return let(F.struct(same.alias("s"), n_pred.alias("np"), n_gold.alias("ng")), body)
 
 
 def squad_rows(pairs: DataFrame, gold_col: str = "answers.text") -> DataFrame:
