@@ -48,9 +48,15 @@ def strip_text(col) -> Column:
 
 def ws_split(col) -> Column:
     """Python ``str.split()``: split on whitespace runs, no empty tokens."""
-    stripped = strip_text(col)
-    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(
-        F.split(stripped, rf"[{WS_CLASS}]+", -1)
+    # bind the stripped text once (one-element transform) instead of stripping twice
+    return F.get(
+        F.transform(
+            F.array(strip_text(col)),
+            lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(
+                F.split(s, rf"[{WS_CLASS}]+", -1)
+            ),
+        ),
+        0,
     )
 
 
