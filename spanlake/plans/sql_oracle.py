@@ -607,3 +607,35 @@ FROM ov JOIN agg USING (pair_id)
 ORACLE["pair_pipeline"] = _pair_pipeline()
 
 ORACLE["stream_tokenize"] = ORACLE["tokenize_offsets"]
+
+
+def _lcs(longer: str, shorter: str) -> str:
+    """Bit-parallel LCS length in SQL: one 128-bit word per row (shorter side <= 126)."""
+    one = "CAST(1 AS HUGEINT)"
+    mask = (f"list_sum(list_transform(range(len({shorter})), lambda j: "
+            f"CASE WHEN {shorter}[j + 1] = x THEN ({one} << j) ELSE CAST(0 AS HUGEINT) END))")
+    full = f"(({one} << len({shorter})) - 1)"
+    step = f"lambda v, x: ((v + (v & {mask})) | (v & ~{mask})) & {full}"
+    return f"(len({shorter}) - bit_count(list_reduce({longer}, {step}, {full})))"
+
+
+ORACLE["rouge_l"] = RUNS + f""",
+t0 AS (SELECT run, id, {rouge_tokens('prediction_text')} AS p, {rouge_tokens('answer')} AS r FROM runs),
+t1 AS (
+  SELECT run, id, p, r,
+         CASE WHEN len(p) <= len(r) THEN p ELSE r END AS sb,
+         CASE WHEN len(p) <= len(r) THEN r ELSE p END AS la
+  FROM t0
+),
+h AS (SELECT run, id, len(p) AS np, len(r) AS nr, {_lcs('la', 'sb')} AS hits FROM t1),
+prf AS (
+  SELECT run, id,
+         CASE WHEN np = 0 OR nr = 0 OR hits = 0 THEN 0.0 ELSE CAST(hits AS DOUBLE) / np END AS pr,
+         CASE WHEN np = 0 OR nr = 0 OR hits = 0 THEN 0.0 ELSE CAST(hits AS DOUBLE) / nr END AS rc
+  FROM h
+)
+SELECT run, id, round(pr, 6) AS precision, round(rc, 6) AS recall,
+       round(CASE WHEN pr + rc = 0 THEN 0.0 ELSE 2 * pr * rc / (pr + rc) END, 6) AS fmeasure
+FROM prf
+"""
+ORACLE["rouge_l"] = "WITH " + ORACLE["rouge_l"]
