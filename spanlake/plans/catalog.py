@@ -271,6 +271,81 @@ def q_stream_tokenize(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    from spanlake.session import shared_dir
+    from spanlake.sources import files
+
+    ex = _examples(spark, sf).select("question", "answer", "answer_start", "answer_end", "context", "id")
+    path = shared_dir(spark, "examples-csv")
+    files.write_examples_csv(ex, path)
+    back = files.read_examples_csv(spark, path)
+    return back.select(
+        "question", "answer",
+        F.col("answer_start").cast("bigint").alias("answer_start"),
+        F.col("answer_end").cast("bigint").alias("answer_end"),
+        "context", "id",
+    )
+
+
+def q_json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    from spanlake.session import shared_dir
+    from spanlake.sources import files
+
+    path = shared_dir(spark, "nested-json")
+    files.write_qa_json(views.qa_nested(spark, sf), path)
+    flat = flatten_qa(files.read_qa_json(spark, path, multi_line=False))
+    return flat.select(
+        "question", "answer",
+        F.col("answer_start").cast("bigint").alias("answer_start"),
+        F.col("answer_end").cast("bigint").alias("answer_end"),
+        "context", "id",
+    )
+
+
+def q_tsv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    from spanlake.session import shared_dir
+    from spanlake.sources import files
+
+    p = views.pairs(spark, sf)
+    wide = p.select("pair_id", "conv_id", "Query", "Segment", "turn")  # more columns than kept
+    path = shared_dir(spark, "pairs-tsv")
+    files.write_pairs_tsv(wide, path)
+    return files.read_pairs_tsv(spark, path)
+
+
+def q_split_counts(spark: SparkSession, sf: str) -> DataFrame:
+    from spanlake.operators import dedup as dd
+
+    p = views.pairs(spark, sf).select("pair_id", "Query", "Segment")
+    uniq = dd.drop_all_duplicates(p, ["Query", "Segment"])
+    split = sampling.train_val_split(uniq, "pair_id", 0.10, SEED)
+    train = split.where(F.col("split") == "train").drop("rank", "split")
+    sampled = sampling.sample_exact(train, "pair_id", 100, SEED)
+    return split.agg(
+        p.agg(F.count(F.lit(1))).scalar().alias("n_pairs"),
+        F.count(F.lit(1)).alias("n_unique"),
+        F.count(F.when(F.col("split") == "train", 1)).alias("n_train"),
+        F.count(F.when(F.col("split") == "val", 1)).alias("n_val"),
+        sampled.agg(F.count(F.lit(1))).scalar().alias("n_train_sampled"),
+    )
+
+
+def q_features_per_example(spark: SparkSession, sf: str) -> DataFrame:
+    g = decode.group_features(_qa_windows(spark, sf))
+    return g.select("id", F.size("windows").cast("bigint").alias("n_windows"),
+                    F.array_join(F.col("windows.window_no").cast("array<string>"), " ").alias("window_nos"))
+
+
+def q_token_span_text(spark: SparkSession, sf: str) -> DataFrame:
+    from spanlake.functions.arrays import token_span
+
+    f = windows.align_span(_qa_windows(spark, sf)).where(F.col("start_position") > 0)
+    return f.select(
+        "id", F.col("window_no").cast("bigint").alias("window_no"),
+        token_span("tokens", F.col("start_position"), F.col("end_position")).alias("span_tokens"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_qa": q_flatten_qa,
     "squad_em_f1": q_squad_em_f1,
@@ -299,5 +374,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "span_pipeline": q_span_pipeline,
     "pair_pipeline": q_pair_pipeline,
     "stream_tokenize": q_stream_tokenize,
+    "csv_round_trip": q_csv_round_trip,
+    "json_round_trip": q_json_round_trip,
+    "tsv_round_trip": q_tsv_round_trip,
+    "split_counts": q_split_counts,
+    "features_per_example": q_features_per_example,
+    "token_span_text": q_token_span_text,
 }
 FLAGSHIP = "span_pipeline"

@@ -639,3 +639,57 @@ SELECT run, id, round(pr, 6) AS precision, round(rc, 6) AS recall,
 FROM prf
 """
 ORACLE["rouge_l"] = "WITH " + ORACLE["rouge_l"]
+
+
+ORACLE["csv_round_trip"] = ORACLE["flatten_qa"]
+ORACLE["json_round_trip"] = ORACLE["flatten_qa"]
+
+ORACLE["tsv_round_trip"] = f"""
+WITH {PAIRS}
+SELECT "Query", "Segment" FROM pairs
+"""
+
+ORACLE["split_counts"] = f"""
+WITH {PAIRS},
+uniq AS (
+  SELECT any_value(pair_id) AS pair_id FROM pairs GROUP BY "Query", "Segment" HAVING count(*) = 1
+),
+r AS (
+  SELECT pair_id, row_number() OVER (ORDER BY md5('42|' || pair_id), pair_id) AS rank, count(*) OVER () AS n
+  FROM uniq
+),
+s AS (SELECT pair_id, CASE WHEN rank <= ceil(n * 0.1) THEN 'val' ELSE 'train' END AS split FROM r)
+SELECT (SELECT count(*) FROM pairs) AS n_pairs,
+       count(*) AS n_unique,
+       count(*) FILTER (WHERE split = 'train') AS n_train,
+       count(*) FILTER (WHERE split = 'val') AS n_val,
+       least(count(*) FILTER (WHERE split = 'train'), 100) AS n_train_sampled
+FROM s
+"""
+
+ORACLE["features_per_example"] = f"""
+WITH {qa_windows(128, 32)}
+SELECT id, CAST(count(*) AS BIGINT) AS n_windows,
+       string_agg(CAST(window_no AS VARCHAR), ' ' ORDER BY window_no) AS window_nos
+FROM wins GROUP BY id
+"""
+
+ORACLE["token_span_text"] = f"""
+WITH {qa_windows(128, 32)},
+lab AS (
+  SELECT id, window_no, step, qn,
+         CASE WHEN sc IS NULL OR ec IS NULL OR n_ctx = 0 OR ctx_start > sc OR ctx_end < ec THEN 0
+              ELSE qn + 2 + n_le - 1 END AS sp,
+         CASE WHEN sc IS NULL OR ec IS NULL OR n_ctx = 0 OR ctx_start > sc OR ctx_end < ec THEN 0
+              ELSE qn + 2 + n_ctx - n_ge END AS ep
+  FROM wins
+)
+SELECT l.id, CAST(l.window_no AS BIGINT) AS window_no,
+       string_agg(t.tok, ' ' ORDER BY t.pos) AS span_tokens
+FROM lab l
+JOIN qa_examples e ON e.id = l.id
+JOIN doc_tokens t ON t.doc_id = e.doc_id
+ AND t.pos BETWEEN l.window_no * l.step + l.sp - l.qn - 2 AND l.window_no * l.step + l.ep - l.qn - 2
+WHERE l.sp > 0
+GROUP BY l.id, l.window_no
+"""

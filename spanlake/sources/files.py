@@ -30,9 +30,30 @@ EXAMPLE = T.StructType([
 ])
 
 
-def read_qa_json(spark: SparkSession, path: str) -> DataFrame:
-    """Nested QA JSON documents (A1): one file may hold one whole document."""
-    return spark.read.schema(QA_DOCUMENT).json(path, multiLine=True)
+def read_qa_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Nested QA JSON documents (A1). ``multi_line``: each file is one (pretty-printed)
+    document, as the original datasets ship; otherwise one document per line."""
+    return spark.read.schema(QA_DOCUMENT).json(path, multiLine=multi_line)
+
+
+def write_qa_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Nested documents as JSON lines, one document per line (read back with
+    ``multi_line=False``); written in parallel, one file per task."""
+    df.write.mode(mode).json(path)
+
+
+def write_pairs_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Tab-separated file with a header (the layout :func:`read_pairs_tsv` reads)."""
+    (
+        df.write.mode(mode)
+        .option("header", True)
+        .option("sep", "\t")
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def read_examples_csv(spark: SparkSession, path: str, na_as_null: bool = False) -> DataFrame:
