@@ -60,54 +60,56 @@ def idf_table(examples: DataFrame, terms: DataFrame, id_col: str = "id",
     return dfreq.select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def question_terms(examples: DataFrame, question_col: str = "question") -> DataFrame:
-    """Distinct lower-case question tokens (the only terms whose idf is needed)."""
+def question_terms(examples: DataFrame, question_col: str = "question", id_col: str = "id") -> DataFrame:
+    """``id, term``: distinct lower-case question tokens of each example."""
     gen, keep = explode_rows(F.array_distinct(F.transform(token_strings(question_col), F.lower)), "term")
-    return examples.select(gen).where(keep).distinct()
+    return examples.select(F.col(id_col).alias("id"), gen).where(keep)
 
 
-def lexical_hits(features: DataFrame, examples: DataFrame, id_col: str = "id",
-                 context_col: str = "context") -> DataFrame:
-    """``id, window_no, pos, weight`` for every context position whose token is a
-    question term (the sparse form of the H3 logits)."""
-    # Hits are found inside the window's row: the question-term set is bound once per
-    # window and only matching context positions are exploded.
-    def hits_in(q):
-        marked = F.transform(
-            F.arrays_zip("tokens", "seq_ids"),
-            lambda z, i: F.struct(
-                i.alias("pos"), F.lower(z["tokens"]).alias("term"), z["seq_ids"].alias("seg")
-            ),
-        )
-        return F.filter(marked, lambda h: (h["seg"] == 1) & F.array_contains(q, h["term"]))
-
-    qset = F.array_distinct(
-        F.transform(
-            F.filter(F.arrays_zip("tokens", "seq_ids"), lambda z: z["seq_ids"] == 0),
-            lambda z: F.lower(z["tokens"]),
-        )
+def with_question_idf(examples: DataFrame, id_col: str = "id", question_col: str = "question",
+                      context_col: str = "context") -> DataFrame:
+    """Adds ``_qidf``, a map from each question term of the example to its idf.
+
+    The map is small (one question's terms), so the later per-token lookup happens
+    inside the window rows: no join ever touches the windowed features. The idf count
+    is semi-joined to question terms before it shuffles."""
+    qt = question_terms(examples, question_col, id_col)
+    idf = idf_table(examples, qt.select("term").distinct(), id_col, context_col)
+    qmap = qt.join(idf, "term").groupBy("id").agg(
+        F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("_qidf")
     )
-    gen, keep = explode_rows(let(qset, hits_in), "_h")
-    hits = features.select("id", "window_no", gen).where(keep).select(
-        "id", "window_no", F.col("_h.pos").alias("pos"), F.col("_h.term").alias("term")
+    return examples.join(qmap.withColumnRenamed("id", id_col), id_col, "left")
+
+
+def _weights(qidf_col: str = "_qidf"):
+    """Per position: idf of a context token that is a question term, 0 for other
+    context tokens, NULL outside the context."""
+    return F.transform(
+        F.arrays_zip("tokens", "seq_ids"),
+        lambda z: F.when(
+            z["seq_ids"] == 1,
+            F.coalesce(F.try_element_at(F.col(qidf_col), F.lower(z["tokens"])), F.lit(0.0)),
+        ),
     )
-    ex = examples.withColumnRenamed(id_col, "id")
-    idf = idf_table(ex, question_terms(ex), "id", context_col)
-    return hits.join(idf, "term").select("id", "window_no", "pos", F.col("idf").alias("weight"))
 
 
-def lexical_logits(features: DataFrame, examples: DataFrame, id_col: str = "id",
-                   context_col: str = "context") -> DataFrame:
-    """Features with dense ``start_logits`` / ``end_logits`` arrays (H3)."""
-    hits = lexical_hits(features, examples, id_col, context_col)
-    sparse = hits.groupBy("id", "window_no").agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", "weight"))).alias("_wmap")
+def lexical_hits(features: DataFrame, qidf_col: str = "_qidf") -> DataFrame:
+    """``id, window_no, pos, weight`` for every context position whose token is a
+    question term (the sparse form of the H3 logits); in-row, then one explode."""
+    marked = F.filter(
+        F.transform(_weights(qidf_col), lambda w, i: F.struct(i.alias("pos"), w.alias("weight"))),
+        lambda h: h["weight"] > 0,
     )
-    f = features.join(sparse, ["id", "window_no"], "left")
+    gen, keep = explode_rows(marked, "_h")
+    return features.select("id", "window_no", gen).where(keep).select(
+        "id", "window_no", F.col("_h.pos").alias("pos"), F.col("_h.weight").alias("weight")
+    )
+
+
+def lexical_logits(features: DataFrame, qidf_col: str = "_qidf") -> DataFrame:
+    """Features with dense ``start_logits`` / ``end_logits`` arrays (H3), computed in
+    the window's row from the example's ``_qidf`` map."""
     logits = F.transform(
-        F.col("seq_ids"),
-        lambda s, i: F.when(s == 1, F.coalesce(F.try_element_at(F.col("_wmap"), i), F.lit(0.0)))
-        .otherwise(F.lit(MASKED))
-        .cast("float"),
+        _weights(qidf_col), lambda w: F.coalesce(w, F.lit(MASKED)).cast("float")
     )
-    return f.withColumn("start_logits", logits).withColumn("end_logits", F.col("start_logits")).drop("_wmap")
+    return features.withColumn("start_logits", logits).withColumn("end_logits", F.col("start_logits"))

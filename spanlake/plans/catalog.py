@@ -99,10 +99,12 @@ def q_tokenize_offsets(spark: SparkSession, sf: str) -> DataFrame:
 WIN_MAX_LENGTH, WIN_STRIDE = 128, 32  # driver queries: small windows so contexts overflow
 
 
-def _qa_windows(spark: SparkSession, sf: str, ex: DataFrame | None = None) -> DataFrame:
+def _qa_windows(spark: SparkSession, sf: str, ex: DataFrame | None = None,
+                keep: list[str] | None = None) -> DataFrame:
     ex = ex if ex is not None else _examples(spark, sf)
     return windows.window_features(
-        ex, max_length=WIN_MAX_LENGTH, stride=WIN_STRIDE, keep=["answer_start", "answer_end"],
+        ex, max_length=WIN_MAX_LENGTH, stride=WIN_STRIDE,
+        keep=["answer_start", "answer_end", *(keep or [])],
         answer_cols=("answer_start", "answer_end"),
     )
 
@@ -239,8 +241,8 @@ def q_decode_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_lexical_score(spark: SparkSession, sf: str) -> DataFrame:
-    ex = _examples(spark, sf)
-    h = scoring.lexical_hits(_qa_windows(spark, sf, ex), ex)
+    ex = scoring.with_question_idf(_examples(spark, sf))
+    h = scoring.lexical_hits(_qa_windows(spark, sf, ex, keep=["_qidf"]))
     return h.select("id", F.col("window_no").cast("bigint").alias("window_no"),
                     F.col("pos").cast("bigint").alias("pos"), _round(F.col("weight")).alias("weight"))
 

@@ -18,24 +18,26 @@ from spanlake.session import cut_lineage
 
 
 def prepare(examples: DataFrame, max_length: int = 512, stride: int = 128, n_special: int = 3,
-            checkpoint_features: bool = False) -> DataFrame:
+            checkpoint_features: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Tokenise + window + label (the reference's preprocessing step)."""
     f = windows.window_features(
-        examples, max_length, stride, n_special, keep=["answer_start", "answer_end"],
+        examples, max_length, stride, n_special, keep=["answer_start", "answer_end", *(keep or [])],
         answer_cols=("answer_start", "answer_end"),
     )
     f = windows.align_span(f, n_special=n_special)
     return cut_lineage(f) if checkpoint_features else f
 
 
-def predict(examples: DataFrame, features: DataFrame, n_best: int = 20,
+def predict(examples: DataFrame, max_length: int = 512, stride: int = 128, n_best: int = 20,
             max_answer_length: int = 100, logits: DataFrame | None = None) -> DataFrame:
     """Best span per example; ``logits`` (id, window_no, start_logits, end_logits) from a
-    model if given (joined by key), else the built-in lexical scorer."""
+    model if given (joined to the windows by key), else the built-in lexical scorer,
+    whose small per-example idf map is joined to the examples before windowing."""
     if logits is None:
-        fl = scoring.lexical_logits(features, examples)
+        feats = prepare(scoring.with_question_idf(examples), max_length, stride, keep=["_qidf"])
+        fl = scoring.lexical_logits(feats)
     else:
-        fl = decode.attach_logits(features, logits)
+        fl = decode.attach_logits(prepare(examples, max_length, stride), logits)
     return decode.best_span(examples, fl, n_best, max_answer_length)
 
 
@@ -43,8 +45,7 @@ def span_pipeline(examples: DataFrame, max_length: int = 512, stride: int = 128,
                   n_best: int = 20, max_answer_length: int = 100,
                   logits: DataFrame | None = None) -> DataFrame:
     """Per-example ``id, prediction_text, em, f1`` (scored against the example's answer)."""
-    feats = prepare(examples, max_length, stride)
-    preds = predict(examples, feats, n_best, max_answer_length, logits)
+    preds = predict(examples, max_length, stride, n_best, max_answer_length, logits)
     refs = examples.select("id", F.array("answer").alias("golds"))
     rows = squad.squad_rows(preds.join(refs, "id"), gold_col="golds")
     return rows.select("id", "prediction_text", "em", "f1")
@@ -52,8 +53,8 @@ def span_pipeline(examples: DataFrame, max_length: int = 512, stride: int = 128,
 
 def span_report(examples: DataFrame, **kw) -> DataFrame:
     """One row: EM, F1, BLEU, SacreBLEU of the span pipeline over all examples."""
-    feats = prepare(examples, kw.get("max_length", 512), kw.get("stride", 128))
-    preds = predict(examples, feats, kw.get("n_best", 20), kw.get("max_answer_length", 100))
+    preds = predict(examples, kw.get("max_length", 512), kw.get("stride", 128),
+                    kw.get("n_best", 20), kw.get("max_answer_length", 100))
     refs = examples.select(
         "id", F.struct(F.array("answer").alias("text"), F.array("answer_start").alias("answer_start")).alias("answers")
     )
