@@ -37,18 +37,37 @@ def build_vocab(texts: DataFrame, cols: list[str]) -> DataFrame:
     return ranked.select("tok", "cnt", (F.col("_r") - 1 + len(SPECIALS)).cast("int").alias("id"))
 
 
-def encode_ids(df: DataFrame, key: str, col: str, vocab: DataFrame, out: str) -> DataFrame:
-    """``key, out`` with the vocabulary ids of ``col``'s tokens (unknown -> UNK)."""
-    gen, keep = posexplode_rows(token_strings(col), "pos", "tok")
-    rows = df.select(key, gen).where(keep)
+def encode_columns(df: DataFrame, key: str, cols: list[str], vocab: DataFrame) -> DataFrame:
+    """``key, <col>_ids...``: vocabulary ids of each column's tokens (unknown -> UNK).
+
+    One explode over all columns, one vocabulary join, one regroup by key. Rows whose
+    columns have no token still get empty arrays: their keys join the regroup as a
+    union (no join back to the input)."""
+    sides = F.array(*[
+        F.struct(F.lit(i).alias("side"), token_strings(c).alias("toks")) for i, c in enumerate(cols)
+    ])
+    gen, keep = explode_rows(sides, "_s")
+    per_side = df.select(key, gen).where(keep).select(key, "_s.side", "_s.toks")
+    gen, keep = posexplode_rows("toks", "pos", "tok")
+    rows = per_side.select(key, "side", gen).where(keep)
     ids = rows.join(vocab.select("tok", "id"), "tok", "left").select(
-        key, "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")
-    )
-    grouped = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p"))
-    base = df.select(key).join(grouped, key, "left")
-    return base.select(
-        key, F.coalesce(F.transform("_p", lambda x: x["id"]), F.array().cast("array<int>")).alias(out)
+        key, "side", "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")
     )
+    keys = df.select(key, F.lit(None).cast("int").alias("side"), F.lit(None).cast("int").alias("pos"),
+                     F.lit(None).cast("int").alias("id"))
+    entry = F.struct("pos", "id")
+    grouped = ids.unionByName(keys).groupBy(key).agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("side") == i, entry))).alias(f"_p{i}")
+        for i in range(len(cols))
+    ])
+    return grouped.select(key, *[
+        F.transform(f"_p{i}", lambda x: x["id"]).alias(f"{c}_ids") for i, c in enumerate(cols)
+    ])
+
+
+def encode_ids(df: DataFrame, key: str, col: str, vocab: DataFrame, out: str) -> DataFrame:
+    """``key, out`` with the vocabulary ids of ``col``'s tokens (unknown -> UNK)."""
+    return encode_columns(df, key, [col], vocab).withColumnRenamed(f"{col}_ids", out)
 
 
 def frame(ids, max_len: int | None):
@@ -61,10 +80,8 @@ def encode_pairs(pairs: DataFrame, vocab: DataFrame, key: str = "pair_id", max_l
                  pad: bool = True, src: str = "Query", tgt: str = "Segment") -> DataFrame:
     """``key, input_ids, attention_mask, labels`` (G9): truncate and pad both sides
     to ``max_len``; mask is 1 on real tokens."""
-    q = encode_ids(pairs, key, src, vocab, "_q")
-    s = encode_ids(pairs, key, tgt, vocab, "_s")
-    j = q.join(s, key)
-    inp, lab = frame(F.col("_q"), max_len), frame(F.col("_s"), max_len)
+    j = encode_columns(pairs, key, [src, tgt], vocab)
+    inp, lab = frame(F.col(f"{src}_ids"), max_len), frame(F.col(f"{tgt}_ids"), max_len)
     out = j.select(key, inp.alias("input_ids"), lab.alias("labels"))
     out = out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
     if pad and max_len:
@@ -103,9 +120,10 @@ def decode(df: DataFrame, key: str, ids_col: str, vocab: DataFrame, out: str = "
     named = rows.join(vocab.select("id", "tok"), "id", "left").select(
         key, "pos", F.coalesce("tok", F.lit(SPECIALS[UNK_ID])).alias("tok")
     )
-    grouped = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("_p"))
-    base = df.select(key).join(grouped, key, "left")
-    return base.select(
+    keys = df.select(key, F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("tok"))
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "tok"))
+    grouped = named.unionByName(keys).groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
+    return grouped.select(
         key, F.coalesce(F.array_join(F.transform("_p", lambda x: x["tok"]), " "), F.lit("")).alias(out)
     )
 
