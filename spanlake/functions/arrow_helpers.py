@@ -1,7 +1,9 @@
 """Vectorised Arrow helpers for the two things built-in SQL cannot do in linear time
-inside a row: running sums over an array and the longest common subsequence.
+inside a row: token offsets (a running sum over each row's piece lengths) and the
+longest common subsequence.
 
-Both work on whole Arrow batches (no per-row pandas objects for the running sum).
+The offsets work on whole Arrow batches at once (one running sum per batch, no per-row
+Python objects); the LCS is a bit-parallel loop per row over Arrow-batched input.
 """
 
 from __future__ import annotations
@@ -14,23 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _row_cumsum_batch(lists: pa.Array) -> pa.Array:
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.combine_chunks()
-    offsets = np.asarray(lists.offsets, dtype=np.int64)
-    offsets = offsets - offsets[0]
-    values = np.asarray(lists.flatten().fill_null(0), dtype=np.int64)
-    total = np.concatenate(([0], np.cumsum(values)))
-    lengths = np.diff(offsets)
-    base = total[offsets[:-1]]
-    out = total[1:] - np.repeat(base, lengths)
-    return pa.ListArray.from_arrays(
-        pa.array(offsets, type=pa.int32()),
-        pa.array(out, type=pa.int32()),
-        mask=lists.is_null(),
-    )
-
-
 # Python's whitespace set (what str.split()/strip() remove), derived by rule; the same
 # characters as ``text.WS_CLASS``.
 WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -71,12 +56,6 @@ def pieces_to_tokens(pieces: pa.Array) -> pa.Array:
     return _pieces_batch(pieces)
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def row_cumsum(lists: pa.Array) -> pa.Array:
-    """Inclusive running sum of each row's int array."""
-    return _row_cumsum_batch(lists)
-
-
 def lcs_length(a, b) -> int:
     """Length of the longest common subsequence of two token lists (bit-parallel)."""
     if not a or not b:

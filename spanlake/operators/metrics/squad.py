@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.bags import bag_overlap, let
-from spanlake.functions.text import squad_normalize, squad_tokens
+from spanlake.functions.text import squad_tokens
 
 
 def pair_up(preds: DataFrame, refs: DataFrame, key: str = "id", how: str = "left") -> DataFrame:

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.arrays import explode_rows
-from spanlake.functions.bags import let
 from spanlake.operators.tokens import token_strings
 
 MASKED = -10000.0  # fixed value: logit for positions outside the context

@@ -112,3 +112,19 @@ def test_corpus_bleu_and_evaluate(spark):
     want = sum(pyref.squad_em(p, r) for i, (p, r) in enumerate(data) if i % 2 == 0) / len(data) * 100
     assert ev.exact_match == pytest.approx(want)
     assert ev.n == len(data)
+
+
+def test_pair_up_and_span_report(spark):
+    from spanlake.plans import span as span_plan
+
+    refs = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, answer string")
+    preds = spark.createDataFrame([("a", "x")], "id string, prediction_text string")
+    paired = {r.id: r.prediction_text for r in squad.pair_up(preds, refs).collect()}
+    assert paired == {"a": "x", "b": ""}
+
+    ex = spark.createDataFrame(
+        [("e1", "Where is the cat?", "The cat is on the mat. Dogs run.", 0, 22, "The cat is on the mat.")],
+        "id string, question string, context string, answer_start int, answer_end int, answer string",
+    )
+    rep = span_plan.span_report(ex, max_length=32, stride=8).first()
+    assert rep.n == 1 and 0.0 <= rep.f1 <= 100.0
