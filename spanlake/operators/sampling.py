@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_DIGITS = 3  # 4,096 buckets; raise for larger tables (16**digits rows of offsets)
+DEFAULT_DIGITS = 4  # 65,536 buckets: ~1.5M rows per bucket at 1e11 rows; offsets <= 65,536 rows
 
 
 def hash_key(key_cols: list[str], seed: int) -> Column:
