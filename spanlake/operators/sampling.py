@@ -58,7 +58,8 @@ def global_rank(
 
 def shuffle(df: DataFrame, key: str | list[str], seed: int = 42, digits: int = DEFAULT_DIGITS,
             rank_col: str = "rank", with_total: bool = False) -> DataFrame:
-    """Seeded full permutation (F1): adds ``rank`` (1..n); order by it to shuffle."""
+    """Seeded full permutation (F1): adds ``rank`` (1..n); order by it to shuffle.
+    ``key`` should be unique (an id): equal keys share a hash and a bucket."""
     keys = [key] if isinstance(key, str) else list(key)
     h = hash_key(keys, seed)
     df = df.withColumn("_h", h)
