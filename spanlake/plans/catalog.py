@@ -1,7 +1,8 @@
 """Registered queries: name -> callable(spark, sf_dir) -> DataFrame.
 
-Each one reads the driver's tables (whole tables) and has, where SQL can express it,
-a DuckDB twin in ``sql_oracle.ORACLE`` with identical column names.
+Each one reads the driver's tables (whole tables, or tables Spark derives from them)
+and has a DuckDB twin in ``sql_oracle.ORACLE`` with identical column names. Integer
+outputs are cast to bigint and doubles rounded to 6 places on both sides.
 """
 
 from __future__ import annotations
@@ -11,21 +12,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.operators import dedup, sampling
+from spanlake.functions.arrays import top_n_indices
+from spanlake.operators import decode, dedup, encode, sampling, scoring, windows
 from spanlake.operators.flatten import flatten_qa
+from spanlake.operators.metrics import bleu, registry, rouge, squad
 from spanlake.operators.tokens import tokenize_offsets
-from spanlake.operators import decode, encode, scoring, windows
 from spanlake.plans import pairs as pair_plan
 from spanlake.plans import span as span_plan
-from spanlake.functions.arrays import top_n_indices
-from spanlake.operators.metrics import bleu, registry, rouge, squad
 from spanlake.session import cut_lineage
 from spanlake.sources import views
 
+SEED = 42  # fixed value: seed of every shuffle, sample and split in the queries
+
 
 def _examples(spark: SparkSession, sf: str) -> DataFrame:
-    """QA examples, materialised once per query (reliable checkpoint into the shared
-    folder): the containment join behind them feeds several branches of a plan."""
+    """QA examples, materialised once per query (parquet written into the shared
+    checkpoint folder): the containment join behind them feeds several branches."""
     return cut_lineage(views.qa_examples(spark, sf))
 
 
@@ -53,9 +55,6 @@ def q_squad_em_f1(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("run", "id", "em", _round(F.col("f1")).alias("f1"))
 
 
-SEED = 42
-
-
 def q_drop_all_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     docs = views.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
     out = dedup.drop_all_duplicates(docs, ["text"])
