@@ -123,18 +123,25 @@ def qa_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# fixed value: at most this many questions are folded into one paragraph
+QAS_PER_PARAGRAPH = 8
+
+
 def qa_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The examples folded back into the nested document shape (M1): one row per
-    document, one paragraph (the document), its questions as ``qas``."""
+    paragraph (the document) holding its questions as ``qas``.
+
+    Questions of one document are grouped by ``item_id div 8``, so every collected
+    group holds at most 8 questions by construction -- a document that contains a large
+    share of all passages becomes several paragraphs, never one unbounded row."""
     ex = qa_examples(spark, sf_dir)
     qa = F.struct(
         F.col("question"),
         F.col("id"),
         F.array(F.struct(F.col("answer").alias("text"), F.col("answer_start"))).alias("answers"),
     )
-    para = (
-        ex.groupBy("doc_id")
-        .agg(F.any_value("context").alias("context"), F.collect_list(qa).alias("qas"))
+    para = ex.groupBy("doc_id", F.floor(F.col("item_id") / QAS_PER_PARAGRAPH).alias("_part")).agg(
+        F.any_value("context").alias("context"), F.collect_list(qa).alias("qas")
     )
     return para.select(
         F.array(
