@@ -23,14 +23,15 @@ LABEL_PAD = -100
 def build_vocab(texts: DataFrame, cols: list[str]) -> DataFrame:
     """``tok, cnt, id`` over all tokens of ``cols``; ids after the specials, by count
     (desc) then token. Counting is partially pre-aggregated; the rank is exact and
-    distributed (buckets = (count, first character), monotone in the order)."""
+    distributed: buckets are (count, first three characters), a prefix of the order,
+    so even the count-1 tokens are split across many buckets."""
     gen, keep = explode_rows(F.flatten(F.array(*[token_strings(c) for c in cols])), "tok")
     toks = texts.select(gen).where(keep)
     counts = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("cnt"))
     ranked = global_rank(
         counts,
         [F.col("cnt").desc(), F.col("tok")],
-        F.struct((-F.col("cnt")).alias("c"), F.substring("tok", 1, 1).alias("f")),
+        F.struct((-F.col("cnt")).alias("c"), F.substring("tok", 1, 3).alias("f")),
         rank_col="_r",
         broadcast_offsets=False,
     )
