@@ -1 +1 @@
-"""End-to-end plans (span pipeline, pair pipeline) and the registered query catalog."""
+"""End-to-end plans (span task, pair task) and the registered query catalog."""

@@ -246,14 +246,14 @@ def q_lexical_score(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("pos").cast("bigint").alias("pos"), _round(F.col("weight")).alias("weight"))
 
 
-def q_span_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+def q_span_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     ex = _examples(spark, sf)
-    r = span_plan.span_pipeline(ex)
+    r = span_plan.run_span_task(ex)
     return r.select("id", "prediction_text", "em", _round(F.col("f1")).alias("f1"))
 
 
-def q_pair_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    r = pair_plan.pair_pipeline(views.pairs(spark, sf), k_val=1000, seed=SEED)
+def q_pair_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
+    r = pair_plan.run_pair_task(views.pairs(spark, sf), k_val=1000, seed=SEED)
     return r.select("pair_id", "prediction_text", "em", _round(F.col("f1")).alias("f1"),
                     _round(F.col("bleu")).alias("bleu"))
 
@@ -372,8 +372,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batch_pad": q_batch_pad,
     "decode_text": q_decode_text,
     "lexical_score": q_lexical_score,
-    "span_pipeline": q_span_pipeline,
-    "pair_pipeline": q_pair_pipeline,
+    "span_end_to_end": q_span_end_to_end,
+    "pair_end_to_end": q_pair_end_to_end,
     "stream_tokenize": q_stream_tokenize,
     "csv_round_trip": q_csv_round_trip,
     "json_round_trip": q_json_round_trip,
@@ -382,4 +382,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "features_per_example": q_features_per_example,
     "token_span_text": q_token_span_text,
 }
-FLAGSHIP = "span_pipeline"
+FLAGSHIP = "span_end_to_end"

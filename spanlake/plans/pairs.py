@@ -30,7 +30,7 @@ def echo_labels_scorer():
     return run
 
 
-def pair_pipeline(pairs: DataFrame, val_fraction: float = 0.10, k_val: int = 1000,
+def run_pair_task(pairs: DataFrame, val_fraction: float = 0.10, k_val: int = 1000,
                   max_len: int = 64, seed: int = 42, scorer_factory=echo_labels_scorer) -> DataFrame:
     """Per validation pair: ``pair_id, prediction_text, em, f1, bleu``."""
     uniq = dedup.drop_all_duplicates(pairs.select("pair_id", "Query", "Segment"), ["Query", "Segment"])

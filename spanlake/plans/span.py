@@ -41,7 +41,7 @@ def predict(examples: DataFrame, max_length: int = 512, stride: int = 128, n_bes
     return decode.best_span(examples, fl, n_best, max_answer_length)
 
 
-def span_pipeline(examples: DataFrame, max_length: int = 512, stride: int = 128,
+def run_span_task(examples: DataFrame, max_length: int = 512, stride: int = 128,
                   n_best: int = 20, max_answer_length: int = 100,
                   logits: DataFrame | None = None) -> DataFrame:
     """Per-example ``id, prediction_text, em, f1`` (scored against the example's answer)."""
@@ -52,7 +52,7 @@ def span_pipeline(examples: DataFrame, max_length: int = 512, stride: int = 128,
 
 
 def span_report(examples: DataFrame, **kw) -> DataFrame:
-    """One row: EM, F1, BLEU, SacreBLEU of the span pipeline over all examples."""
+    """One row: EM, F1, BLEU, SacreBLEU of the span task over all examples."""
     preds = predict(examples, kw.get("max_length", 512), kw.get("stride", 128),
                     kw.get("n_best", 20), kw.get("max_answer_length", 100))
     refs = examples.select(

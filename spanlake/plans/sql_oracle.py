@@ -513,7 +513,7 @@ FROM hits
 """
 
 
-def _span_pipeline() -> str:
+def _span_end_to_end() -> str:
     return f"""
 WITH {lexical(512, 128)},
 posn AS (
@@ -556,10 +556,10 @@ FROM ov
 """
 
 
-ORACLE["span_pipeline"] = _span_pipeline()
+ORACLE["span_end_to_end"] = _span_end_to_end()
 
 
-def _pair_pipeline() -> str:
+def _pair_end_to_end() -> str:
     return f"""
 WITH {PAIRS},
 uniq AS (
@@ -604,7 +604,7 @@ FROM ov JOIN agg USING (pair_id)
 """
 
 
-ORACLE["pair_pipeline"] = _pair_pipeline()
+ORACLE["pair_end_to_end"] = _pair_end_to_end()
 
 ORACLE["stream_tokenize"] = ORACLE["tokenize_offsets"]
 
