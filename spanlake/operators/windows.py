@@ -48,8 +48,9 @@ def window_features(
     the whole context are computed once per example (``_S``, ``_E``) so that
     :func:`align_span` needs no per-window scan.
 
-    Output: ``id, window_no, <keep>, q_len, ctx_first, n_ctx, seq_len, ctx_start,
-    ctx_end, ctx_text, tokens, seq_ids, offsets, _w``. ``ctx_text`` is the context
+    Output: ``id, window_no, <keep>, q_len, ctx_first, n_ctx, seq_len,
+    ctx_index_first, ctx_index_last, ctx_start, ctx_end, ctx_text, tokens, seq_ids,
+    offsets, _w``. ``ctx_text`` is the context
     between the window's first and last token, so later steps never need the whole
     context again. All window slices are cut inside the example's row before the
     explode: the explode carries only one window each, never the whole document.
@@ -141,6 +142,9 @@ def window_features(
         "ctx_first",
         m.alias("n_ctx"),
         seq_len.alias("seq_len"),
+        # first / last context position in the packed sequence
+        (F.col("q_len") + F.lit(n_special - 1)).alias("ctx_index_first"),
+        (F.col("q_len") + F.lit(n_special - 2) + m).alias("ctx_index_last"),
         "ctx_start",
         "ctx_end",
         "ctx_text",

@@ -35,6 +35,9 @@ def test_window_counts_and_coverage(spark, n):
         covered.update(range(r.ctx_first, r.ctx_first + r.n_ctx))
         masked = [o for o, s in zip(r.offsets, r.seq_ids) if s != 1]
         assert all(o is None for o in masked)
+        ctx_idx = [k for k, s in enumerate(r.seq_ids) if s == 1]
+        if ctx_idx:
+            assert (r.ctx_index_first, r.ctx_index_last) == (ctx_idx[0], ctx_idx[-1])
     assert covered == set(range(n))
 
 
