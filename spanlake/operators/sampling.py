@@ -73,18 +73,29 @@ def shuffle(df: DataFrame, key: str | list[str], seed: int = 42, digits: int = D
     return out.drop("_h")
 
 
+TOPK_MAX = 100_000  # samples up to this size use a top-k instead of ranking every row
+
+
 def sample_exact(df: DataFrame, key: str | list[str], k: int, seed: int = 42,
                  strict: bool = False) -> DataFrame:
     """The first ``k`` rows of the seeded permutation (F2), with their rank.
 
+    Up to ``TOPK_MAX`` rows this is a top-k (each task keeps its best ``k`` by the hash,
+    one merge of at most ``k`` rows per task, no shuffle of the data) and the ``k``
+    survivors are ranked; larger samples filter the distributed rank.
     ``strict=True`` fails like the reference's ``select(range(k))`` when k > n (this
     costs one count)."""
-    ranked = shuffle(df, key, seed)
     if strict:
         n = df.count()
         if k > n:
             raise IndexError(f"sample of {k} rows asked from {n} rows")
-    return ranked.where(F.col("rank") <= k)
+    if k > TOPK_MAX:
+        return shuffle(df, key, seed).where(F.col("rank") <= k)
+    keys = [key] if isinstance(key, str) else list(key)
+    order = [F.col("_h")] + [F.col(c) for c in keys]
+    top = df.withColumn("_h", hash_key(keys, seed)).orderBy(*order).limit(k)
+    # at most k (bounded) rows remain, so one ordered window over them is fine
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).drop("_h")
 
 
 def train_val_split(df: DataFrame, key: str | list[str], val_fraction: float = 0.10,

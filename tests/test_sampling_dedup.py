@@ -63,3 +63,11 @@ def test_drop_all_duplicates_matches_pandas(spark):
     assert got == want
     whole = dedup.drop_all_duplicates(df.select("q", "s")).count()
     assert whole == len(pdf[["q", "s"]].drop_duplicates(keep=False))
+
+
+def test_sample_paths_agree(spark, monkeypatch):
+    df = _ids(spark, 200, 6)
+    topk = sorted(tuple(r) for r in sampling.sample_exact(df, "k", 37, seed=9).collect())
+    monkeypatch.setattr(sampling, "TOPK_MAX", 10)
+    ranked = sorted(tuple(r) for r in sampling.sample_exact(df, "k", 37, seed=9).select("k", "rank").collect())
+    assert topk == ranked
