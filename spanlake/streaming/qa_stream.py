@@ -23,14 +23,16 @@ def qa_json_stream(spark: SparkSession, src_dir: str) -> DataFrame:
     return strip_questions(flatten_qa(raw))
 
 
-def parquet_table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of the driver's folder as a file stream (schema from its footer)."""
+def parquet_table_stream(spark: SparkSession, sf_dir: str, name: str,
+                         files_per_batch: int = 1000) -> DataFrame:
+    """One table of the driver's folder as a file stream (schema from its footer);
+    ``files_per_batch`` bounds each micro-batch."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", 1)
+        .option("maxFilesPerTrigger", files_per_batch)
         .parquet(sf_dir)
     )
 
