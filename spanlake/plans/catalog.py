@@ -213,8 +213,9 @@ def q_build_vocab(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pair_vocab(spark: SparkSession, sf: str):
-    p = views.pairs(spark, sf)
-    return p, encode.build_vocab(p, ["Query", "Segment"])
+    """Pairs and their vocabulary, each written once (both feed several branches)."""
+    p = cut_lineage(views.pairs(spark, sf), "pairs")
+    return p, cut_lineage(encode.build_vocab(p, ["Query", "Segment"]), "pairs-vocab")
 
 
 def q_encode_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -317,9 +318,9 @@ def q_tsv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 def q_split_counts(spark: SparkSession, sf: str) -> DataFrame:
     from spanlake.operators import dedup as dd
 
-    p = views.pairs(spark, sf).select("pair_id", "Query", "Segment")
+    p = cut_lineage(views.pairs(spark, sf).select("pair_id", "Query", "Segment"), "pairs")
     uniq = dd.drop_all_duplicates(p, ["Query", "Segment"])
-    split = sampling.train_val_split(uniq, "pair_id", 0.10, SEED)
+    split = cut_lineage(sampling.train_val_split(uniq, "pair_id", 0.10, SEED), "pairs-split")
     train = split.where(F.col("split") == "train").drop("rank", "split")
     sampled = sampling.sample_exact(train, "pair_id", 100, SEED)
     return split.agg(

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from spanlake.operators import dedup, encode, sampling, scoring
 from spanlake.operators.metrics import bleu, squad
+from spanlake.session import cut_lineage
 
 _GEN_SCHEMA = T.StructType(
     [T.StructField("pair_id", T.StringType()), T.StructField("pred_ids", T.ArrayType(T.IntegerType()))]
@@ -31,13 +32,22 @@ def echo_labels_scorer():
 
 
 def run_pair_task(pairs: DataFrame, val_fraction: float = 0.10, k_val: int = 1000,
-                  max_len: int = 64, seed: int = 42, scorer_factory=echo_labels_scorer) -> DataFrame:
-    """Per validation pair: ``pair_id, prediction_text, em, f1, bleu``."""
-    uniq = dedup.drop_all_duplicates(pairs.select("pair_id", "Query", "Segment"), ["Query", "Segment"])
-    split = sampling.train_val_split(uniq, "pair_id", val_fraction, seed)
+                  max_len: int = 64, seed: int = 42, scorer_factory=echo_labels_scorer,
+                  materialize: bool = True) -> DataFrame:
+    """Per validation pair: ``pair_id, prediction_text, em, f1, bleu``.
+
+    ``materialize`` writes the tables that feed several branches (the de-duplicated
+    pairs, the split, the vocabulary) into the shared folder once: Spark re-runs a
+    shared subtree per branch when the branches prune different columns."""
+    keep = cut_lineage if materialize else (lambda d, name=None: d)
+    uniq = keep(
+        dedup.drop_all_duplicates(pairs.select("pair_id", "Query", "Segment"), ["Query", "Segment"]),
+        "pairs-unique",
+    )
+    split = keep(sampling.train_val_split(uniq, "pair_id", val_fraction, seed), "pairs-split")
     val = split.where(F.col("split") == "val")
     val = sampling.sample_exact(val.drop("rank", "split"), "pair_id", k_val, seed)
-    vocab = encode.build_vocab(uniq, ["Query", "Segment"])
+    vocab = keep(encode.build_vocab(uniq, ["Query", "Segment"]), "pairs-vocab")
     enc = encode.encode_pairs(val, vocab, "pair_id", max_len)
     gen = scoring.score(enc.select("pair_id", "labels"), scorer_factory, _GEN_SCHEMA)
     text = encode.decode(gen, "pair_id", "pred_ids", vocab, out="prediction_text")
