@@ -83,3 +83,23 @@ def test_stream_flatten(spark):
     got = spark.read.parquet(path)
     assert got.count() == 3
     assert got.where("id = 'q1'").first().question == "What is it?"
+
+
+def test_stream_windows_and_labels(spark):
+    from spanlake.operators import windows
+
+    src = _write_json(NESTED)
+    stream = qa_stream.qa_json_stream(spark, src)
+    feats = windows.align_span(
+        windows.window_features(stream, 16, 4, 3, keep=["answer_start", "answer_end"],
+                                answer_cols=("answer_start", "answer_end"))
+    ).select("id", "window_no", "start_position", "end_position", "ctx_text")
+    path = qa_stream.run_to_parquet(feats, "test-stream-windows")
+    got = spark.read.parquet(path)
+    static = windows.align_span(
+        windows.window_features(
+            strip_questions(flatten_qa(files.read_qa_json(spark, src))), 16, 4, 3,
+            keep=["answer_start", "answer_end"], answer_cols=("answer_start", "answer_end"),
+        )
+    ).select("id", "window_no", "start_position", "end_position", "ctx_text")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, static.collect()))
