@@ -17,6 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_DIGITS = 4  # 65,536 buckets: ~1.5M rows per bucket at 1e11 rows; offsets <= 65,536 rows
 
@@ -56,16 +57,26 @@ def global_rank(
     return ranked.drop(*drop)
 
 
+def _tie_breakers(df: DataFrame, keys: list[str]) -> list:
+    """The other orderable columns: with a repeated key the order stays total up to
+    fully identical (interchangeable) rows, so recomputation gives the same result."""
+    return [
+        F.col(f.name) for f in df.schema.fields
+        if f.name not in keys and f.name != "_h" and not isinstance(f.dataType, T.MapType)
+    ]
+
+
 def shuffle(df: DataFrame, key: str | list[str], seed: int = 42, digits: int = DEFAULT_DIGITS,
             rank_col: str = "rank", with_total: bool = False) -> DataFrame:
     """Seeded full permutation (F1): adds ``rank`` (1..n); order by it to shuffle.
-    ``key`` should be unique (an id): equal keys share a hash and a bucket."""
+    ``key`` should be unique (an id): equal keys share a hash and a bucket (ties are
+    broken by the other columns)."""
     keys = [key] if isinstance(key, str) else list(key)
     h = hash_key(keys, seed)
     df = df.withColumn("_h", h)
     out = global_rank(
         df,
-        [F.col("_h")] + [F.col(k) for k in keys],
+        [F.col("_h")] + [F.col(k) for k in keys] + _tie_breakers(df, keys),
         F.substring(F.col("_h"), 1, digits),
         rank_col=rank_col,
         with_total=with_total,
@@ -92,7 +103,7 @@ def sample_exact(df: DataFrame, key: str | list[str], k: int, seed: int = 42,
     if k > TOPK_MAX:
         return shuffle(df, key, seed).where(F.col("rank") <= k)
     keys = [key] if isinstance(key, str) else list(key)
-    order = [F.col("_h")] + [F.col(c) for c in keys]
+    order = [F.col("_h")] + [F.col(c) for c in keys] + _tie_breakers(df, keys)
     top = df.withColumn("_h", hash_key(keys, seed)).orderBy(*order).limit(k)
     # at most k (bounded) rows remain, so one ordered window over them is fine
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).drop("_h")

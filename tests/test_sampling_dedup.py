@@ -71,3 +71,15 @@ def test_sample_paths_agree(spark, monkeypatch):
     monkeypatch.setattr(sampling, "TOPK_MAX", 10)
     ranked = sorted(tuple(r) for r in sampling.sample_exact(df, "k", 37, seed=9).select("k", "rank").collect())
     assert topk == ranked
+
+
+def test_repeated_keys_are_deterministic(spark):
+    rows = [(k % 5, f"v{k}") for k in range(60)]  # each key 12 times, values differ
+    a = spark.createDataFrame(rows, "k long, v string").repartition(1)
+    b = spark.createDataFrame(list(reversed(rows)), "k long, v string").repartition(7)
+    ra = sorted(tuple(r) for r in sampling.shuffle(a, "k", 3).collect())
+    rb = sorted(tuple(r) for r in sampling.shuffle(b, "k", 3).collect())
+    assert ra == rb
+    sa = sorted(tuple(r) for r in sampling.sample_exact(a, "k", 17, 3).collect())
+    sb = sorted(tuple(r) for r in sampling.sample_exact(b, "k", 17, 3).collect())
+    assert sa == sb
