@@ -8,6 +8,8 @@ strategies, coalesced partitions). Used to review shuffles, broadcasts and pruni
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
 import sys
 
@@ -20,8 +22,10 @@ def explain_queries(spark, sf_dir: str, out_dir: str, names: list[str]) -> list[
     for name in names:
         df = QUERIES[name](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
-        plan = df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-        text = df._jdf.queryExecution().explainString(plan)
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain("formatted")
+        text = buf.getvalue()
         path = os.path.join(out_dir, f"{name}.txt")
         with open(path, "w", encoding="utf-8") as f:
             f.write(text)
