@@ -19,6 +19,9 @@ def drop_all_duplicates(df: DataFrame, cols: list[str] | None = None) -> DataFra
     aggs = [F.count(F.lit(1)).alias("_n")]
     if others:
         aggs.append(F.any_value(F.struct(*others)).alias("_row"))
-    g = df.groupBy(*keys).agg(*aggs).where(F.col("_n") == 1)
+    # A 64-bit hash of the keys leads the grouping: it is a function of the keys, so the
+    # groups are exactly the same, but the aggregation's sort compares longs first
+    # instead of long texts (near copies share long prefixes).
+    g = df.groupBy(F.xxhash64(*keys).alias("_kh"), *keys).agg(*aggs).where(F.col("_n") == 1)
     sel = [F.col(k) for k in keys] + [F.col(f"_row.{c}").alias(c) for c in others]
     return g.select(*sel).select(*df.columns)
