@@ -35,7 +35,10 @@ def bleu_stats(pred: Column, refs: Column, tokenizer=ws_split, max_n: int = MAX_
         nums = F.array(*[
             runs_overlap(
                 counted(ngrams(p, n)),
-                max_union(F.transform(rt, _ngram_runs(n))),
+                # one reference (the usual case) needs no max-union
+                F.when(F.size(rt) == 1, counted(ngrams(F.get(rt, 0), n))).otherwise(
+                    max_union(F.transform(rt, _ngram_runs(n)))
+                ),
             )
             for n in range(1, max_n + 1)
         ])
