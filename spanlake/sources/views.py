@@ -4,8 +4,8 @@
 ``qa_nested``    the same examples folded into the nested QA document shape (M1)
 ``pairs``        user turn -> next assistant turn (M3)
 ``runs``         scripted predictions per run over ``qa_examples`` (M10 + M14)
-``span_logits``  model-output contract (M8): windows of every document joined to a
-                 logit vector from ``embeddings``
+``span_logits``  model-output contract (M8): windows of every document that has a
+                 logit vector in ``embeddings`` (joined by key before tokenising)
 
 All views read whole tables; none samples or caps rows.
 """
