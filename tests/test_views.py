@@ -39,3 +39,25 @@ def test_qa_examples_view_is_whole(spark):
     for r in rows:
         assert r.context[r.answer_start:r.answer_end] == r.answer
         assert r.context.find(r.answer) == r.answer_start
+
+
+def test_spread_only_small_file_counts(spark, tmp_path):
+    import contextlib
+    import io
+
+    def plan(df):
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+        return buf.getvalue()
+
+    cores = spark.sparkContext.defaultParallelism
+    many = str(tmp_path / "many")
+    spark.range(2000).withColumnRenamed("id", "doc_id").repartition(cores + 4).write.parquet(many)
+    one = str(tmp_path / "one")
+    spark.range(2000).withColumnRenamed("id", "doc_id").coalesce(1).write.parquet(one)
+    big = views.spread(spark.read.parquet(many), "doc_id")
+    small = views.spread(spark.read.parquet(one), "doc_id")
+    assert "Exchange" not in plan(big)
+    assert "Exchange hashpartitioning(doc_id" in plan(small)
+    assert big.count() == small.count() == 2000
