@@ -73,3 +73,28 @@ def test_token_array_null_and_empty(spark):
     out = [r[0] for r in df.select(token_array("text")).collect()]
     assert out[0] is None
     assert list(out[1]) == [] and list(out[2]) == []
+
+
+def test_token_offsets_arbitrary_unicode(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    text = st.text(alphabet=st.characters(blacklist_categories=("Cs",)), max_size=80)
+
+    @settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(text, min_size=20, max_size=60))
+    def check(texts):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+        rows = tokenize_offsets(df, "id", "text").collect()
+        by_id = {}
+        for r in rows:
+            by_id.setdefault(r.id, []).append(r)
+        for i, t in enumerate(texts):
+            prev = 0
+            for r in sorted(by_id.get(i, []), key=lambda r: r.pos):
+                assert t[r.start:r.end] == r.tok and r.start >= prev
+                assert t[prev:r.start].strip() == ""
+                prev = r.end
+            assert t[prev:].strip() == ""
+
+    check()
