@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,31 +117,52 @@ def spans(text: str, mark: np.ndarray) -> list[tuple[int, int]]:
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
-    """One row per document with its hits; ``spans`` lists start:end of the runs of hit words
-    (code points of the original text)."""
+def _shares(benchmark: DataFrame, window: int, max_bytes: int) -> tuple[DataFrame, int]:
+    """The windows dealt into shares of about ``max_bytes`` (column ``_share``), and their number."""
     wins = written(benchmark_windows(benchmark, window), "bench-windows")
     total = wins.agg(F.sum(F.length("window") + 16)).first()[0] or 0
     parts = -(-int(total) // max_bytes) or 1
+    return wins.withColumn("_share", F.pmod(F.xxhash64("window"), F.lit(parts))), parts
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
+    """One row per document row with its hits; ``spans`` lists start:end of the runs of hit words
+    (code points of the original text)."""
+    wins, parts = _shares(benchmark, window, max_bytes)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if parts == 1:
-        # proven bound: at most max_bytes of windows
-        return docs.select("doc_id", "text").mapInArrow(_scanner([_rows(wins)]), SCHEMA)
-    # each share of the windows is bounded; documents are scanned against one share at a time and
-    # what the shares find is put together by document (marks as runs of word numbers)
-    shares = wins.withColumn("_share", F.pmod(F.xxhash64("window"), F.lit(parts)))
-    docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
-    docs = written(docs, "scan-docs")
+        return docs.mapInArrow(_scanner([_rows(wins)]), SCHEMA)
+    # documents are scanned against one bounded share at a time; what the shares find is put
+    # together by document (marks as runs of word numbers)
+    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "scan-docs")
     found = None
     for k in range(parts):
-        share = _rows(shares.where(F.col("_share") == k).drop("_share"))
-        hit = docs.select("_row", "text").mapInArrow(_run_finder(share), "_row long, lo long, hi long, items array<string>")
+        hit = docs.select("_row", "text").mapInArrow(_run_finder(_rows(wins.where(F.col("_share") == k))), "_row long, lo long, hi long, items array<string>")
         hit = written(hit, "scan-share")
         found = hit if found is None else found.unionByName(hit)
     return _put_together(docs, found)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
+    """The rows whose text holds no window, all columns unchanged: a filter per share, no join."""
+    wins, parts = _shares(benchmark, window, max_bytes)
+    for k in range(parts):
+        docs = docs.where(_clean(_rows(wins.where(F.col("_share") == k)))(F.col("text").cast("string")))
+    return docs
+
+
+def _clean(share: list):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automata = [_automaton(share)] if share else []
+        for texts in batches:
+            yield pd.Series([scan(t, automata)[1] is None if isinstance(t, str) else True for t in texts], dtype=bool)
+
+    return clean
+
+
 def _rows(wins: DataFrame) -> list[tuple[str, int, tuple[str, ...]]]:
-    return [(bytes(r[0]).decode("latin-1"), bytes(r[0]).count(b" ") - 1, tuple(r[1])) for r in wins.collect()]
+    return [(bytes(r[0]).decode("latin-1"), bytes(r[0]).count(b" ") - 1, tuple(r[1])) for r in wins.select("window", "items").collect()]
 
 
 def _digest(items) -> str:

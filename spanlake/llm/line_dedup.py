@@ -62,17 +62,19 @@ def covered_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows with ``text`` reduced to the kept lines, and n_lines, n_removed, covered."""
+    """The rows with ``text`` reduced to the kept lines, and n_lines, n_removed, covered (extra
+    columns of these three names are replaced)."""
     found = covered_lines(docs, window).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "covered")
-    both = docs.withColumn("_tk", F.xxhash64("text")).join(
-        found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_tk") == F.col("_key")), "left")
-    lines = F.split("text", "\n", -1)
-    # two sorted lists of line numbers; array_except is one hash pass
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered"))
-    text = F.when(F.col("covered").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
+    rest = [c for c in docs.columns if c not in ("n_lines", "n_removed", "covered")]
+    rows = docs.select(F.struct(*rest).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"))
+    both = rows.join(found, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left")
+    lines = F.split("_row.text", "\n", -1)
     both = both.withColumn("_lines", F.when(F.col("covered").isNotNull(), lines))
-    out = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    # two lists of line numbers; array_except is one hash pass
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("covered"))
+    text = F.when(F.col("covered").isNull(), F.col("_row.text")).otherwise(
+        F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
     return both.select(
-        *out, F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        *[text.alias(c) if c == "text" else F.col(f"_row.{c}").alias(c) for c in rest],
+        F.when(F.col("_row.text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"), "covered")

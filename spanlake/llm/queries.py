@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import decontaminate, line_dedup, secret_scan, source_mix
+from spanlake.llm import (
+    decontaminate, html_content, language_mix, line_dedup, matrix_knn, near_dedup, secret_scan, source_mix, toxicity, warc_chunks,
+)
 from spanlake.llm.common import table
 
 
@@ -17,6 +19,15 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.span_text(F.col("spans")).alias("spans"), "n_weak")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_content.extract(pages, html_content.learn_weights(pages))
+
+
+def op3_matrix_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix_knn.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select(
@@ -24,6 +35,24 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_chunks.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_mix.identify(docs, language_mix.train(docs))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = source_mix.mix_sources(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -35,5 +64,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op4_line_dedup, op9_source_mix, op10_decontaminate)
+    for f in (
+        op1_secret_scan, op2_main_text, op3_matrix_knn, op4_line_dedup, op5_toxicity, op6_near_dedup, op7_warc_chunks, op8_language_mix,
+        op9_source_mix, op10_decontaminate,
+    )
 }

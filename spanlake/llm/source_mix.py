@@ -81,13 +81,12 @@ def prefix_sums(df: DataFrame, part: str, key: str, value: str, ties: list[str],
         "prefix", F.col("_off") + F.col("_in")).drop("_b", "_p", "_pb", "_off", "_in")
 
 
-def mix_sources(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, taken (words taken, repeats
     counted), epochs (whole copies) and part (words of a further, cut copy)."""
-    keep = keep or []
     base = written(docs.select(
         "doc_id", F.col("source").cast("string").alias("src"), n_words(F.col("text")).alias("size"),
-        mix_key(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("tie"), *keep,
+        mix_key(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("tie"),
     ), "mix-sizes")
     goal = targets(base.groupBy("src").agg(F.sum("size").alias("source_size"))).withColumnRenamed("src", "_src")
     placed = prefix_sums(base, "src", "key", "size", ["doc_id", "tie"])
@@ -98,6 +97,6 @@ def mix_sources(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     more = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("prefix"))).cast("long")
     return out.select(
         "doc_id", "size", F.col("src").alias("source"), "source_size", "target",
-        (whole * F.col("size") + more).alias("taken"), whole.alias("_whole"), more.alias("_more"), *keep,
+        (whole * F.col("size") + more).alias("taken"), whole.alias("_whole"), more.alias("_more"),
     ).withColumn("epochs", F.col("_whole") + ((F.col("_more") == F.col("size")) & (F.col("size") > 0)).cast("long")).withColumn(
         "part", F.when(F.col("_more") == F.col("size"), F.lit(0)).otherwise(F.col("_more")).cast("long")).drop("_whole", "_more")
