@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.session import cut_lineage
+from spanlake.session import shared_dir
 
 U64 = np.uint64
 MASK = (1 << 64) - 1
@@ -29,8 +29,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once to the shared folder and read back (see ``cut_lineage``)."""
-    return cut_lineage(df, name)
+    """The rows written once to the shared folder and read back: cuts the lineage, outlives any
+    executor, and lets several branches read one evaluation."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # --- word hashing -------------------------------------------------------------------

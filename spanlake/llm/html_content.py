@@ -10,8 +10,8 @@ frequency among content and other tokens. Tags are distinguished by name (and by
 boilerplate words), open or closed. A boilerplate container (menu, header, footer, sidebar,
 notice, advert, form, comments) is one negative token: its words never enter the result, and
 an article that goes on after it is not cut off by its length. Tag weights are at most 0.
-Counts come from a bounded sample (``MAX_LABELLED`` labelled pages by id hash); a table
-without labelled pages uses the default weights below.
+Counts come from a bounded sample (the labelled ones of about ``MAX_LABELLED`` pages by id
+hash); a sample without labelled pages uses the default weights below.
 
 Defined cases: null and empty html give an empty text; unclosed and stray tags are allowed;
 comments, scripts, styles and other raw elements hold no text; ties go to the first and
@@ -190,9 +190,11 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 
 def learn_weights(pages: DataFrame, limit: int = MAX_LABELLED) -> dict[str, float]:
-    """Token weights from at most ``limit`` labelled pages. The driver receives one row per tag name."""
+    """Token weights from the labelled pages among about ``limit`` pages, taken by id hash (a share of
+    the table, so nothing is sorted). The driver receives one row per tag name."""
     label = F.regexp_like(F.col("html"), F.lit(r"(?i)<(article|main)[\s>]"))
-    sample = pages.where(label).select(F.xxhash64("page_id", "html").alias("h"), "html").orderBy("h").limit(limit).select("html")
+    n = max(1, pages.count())
+    sample = pages.where((F.pmod(F.xxhash64("page_id", "url"), F.lit(n)) < limit) & label).select("html")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,7 +207,7 @@ def learn_weights(pages: DataFrame, limit: int = MAX_LABELLED) -> dict[str, floa
                 ["token", "inside", "n"])
 
     got = (
-        sample.repartition(8).mapInArrow(rows, "token string, inside boolean, n long").groupBy("token")
+        sample.mapInArrow(rows, "token string, inside boolean, n long").groupBy("token")
         .agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("o"))
         .orderBy(F.desc(F.col("i") + F.col("o")), "token").limit(1_000).collect()
     )

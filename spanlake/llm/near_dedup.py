@@ -6,13 +6,15 @@ signature values; 32 bands of 4 (16 of minima, 16 of maxima) make candidates. At
 similarity of 0.8 a pair shares no band with probability (1 - 0.8**4)**32 = 5e-8.
 
 Documents of equal sets are one node from the start (a group of copies costs one aggregation).
-Nodes that share a band bucket are compared by their full sets, but never all with all in a
-group: in every bucket a leader (the node with the most neighbours over all its buckets) is
-compared with the others; verified links join components; only buckets that still hold
-several components go to the next round, without the leaders that have been compared with
-everyone, and with 16 times as many leaders. The loop ends when no bucket holds two
-components, so it leaves no pair of different components uncompared: the components are
-those of all pairs, while a group of n near copies of one text takes about n comparisons.
+Nodes that share a band bucket are compared by their full sets, in two steps that emit no
+pairs of a group. First, in ``LEADER_ROUNDS`` rounds, every node is compared with one leader
+(of its buckets' best connected nodes of another component the best one), which joins nearly
+all near copies at a cost of one pair a node. Then the buckets that still hold several
+components are checked completely: the nodes outside a bucket's largest component are
+compared with all nodes of other components, in tiles of bounded size (blocks of about
+``BLOCK_TOKENS`` shingles), where 32-bit shingle hashes give the intersections and only pairs
+near the threshold leave a tile, to be confirmed on the full sets. So no pair of different
+components that shares a bucket is left out, and a group of n near copies costs n pairs.
 
 Defined cases: null, empty and blank texts have an empty set and stand alone; fewer words
 than a shingle make one shingle of them all; rows with a null doc_id link with nothing, get a
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.llm.common import U64, mix, word_hashes, written
@@ -37,7 +39,11 @@ ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
 SIMILARITY = 80  # per cent
 SHINGLE = 5
-LEADERS_PER_ROUND = 16
+LEADER_ROUNDS = 2
+#: Shingles in a block of nodes; bounds what a task holds.
+BLOCK_TOKENS = 500_000
+#: Per cent under the threshold at which 32-bit hashes still count as a candidate.
+SLACK = 2
 
 _RNG = np.random.Generator(np.random.PCG64(20240611))
 _A = (_RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) << U64(1)) | U64(1)
@@ -164,6 +170,99 @@ def _linked(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return both.where(F.col("both") * 100 >= (F.col("total") - F.col("both")) * per_cent).select("a", "b")
 
 
+def _sizes_fit(x: Column, y: Column, per_cent: int) -> Column:
+    """Whether sets of these sizes can be similar enough at all."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * per_cent
+
+
+def _tile_candidates(members: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """(a, b) of nodes of different components that share a bucket and are similar up to ``SLACK``.
+
+    In a bucket the core is its largest component, the rest all other nodes. Rest and core are
+    dealt into blocks by hash; tile (k, -1 - c) holds rest block k (left) and core block c
+    (right) and for c = 0 also compares the rest block with itself; tile (k, l) holds two rest
+    blocks k < l."""
+    each = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+    shape = each.groupBy("bucket").agg(
+        F.max(F.struct(F.col("c"), (-F.col("comp")).alias("neg"), F.col("t"))).alias("core"), F.sum("t").alias("all"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    blocks = lambda t: F.ceil(t / F.lit(BLOCK_TOKENS)).cast("int")
+    shape = shape.select(
+        F.col("bucket").alias("sb"), (-F.col("core.neg")).alias("core"), blocks(F.col("core.t")).alias("cores"), blocks(F.col("all") - F.col("core.t")).alias("rests"))
+    m = members.join(shape, F.col("bucket") == F.col("sb"))
+    in_core = F.col("comp") == F.col("core")
+    block = F.pmod(F.xxhash64("node"), F.when(in_core, F.col("cores")).otherwise(F.col("rests"))).cast("int")
+    upto = lambda lo, hi: F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+    tile = lambda k, x, right: F.struct(k.cast("int").alias("k"), x.cast("int").alias("l"), F.lit(right).alias("right"))
+    own, zero, one = F.col("block"), F.lit(0), F.lit(1)
+    as_core = F.transform(upto(zero, F.col("rests") - one), lambda k: tile(k, -1 - own, True))
+    as_rest = F.concat(
+        F.transform(upto(zero, F.col("cores") - one), lambda c: tile(own, -1 - c, False)),
+        F.transform(upto(own + one, F.col("rests") - one), lambda x: tile(own, x, False)),
+        F.transform(upto(zero, own - one), lambda x: tile(x, own, True)))
+    m = m.withColumn("block", block).select("bucket", "node", "comp", F.explode(F.when(in_core, as_core).otherwise(as_rest)).alias("t"))
+    short = sets.select(F.col("node").alias("sn"), F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("tokens"))
+    rows = m.join(short, F.col("node") == F.col("sn")).select(
+        "bucket", F.col("t.k").alias("k"), F.col("t.l").alias("l"), F.col("t.right").alias("right"), "node", "comp", "tokens")
+    return rows.repartition("bucket", "k", "l").sortWithinPartitions("bucket", "k", "l").mapInArrow(_tiles(per_cent - SLACK), "a long, b long")
+
+
+def _tile_links(right: np.ndarray, node: np.ndarray, comp: np.ndarray, flat: np.ndarray, size: np.ndarray, within: bool, per_cent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of a tile's rows (left with right, and left with left if ``within``) of different
+    components whose token sets are similar to ``per_cent``."""
+    _, token = np.unique(flat, return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(len(flat), np.int32)
+    for y in np.flatnonzero(~right):
+        other = comp != comp[y]
+        other &= right | ((np.arange(len(node)) > y) if within else False)
+        other &= np.minimum(size, size[y]) * 100 >= np.maximum(size, size[y]) * per_cent
+        if not other.any():
+            continue
+        own = token[at[y] : at[y + 1]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[token], at[:-1])
+        mark[own] = 0
+        hit = other & (both * 100 >= (size + size[y] - both) * per_cent)
+        for x in np.flatnonzero(hit):
+            yield (min(node[x], node[y]), max(node[x], node[y]))
+
+
+def _tiles(per_cent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def close() -> list[tuple[int, int]]:
+            rows = pa.Table.from_batches(held)
+            tokens = rows.column("tokens").combine_chunks()
+            tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
+            size = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
+            col = lambda c: rows.column(c).to_numpy()
+            return list(_tile_links(
+                col("right"), col("node"), col("comp"), tokens.flatten().to_numpy(), size, key[2] == -1, per_cent))
+
+        def out(pairs):
+            a, b = zip(*pairs) if pairs else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for b in batches:
+            keys = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            pairs = []
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    now = tuple(keys[lo].tolist())
+                    if held and now != key:
+                        pairs += close()
+                        held = []
+                    key = now
+                    held.append(b.slice(lo, hi - lo))
+            yield out(pairs)
+        if held:
+            yield out(close())
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, per_cent: int = SIMILARITY) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -183,27 +282,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, per_cent: int = SIM
         docs.join(wanted, F.col("doc_id") == F.col("wanted")).select("doc_id", "text", "r1", "r2")
         .mapInArrow(_sets(shingle), "node long, shingles array<long>"), "shingles")
 
-    edges, leaders = None, 1
-    while True:
-        salt = F.pmod(F.xxhash64("node"), F.lit(leaders))
-        lead = members.groupBy("bucket", salt.alias("salt")).agg(
-            F.max(F.struct(F.col("prio"), (-F.col("node")).alias("neg"), F.col("n"), F.col("comp"))).alias("l"))
-        lead = written(lead.select(F.col("bucket").alias("lb"), (-F.col("l.neg")).alias("leader"), F.col("l.n").alias("ln"), F.col("l.comp").alias("lc")), "leaders")
-        pairs = members.join(lead, F.col("bucket") == F.col("lb")).where(
-            (F.col("comp") != F.col("lc"))
-            & (F.least("n", "ln") * 100 >= F.greatest("n", "ln") * per_cent)  # the most that two sets of these sizes can share
-        ).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    edges = None
+    for _ in range(LEADER_ROUNDS):
+        lead = members.groupBy("bucket").agg(F.max(F.struct("prio", (-F.col("node")).alias("neg"), "n", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        lead = lead.where("lo < hi").select(F.col("bucket").alias("lb"), "l")
+        other = members.join(lead, F.col("bucket") == F.col("lb"))
+        # the best connected node of another component than the bucket's leader, for the leader's own
+        second = other.where("comp != l.comp").groupBy(F.col("lb").alias("sb")).agg(F.max(F.struct("prio", (-F.col("node")).alias("neg"), "n", "comp")).alias("s"))
+        pick = other.join(second, F.col("lb") == F.col("sb")).withColumn("l", F.when(F.col("comp") == F.col("l.comp"), F.col("s")).otherwise(F.col("l")))
+        pick = pick.where(_sizes_fit(F.col("n"), F.col("l.n"), per_cent)).groupBy("node").agg(F.max("l").alias("l"))
+        pairs = pick.select(F.least("node", -F.col("l.neg")).alias("a"), F.greatest("node", -F.col("l.neg")).alias("b")).distinct()
         found = written(_linked(pairs, sets, per_cent), "links")
         edges = found if edges is None else edges.unionByName(found)
         comp = written(components(edges), "components")
-        # what is left to compare: members of buckets that hold several components, but for the leaders
-        left = members.drop("comp").join(lead.select(F.col("lb").alias("bucket"), F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
-        left = left.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-        members = written(left.join(mixed, "bucket"), "members")
-        if members.limit(1).count() == 0:
-            break
-        leaders *= LEADERS_PER_ROUND
+        members = written(members.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
+
+    pairs = _tile_candidates(members, sets, per_cent).distinct()
+    edges = edges.unionByName(written(_linked(pairs, sets, per_cent), "links"))
+    comp = written(components(edges), "components")
 
     out = base.join(nodes.withColumnsRenamed({"k1": "r1", "k2": "r2"}), (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left")
     out = out.withColumn("node", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).otherwise(F.col("doc_id")))

@@ -9,14 +9,17 @@ the Nystrom features. Because kernel values against landmarks are sums over subs
 trained decision collapses exactly to one weight per subsequence of three characters: a
 unit's margin is a weighted sum over its own subsequences, at no cost per landmark.
 
-A text's margin is that of its worst unit, and a logistic fit on labelled texts turns it
-into a score.
-
-Labels belong to whole texts, so units get theirs from counts (multiple-instance learning):
-positive units stand in toxic texts and significantly seldom in clean ones, negative units
-are drawn from clean texts. All counts are made by Spark over a bounded sample
+A text's margin is that of its worst unit, and a logistic curve placed by the labelled
+texts turns it into a score.
+
+Labels belong to whole texts, so units get theirs from counts (multiple-instance learning): a
+unit is counted once per context (the word before), so that copies of a text count once;
+positive units have significantly more toxic contexts than chance over all units would give,
+and hardly any clean one, or open like that (compounds of an insult); negative units are
+drawn from clean texts, and the hardest of a larger draw are added for a
+second fit. All counts are made by Spark over a bounded sample
 (``MAX_LABELLED`` labelled texts by id hash); the driver receives at most ``MAX_POSITIVE`` +
-``MAX_NEGATIVE`` units and ``MAX_LABELLED`` margins.
+``NEGATIVE_POOL`` units and ``MAX_LABELLED`` margins.
 
 Defined cases: null, empty and blank texts have no unit and get the score of the least toxic
 margin; a null label or id is not learned from; repeated label rows of an id count once
@@ -26,9 +29,12 @@ overlapping windows of ``MAX_UNIT`` characters, so whole texts are scored.
 
 from __future__ import annotations
 
+import math
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -39,19 +45,27 @@ from pyspark.sql import functions as F
 from spanlake.llm.common import held_out, written
 
 ORDER = 3
-DECAY = 0.6
+DECAY = 0.4
 MAX_UNIT = 24
 ALPHABET = 64
-MAX_LABELLED = 12_000
+MAX_LABELLED = 8_000
 MAX_POSITIVE = 1_500
+#: Length of the openings that stand for all compounds with them, and most openings kept.
+PREFIX = 4
+MAX_OPENINGS = 1_000
 MAX_NEGATIVE = 6_000
-LANDMARKS = 192
+LANDMARKS = 400
 POOL = 1_200
-#: Least log ratio of the shares of toxic and clean texts that hold a positive unit, and least toxic texts.
-MIN_LOG_RATIO = 2.0
-MIN_TOXIC = 2
+#: Times as many toxic as clean contexts a positive unit must have.
+TOXIC_TO_CLEAN = 20
+#: Positive units taken (by evidence) where fewer pass the bounds.
+LEAST_POSITIVE = 10
+#: Negative units from which the hardest are added for a second fit, and how many.
+NEGATIVE_POOL, HARD = 40_000, 1_500
+#: Place of the score's middle in the gap between clean and toxic margins.
+UPPER = 0.8
 #: Units whose margins a worker remembers; cleared when full (margins are a pure function).
-CACHE = 300_000
+CACHE = 500_000
 
 _SPACED = re.compile(r"(?:(?<=\s)|^)\S(?:[ \t]\S){2,}(?=\s|$)")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»¡¿“”‘’…"
@@ -103,36 +117,43 @@ def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
 def subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All subsequences of three characters of each row: their codes and their weights."""
     ijk, w = _triples(codes.shape[1])
-    return (codes[:, ijk[0]] * ALPHABET + codes[:, ijk[1]]) * ALPHABET + codes[:, ijk[2]], w
+    c = codes.astype(np.int32)
+    out = np.take(c * ALPHABET**2, ijk[0], axis=1)
+    out += np.take(c * ALPHABET, ijk[1], axis=1)
+    out += np.take(c, ijk[2], axis=1)
+    return out, w
 
 
 def self_kernel(codes: np.ndarray) -> np.ndarray:
     """K(x, x) of each row, by the recursion of the gap-weighted subsequence kernel."""
-    n = codes.shape[1]
+    rows, n = codes.shape
     i = np.arange(n)
-    gap = np.where(i[:, None] > i[None, :], DECAY ** np.maximum(i[:, None] - i[None, :] - 1.0, 0), 0.0)
-    same = (codes[:, :, None] == codes[:, None, :]) * DECAY**2
+    gap = np.where(i[:, None] > i[None, :], DECAY ** np.maximum(i[:, None] - i[None, :] - 1.0, 0), 0.0).T.astype(np.float32)
+    same = (codes[:, :, None] == codes[:, None, :]).astype(np.float32) * np.float32(DECAY**2)
     m = same
     for _ in range(ORDER - 1):
-        m = same * (gap @ m @ gap.T)
-    return m.sum(axis=(1, 2))
+        # gap' m gap of symmetric matrices, as two products of one large matrix
+        half = (m.reshape(-1, n) @ gap).reshape(rows, n, n).transpose(0, 2, 1)
+        m = same * (np.ascontiguousarray(half).reshape(-1, n) @ gap).reshape(rows, n, n)
+    return m.sum(axis=(1, 2), dtype=np.float64)
 
 
 # --- model --------------------------------------------------------------------------
 
 
+#: Unit margins of the model in use; lives as long as the worker, for all its tasks.
+_KNOWN: dict[str, dict[str, float]] = {}
+
+
 @dataclass
 class Model:
-    """Weight per subsequence, bias, and the logistic fit of margins."""
+    """Weight per subsequence, bias, and the logistic curve of the score."""
 
     weights: np.ndarray
     bias: float
     slope: float = 1.0
     offset: float = 0.0
-    cache: dict = field(default_factory=dict, repr=False)
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "cache"} | {"cache": {}}
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def unit_margins(self, units: list[str]) -> np.ndarray:
         out = np.full(len(units), np.inf * -1)
@@ -143,19 +164,19 @@ class Model:
                 at.append(n)
                 words.append(p)
         for n, (at, words) in by_len.items():
-            step = max(1, 400_000 // len(_triples(n + 2)[1]))
+            step = max(1, 200_000 // len(_triples(n + 2)[1]))
             for i in range(0, len(words), step):
                 codes = _codes(words[i : i + step])
                 sub, w = subsequences(codes)
-                f = (self.weights[sub] @ w) / np.sqrt(self_kernel(codes)) + self.bias
+                f = (np.take(self.weights, sub) @ w.astype(np.float32)) / np.sqrt(self_kernel(codes)) + self.bias
                 np.maximum.at(out, at[i : i + step], f)
         return out
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         """Margin of the worst unit of each text; -inf without units."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        known, bags, new = self.cache, [], set()
+        if len(_KNOWN.get(self.name, ())) > CACHE or self.name not in _KNOWN:
+            _KNOWN.clear()
+        known, bags, new = _KNOWN.setdefault(self.name, {}), [], set()
         for t in texts:
             bag = raw_units(t) if t else set()
             bags.append(bag)
@@ -203,7 +224,7 @@ def _landmarks(gram: np.ndarray, count: int) -> list[int]:
     return picked
 
 
-def fit_svm(positive: list[str], negative: list[str], rounds: int = 25, ridge: float = 1e-3) -> Model:
+def fit_svm(positive: list[str], negative: list[str], rounds: int = 25, ridge: float = 1e-4) -> Model:
     """Nystrom features on landmarks, then a linear squared-hinge SVM by Newton steps."""
     pool = positive[: POOL // 2] + negative[: POOL // 2]
     vocab = _all_subsequences(pool)
@@ -227,46 +248,59 @@ def fit_svm(positive: list[str], negative: list[str], rounds: int = 25, ridge: f
         if np.allclose(new, w, atol=1e-7):
             break
         w = 0.5 * (w + new) if _ > 8 else new
-    table = np.zeros(ALPHABET**ORDER)
+    table = np.zeros(ALPHABET**ORDER, np.float32)
     table[vocab] = (root @ w[:-1]) @ marks
     return Model(table, float(w[-1]))
 
 
-def fit_logistic(margin: np.ndarray, label: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of the score, by damped Newton steps on the log loss."""
-    a, b = 1.0, 0.0
-    t = np.where(label > 0, 1 - 1 / (label.sum() + 2), 1 / ((1 - label).sum() + 2))
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -40, 40)))
-        g = np.array([np.sum((p - t) * margin), np.sum(p - t)])
-        q = np.maximum(p * (1 - p), 1e-6)
-        h = np.array([[np.sum(q * margin**2), np.sum(q * margin)], [np.sum(q * margin), np.sum(q)]]) + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(max(a, 1e-3)), float(b)
+def fit_score(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic score. A score of 0.5 lies where texts are separated with the
+    fewest errors, in the widest such gap between margins, nearer to its upper end (new clean words
+    are more frequent than new insults); the slope gives the median of the texts above 0.95."""
+    cuts, at = np.unique(margin, return_inverse=True)
+    toxic = np.bincount(at, label, len(cuts))
+    clean = np.bincount(at, 1 - label, len(cuts))
+    # a cut below value k takes values k and up as toxic
+    errors = np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([np.cumsum(clean[::-1])[::-1], [0]])
+    edge = np.concatenate([[cuts[0] - 1], cuts, [cuts[-1] + 1]])
+    width = np.diff(edge)
+    k = max(np.flatnonzero(errors == errors.min()), key=lambda i: width[i])
+    cut = edge[k] + UPPER * width[k]
+    above = margin[margin > cut]
+    slope = np.log(19.0) / max(1e-6, np.median(above) - cut) if len(above) else 1.0
+    return float(slope), float(-slope * cut)
 
 
 # --- training in Spark --------------------------------------------------------------
 
 
 def labelled(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, text, toxic) of at most ``limit`` labelled training rows, the first by id hash."""
+    """(doc_id, text, toxic) of about ``limit`` labelled training rows (all, if fewer), by id hash."""
     lab = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id").cast("long")))
     lab = lab.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    lab = lab.orderBy(F.xxhash64("_id"), "_id").limit(limit)
+    lab = written(lab, "toxic-labels")
+    lab = lab.where(F.pmod(F.xxhash64("_id"), F.lit(max(1, lab.count()))) < limit)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # the label side has at most ``limit`` rows of two numbers
+    # the label side has about ``limit`` rows of two numbers
     return rows.join(F.broadcast(lab), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, context, toxic) of every word and of its opening ``PREFIX`` characters (marked by a
+    space). The context is the word before, for an opening also the rest of the word."""
     for b in batches:
         for t, y in zip(b.column(0), b.column(1).to_pylist()):
-            found = sorted({p for u in raw_units(t.as_py() or "") for p in pieces(u)})
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], ["unit", "toxic"])
+            words = [w for u in (t.as_py() or "").lower().split() for w in pieces(u)]
+            pairs = set(zip(words, ["", *words]))
+            units = [w for w, _ in pairs]
+            context = [crc32(c.encode("utf-8", "replace")) for _, c in pairs]
+            for w, c in pairs:
+                if len(w) > PREFIX:
+                    units.append(" " + w[:PREFIX])
+                    context.append(crc32(f"{w[PREFIX:]} {c}".encode("utf-8", "replace")))
+            if units:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(units, pa.string()), pa.array(context, pa.int64()), pa.array([y] * len(units), pa.int32())], ["unit", "context", "toxic"])
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model | None:
@@ -276,20 +310,42 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
     n_toxic, n_clean = int(n[0] or 0), int(n[1] or 0)
     if not n_toxic or not n_clean:
         return None
-    units = sample.select("text", "toxic").mapInArrow(_unit_rows, "unit string, toxic int")
-    stats = written(units.groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "toxic-units")
-    ratio = F.log((F.col("t") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("c") + 0.5) / (n_clean + 1.0))
-    evidence = F.col("t") * ratio
-    pos = stats.where((F.col("t") >= MIN_TOXIC) & (ratio > MIN_LOG_RATIO)).orderBy(evidence.desc(), "unit").limit(MAX_POSITIVE)
-    neg = stats.where((F.col("c") >= 1) & (ratio < 0.5)).orderBy(F.xxhash64("unit"), "unit").limit(MAX_NEGATIVE)
-    positive = [r[0] for r in pos.select("unit").collect()]
-    negative = [r[0] for r in neg.select("unit").collect()]
+    seen = sample.select("text", "toxic").mapInArrow(_unit_rows, "unit string, context long, toxic int")
+    # a unit's contexts count once, so copies of one text do not
+    seen = seen.groupBy("unit", "context").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("c"))
+    stats = written(seen.groupBy("unit").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "toxic-units")
+    words = stats.where(~F.col("unit").startswith(" "))
+    total = words.agg(F.sum("t"), F.sum("c")).first()
+    if not total or not total[0] or not total[1]:
+        return None
+    # log likelihood ratio of the toxic share of a unit's contexts against that of all words; a unit
+    # is a sign if its excess is larger than the best of as many chance units would show
+    base, t, c = total[0] / (total[0] + total[1]), F.col("t"), F.col("c")
+    term = lambda k, p: F.when(k > 0, k * F.log(k / (t + c) / F.lit(p))).otherwise(0.0)
+    evidence = F.when(t / (t + c) > base, term(t, base) + term(c, 1 - base)).otherwise(0.0)
+    stats = stats.withColumn("evidence", evidence)
+    bound = math.log(max(2, stats.count()))
+    sign = (F.col("evidence") >= bound) & (t >= TOXIC_TO_CLEAN * c)
+    best = lambda df, n: df.orderBy(F.desc("evidence"), "unit").limit(n)
+    words = stats.where(~F.col("unit").startswith(" "))
+    openings = best(stats.where(F.col("unit").startswith(" ") & sign), MAX_OPENINGS).select(F.col("unit").alias("opening"))
+    opened = words.where(c == 0).join(F.broadcast(openings), F.concat(F.lit(" "), F.substring("unit", 1, PREFIX)) == F.col("opening"))
+    positive = [r[0] for r in best(words.where(sign).unionByName(opened.drop("opening")).distinct(), MAX_POSITIVE).select("unit").collect()]
+    if len(positive) < LEAST_POSITIVE:
+        more = best(words.where((t > 1) & (F.col("evidence") > 0)), LEAST_POSITIVE).select("unit").collect()
+        positive = list(dict.fromkeys([*positive, *(r[0] for r in more)]))[:LEAST_POSITIVE]
+    known = set(positive)
+    neg = words.where((c > 0) & (F.col("evidence") < 1.0)).orderBy(F.xxhash64("unit"), "unit").limit(NEGATIVE_POOL)
+    pool = [r[0] for r in neg.select("unit").collect() if r[0] not in known]
+    negative = pool[:MAX_NEGATIVE]
     if not positive or not negative:
         return None
     model = fit_svm(positive, negative)
+    hardest = np.argsort(-model.unit_margins(pool), kind="stable")[:HARD]
+    model = fit_svm(positive, list(dict.fromkeys([*(pool[i] for i in hardest), *negative])))
     got = _scored(sample.select("doc_id", "text"), model, raw=True).join(sample.select("doc_id", "toxic"), "doc_id").select("score", "toxic").collect()
     m = np.maximum(np.array([r[0] for r in got]), -20.0)
-    model.slope, model.offset = fit_logistic(m, np.array([r[1] for r in got], float))
+    model.slope, model.offset = fit_score(m, np.array([r[1] for r in got], float))
     return model
 
 
