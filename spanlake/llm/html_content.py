@@ -2,7 +2,8 @@
 
 A page is read as a sequence of tokens: runs of words, and tags. Words score positive, tags
 negative; one linear scan finds the contiguous region of the best sum, and the text blocks
-inside it are the result.
+inside it are the result. A region inside an ``article`` or ``main`` element is widened to the
+whole element, so that its short last lines are not lost.
 
 The weights are learned from labelled pages: pages with an ``article`` (or ``main``) element
 label their own tokens as content or not, and a token's weight is the log ratio of its
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 MAX_LABELLED = 2_000
 WORD_WEIGHT = 1.0
 TAG_WEIGHT = -2.0
+#: Default weight of inline tags and of tags that set text blocks.
+INLINE_WEIGHT, BLOCK_WEIGHT = 0.0, -0.5
 #: Least weight of a whole boilerplate container.
 BOILERPLATE_WEIGHT = -3.0
 #: Bounds of a learned tag weight.
@@ -54,6 +57,8 @@ BOILERPLATE_WORDS = {
     "notices", "popup", "promo", "promoted", "related", "replies", "responses", "share", "sharing", "sidebar", "sidenav", "social", "sponsor", "sponsored",
     "subscribe", "subscription", "toolbar", "widget", "widgets",
 }
+#: Elements that set the blocks of a text.
+BLOCKS = {"p", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "table", "tr", "td", "th", "tbody", "thead", "figure", "figcaption", "hr"}
 LABEL = {"article", "main"}
 
 _TOKEN = re.compile(
@@ -162,7 +167,9 @@ def region(toks: list[tuple[str, str, bool, bool]], weights: dict[str, float]) -
         elif kind.endswith("*"):
             gain = 0.0 if boiler or kind[0] == "/" else max(weights.get(kind, BOILERPLATE_WEIGHT), BOILERPLATE_WEIGHT)
         else:
-            gain = 0.0 if boiler else weights.get(kind, TAG_WEIGHT)
+            name = kind.strip("/")
+            default = INLINE_WEIGHT if name in INLINE else BLOCK_WEIGHT if name in BLOCKS else TAG_WEIGHT
+            gain = 0.0 if boiler else weights.get(kind, default)
         if total <= 0:
             total, start = 0.0, i
         total += gain
@@ -176,6 +183,12 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         return ""
     toks = tokens(page)
     lo, hi = region(toks, weights)
+    if any(t[3] for t in toks[lo:hi]):
+        # a region in a labelled element is all of that element
+        while lo and toks[lo - 1][3]:
+            lo -= 1
+        while hi < len(toks) and toks[hi][3]:
+            hi += 1
     parts: list[str] = []
     for kind, text, boiler, _ in toks[lo:hi]:
         if kind != "w":
