@@ -7,19 +7,20 @@ similarity of 0.8 a pair shares no band with probability (1 - 0.8**4)**32 = 5e-8
 
 Documents of equal sets are one node from the start (a group of copies costs one aggregation).
 Nodes that share a band bucket are compared by their full sets, in two steps that emit no
-pairs of a group. First, in ``LEADER_ROUNDS`` rounds, every node is compared with one leader
-(of its buckets' best connected nodes of another component the best one), which joins nearly
-all near copies at a cost of one pair a node. Then the buckets that still hold several
-components are checked completely: the nodes outside a bucket's largest component are
-compared with all nodes of other components, in tiles of bounded size (blocks of about
-``BLOCK_TOKENS`` shingles), where 32-bit shingle hashes give the intersections and only pairs
-near the threshold leave a tile, to be confirmed on the full sets. So no pair of different
+pairs of a group. First every node is compared with one leader (of the best connected nodes
+of its buckets the best one), which joins nearly all near copies at a cost of one pair a node;
+as a leader ranks above its followers, the links form trees, whose roots come by pointer
+jumping. Then the buckets that still hold several trees are checked completely: the nodes
+outside a bucket's largest tree are compared with all nodes of other trees, in tiles of
+bounded size (blocks of about ``BLOCK_TOKENS`` shingles), where 32-bit shingle hashes give the
+intersections and only pairs near the threshold leave a tile, to be confirmed on the full
+sets. So no pair of different
 components that shares a bucket is left out, and a group of n near copies costs n pairs.
 
 Defined cases: null, empty and blank texts have an empty set and stand alone; fewer words
 than a shingle make one shingle of them all; rows with a null doc_id link with nothing, get a
-null component and are kept; rows that repeat a doc_id count as one document; ties go to the
-smaller doc_id.
+null component and are kept; rows that repeat a doc_id count as one document, which links by any of
+its texts; ties go to the smaller doc_id.
 """
 
 from __future__ import annotations
@@ -39,7 +40,6 @@ ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
 SIMILARITY = 80  # per cent
 SHINGLE = 5
-LEADER_ROUNDS = 2
 #: Shingles in a block of nodes; bounds what a task holds.
 BLOCK_TOKENS = 500_000
 #: Per cent under the threshold at which 32-bit hashes still count as a candidate.
@@ -119,9 +119,9 @@ def _sets(k: int):
             ids, keys = b.column(0).to_pylist(), list(zip(b.column(2).to_pylist(), b.column(3).to_pylist()))
             for i, w in enumerate(word_hashes(b.column(1))):
                 s = shingle_set(w, k)
-                if ids[i] != last and _key(s) == keys[i]:
-                    last = ids[i]
-                    nodes.append(last)
+                if (ids[i], keys[i]) != last and _key(s) == keys[i]:
+                    last = ids[i], keys[i]
+                    nodes.append(ids[i])
                     sets.append(s)
                     size += len(s)
                 if nodes and (size > 1 << 20 or i == len(ids) - 1):  # 8 MB of sets at a time
@@ -147,7 +147,7 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.where("v > u").join(low, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
         small = large.join(low, F.col("u") == F.col("c"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
@@ -158,6 +158,18 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """(node, root) of a forest (node, parent) by pointer jumping: a tree of depth d takes log d rounds."""
+    p = written(parents, "parents")
+    while True:
+        q = p.select(F.col("node").alias("q"), F.col("parent").alias("up"))
+        p = written(p.join(q, F.col("parent") == F.col("q"), "left").select(
+            "node", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("moved")), "parents")
+        if not p.where("moved").limit(1).count():
+            return p.select("node", F.col("parent").alias("root"))
+        p = p.drop("moved")
+
+
 # --- candidate search -------------------------------------------------------------------
 
 
@@ -270,36 +282,39 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, per_cent: int = SIM
     nodes = written(base.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "nodes")
 
     # one row per node and band; nodes alone in a bucket drop out
-    chosen = nodes.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", F.col("k.k1").alias("r1"), F.col("k.k2").alias("r2"))
-    band = base.where("n > 0").join(chosen, F.expr("doc_id = node and k1 = r1 and k2 = r2")).select(
+    key = nodes.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), "node")
+    band = base.where("n > 0").join(key, F.expr("k1 = r1 and k2 = r2 and doc_id = node")).select(
         "node", F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
     counts = band.groupBy("bucket").agg(F.count(F.lit(1)).cast("int").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = written(band.join(counts.where("lo < hi").select("bucket", "c"), "bucket"), "buckets")
     rank = shared.groupBy("node").agg(F.sum("c").alias("prio"))
-    members = written(shared.drop("c").join(rank, "node").withColumn("comp", F.col("node")), "members")
-    wanted = rank.select("node").join(chosen, "node").withColumnRenamed("node", "wanted")
+    members = written(shared.drop("c").join(rank, "node"), "members")
+    wanted = members.select("node").distinct().join(key, "node").withColumnRenamed("node", "wanted")
     sets = written(
         docs.join(wanted, F.col("doc_id") == F.col("wanted")).select("doc_id", "text", "r1", "r2")
         .mapInArrow(_sets(shingle), "node long, shingles array<long>"), "shingles")
 
-    edges = None
-    for _ in range(LEADER_ROUNDS):
-        lead = members.groupBy("bucket").agg(F.max(F.struct("prio", (-F.col("node")).alias("neg"), "n", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        lead = lead.where("lo < hi").select(F.col("bucket").alias("lb"), "l")
-        other = members.join(lead, F.col("bucket") == F.col("lb"))
-        # the best connected node of another component than the bucket's leader, for the leader's own
-        second = other.where("comp != l.comp").groupBy(F.col("lb").alias("sb")).agg(F.max(F.struct("prio", (-F.col("node")).alias("neg"), "n", "comp")).alias("s"))
-        pick = other.join(second, F.col("lb") == F.col("sb")).withColumn("l", F.when(F.col("comp") == F.col("l.comp"), F.col("s")).otherwise(F.col("l")))
-        pick = pick.where(_sizes_fit(F.col("n"), F.col("l.n"), per_cent)).groupBy("node").agg(F.max("l").alias("l"))
-        pairs = pick.select(F.least("node", -F.col("l.neg")).alias("a"), F.greatest("node", -F.col("l.neg")).alias("b")).distinct()
-        found = written(_linked(pairs, sets, per_cent), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        comp = written(components(edges), "components")
-        members = written(members.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
-
-    pairs = _tile_candidates(members, sets, per_cent).distinct()
-    edges = edges.unionByName(written(_linked(pairs, sets, per_cent), "links"))
-    comp = written(components(edges), "components")
+    # every node and the best leader of its buckets; a leader ranks above the node in (prio, -id)
+    lead = members.groupBy("bucket").agg(F.max(F.struct("prio", (-F.col("node")).alias("neg"), "n")).alias("l")).withColumnRenamed("bucket", "lb")
+    pick = members.join(lead, F.col("bucket") == F.col("lb")).where((F.col("node") != -F.col("l.neg")) & _sizes_fit(F.col("n"), F.col("l.n"), per_cent))
+    pairs = pick.groupBy("node").agg(F.max("l").alias("l")).select(F.col("node").alias("a"), (-F.col("l.neg")).alias("b"))
+    links = _linked(pairs, sets, per_cent).groupBy("a").agg(F.max("b").alias("b"))
+    tree = written(roots(links.select(F.col("a").alias("node"), F.col("b").alias("parent"))), "roots")
+
+    # what shares a bucket across trees; then components of the trees
+    placed = members.select("bucket", "node", "n").join(tree.withColumnRenamed("node", "t"), F.col("node") == F.col("t"), "left")
+    placed = written(placed.select("bucket", "node", "n", F.coalesce("root", "node").alias("comp")), "placed")
+    found = written(_linked(_tile_candidates(placed, sets, per_cent).distinct(), sets, per_cent), "links")
+    root_of = lambda c: tree.select(F.col("node").alias(f"{c}_n"), F.col("root").alias(f"{c}_r"))
+    found = found.join(root_of("a"), F.col("a") == F.col("a_n"), "left").join(root_of("b"), F.col("b") == F.col("b_n"), "left")
+    merged = written(components(found.select(F.coalesce("a_r", "a").alias("a"), F.coalesce("b_r", "b").alias("b"))), "merged")
+    # members of a tree and its root, then the group that the root's component makes
+    whole = tree.unionByName(tree.select(F.col("root").alias("node"), "root")).unionByName(
+        found.select(F.explode(F.array(F.coalesce("a_r", "a"), F.coalesce("b_r", "b"))).alias("node")).withColumn("root", F.col("node"))).distinct()
+    whole = written(whole.join(merged.withColumnRenamed("node", "mn"), F.col("root") == F.col("mn"), "left").select(
+        "node", F.coalesce("comp", "root").alias("group")), "groups")
+    least = whole.groupBy("group").agg(F.min("node").alias("comp")).withColumnRenamed("group", "g")
+    comp = whole.join(least, F.col("group") == F.col("g")).select("node", "comp")
 
     out = base.join(nodes.withColumnsRenamed({"k1": "r1", "k2": "r2"}), (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left")
     out = out.withColumn("node", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).otherwise(F.col("doc_id")))

@@ -55,13 +55,22 @@ def test_chain_and_hot_group(spark):
 
 def test_small_tiles_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_TOKENS", 300)
-    monkeypatch.setattr(near_dedup, "LEADER_ROUNDS", 1)
     rng = random.Random(5)
     data = list(enumerate(t for f in range(4) for t in family(rng, [f"w{f}-{i}" for i in range(50)], 25, 8)))
     got, _ = near(spark, data)
     assert got == near_components(data, 2)
 
 
+def test_forest_roots_and_components(spark):
+    chain = [(i, i + 1) for i in range(37)] + [(100, 101), (102, 101), (101, 103)]
+    got = {r.node: r.root for r in near_dedup.roots(spark.createDataFrame(chain, "node long, parent long")).collect()}
+    assert got == {i: 37 for i in range(37)} | {100: 103, 101: 103, 102: 103}
+    got = {r.node: r.comp for r in near_dedup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 38)} | {101: 100, 102: 100, 103: 100}
+    empty = spark.createDataFrame([], "a long, b long")
+    assert near_dedup.components(empty).count() == 0 and near_dedup.roots(empty.toDF("node", "parent")).count() == 0
+
+
 def test_near_edges(spark):
     df = spark.createDataFrame([(7, "a b c d"), (7, "a b c d"), (None, "a b c d"), (9, "A b C d"), (11, None)], DOC)
     out = near_dedup.near_duplicates(df.withColumn("node", F.lit(0)).withColumn("bucket", F.lit(0)), shingle=2)
