@@ -87,7 +87,7 @@ class Model:
         """Row numbers (in ``rows``) of the bags' words, one after another."""
         if len(self.known) > CACHE:
             self.known, self.rows = {}, np.empty((0, len(self.langs)))
-        new = list(set().union(*bags) - self.known.keys())
+        new = list(set().union(*bags).difference(self.known))
         if new:
             parts = [self.word_likelihoods(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]
             self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))

@@ -180,7 +180,7 @@ class Model:
         for t in texts:
             bag = raw_units(t) if t else set()
             bags.append(bag)
-            new |= bag - known.keys()
+            new |= bag.difference(known)  # a dict operand: cost of the bag, not of all known
         fresh = list(new)
         known.update(zip(fresh, self.unit_margins(fresh).tolist()))
         return np.array([max(map(known.__getitem__, b), default=-np.inf) for b in bags])
