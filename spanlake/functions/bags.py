@@ -109,7 +109,3 @@ def bag_overlap(a, b) -> Column:
     """Size of the multiset intersection of two string arrays."""
     return runs_overlap(counted(a), counted(b))
 
-
-def bag_size(runs) -> Column:
-    """Total multiplicity of a run list."""
-    return F.aggregate(_c(runs), F.lit(0), lambda acc, x: acc + x["c"])

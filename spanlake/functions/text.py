@@ -74,7 +74,7 @@ def squad_normalize(col) -> Column:
     lowered = F.lower(_c(col))
     no_punct = F.translate(lowered, ASCII_PUNCTUATION, "")
     arts = "|".join(ARTICLES)
-    no_art = F.regexp_replace(no_punct, rf"(?U)\b({arts})\b", " ")
+    no_art = F.regexp_replace(no_punct, rf"(?<![\p{{L}}\p{{N}}_])({arts})(?![\p{{L}}\p{{N}}_])", " ")
     return F.array_join(ws_split(no_art), " ")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.functions.arrays import explode_rows, pad_array, posexplode_rows, skip_specials
+from spanlake.functions.arrays import explode_rows, pad_array
 from spanlake.operators.sampling import global_rank, shuffle
 from spanlake.operators.tokens import token_strings
 
@@ -38,27 +38,25 @@ def build_vocab(texts: DataFrame, cols: list[str]) -> DataFrame:
     return ranked.select("tok", "cnt", (F.col("_r") - 1 + len(SPECIALS)).cast("int").alias("id"))
 
 
-def encode_columns(df: DataFrame, key: str, cols: list[str], vocab: DataFrame) -> DataFrame:
-    """``key, <col>_ids...``: vocabulary ids of each column's tokens (unknown -> UNK).
+def encode_columns(df: DataFrame, key: str, cols: list[str], vocab: DataFrame, max_tokens: int | None = None) -> DataFrame:
+    """``key, <col>_ids...``: vocabulary ids of each column's tokens (unknown -> UNK), the first
+    ``max_tokens`` if given (cut before any token is shuffled).
 
-    One explode over all columns, one vocabulary join, one regroup by key. Rows whose
-    columns have no token still get empty arrays: their keys join the regroup as a
-    union (no join back to the input)."""
-    sides = F.array(*[
-        F.struct(F.lit(i).alias("side"), token_strings(c).alias("toks")) for i, c in enumerate(cols)
-    ])
+    One explode over all columns, one vocabulary join, one regroup by row: rows of equal
+    key stay apart, and the outer explode carries rows without tokens through, so the
+    input is evaluated once."""
+    part = [F.slice(token_strings(c), 1, max_tokens) if max_tokens else token_strings(c) for c in cols]
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), t.alias("toks")) for i, t in enumerate(part)])
     gen, keep = explode_rows(sides, "_s")
-    per_side = df.select(key, gen).where(keep).select(key, "_s.side", "_s.toks")
-    gen, keep = posexplode_rows("toks", "pos", "tok")
-    rows = per_side.select(key, "side", gen).where(keep)
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())  # before the generator multiplies rows
+    per_side = numbered.select("_row", key, gen).where(keep).select("_row", key, "_s.side", "_s.toks")
+    rows = per_side.select("_row", key, "side", F.posexplode_outer("toks").alias("pos", "tok"))
     ids = rows.join(vocab.select("tok", "id"), "tok", "left").select(
-        key, "side", "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")
+        "_row", key, "side", "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")
     )
-    keys = df.select(key, F.lit(None).cast("int").alias("side"), F.lit(None).cast("int").alias("pos"),
-                     F.lit(None).cast("int").alias("id"))
     entry = F.struct("pos", "id")
-    grouped = ids.unionByName(keys).groupBy(key).agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("side") == i, entry))).alias(f"_p{i}")
+    grouped = ids.groupBy("_row", key).agg(*[
+        F.array_sort(F.collect_list(F.when((F.col("side") == i) & F.col("pos").isNotNull(), entry))).alias(f"_p{i}")
         for i in range(len(cols))
     ])
     return grouped.select(key, *[
@@ -66,11 +64,6 @@ def encode_columns(df: DataFrame, key: str, cols: list[str], vocab: DataFrame) -
     ])
 
 
-def encode_ids(df: DataFrame, key: str, col: str, vocab: DataFrame, out: str) -> DataFrame:
-    """``key, out`` with the vocabulary ids of ``col``'s tokens (unknown -> UNK)."""
-    return encode_columns(df, key, [col], vocab).withColumnRenamed(f"{col}_ids", out)
-
-
 def frame(ids, max_len: int | None):
     """``[CLS] ids [SEP]``, truncated so the whole fits in ``max_len``."""
     body = F.slice(ids, 1, max_len - 2) if max_len else ids
@@ -81,7 +74,7 @@ def encode_pairs(pairs: DataFrame, vocab: DataFrame, key: str = "pair_id", max_l
                  pad: bool = True, src: str = "Query", tgt: str = "Segment") -> DataFrame:
     """``key, input_ids, attention_mask, labels`` (G9): truncate and pad both sides
     to ``max_len``; mask is 1 on real tokens."""
-    j = encode_columns(pairs, key, [src, tgt], vocab)
+    j = encode_columns(pairs, key, [src, tgt], vocab, max_len - 2 if max_len else None)
     inp, lab = frame(F.col(f"{src}_ids"), max_len), frame(F.col(f"{tgt}_ids"), max_len)
     out = j.select(key, inp.alias("input_ids"), lab.alias("labels"))
     out = out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
@@ -113,22 +106,19 @@ def batch_pad(encoded: DataFrame, key: str = "pair_id", batch_size: int = 16, se
 
 def decode(df: DataFrame, key: str, ids_col: str, vocab: DataFrame, out: str = "text",
            skip_special: bool = True) -> DataFrame:
-    """ids -> text joined by spaces (G11), dropping specials and label padding."""
-    gen, keep = posexplode_rows(ids_col, "pos", "id")
-    rows = df.select(key, gen).where(keep)
+    """ids -> text joined by spaces (G11), dropping specials and label padding (C5). The input is
+    evaluated once (it may be a scorer): specials go inside the array, and the outer explode
+    keeps rows that are left without ids; rows of equal key stay apart."""
+    ids = F.col(ids_col)
     if skip_special:
-        rows = rows.where(F.col("id") >= len(SPECIALS))
+        ids = F.filter(ids, lambda i: i >= len(SPECIALS))
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered.select("_row", key, F.posexplode_outer(ids).alias("pos", "id"))
     named = rows.join(vocab.select("id", "tok"), "id", "left").select(
-        key, "pos", F.coalesce("tok", F.lit(SPECIALS[UNK_ID])).alias("tok")
+        "_row", key, "pos", F.coalesce("tok", F.lit(SPECIALS[UNK_ID])).alias("tok")
     )
-    keys = df.select(key, F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("tok"))
     entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "tok"))
-    grouped = named.unionByName(keys).groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
+    grouped = named.groupBy("_row", key).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
     return grouped.select(
         key, F.coalesce(F.array_join(F.transform("_p", lambda x: x["tok"]), " "), F.lit("")).alias(out)
     )
-
-
-def decode_tokens(tokens, specials=SPECIALS):
-    """Token-string variant of C5 for already-decoded arrays."""
-    return skip_specials(tokens, list(specials))

@@ -31,11 +31,6 @@ def flatten_qa(nested: DataFrame) -> DataFrame:
     )
 
 
-def project(df: DataFrame, *cols: str) -> DataFrame:
-    """Column projection (B1); Catalyst prunes the scan to these columns."""
-    return df.select(*cols)
-
-
 def strip_questions(df: DataFrame, col: str = "question") -> DataFrame:
     """Python-``strip`` semantics for the question column."""
     return df.withColumn(col, strip_text(col))

@@ -68,12 +68,3 @@ def with_rouge(df: DataFrame, pred: str = "prediction_text", ref: str = "referen
         )
     return out
 
-
-def rouge_means(rows: DataFrame, by: list[str] | None = None, keys=ROUGE_KEYS) -> DataFrame:
-    """Macro averages, nine outputs for three keys."""
-    aggs = [
-        F.avg(F.col(f"{k}.{m}")).alias(f"{k}_{m}")
-        for k in keys
-        for m in ("fmeasure", "precision", "recall")
-    ]
-    return rows.groupBy(*(by or [])).agg(*aggs)

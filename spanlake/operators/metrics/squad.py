@@ -16,10 +16,12 @@ from spanlake.functions.text import squad_tokens
 
 
 def pair_up(preds: DataFrame, refs: DataFrame, key: str = "id", how: str = "left") -> DataFrame:
-    """References joined to predictions by key. ``how='left'`` keeps references
-    without a prediction (their prediction is the empty string) (D5/D6)."""
-    joined = refs.join(preds, key, how)
-    return joined.withColumn("prediction_text", F.coalesce(F.col("prediction_text"), F.lit("")))
+    """References joined to predictions by key. ``how='left'`` keeps references without a
+    prediction: their prediction is the empty string and ``matched`` is false, which scores
+    0 whatever the gold text normalises to (D5/D6)."""
+    joined = refs.join(preds.withColumn("matched", F.lit(True)), key, how)
+    return joined.withColumn("prediction_text", F.coalesce(F.col("prediction_text"), F.lit(""))).withColumn(
+        "matched", F.coalesce("matched", F.lit(False)))
 
 
 def f1_from_counts(same: Column, n_pred: Column, n_gold: Column) -> Column:
@@ -40,6 +42,7 @@ def f1_from_counts(same: Column, n_pred: Column, n_gold: Column) -> Column:
 def squad_rows(pairs: DataFrame, gold_col: str = "answers.text") -> DataFrame:
     """Per-row ``em`` and ``f1`` (0/1 and 0..1), maximum over an array of gold texts."""
     golds = F.col(gold_col)
+    counts = F.col("matched") if "matched" in pairs.columns else F.lit(True)
 
     def per_gold(pt):
         return F.transform(
@@ -55,16 +58,8 @@ def squad_rows(pairs: DataFrame, gold_col: str = "answers.text") -> DataFrame:
 
     return (
         pairs.withColumn("_s", let(squad_tokens(F.col("prediction_text")), per_gold))
-        .withColumn("em", F.coalesce(F.array_max(F.col("_s.em")), F.lit(0.0)))
-        .withColumn("f1", F.coalesce(F.array_max(F.col("_s.f1")), F.lit(0.0)))
+        .withColumn("em", F.when(counts, F.coalesce(F.array_max(F.col("_s.em")), F.lit(0.0))).otherwise(0.0))
+        .withColumn("f1", F.when(counts, F.coalesce(F.array_max(F.col("_s.f1")), F.lit(0.0))).otherwise(0.0))
         .drop("_s")
     )
 
-
-def squad_scores(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """``exact_match`` and ``f1`` in percent (E3, E4), optionally per group."""
-    aggs = [
-        (F.avg("em") * 100).alias("exact_match"),
-        (F.avg("f1") * 100).alias("f1"),
-    ]
-    return rows.groupBy(*(by or [])).agg(*aggs)

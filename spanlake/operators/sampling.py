@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+MAX_DIGITS = 5  # a million offsets at most are broadcast
 DEFAULT_DIGITS = 4  # 65,536 buckets: ~1.5M rows per bucket at 1e11 rows; offsets <= 65,536 rows
 
 
@@ -35,11 +36,13 @@ def global_rank(
     rank_col: str = "rank",
     with_total: bool = False,
     broadcast_offsets: bool = True,
+    first: int | None = None,
 ) -> DataFrame:
     """Exact 1-based rank of every row by ``order``; ``bucket`` must be a prefix
     (monotone function) of that order. With ``broadcast_offsets`` the caller
     guarantees a bounded number of bucket values; otherwise the planner sizes the
-    offsets join itself."""
+    offsets join itself. With ``first`` only buckets that hold one of the first ranks are
+    kept, before any row is shuffled."""
     b = df.withColumn("_bucket", bucket)
     sizes = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w_all = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -48,6 +51,8 @@ def global_rank(
         F.coalesce(F.sum("_n").over(w_all), F.lit(0)).alias("_offset"),
         F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_total"),
     )
+    if first is not None:
+        offsets = offsets.where(F.col("_offset") < first)
     w = Window.partitionBy("_bucket").orderBy(*order)
     # offsets has one row per bucket value (16**digits for hash buckets: a proven bound)
     ranked = b.join(F.broadcast(offsets) if broadcast_offsets else offsets, "_bucket").withColumn(
@@ -67,10 +72,12 @@ def _tie_breakers(df: DataFrame, keys: list[str]) -> list:
 
 
 def shuffle(df: DataFrame, key: str | list[str], seed: int = 42, digits: int = DEFAULT_DIGITS,
-            rank_col: str = "rank", with_total: bool = False) -> DataFrame:
+            rank_col: str = "rank", with_total: bool = False, first: int | None = None) -> DataFrame:
     """Seeded full permutation (F1): adds ``rank`` (1..n); order by it to shuffle.
     ``key`` should be unique (an id): equal keys share a hash and a bucket (ties are
     broken by the other columns)."""
+    if not 1 <= digits <= MAX_DIGITS:
+        raise ValueError(f"digits must be 1 to {MAX_DIGITS}")
     keys = [key] if isinstance(key, str) else list(key)
     h = hash_key(keys, seed)
     df = df.withColumn("_h", h)
@@ -80,33 +87,23 @@ def shuffle(df: DataFrame, key: str | list[str], seed: int = 42, digits: int = D
         F.substring(F.col("_h"), 1, digits),
         rank_col=rank_col,
         with_total=with_total,
+        first=first,
     )
     return out.drop("_h")
 
 
-TOPK_MAX = 100_000  # samples up to this size use a top-k instead of ranking every row
-
-
 def sample_exact(df: DataFrame, key: str | list[str], k: int, seed: int = 42,
-                 strict: bool = False) -> DataFrame:
+                 strict: bool = True, digits: int = DEFAULT_DIGITS) -> DataFrame:
     """The first ``k`` rows of the seeded permutation (F2), with their rank.
 
-    Up to ``TOPK_MAX`` rows this is a top-k (each task keeps its best ``k`` by the hash,
-    one merge of at most ``k`` rows per task, no shuffle of the data) and the ``k``
-    survivors are ranked; larger samples filter the distributed rank.
-    ``strict=True`` fails like the reference's ``select(range(k))`` when k > n (this
-    costs one count)."""
+    Bucket sizes tell which hash buckets the sample can reach; only their rows (about
+    ``k``, whatever the columns) are shuffled and ranked. ``strict`` fails like the
+    reference's ``select(range(k))`` when k > n (one count); without it all n rows come."""
     if strict:
         n = df.count()
         if k > n:
             raise IndexError(f"sample of {k} rows asked from {n} rows")
-    if k > TOPK_MAX:
-        return shuffle(df, key, seed).where(F.col("rank") <= k)
-    keys = [key] if isinstance(key, str) else list(key)
-    order = [F.col("_h")] + [F.col(c) for c in keys] + _tie_breakers(df, keys)
-    top = df.withColumn("_h", hash_key(keys, seed)).orderBy(*order).limit(k)
-    # at most k (bounded) rows remain, so one ordered window over them is fine
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).drop("_h")
+    return shuffle(df, key, seed, digits, first=k).where(F.col("rank") <= k)
 
 
 def train_val_split(df: DataFrame, key: str | list[str], val_fraction: float = 0.10,

@@ -52,14 +52,16 @@ def window_features(
     ctx_index_first, ctx_index_last, ctx_start, ctx_end, ctx_text, tokens, seq_ids,
     offsets, _w``. ``ctx_text`` is the context
     between the window's first and last token, so later steps never need the whole
-    context again. All window slices are cut inside the example's row before the
-    explode: the explode carries only one window each, never the whole document.
-    Examples whose question leaves no room (``cap <= stride``) are dropped here; see
-    :func:`too_long`.
+    context again. Windows are cut in two steps, blocks of windows and then windows, so
+    that no row holds more than a block (about twice its share of the context).
+
+    Every example comes out: a NULL question or context counts as empty, and an example
+    whose question leaves no room for a step (``cap <= stride``) gives one row flagged
+    ``too_long`` without context tokens.
     """
     keep = list(keep or [])
     q_arr = (
-        token_array(strip_text(question_col))
+        token_array(F.coalesce(strip_text(question_col), F.lit("")))
         if question_col
         else F.array().cast("array<struct<tok:string,start:int,end:int>>")
     )
@@ -67,8 +69,8 @@ def window_features(
         F.col(id_col).alias("id"),
         *keep,
         q_arr.alias("_q"),
-        token_array(context_col).alias("_ctx"),
-        F.col(context_col).alias("_context"),
+        token_array(F.coalesce(F.col(context_col), F.lit(""))).alias("_ctx"),
+        F.coalesce(F.col(context_col), F.lit("")).alias("_context"),
     )
     qn = F.size("_q")
     cap = F.lit(max_length - n_special) - qn
@@ -84,34 +86,47 @@ def window_features(
     sized = base.select(
         "*", qn.alias("q_len"), cap.alias("_cap"), step.alias("_step"), F.size("_ctx").alias("_n"),
         *bounds,
-    ).where(F.col("_step") > 0)
+    ).select("*", (F.col("_step") <= 0).alias("too_long"))
+    fits = ~F.col("too_long")
+    # windows in a block: as many as make its steps cover one window's capacity
+    per = F.when(fits, F.greatest(F.lit(1), F.ceil(F.col("_cap") / F.col("_step")).cast("int"))).otherwise(1)
+    n_win = F.when(fits, window_count(F.col("_n"), F.col("_cap"), F.col("_step"))).otherwise(1)
+    sized = sized.select("*", per.alias("_per"), n_win.alias("_n_win"))
+
+    def cut(tokens, text, text_from, name):
+        """Tokens with the text between the first and the last of them (offsets stay those of the context)."""
+        a, b = F.get(tokens, 0)["start"], F.get(tokens, F.size(tokens) - 1)["end"]
+        return [tokens.alias(name), a.alias("ctx_start"), b.alias("ctx_end"),
+                F.substring(text, a - text_from + 1, b - a).alias("ctx_text")]
+
+    def one_block(b):
+        first = b * F.col("_per")
+        here = F.least(F.col("_per"), F.col("_n_win") - first)
+        span = F.when(fits, (here - 1) * F.col("_step") + F.col("_cap")).otherwise(0)
+        return let(
+            F.slice("_ctx", F.when(fits, first * F.col("_step")).otherwise(0) + 1, span),
+            lambda w: F.struct(first.alias("first"), here.alias("here"), *cut(w, F.col("_context"), F.lit(0), "tokens")),
+        )
+
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.col("_n_win") / F.col("_per")).cast("int") - 1), one_block)
+    gen, keep_row = explode_rows(blocks, "_b")
+    extra = ["_S", "_E"] if answer_cols else []
+    base_cols = ["id", *keep, *extra, "_q", "q_len", "too_long"]
+    blocked = sized.select(*base_cols, "_cap", "_step", gen).where(keep_row)
 
     def one_window(k):
-        first = k * F.col("_step")
         return let(
-            F.slice("_ctx", first + 1, F.col("_cap")),
+            F.slice(
+                F.col("_b.tokens"), F.when(fits, k * F.col("_step")).otherwise(0) + 1, F.when(fits, F.col("_cap")).otherwise(0)),
             lambda w: F.struct(
-                k.alias("window_no"),
-                first.alias("ctx_first"),
-                w.alias("_w"),
-                F.get(w, 0)["start"].alias("ctx_start"),
-                F.get(w, F.size(w) - 1)["end"].alias("ctx_end"),
-                F.substring(
-                    F.col("_context"),
-                    F.get(w, 0)["start"] + 1,
-                    F.get(w, F.size(w) - 1)["end"] - F.get(w, 0)["start"],
-                ).alias("ctx_text"),
+                (F.col("_b.first") + k).alias("window_no"),
+                F.when(fits, (F.col("_b.first") + k) * F.col("_step")).otherwise(0).alias("ctx_first"),
+                *cut(w, F.col("_b.ctx_text"), F.col("_b.ctx_start"), "_w"),
             ),
         )
 
-    all_windows = F.transform(
-        F.sequence(F.lit(0), window_count(F.col("_n"), F.col("_cap"), F.col("_step")) - 1), one_window
-    )
-    gen, keep_row = explode_rows(all_windows, "_win")
-    extra = ["_S", "_E"] if answer_cols else []
-    win = sized.select("id", *keep, *extra, "_q", "q_len", gen).where(keep_row).select(
-        "id", *keep, *extra, "_q", "q_len", "_win.*"
-    )
+    gen, keep_row = explode_rows(F.transform(F.sequence(F.lit(0), F.col("_b.here") - 1), one_window), "_win")
+    win = blocked.select(*base_cols, gen).where(keep_row).select(*base_cols, "_win.*")
     # Packed sequence from native array expressions (field extraction, concat, repeat):
     # [CLS] question [SEP]*(n_special-2) window [SEP] [PAD]*
     m = F.size("_w")
@@ -148,6 +163,7 @@ def window_features(
         "ctx_start",
         "ctx_end",
         "ctx_text",
+        "too_long",
         tokens.alias("tokens"),
         seq_ids.alias("seq_ids"),
         offsets.alias("offsets"),
@@ -185,9 +201,3 @@ def align_span(features: DataFrame, start_col: str = "answer_start", end_col: st
         F.when(inside, end_pos).otherwise(F.lit(0)).alias("end_position"),
     )
 
-
-def too_long(examples: DataFrame, max_length: int = 512, stride: int = 128, n_special: int = 3,
-             id_col: str = "id", question_col: str = "question") -> DataFrame:
-    """Side output: examples whose question leaves no room for a context window."""
-    qn = F.size(token_array(strip_text(question_col)))
-    return examples.where(F.lit(max_length - n_special - stride) - qn <= 0).select(id_col)

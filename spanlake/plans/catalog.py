@@ -14,20 +14,21 @@ from pyspark.sql import functions as F
 
 from spanlake.functions.arrays import top_n_indices
 from spanlake.operators import decode, dedup, encode, sampling, scoring, windows
-from spanlake.operators.flatten import flatten_qa
+from spanlake.operators.flatten import flatten_qa, to_pair_references
 from spanlake.operators.metrics import bleu, registry, rouge, squad
 from spanlake.operators.tokens import tokenize_offsets
 from spanlake.plans import pairs as pair_plan
 from spanlake.plans import span as span_plan
 from spanlake.session import cut_lineage
-from spanlake.sources import views
+from spanlake.sources import rowid, views
 
+K_VAL = 3  # fixed value: validation pairs that the pair task scores (strict: fewer is an error)
 SEED = 42  # fixed value: seed of every shuffle, sample and split in the queries
 
 
 def _examples(spark: SparkSession, sf: str) -> DataFrame:
-    """QA examples, materialised once per query (parquet written into the shared
-    checkpoint folder): the containment join behind them feeds several branches."""
+    """QA examples for queries that read them in several branches: written once into the
+    shared checkpoint folder."""
     return cut_lineage(views.qa_examples(spark, sf))
 
 
@@ -100,7 +101,7 @@ WIN_MAX_LENGTH, WIN_STRIDE = 128, 32  # driver queries: small windows so context
 
 def _qa_windows(spark: SparkSession, sf: str, ex: DataFrame | None = None,
                 keep: list[str] | None = None) -> DataFrame:
-    ex = ex if ex is not None else _examples(spark, sf)
+    ex = ex if ex is not None else views.qa_examples(spark, sf)
     return windows.window_features(
         ex, max_length=WIN_MAX_LENGTH, stride=WIN_STRIDE,
         keep=["answer_start", "answer_end", *(keep or [])],
@@ -254,7 +255,7 @@ def q_span_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_pair_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
-    r = pair_plan.run_pair_task(views.pairs(spark, sf), k_val=1000, seed=SEED)
+    r = pair_plan.run_pair_task(views.pairs(spark, sf), k_val=K_VAL, seed=SEED)
     return r.select("pair_id", "prediction_text", "em", _round(F.col("f1")).alias("f1"),
                     _round(F.col("bleu")).alias("bleu"))
 
@@ -277,7 +278,7 @@ def q_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     from spanlake.session import shared_dir
     from spanlake.sources import files
 
-    ex = _examples(spark, sf).select("question", "answer", "answer_start", "answer_end", "context", "id")
+    ex = views.qa_examples(spark, sf).select("question", "answer", "answer_start", "answer_end", "context", "id")
     path = shared_dir(spark, "examples-csv")
     files.write_examples_csv(ex, path)
     back = files.read_examples_csv(spark, path)
@@ -322,7 +323,7 @@ def q_split_counts(spark: SparkSession, sf: str) -> DataFrame:
     uniq = dd.drop_all_duplicates(p, ["Query", "Segment"])
     split = cut_lineage(sampling.train_val_split(uniq, "pair_id", 0.10, SEED), "pairs-split")
     train = split.where(F.col("split") == "train").drop("rank", "split")
-    sampled = sampling.sample_exact(train, "pair_id", 100, SEED)
+    sampled = sampling.sample_exact(train, "pair_id", 100, SEED, strict=False)
     return split.agg(
         p.agg(F.count(F.lit(1))).scalar().alias("n_pairs"),
         F.count(F.lit(1)).alias("n_unique"),
@@ -348,6 +349,112 @@ def q_token_span_text(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_window_edge_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Every passage as an example with a NULL question, with a NULL context, and with a question
+    of ten copies of itself (mostly too long): each id comes out, flagged if no window fits."""
+    b = views.table(spark, sf, "benchmark").select("item_id", "text")
+    none = F.lit(None).cast("string")
+    kinds = F.array(
+        F.struct(F.lit("no-question").alias("kind"), none.alias("question"), F.col("text").alias("context")),
+        F.struct(F.lit("no-context").alias("kind"), F.col("text").alias("question"), none.alias("context")),
+        F.struct(F.lit("long-question").alias("kind"), F.repeat(F.concat("text", F.lit(" ")), 10).alias("question"), F.col("text").alias("context")),
+    )
+    ex = b.select("item_id", F.explode(kinds).alias("k")).select(
+        F.concat_ws("-", F.col("item_id").cast("string"), "k.kind").alias("id"), "k.question", "k.context")
+    f = windows.window_features(ex, max_length=512, stride=128)
+    return f.select("id", F.col("too_long").cast("bigint").alias("too_long"), *[
+        F.col(c).cast("bigint").alias(c) for c in ["window_no", "q_len", "ctx_first", "n_ctx", "seq_len"]])
+
+
+def q_evaluate_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """EM and F1 with missing predictions. References: every passage (gold texts: itself and ``the``)
+    and, for every passage, one whose only gold text is ``the``. Run ``found`` answers the
+    passages that a document contains, with an article and marks added; the ids of run ``stray`` match nothing."""
+    b = views.table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text")
+    golds = lambda c: F.struct(c.alias("text"), F.transform(c, lambda _: F.lit(0)).alias("answer_start")).alias("answers")
+    refs = b.select("id", golds(F.array(F.col("text"), F.lit("the")))).unionByName(
+        b.select(F.concat(F.lit("the-"), "id").alias("id"), golds(F.array(F.lit("the")))))
+    hit = views.qa_examples(spark, sf).select(F.col("item_id").cast("string").alias("id")).distinct()
+    found = b.join(hit, "id").select(F.lit("found").alias("run"), "id", F.concat(F.lit("The "), "text", F.lit("!!")).alias("prediction_text"))
+    stray = b.select(F.lit("stray").alias("run"), F.concat(F.lit("no-"), "id").alias("id"), F.col("text").alias("prediction_text"))
+    out = registry.leaderboard(found.unionByName(stray), refs, metrics=("exact_match",))
+    return out.select("run", F.col("n").cast("bigint").alias("n"), _round(F.col("exact_match")).alias("exact_match"), _round(F.col("f1")).alias("f1"))
+
+
+def q_rouge_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The nine ROUGE means of every run."""
+    ex = _examples(spark, sf)
+    out = registry.leaderboard(views.runs(spark, sf, ex), views.references(ex), metrics=("rouge",))
+    return out.select("run", F.col("n").cast("bigint").alias("n"), *[_round(F.col(c)).alias(c) for c in registry.METRICS["rouge"]])
+
+
+def q_row_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Row ids, content keys, features, count and first row of the documents."""
+    docs = views.table(spark, sf, "documents")
+    ids = rowid.with_key_id(rowid.with_row_id(docs), ["doc_id", "text"])
+    n = ids.agg(F.countDistinct("row_id").alias("n_row_ids"), F.countDistinct("row_key").alias("n_row_keys"))
+    first = rowid.preview(docs, "doc_id").agg(F.min("doc_id").alias("first_id"), F.min("lang").alias("first_lang"))
+    return rowid.describe_dataset(docs).select(
+        "features", "num_rows", n.select("n_row_ids").scalar().alias("n_row_ids"), n.select("n_row_keys").scalar().alias("n_row_keys"),
+        first.select("first_id").scalar().alias("first_id"), first.select("first_lang").scalar().alias("first_lang"))
+
+
+def q_pair_references(spark: SparkSession, sf: str) -> DataFrame:
+    return to_pair_references(views.pairs(spark, sf))
+
+
+def q_load_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Three named splits, written as CSV and loaded into one frame (A5)."""
+    from spanlake.session import shared_dir
+    from spanlake.sources import files
+
+    p = cut_lineage(sampling.train_val_split(views.pairs(spark, sf), "pair_id", 0.10, SEED), "pairs-split")
+    flat = p.select(
+        F.col("Query").alias("question"), F.col("Segment").alias("answer"), F.lit(0).alias("answer_start"),
+        F.length("Segment").alias("answer_end"), F.col("Segment").alias("context"), F.col("pair_id").alias("id"), "split")
+    paths = {}
+    for name, part in (("train", flat.where("split = 'train'")), ("validation", flat.where("split = 'val'")), ("all", flat)):
+        paths[name] = shared_dir(spark, f"split-{name}")
+        files.write_examples_csv(part.drop("split"), paths[name])
+    back = files.load_splits(spark, paths)
+    return back.select("split", "id", "question", "answer", F.col("answer_end").cast("bigint").alias("answer_end"))
+
+
+def q_map_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Batched one-to-many map (H1): each pair becomes the sentences of its segment."""
+
+    def sentences(pdf):
+        parts = pdf["Segment"].str.split(". ", regex=False)
+        out = pdf[["pair_id"]].assign(sentence=parts).explode("sentence")
+        out["no"] = out.groupby(level=0).cumcount()
+        return out[["pair_id", "no", "sentence"]]
+
+    return scoring.map_batches(views.pairs(spark, sf).select("pair_id", "Segment"), sentences, "pair_id string, no long, sentence string")
+
+
+def q_unanswerable_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user turn as a question without answers on the assistant turn: answer ``NA``, labels
+    (0, 0) in each window (B3, S2, G6)."""
+    none = F.array().cast("array<struct<text:string,answer_start:int>>")
+    qa = F.struct(F.col("Query").alias("question"), F.col("pair_id").alias("id"), none.alias("answers"))
+    nested = views.pairs(spark, sf).select(
+        F.array(F.struct(F.array(F.struct(F.col("Segment").alias("context"), F.array(qa).alias("qas"))).alias("paragraphs"))).alias("data"))
+    f = windows.align_span(windows.window_features(
+        flatten_qa(nested), max_length=256, stride=32, keep=["answer", "answer_start", "answer_end"], answer_cols=("answer_start", "answer_end")))
+    return f.select("id", "answer", *[
+        F.col(c).cast("bigint").alias(c) for c in ["window_no", "n_ctx", "start_position", "end_position"]])
+
+
+def q_span_from_logits(spark: SparkSession, sf: str) -> DataFrame:
+    """Model output as a table joined by (id, window_no), decoded with 512/128 and 20/100.
+    The table has logits for the first three windows of a document; later ones have none."""
+    ex = views.doc_examples(spark, sf)
+    b = span_plan.decode_with_logits(ex, views.logits_table(spark, sf), 512, 128, 20, 100)
+    return b.select(
+        F.col("id").cast("bigint").alias("id"), "prediction_text", F.col("start_char").cast("bigint").alias("start_char"),
+        F.col("end_char").cast("bigint").alias("end_char"), _round(F.col("score"), 5).alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_qa": q_flatten_qa,
     "squad_em_f1": q_squad_em_f1,
@@ -382,5 +489,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "split_counts": q_split_counts,
     "features_per_example": q_features_per_example,
     "token_span_text": q_token_span_text,
+    "window_edge_cases": q_window_edge_cases,
+    "evaluate_missing": q_evaluate_missing,
+    "rouge_report": q_rouge_report,
+    "row_ids": q_row_ids,
+    "pair_references": q_pair_references,
+    "load_splits": q_load_splits,
+    "map_batches": q_map_batches,
+    "unanswerable_labels": q_unanswerable_labels,
+    "span_from_logits": q_span_from_logits,
 }
 FLAGSHIP = "span_end_to_end"

@@ -2,8 +2,9 @@
 
     python -m spanlake.plans.explain /root/testdata/sf0.1 docs/plans span_end_to_end best_span
 
-The plans are taken after one run, so adaptive execution has settled them (join
-strategies, coalesced partitions). Used to review shuffles, broadcasts and pruning.
+The plans are taken after the same DataFrame has been collected, so they are the final ones
+of adaptive execution (join strategies, coalesced partitions): for results of a size that
+a driver holds. Used to review shuffles, broadcasts and pruning.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ def explain_queries(spark, sf_dir: str, out_dir: str, names: list[str]) -> list[
     written = []
     for name in names:
         df = QUERIES[name](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
+        df.collect()  # on this very DataFrame: another action would settle another plan
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
             df.explain("formatted")

@@ -1,9 +1,8 @@
 """Query -> segment plan: pairs -> drop duplicated pairs -> exact 90/10
 split -> first k validation rows -> encode -> score -> decode -> metrics.
 
-The stand-in generator (H2) reproduces the label ids, so the scored text is the
-decoded, truncated segment; any ``mapInPandas`` scorer with the same output schema
-can replace it.
+The stand-in generator (H2) repeats the query: it sees the input ids only, never the labels; any
+``mapInPandas`` scorer with the same output schema can replace it.
 """
 
 from __future__ import annotations
@@ -22,17 +21,17 @@ _GEN_SCHEMA = T.StructType(
 )
 
 
-def echo_labels_scorer():
-    """Scorer factory: returns the label ids as the generated ids."""
+def echo_query_scorer():
+    """Scorer factory: returns the input ids as the generated ids."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"pair_id": pdf["pair_id"], "pred_ids": pdf["labels"]})
+        return pd.DataFrame({"pair_id": pdf["pair_id"], "pred_ids": pdf["input_ids"]})
 
     return run
 
 
 def run_pair_task(pairs: DataFrame, val_fraction: float = 0.10, k_val: int = 1000,
-                  max_len: int = 64, seed: int = 42, scorer_factory=echo_labels_scorer,
+                  max_len: int = 64, seed: int = 42, scorer_factory=echo_query_scorer,
                   materialize: bool = True) -> DataFrame:
     """Per validation pair: ``pair_id, prediction_text, em, f1, bleu``.
 
@@ -46,10 +45,10 @@ def run_pair_task(pairs: DataFrame, val_fraction: float = 0.10, k_val: int = 100
     )
     split = keep(sampling.train_val_split(uniq, "pair_id", val_fraction, seed), "pairs-split")
     val = split.where(F.col("split") == "val")
-    val = sampling.sample_exact(val.drop("rank", "split"), "pair_id", k_val, seed)
+    val = keep(sampling.sample_exact(val.drop("rank", "split"), "pair_id", k_val, seed), "pairs-val")
     vocab = keep(encode.build_vocab(uniq, ["Query", "Segment"]), "pairs-vocab")
     enc = encode.encode_pairs(val, vocab, "pair_id", max_len)
-    gen = scoring.score(enc.select("pair_id", "labels"), scorer_factory, _GEN_SCHEMA)
+    gen = scoring.score(enc.select("pair_id", "input_ids"), scorer_factory, _GEN_SCHEMA)
     text = encode.decode(gen, "pair_id", "pred_ids", vocab, out="prediction_text")
     scored = text.join(val.select("pair_id", "Segment"), "pair_id").withColumn(
         "golds", F.array("Segment")

@@ -28,6 +28,16 @@ def prepare(examples: DataFrame, max_length: int = 512, stride: int = 128, n_spe
     return cut_lineage(f) if checkpoint_features else f
 
 
+def decode_with_logits(examples: DataFrame, logits: DataFrame, max_length: int = 512, stride: int = 128,
+                       n_best: int = 20, max_answer_length: int = 100) -> DataFrame:
+    """Best span per example from a table of model output (id, window_no, start_logits, end_logits).
+    Examples without any output are not tokenised; they and those whose windows have none
+    predict the empty string."""
+    some = examples.join(logits.select("id").distinct(), "id", "left_semi")
+    feats = windows.window_features(some, max_length, stride, question_col=None)
+    return decode.best_span(examples, decode.attach_logits(feats, logits), n_best, max_answer_length)
+
+
 def predict(examples: DataFrame, max_length: int = 512, stride: int = 128, n_best: int = 20,
             max_answer_length: int = 100, logits: DataFrame | None = None) -> DataFrame:
     """Best span per example; ``logits`` (id, window_no, start_logits, end_logits) from a

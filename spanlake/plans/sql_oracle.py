@@ -236,18 +236,22 @@ lp AS (
 )"""
 
 
-SPAN = span_positions() + """,
+def top_spans(n_best: int) -> str:
+    return f""",
 top_s AS (
   SELECT doc_id, window_no, p, tpos, sv,
          row_number() OVER (PARTITION BY doc_id, window_no ORDER BY sv DESC, p DESC) - 1 AS r
-  FROM lp QUALIFY r < 5
+  FROM lp QUALIFY r < {n_best}
 ),
 top_e AS (
   SELECT doc_id, window_no, p, tpos, ev,
          row_number() OVER (PARTITION BY doc_id, window_no ORDER BY ev DESC, p DESC) - 1 AS r
-  FROM lp QUALIFY r < 5
+  FROM lp QUALIFY r < {n_best}
 )"""
 
+
+SPAN = span_positions() + top_spans(5)
+
 ORACLE["top_n_indices"] = f"""
 WITH {SPAN}
 SELECT s.doc_id AS id, CAST(s.window_no AS BIGINT) AS window_no, s.top_start, e.top_end
@@ -257,13 +261,14 @@ JOIN (SELECT doc_id, window_no, string_agg(CAST(p AS VARCHAR), ' ' ORDER BY r) A
       FROM top_e GROUP BY ALL) e USING (doc_id, window_no)
 """
 
-ORACLE["best_span"] = f"""
-WITH {SPAN},
+def best_span(span: str, max_answer: int) -> str:
+    return f"""
+WITH {span},
 cand AS (
   SELECT s.doc_id, s.window_no, s.r AS sr, e.r AS er, s.tpos AS ts, e.tpos AS te,
          CAST(s.sv + e.ev AS FLOAT) AS score
   FROM top_s s JOIN top_e e USING (doc_id, window_no)
-  WHERE s.tpos IS NOT NULL AND e.tpos IS NOT NULL AND e.p >= s.p AND e.p - s.p + 1 <= 10
+  WHERE s.tpos IS NOT NULL AND e.tpos IS NOT NULL AND e.p >= s.p AND e.p - s.p + 1 <= {max_answer}
 ),
 best AS (
   SELECT * FROM cand
@@ -283,6 +288,11 @@ FROM documents d LEFT JOIN chars c USING (doc_id)
 """
 
 
+ORACLE["best_span"] = best_span(SPAN, 10)
+ORACLE["span_from_logits"] = best_span(
+    span_positions(512, 128).replace("ON e.vec_id = w.doc_id", "ON e.vec_id = w.doc_id AND w.window_no < 3") + top_spans(20), 100)
+
+
 def tokens_13a(x: str) -> str:
     s = f"replace(replace(replace({x}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
     for ent, rep in TOK13A_ENTITIES:
@@ -572,11 +582,11 @@ r AS (
 ),
 val AS (
   SELECT * FROM r WHERE rank <= ceil(n * 0.1)
-  QUALIFY row_number() OVER (ORDER BY md5('42|' || pair_id), pair_id) <= 1000
+  QUALIFY row_number() OVER (ORDER BY md5('42|' || pair_id), pair_id) <= 3
 ),
 pred AS (
   SELECT pair_id, "Segment" AS answer,
-         array_to_string(regexp_extract_all("Segment", '{TOKEN_PATTERN}', 0)[1:62], ' ') AS prediction_text
+         array_to_string(regexp_extract_all("Query", '{TOKEN_PATTERN}', 0)[1:62], ' ') AS prediction_text
   FROM val
 ),
 tk AS (
@@ -693,3 +703,85 @@ JOIN doc_tokens t ON t.doc_id = e.doc_id
 WHERE l.sp > 0
 GROUP BY l.id, l.window_no
 """
+
+
+def _window_rows(examples: str, max_length: int, stride: int) -> str:
+    """Windows of examples given with their token counts (id, qn, n)."""
+    return f"""
+ex AS ({examples}),
+p AS (SELECT *, {max_length - 3} - qn AS cap, {max_length - 3 - stride} - qn AS step FROM ex),
+w AS (
+  SELECT *, unnest(range(CASE WHEN step <= 0 OR n <= cap THEN 1 ELSE CAST(ceil((n - cap) / step) AS BIGINT) + 1 END)) AS window_no FROM p
+),
+f AS (
+  SELECT *, CASE WHEN step <= 0 THEN 0 ELSE window_no * step END AS ctx_first,
+         CASE WHEN step <= 0 THEN 0 ELSE greatest(0, least(cap, n - window_no * step)) END AS n_ctx
+  FROM w
+)"""
+
+
+_COUNT = f"len(regexp_extract_all(text, '{TOKEN_PATTERN}', 0))"
+ORACLE["window_edge_cases"] = f"""
+WITH {_window_rows(f"""
+  SELECT item_id::VARCHAR || '-no-question' AS id, 0 AS qn, {_COUNT} AS n FROM benchmark
+  UNION ALL SELECT item_id::VARCHAR || '-no-context', {_COUNT}, 0 FROM benchmark
+  UNION ALL SELECT item_id::VARCHAR || '-long-question', 10 * {_COUNT}, {_COUNT} FROM benchmark""", 512, 128)}
+SELECT id, (step <= 0)::BIGINT AS too_long, window_no::BIGINT AS window_no, qn::BIGINT AS q_len, ctx_first::BIGINT AS ctx_first,
+       n_ctx::BIGINT AS n_ctx, (qn + 3 + n_ctx)::BIGINT AS seq_len
+FROM f
+"""
+
+ORACLE["unanswerable_labels"] = f"""
+WITH {PAIRS},
+{_window_rows(f"""
+  SELECT pair_id AS id, len(regexp_extract_all("Query", '{TOKEN_PATTERN}', 0)) AS qn,
+         len(regexp_extract_all("Segment", '{TOKEN_PATTERN}', 0)) AS n FROM pairs""", 256, 32)}
+SELECT id, 'NA' AS answer, window_no::BIGINT AS window_no, n_ctx::BIGINT AS n_ctx, 0::BIGINT AS start_position, 0::BIGINT AS end_position
+FROM f
+"""
+
+ORACLE["evaluate_missing"] = f"""
+WITH {QA_EXAMPLES},
+n AS (SELECT 2 * count(*) AS n FROM benchmark),
+h AS (SELECT count(DISTINCT item_id) AS h FROM qa_examples)
+SELECT run, n::BIGINT AS n, round(100.0 * s / n, 6)::DOUBLE AS exact_match, round(100.0 * s / n, 6)::DOUBLE AS f1
+FROM n, (SELECT 'found' AS run, h AS s FROM h WHERE h > 0 UNION ALL SELECT 'stray', 0)
+"""
+
+ORACLE["rouge_report"] = f"""
+WITH {QA_EXAMPLES},
+r1 AS (SELECT run, id, precision AS p1, recall AS c1, fmeasure AS f1 FROM ({ORACLE['rouge_1']})),
+r2 AS (SELECT run, id, precision AS p2, recall AS c2, fmeasure AS f2 FROM ({ORACLE['rouge_2']})),
+rl AS (SELECT run, id, precision AS pl, recall AS cl, fmeasure AS fl FROM ({ORACLE['rouge_l']})),
+n AS (SELECT count(*) AS n FROM qa_examples)
+SELECT run, any_value(n)::BIGINT AS n,
+       {", ".join(f"round(sum({c}{k}) / any_value(n), 6) AS {name}_{m}"
+                  for k, name in (("1", "rouge1"), ("2", "rouge2"), ("l", "rougeL"))
+                  for c, m in (("f", "fmeasure"), ("p", "precision"), ("c", "recall")))}
+FROM r1 JOIN r2 USING (run, id) JOIN rl USING (run, id), n GROUP BY run
+"""
+
+ORACLE["row_ids"] = """
+SELECT 'doc_id, text, lang, source, n_chars' AS features, count(*)::BIGINT AS num_rows, count(*)::BIGINT AS n_row_ids,
+       (SELECT count(*) FROM (SELECT DISTINCT doc_id, text FROM documents))::BIGINT AS n_row_keys,
+       min(doc_id) AS first_id, arg_min(lang, doc_id) AS first_lang
+FROM documents
+"""
+
+ORACLE["pair_references"] = f"""
+WITH {PAIRS}
+SELECT pair_id, "Query", "Segment" FROM pairs
+"""
+
+ORACLE["load_splits"] = f"""
+WITH {PAIRS},
+r AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || pair_id), pair_id) AS rank, count(*) OVER () AS n FROM pairs),
+s AS (SELECT CASE WHEN rank <= ceil(n * 0.1) THEN 'validation' ELSE 'train' END AS split, * FROM r)
+SELECT split, pair_id AS id, "Query" AS question, "Segment" AS answer, length("Segment")::BIGINT AS answer_end FROM s
+UNION ALL SELECT 'all', pair_id, "Query", "Segment", length("Segment")::BIGINT FROM r
+"""
+
+ORACLE["map_batches"] = f"""
+WITH {PAIRS}
+SELECT pair_id, unnest(range(len(string_split("Segment", '. '))))::BIGINT AS no, unnest(string_split("Segment", '. ')) AS sentence FROM pairs
+"""

@@ -1,8 +1,8 @@
 """Session helpers.
 
 `shared_dir` returns a folder under the cluster's ``spark.checkpoint.dir`` (the shared
-location every executor can reach). Only when that setting is missing — local tests —
-is a fresh temporary folder created and registered as the checkpoint dir.
+location every executor can reach). Only when that setting is missing in a local session
+is a fresh temporary folder created and registered; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder; set a private one only if none is configured."""
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="spanlake-ckpt-")
     if not sc.getCheckpointDir():

@@ -19,32 +19,16 @@ from spanlake.functions.arrays import explode_rows
 from spanlake.functions.text import WORD_CLASS
 
 
-# fixed value: partitions per core when a small source is spread out
-SPREAD_FACTOR = 4
-
-# the driver's text-heavy tables and their keys
+#: Session setting: deal the text tables out to this many partitions (0: leave the scan's
+#: splits). Needed only where a table is one unsplittable file, as the test tables are.
+PARTITIONS_CONF = "spanlake.source.partitions"
 SPREAD_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a source stored in fewer files than the cluster has cores.
-
-    Such a source may be one parquet row group, which a scan hands to a single task, and
-    every per-row step fused into the scan (tokenising) would then run on one core. The
-    check is on the file listing (no data is read); the hash repartition by key costs a
-    shuffle of a table that small, and the key partitioning is kept by later
-    projections and explodes. A large table in many files is never repartitioned.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores * SPREAD_FACTOR, key)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    key = SPREAD_KEYS.get(name)
-    return spread(df, key) if key else df
+    n = int(spark.conf.get(PARTITIONS_CONF, "0"))
+    return df.repartition(n, SPREAD_KEYS[name]) if n and name in SPREAD_KEYS else df
 
 
 def _words(col):
@@ -59,13 +43,22 @@ def _inner_words(col):
     return F.regexp_extract_all(col, F.lit(pat), F.lit(0))
 
 
-def containment_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """All (doc_id, item_id) with ``instr(doc.text, item.text) > 0``, exactly.
+def _grams(col, sizes):
+    """Distinct substrings of the given sizes."""
+    def of(n):
+        return F.when(F.length(col) >= n, F.transform(F.sequence(F.lit(1), F.length(col) - n + 1), lambda i: F.substring(col, i, F.lit(n))))
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*[of(n) for n in sizes]))))
+
+
+def containment_matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, text, item_text, at) with ``at = instr(text, item_text) > 0``, exactly.
 
     Equi-join plan instead of testing every document against every item: each item is
     anchored on its rarest inner word (fewest documents), candidates come from an
-    equi-join of document words with anchors, and only candidates run ``instr``.
-    Items without an inner word (two tokens or less) are tested by ``instr`` directly.
+    equi-join of document words with anchors, and only candidates run ``instr``. Items
+    without an inner word (two tokens or less) are anchored on their first characters
+    (three at most), which join the documents' substrings of that size; the documents'
+    substrings are made only if such items exist (a scalar subquery of the same plan).
     Inputs: docs(doc_id, text), items(item_id, text).
     """
     gen, keep = explode_rows(F.array_distinct(_inner_words("text")), "w")
@@ -81,24 +74,22 @@ def containment_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
         .select("item_id", F.col("a.w").alias("w"))
     )
     cands = doc_words.join(anchors, "w").select("doc_id", "item_id")
-    found = (
-        cands.join(docs.select("doc_id", F.col("text").alias("d_text")), "doc_id")
-        .join(items.select("item_id", F.col("text").alias("i_text")), "item_id")
-        .where(F.instr("d_text", F.col("i_text")) > 0)
-        .select("doc_id", "item_id")
-    )
-    short = items.join(item_words.select("item_id").distinct(), "item_id", "left_anti")
-    # Passages without an inner word (two tokens or less) cannot be anchored; only if
-    # any exist (one cheap look at the passage table) are they tested by ``instr``.
-    if short.limit(1).count() == 0:
-        return found
-    short_found = (
-        docs.select("doc_id", F.col("text").alias("d_text"))
-        .join(short.select("item_id", F.col("text").alias("i_text")),
-              F.instr(F.col("d_text"), F.col("i_text")) > 0)
-        .select("doc_id", "item_id")
+    short = items.where((F.size(_inner_words("text")) == 0) & (F.length("text") > 0)).select("item_id", F.substring("text", 1, 3).alias("w"))
+    n_short = short.agg(F.count(F.lit(1))).scalar()
+    gen, keep = explode_rows(F.when(n_short > 0, _grams(F.col("text"), (1, 2, 3))), "w")
+    near = docs.select("doc_id", gen).where(keep).join(short, "w").select("doc_id", "item_id")
+    return (
+        cands.unionByName(near)
+        .join(docs, "doc_id")
+        .join(items.select("item_id", F.col("text").alias("item_text")), "item_id")
+        .withColumn("at", F.instr("text", F.col("item_text")))
+        .where(F.col("at") > 0)
     )
-    return found.unionByName(short_found)
+
+
+def containment_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """All (doc_id, item_id) with ``instr(doc.text, item.text) > 0``."""
+    return containment_matches(docs, items).select("doc_id", "item_id")
 
 
 def qa_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,20 +97,16 @@ def qa_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     question = that passage. ``id = '<doc_id>-<item_id>'``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    pairs = containment_pairs(docs, items)
-    return (
-        pairs.join(docs.withColumnRenamed("text", "context"), "doc_id")
-        .join(items.withColumnRenamed("text", "answer"), "item_id")
-        .select(
-            F.concat_ws("-", F.col("doc_id").cast("string"), F.col("item_id").cast("string")).alias("id"),
-            "doc_id",
-            "item_id",
-            F.col("answer").alias("question"),
-            "answer",
-            (F.instr("context", F.col("answer")) - 1).alias("answer_start"),
-            (F.instr("context", F.col("answer")) - 1 + F.length("answer")).alias("answer_end"),
-            "context",
-        )
+    found = containment_matches(docs, items)
+    return found.select(
+        F.concat_ws("-", F.col("doc_id").cast("string"), F.col("item_id").cast("string")).alias("id"),
+        "doc_id",
+        "item_id",
+        F.col("item_text").alias("question"),
+        F.col("item_text").alias("answer"),
+        (F.col("at") - 1).alias("answer_start"),
+        (F.col("at") - 1 + F.length("item_text")).alias("answer_end"),
+        F.col("text").alias("context"),
     )
 
 
@@ -224,6 +211,18 @@ def embedding_logits(features: DataFrame) -> DataFrame:
     )
 
 
+# fixed value: windows of a document that the logits table covers
+LOGIT_WINDOWS = 3
+
+
+def logits_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model output as a table (M8): (id, window_no, start_logits, end_logits) for the first
+    windows of every document that has a vector."""
+    e = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("_e"), F.explode(F.sequence(F.lit(0), F.lit(LOGIT_WINDOWS - 1))).alias("window_no"))
+    return embedding_logits(e)
+
+
 def span_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of every document that has a vector (64 positions, stride 16) with
     logits attached. The key join runs before tokenising, so documents without

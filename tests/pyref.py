@@ -124,20 +124,19 @@ def windows(n: int, cap: int, stride: int):
 
 
 def best_span_loop(windows_, n_best, max_len, context):
-    """The reference's decode loop: windows_ = [(start_logits, end_logits, offsets)]."""
+    """Best answer text over windows given as (start logits, end logits, offsets): every admissible
+    (window, start, end) is listed and the best one picked by an explicit order: score, then
+    earlier window, then rank of the start and of the end among its window's n best."""
+    import itertools
+
     import numpy as np
 
-    answers = []
-    for sl, el, off in windows_:
-        si = np.argsort(np.asarray(sl, dtype=np.float32), kind="stable")[-1: -n_best - 1: -1].tolist()
-        ei = np.argsort(np.asarray(el, dtype=np.float32), kind="stable")[-1: -n_best - 1: -1].tolist()
-        for s in si:
-            for e in ei:
-                if s >= len(off) or e >= len(off) or off[s] is None or off[e] is None:
-                    continue
-                if e < s or e - s + 1 > max_len:
-                    continue
-                answers.append((context[off[s][0]: off[e][1]], np.float32(sl[s]) + np.float32(el[e])))
-    if not answers:
-        return ""
-    return max(answers, key=lambda x: x[1])[0]
+    found = []
+    for w, (starts, ends, offsets) in enumerate(windows_):
+        ranked = [sorted(range(len(x)), key=lambda i, x=x: (-np.float32(x[i]), -i))[:n_best] for x in (starts, ends)]
+        inside = lambda i, offsets=offsets: i < len(offsets) and offsets[i] is not None
+        for (rs, s), (re_, e) in itertools.product(*map(enumerate, ranked)):
+            if inside(s) and inside(e) and 0 <= e - s < max_len:
+                score = float(np.float32(starts[s]) + np.float32(ends[e]))
+                found.append(((-score, w, rs, re_), context[offsets[s][0] : offsets[e][1]]))
+    return min(found)[1] if found else ""

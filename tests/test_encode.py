@@ -3,7 +3,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from spanlake.operators import encode, scoring
-from spanlake.plans.pairs import echo_labels_scorer, _GEN_SCHEMA
+from spanlake.plans.pairs import echo_query_scorer, _GEN_SCHEMA
 
 
 def _pairs(spark):
@@ -63,6 +63,32 @@ def test_score_contract_runs_factory_per_task(spark):
     p = _pairs(spark)
     v = encode.build_vocab(p, ["Query", "Segment"])
     e = encode.encode_pairs(p, v, "pair_id", 64)
-    out = scoring.score(e.select("pair_id", "labels"), echo_labels_scorer, _GEN_SCHEMA)
+    out = scoring.score(e.select("pair_id", "input_ids"), echo_query_scorer, _GEN_SCHEMA)
     got = {r.pair_id: list(r.pred_ids) for r in out.collect()}
-    assert got == {r.pair_id: list(r.labels) for r in e.collect()}
+    assert got == {r.pair_id: list(r.input_ids) for r in e.collect()}
+
+
+def test_scorer_sees_every_row_once(spark):
+    p = _pairs(spark)
+    v = encode.build_vocab(p, ["Query", "Segment"])
+    e = encode.encode_pairs(p, v, "pair_id", 64).cache()
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting():
+        def run(pdf):
+            seen.add(len(pdf))
+            return pdf.rename(columns={"input_ids": "pred_ids"})[["pair_id", "pred_ids"]]
+
+        return run
+
+    n = e.count()
+    encode.decode(scoring.score(e.select("pair_id", "input_ids"), counting, _GEN_SCHEMA), "pair_id", "pred_ids", v).collect()
+    assert seen.value == n
+
+
+def test_repeated_keys_stay_apart(spark):
+    p = spark.createDataFrame([("k", "a b", "c"), ("k", "d", "e f"), ("k", "", "")], "pair_id string, Query string, Segment string")
+    v = encode.build_vocab(p, ["Query", "Segment"])
+    e = encode.encode_pairs(p, v, "pair_id", 8)
+    back = encode.decode(e, "pair_id", "input_ids", v).collect()
+    assert sorted(r.text for r in back) == ["", "a b", "d"]

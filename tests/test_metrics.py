@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import pyref
 from spanlake.functions.bags import bag_overlap, counted
+from spanlake.functions.text import squad_normalize
 from spanlake.operators.metrics import bleu, registry, rouge, squad
 
 WORDS = ["the", "cat", "sat", "on", "a", "mat", "Cat,", "mat.", "3.5", "x-1", "an", "dog", "&amp;", "é"]
@@ -121,6 +122,9 @@ def test_pair_up_and_span_report(spark):
     preds = spark.createDataFrame([("a", "x")], "id string, prediction_text string")
     paired = {r.id: r.prediction_text for r in squad.pair_up(preds, refs).collect()}
     assert paired == {"a": "x", "b": ""}
+    gold = spark.createDataFrame([("a", ["the"]), ("b", ["the"])], "id string, golds array<string>")
+    em = {r.id: r.em for r in squad.squad_rows(squad.pair_up(preds.limit(0), gold), gold_col="golds").collect()}
+    assert em == {"a": 0.0, "b": 0.0}
 
     ex = spark.createDataFrame(
         [("e1", "Where is the cat?", "The cat is on the mat. Dogs run.", 0, 22, "The cat is on the mat.")],
@@ -128,3 +132,19 @@ def test_pair_up_and_span_report(spark):
     )
     rep = span_plan.span_report(ex, max_length=32, stride=8).first()
     assert rep.n == 1 and 0.0 <= rep.f1 <= 100.0
+
+
+def test_squad_normalise_word_edges(spark):
+    texts = ["a\u0301 cat", "an² apple", "the_end the", "A\u200dn b", "é a é", "١a a١"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(squad_normalize("t")).collect()]
+    assert got == [pyref.squad_normalize(t) for t in texts]
+
+
+def test_runs_without_matches_and_rouge_only_boards(spark):
+    refs = spark.createDataFrame([("a", (["x y"],)), ("b", (["z"],))], "id string, answers struct<text:array<string>>")
+    preds = spark.createDataFrame([("r1", "a", "x y"), ("r2", "q", "x y")], "run string, id string, prediction_text string")
+    got = {r.run: r.rouge1_fmeasure for r in registry.leaderboard(preds, refs, ("rouge",)).collect()}
+    assert got == {"r1": 0.5, "r2": 0.0}
+    none = registry.evaluate(preds.limit(0).drop("run"), refs, ("exact_match",)).first()
+    assert none.exact_match == 0.0 and none.n == 2

@@ -35,7 +35,7 @@ def test_sample_exact_and_strict(spark):
     df = _ids(spark, 50, 3)
     s = sampling.sample_exact(df, "k", 10, seed=1).collect()
     assert sorted(r.k for r in s) == sorted(_py_order(50, 1)[:10])
-    assert sampling.sample_exact(df, "k", 80, seed=1).count() == 50
+    assert sampling.sample_exact(df, "k", 80, seed=1, strict=False).count() == 50
     with pytest.raises(IndexError):
         sampling.sample_exact(df, "k", 80, seed=1, strict=True)
 
@@ -65,12 +65,14 @@ def test_drop_all_duplicates_matches_pandas(spark):
     assert whole == len(pdf[["q", "s"]].drop_duplicates(keep=False))
 
 
-def test_sample_paths_agree(spark, monkeypatch):
+def test_sample_is_the_head_of_the_shuffle(spark):
     df = _ids(spark, 200, 6)
-    topk = sorted(tuple(r) for r in sampling.sample_exact(df, "k", 37, seed=9).collect())
-    monkeypatch.setattr(sampling, "TOPK_MAX", 10)
-    ranked = sorted(tuple(r) for r in sampling.sample_exact(df, "k", 37, seed=9).select("k", "rank").collect())
-    assert topk == ranked
+    for k in (0, 1, 37, 200):
+        some = sorted(tuple(r) for r in sampling.sample_exact(df, "k", k, seed=9, digits=1).select("k", "rank").collect())
+        assert some == sorted(tuple(r) for r in sampling.shuffle(df, "k", 9).where(f"rank <= {k}").select("k", "rank").collect())
+    assert sampling.sample_exact(df, "k", 300, strict=False).count() == 200
+    with pytest.raises(ValueError):
+        sampling.shuffle(df, "k", digits=9)
 
 
 def test_repeated_keys_are_deterministic(spark):

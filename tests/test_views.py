@@ -41,23 +41,18 @@ def test_qa_examples_view_is_whole(spark):
         assert r.context.find(r.answer) == r.answer_start
 
 
-def test_spread_only_small_file_counts(spark, tmp_path):
-    import contextlib
-    import io
-
-    def plan(df):
-        buf = io.StringIO()
-        with contextlib.redirect_stdout(buf):
-            df.explain()
-        return buf.getvalue()
-
-    cores = spark.sparkContext.defaultParallelism
-    many = str(tmp_path / "many")
-    spark.range(2000).withColumnRenamed("id", "doc_id").repartition(cores + 4).write.parquet(many)
-    one = str(tmp_path / "one")
-    spark.range(2000).withColumnRenamed("id", "doc_id").coalesce(1).write.parquet(one)
-    big = views.spread(spark.read.parquet(many), "doc_id")
-    small = views.spread(spark.read.parquet(one), "doc_id")
-    assert "Exchange" not in plan(big)
-    assert "Exchange hashpartitioning(doc_id" in plan(small)
-    assert big.count() == small.count() == 2000
+def test_short_passages_are_found(spark):
+    docs = spark.createDataFrame([(1, "xay b"), (2, "zz"), (3, None), (4, ""), (5, "one two three")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a"), (2, "y b"), (3, "zz"), (4, ""), (5, None), (6, "two"), (7, "one two three"), (8, "zzz")], "item_id long, text string")
+    got = sorted(tuple(r) for r in views.containment_pairs(docs, items).collect())
+    assert got == [(1, 1), (1, 2), (2, 3), (5, 6), (5, 7)]
+
+
+def test_source_partitions_setting(spark, tmp_path):
+    spark.range(100).withColumnRenamed("id", "doc_id").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert views.table(spark, str(tmp_path), "documents").rdd.getNumPartitions() == 1
+    spark.conf.set(views.PARTITIONS_CONF, "7")
+    try:
+        assert views.table(spark, str(tmp_path), "documents").rdd.getNumPartitions() == 7
+    finally:
+        spark.conf.unset(views.PARTITIONS_CONF)

@@ -102,11 +102,22 @@ def test_mask_offsets_function(spark):
     assert got[0] is None and got[1] is None and (got[2].start, got[2].end) == (2, 3)
 
 
-def test_question_too_long_goes_to_side_output(spark):
-    ex = _examples(spark, [("long", " ".join(["q"] * 20), "a b c", None, None), ("ok", "q", "a b c", None, None)])
+def test_no_example_is_lost(spark):
+    ex = _examples(spark, [("long", " ".join(["q"] * 20), "a b c", None, None), ("ok", "q", "a b c", None, None),
+                           ("no-q", None, "a b c", None, None), ("no-c", "q", None, None, None), ("none", None, None, None, None)])
     f = windows.window_features(ex, 16, 3, 3)
-    assert [r.id for r in f.select("id").distinct().collect()] == ["ok"]
-    assert [r.id for r in windows.too_long(ex, 16, 3, 3).collect()] == ["long"]
+    got = {r.id: (r.too_long, r.window_no, r.q_len, r.n_ctx) for r in f.collect()}
+    assert got == {"long": (True, 0, 20, 0), "ok": (False, 0, 1, 3), "no-q": (False, 0, 0, 3), "no-c": (False, 0, 1, 0), "none": (False, 0, 0, 0)}
+
+
+def test_blocks_of_windows_equal_all_windows(spark):
+    words = [f"w{i}" for i in range(500)]
+    ex = _examples(spark, [("a", " ".join(["q"] * 9), " ".join(words), None, None)])
+    f = windows.window_features(ex, 16, 3, 3).orderBy("window_no").collect()  # capacity 4, step 1
+    assert [r.window_no for r in f] == list(range(497))
+    for r in f:
+        assert r.ctx_text == " ".join(words[r.ctx_first : r.ctx_first + 4]) and r.n_ctx == 4
+        assert [t.tok for t in r._w] == words[r.ctx_first : r.ctx_first + 4]
 
 
 def test_best_span_against_reference_loop(spark):
