@@ -1,5 +1,5 @@
 """Query -> segment plan: pairs -> drop duplicated pairs -> exact 90/10
-split -> first k validation rows -> encode -> score -> decode -> metrics.
+split -> validation rows (all, or exactly k of them) -> encode -> score -> decode -> metrics.
 
 The stand-in generator (H2) repeats the query: it sees the input ids only, never the labels; any
 ``mapInPandas`` scorer with the same output schema can replace it.
@@ -30,11 +30,14 @@ def echo_query_scorer():
     return run
 
 
-def run_pair_task(pairs: DataFrame, val_fraction: float = 0.10, k_val: int = 1000,
+def run_pair_task(pairs: DataFrame, val_fraction: float = 0.10, k_val: int | None = 1000,
                   max_len: int = 64, seed: int = 42, scorer_factory=echo_query_scorer,
                   materialize: bool = True) -> DataFrame:
     """Per validation pair: ``pair_id, prediction_text, em, f1, bleu``.
 
+    ``k_val`` validation pairs are scored (strict, as the reference: fewer is an error), with
+    None the whole validation split.
+
     ``materialize`` writes the tables that feed several branches (the de-duplicated
     pairs, the split, the vocabulary) into the shared folder once: Spark re-runs a
     shared subtree per branch when the branches prune different columns."""
@@ -44,8 +47,9 @@ def run_pair_task(pairs: DataFrame, val_fraction: float = 0.10, k_val: int = 100
         "pairs-unique",
     )
     split = keep(sampling.train_val_split(uniq, "pair_id", val_fraction, seed), "pairs-split")
-    val = split.where(F.col("split") == "val")
-    val = keep(sampling.sample_exact(val.drop("rank", "split"), "pair_id", k_val, seed), "pairs-val")
+    val = split.where(F.col("split") == "val").drop("rank", "split")
+    if k_val is not None:
+        val = keep(sampling.sample_exact(val, "pair_id", k_val, seed), "pairs-val")
     vocab = keep(encode.build_vocab(uniq, ["Query", "Segment"]), "pairs-vocab")
     enc = encode.encode_pairs(val, vocab, "pair_id", max_len)
     gen = scoring.score(enc.select("pair_id", "input_ids"), scorer_factory, _GEN_SCHEMA)
