@@ -446,9 +446,11 @@ def q_unanswerable_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_span_from_logits(spark: SparkSession, sf: str) -> DataFrame:
     """Model output as a table joined by (id, window_no), decoded with 512/128 and 20/100.
-    The table has logits for the first three windows of a document; later ones have none."""
+    The table has logits for every window of the documents that have a vector; it is written once,
+    as it is read twice."""
     ex = views.doc_examples(spark, sf)
-    b = span_plan.decode_with_logits(ex, views.logits_table(spark, sf), 512, 128, 20, 100)
+    logits = cut_lineage(views.logits_table(spark, sf, 512, 128), "logits")
+    b = span_plan.decode_with_logits(ex, logits, 512, 128, 20, 100)
     return b.select(
         F.col("id").cast("bigint").alias("id"), "prediction_text", F.col("start_char").cast("bigint").alias("start_char"),
         F.col("end_char").cast("bigint").alias("end_char"), _round(F.col("score"), 5).alias("score"))

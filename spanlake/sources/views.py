@@ -12,7 +12,7 @@ All views read whole tables; none samples or caps rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.functions.arrays import explode_rows
@@ -197,30 +197,29 @@ def doc_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def embedding_logits(features: DataFrame) -> DataFrame:
+def embedding_logits(features: DataFrame, size: Column | None = None) -> DataFrame:
     """Model output per window from the document's vector ``_e`` (attached by key,
-    D3): rotated left by ``window_no`` for start logits, reversed for end logits."""
+    D3): rotated left by ``window_no`` for start logits, reversed for end logits. With
+    ``size`` both are repeated cyclically to that many positions."""
     n = F.size("_e")
     start = F.transform(
         F.sequence(F.lit(0), n - 1), lambda i: F.get(F.col("_e"), (i + F.col("window_no")) % n)
     )
-    return (
-        features.withColumn("start_logits", start)
-        .withColumn("end_logits", F.reverse("start_logits"))
-        .drop("_e")
-    )
+    out = features.withColumn("start_logits", start).withColumn("end_logits", F.reverse("start_logits"))
+    if size is not None:
+        for c in ("start_logits", "end_logits"):
+            out = out.withColumn(c, F.slice(F.flatten(F.array_repeat(F.col(c), F.ceil(size / n).cast("int"))), F.lit(1), size))
+    return out.drop("_e")
 
 
-# fixed value: windows of a document that the logits table covers
-LOGIT_WINDOWS = 3
-
+def logits_table(spark: SparkSession, sf_dir: str, max_length: int = 512, stride: int = 128) -> DataFrame:
+    """Model output as a table (M8): (id, window_no, start_logits, end_logits) for every window of
+    every document that has a vector, one value per position of the packed sequence."""
+    from spanlake.operators.windows import window_features
 
-def logits_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model output as a table (M8): (id, window_no, start_logits, end_logits) for the first
-    windows of every document that has a vector."""
-    e = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"), F.col("embedding").alias("_e"), F.explode(F.sequence(F.lit(0), F.lit(LOGIT_WINDOWS - 1))).alias("window_no"))
-    return embedding_logits(e)
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("_e")).where(F.size("_e") > 0)
+    feats = window_features(doc_examples(spark, sf_dir).join(e, "id"), max_length, stride, question_col=None, keep=["_e"])
+    return embedding_logits(feats.select("id", "window_no", "seq_len", "_e"), F.col("seq_len")).drop("seq_len")
 
 
 def span_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
