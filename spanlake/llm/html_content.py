@@ -10,7 +10,11 @@ label their own tokens as content or not, and a token's weight is the log ratio
 frequency among content and other tokens. Tags are distinguished by name (and by a class of
 boilerplate words), open or closed. A boilerplate container (menu, header, footer, sidebar,
 notice, advert, form, comments) is one negative token: its words never enter the result, and
-an article that goes on after it is not cut off by its length. Tag weights are at most 0.
+an article that goes on after it is not cut off by its length. An ``article`` or ``main`` element
+is never inside one (but for an article inside a container of an outer article: a comment or a
+teaser). Classes and ids count as whole names; an element that has a boilerplate word only as a
+part of a name (``with-sidebar``, ``share-story``) is a negative token of its own and its words
+count as any others, less a price at its end. Tag weights are at most 0.
 Counts come from a bounded sample (the labelled ones of about ``MAX_LABELLED`` pages by id
 hash); a sample without labelled pages uses the default weights below.
 
@@ -66,32 +70,39 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
-def _is_boilerplate(name: str, attrs: str) -> bool:
+def _mark(name: str, attrs: str) -> str:
+    """``*`` for a boilerplate container, ``~`` for an element with a boilerplate word as part of a name."""
     if name in BOILERPLATE:
-        return True
+        return "*"
     if name in LABEL or name in ("html", "body") or not attrs or name in VOID:
-        return False
+        return ""
+    part = ""
     for m in _ATTR.finditer(attrs):
         key, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in BOILERPLATE_ROLES:
-            return True
-        if key in ("class", "id") and not BOILERPLATE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+            return "*"
+        if key in ("class", "id"):
+            if not BOILERPLATE_WORDS.isdisjoint(value.split()):
+                return "*"
+            if not BOILERPLATE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+                part = "~"
+    return part
 
 
 def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
     """(kind, text, boilerplate, labelled) in page order. Kind ``w`` is a run of text, any other
-    the name of a tag (with ``/`` if it closes, ``*`` if it opens or closes boilerplate)."""
+    the name of a tag (with ``/`` if it closes, ``*`` if it opens or closes boilerplate, ``~`` if it
+    opens or closes an element with a boilerplate word in a name)."""
     out: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
-    boiler = label = 0
+    # open elements: name, mark, and the three states around it
+    stack: list[tuple[str, str, tuple[bool, bool, bool]]] = []
+    boiler = label = article = False
     pos, n = 0, len(page)
     while pos < n:
         m = _TOKEN.search(page, pos)
         text = page[pos : m.start()] if m else page[pos:]
         if text:
-            out.append(("w", _html.unescape(text), boiler > 0, label > 0))
+            out.append(("w", _html.unescape(text), boiler, label))
         if not m:
             break
         pos = m.end()
@@ -100,36 +111,38 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
             continue
         if m.group(1):
             depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == name), None)
-            ends = False
+            ends = ""
             if depth is not None:
-                for _, was_boiler, was_label in stack[depth:]:
-                    boiler -= was_boiler
-                    label -= was_label
-                    ends |= was_boiler
+                marks = [s[1] for s in stack[depth:]]
+                ends = "*" if "*" in marks else "~" if "~" in marks else ""
+                boiler, label, article = stack[depth][2]
                 del stack[depth:]
-            out.append(("/" + name + "*" * ends, "", boiler > 0, label > 0))
+            out.append(("/" + name + ends, "", boiler, label))
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, pos)
             if not m.group(3).rstrip().endswith("/"):
                 pos = end.end() if end else (n if name in ("script", "style") else pos)
-            out.append((name, "", boiler > 0, label > 0))
+            out.append((name, "", boiler, label))
             continue
-        b = _is_boilerplate(name, m.group(3))
-        out.append((name + "*" * b, "", boiler > 0, label > 0))
+        mark = _mark(name, m.group(3))
+        around = boiler, label, article
+        if name in LABEL and not article:
+            boiler = False
+        out.append((name + mark, "", boiler, label))
         if name in VOID or m.group(3).rstrip().endswith("/"):
+            boiler = around[0]
             continue
         if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and any(s[0] == name for s in stack):
             depth = max(d for d, s in enumerate(stack) if s[0] == name)
             # an open one of the same kind ends here, unless a container was opened inside it
-            if not any(s[1] or s[0] in ("table", "ul", "ol", "dl", "div", "section") for s in stack[depth + 1 :]):
-                for _, was_boiler, was_label in stack[depth:]:
-                    boiler -= was_boiler
-                    label -= was_label
+            if not any(s[1] == "*" or s[0] in ("table", "ul", "ol", "dl", "div", "section") for s in stack[depth + 1 :]):
+                around = boiler, label, article = stack[depth][2]
                 del stack[depth:]
-        stack.append((name, b, name in LABEL))
-        boiler += b
-        label += name in LABEL
+        stack.append((name, mark, around))
+        boiler |= mark == "*"
+        label |= name in LABEL
+        article |= name == "article"
     return out
 
 
@@ -166,6 +179,10 @@ def region(toks: list[tuple[str, str, bool, bool]], weights: dict[str, float]) -
             gain = 0.0 if boiler else word * len(text.split())
         elif kind.endswith("*"):
             gain = 0.0 if boiler or kind[0] == "/" else max(weights.get(kind, BOILERPLATE_WEIGHT), BOILERPLATE_WEIGHT)
+        elif kind.endswith("~"):
+            # the end weighs most: a region starts anew behind a short one, a long one pays for itself
+            least = LOWEST if kind[0] == "/" else BOILERPLATE_WEIGHT
+            gain = 0.0 if boiler else min(weights.get(kind, least), least)
         else:
             name = kind.strip("/")
             default = INLINE_WEIGHT if name in INLINE else BLOCK_WEIGHT if name in BLOCKS else TAG_WEIGHT
@@ -192,7 +209,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     parts: list[str] = []
     for kind, text, boiler, _ in toks[lo:hi]:
         if kind != "w":
-            if kind.strip("/*") not in INLINE:
+            if kind.strip("/*~") not in INLINE:
                 parts.append(" ")
         elif not boiler:
             parts.append(text)
