@@ -1,7 +1,8 @@
 """Line deduplication over overlapping windows of three lines (operator 4, native).
 
 Every ``WINDOW`` consecutive lines of a document are one window, known by a 128-bit hash of
-its lines. A window that occurs more than once anywhere keeps its first occurrence (smallest
+its lines; a text of fewer lines is one window, compared only with texts of as many lines.
+A window that occurs more than once anywhere keeps its first occurrence (smallest
 document id, then text hash, then line); each later one covers its lines, and covered lines,
 merged over overlapping windows, are removed.
 
@@ -11,8 +12,8 @@ whose large partitions adaptive execution splits).
 
 Defined cases: a document is a (doc_id, text) pair, so fully equal rows are one document and
 each gets its result, while rows that share an id but not the text are compared; null text
-stays null with no lines; fewer lines than a window are never removed; windows of blank
-lines only are ignored; line ends are ``\\n`` and lines compare exactly. Extra columns stay.
+stays null with no lines; a passage of fewer lines than a window inside a longer text is never
+removed; windows of blank lines only are ignored; line ends are ``\\n`` and lines compare exactly. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -26,23 +27,26 @@ WINDOW = 3
 
 
 def line_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per window: doc_id, text_key, pos (first line, from 0), k1, k2."""
+    """One row per window: doc_id, text_key, pos (first line, from 0), span (its lines), k1, k2."""
     lines = F.split("text", "\n", -1)
     hashed = F.transform(lines, lambda s: F.struct(
         F.xxhash64(s).alias("a"), F.xxhash64(s, F.lit(1)).alias("b"), (F.trim(s) == "").alias("blank")))
     # the generator evaluates the hashes once; its outer form keeps the optimizer from adding a second look
     once = docs.where(F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.explode_outer(F.array(hashed)).alias("h"))
-    once = once.where(F.size("h") >= window)
+    # a text shorter than a window is one window with nulls at its end
+    span = F.least(F.size("h"), F.lit(window))
     shifted = [F.slice("h", F.lit(k + 1), F.size("h")).alias(f"l{k}") for k in range(window)]
-    rows = once.select("doc_id", "text_key", *shifted).select(
-        "doc_id", "text_key", F.posexplode_outer(F.arrays_zip(*[f"l{k}" for k in range(window)])).alias("pos", "w"))
+    rows = once.select("doc_id", "text_key", span.alias("span"), *shifted).select(
+        "doc_id", "text_key", "span", F.posexplode_outer(F.arrays_zip(*[f"l{k}" for k in range(window)])).alias("pos", "w"))
     part = [F.col(f"w.l{k}") for k in range(window)]
     blank = part[0]["blank"]
     for p in part[1:]:
-        blank = blank & p["blank"]
-    return rows.where(part[-1].isNotNull() & ~blank).select(
-        "doc_id", "text_key", "pos", F.xxhash64(*[p["a"] for p in part]).alias("k1"), F.xxhash64(*[p["b"] for p in part]).alias("k2"))
+        blank = blank & F.coalesce(p["blank"], F.lit(True))
+    whole = part[-1].isNotNull() | ((F.col("span") < window) & (F.col("pos") == 0))
+    return rows.where(whole & ~blank).select(
+        "doc_id", "text_key", "pos", "span",
+        F.xxhash64("span", *[p["a"] for p in part]).alias("k1"), F.xxhash64("span", *[p["b"] for p in part]).alias("k2"))
 
 
 def covered_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -56,9 +60,9 @@ def covered_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     later = wins.join(first, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))).where(~at.eqNullSafe(F.col("first")))
     # bounded by the lines of one document
-    return later.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("p")).select(
+    return later.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("p"), F.max("span").alias("span")).select(
         "doc_id", "text_key",
-        F.array_sort(F.array_distinct(F.flatten(F.transform("p", lambda x: F.sequence(x, x + window - 1))))).alias("covered"))
+        F.array_sort(F.array_distinct(F.flatten(F.transform("p", lambda x: F.sequence(x, x + F.col("span") - 1))))).alias("covered"))
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
