@@ -9,8 +9,10 @@ its k most likely languages, k = 1, 2, ... The prediction is the language with t
 share of the chosen set, the score its share times the posterior probability of that
 language against the others as the only one (so doubtful short texts score low).
 
-A model holds at most ``MAX_TRIGRAMS`` trigrams per language (the most frequent); other
-trigrams get the smoothed floor. Words a worker has seen are remembered (``CACHE`` words, then
+The model holds every trigram of every language (sparse: about ten bytes for each language a
+trigram occurs in and sixteen for the trigram), normalised over all counts; only trigrams that a
+language's training texts lack get the smoothed floor. Its size grows with the distinct trigrams,
+not with the texts. Words a worker has seen are remembered (``CACHE`` words, then
 cleared; likelihoods are a pure function).
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; null languages
@@ -27,12 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.llm.common import held_out
 
-MAX_TRIGRAMS = 50_000
 MAX_WORD = 32
 SMOOTH = 0.5
 EM_STEPS = 8
@@ -64,13 +65,24 @@ def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Log likelihood of trigrams by language."""
 
-    def __init__(self, langs: list[str], codes: np.ndarray, table: np.ndarray, floor: np.ndarray):
-        self.langs, self.codes, self.table, self.floor = langs, codes, table, floor
+    def __init__(self, langs: list[str], codes: np.ndarray, first: np.ndarray, lang: np.ndarray, gain: np.ndarray, floor: np.ndarray):
+        """``codes``: sorted trigrams; those of entry ``first[i]`` to ``first[i + 1]`` of ``lang`` and
+        ``gain`` belong to the i-th: the languages that have it, and what it gains over ``floor``."""
+        self.langs, self.codes, self.first, self.lang, self.gain, self.floor = langs, codes, first, lang, gain, floor
         self.known: dict[str, int] = {}
         self.rows = np.empty((0, len(langs)))
 
+    @classmethod
+    def of_counts(cls, langs: list[str], code: np.ndarray, lang: np.ndarray, n: np.ndarray) -> Model:
+        """From counts of (trigram, language number), each pair once."""
+        order = np.argsort(code, kind="stable")
+        codes, first = np.unique(code[order], return_index=True)
+        norm = np.log(np.bincount(lang, n, len(langs)) + SMOOTH * (len(codes) + 1))
+        gain = np.log(n[order] + SMOOTH) - np.log(SMOOTH)
+        return cls(langs, codes, np.append(first, len(code)), lang[order].astype(np.int16), gain, np.log(SMOOTH) - norm)
+
     def __getstate__(self):
-        return {"langs": self.langs, "codes": self.codes, "table": self.table, "floor": self.floor}
+        return {"langs": self.langs, "codes": self.codes, "first": self.first, "lang": self.lang, "gain": self.gain, "floor": self.floor}
 
     def __setstate__(self, state):
         self.__init__(**state)
@@ -80,8 +92,12 @@ class Model:
         at = np.searchsorted(self.codes, code)
         at[at == len(self.codes)] = 0
         hit = self.codes[at] == code
-        each = np.where(hit[:, None], self.table[at], self.floor[None, :])
-        return np.add.reduceat(each, np.concatenate([[0], np.cumsum(size)[:-1]]))
+        word, at = np.repeat(np.arange(len(words)), size)[hit], at[hit]
+        many = self.first[at + 1] - self.first[at]
+        entry = np.repeat(self.first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        k = len(self.langs)
+        gain = np.bincount(np.repeat(word, many) * k + self.lang[entry], self.gain[entry], len(words) * k)
+        return size[:, None] * self.floor + gain.reshape(len(words), k)
 
     def lookup(self, bags: list[Counter]) -> np.ndarray:
         """Row numbers (in ``rows``) of the bags' words, one after another."""
@@ -129,16 +145,19 @@ def infer(model: Model, bags: list[Counter]) -> tuple[list[str], np.ndarray, np.
     best = np.zeros((len(bags), k))
     best[np.arange(len(bags)), best_one] = 1.0
     best_bic = best_ll
+    going = np.ones(len(bags), bool)
     for m in range(2, k + 1):
         mask = np.zeros((len(bags), k))
         np.put_along_axis(mask, order[:, :m], 1.0, axis=1)
         start = np.maximum(shares, 1e-3) * mask
         got, ll = _em(like, n, at, doc, start / start.sum(axis=1, keepdims=True), 3)
         bic = ll - 0.5 * (m - 1) * np.log(total + 1)
-        better = bic > best_bic
+        # a document stops at its first set that is no better, whatever its batch holds
+        better = (bic > best_bic) & going
         best = np.where(better[:, None], got, best)
         best_bic = np.where(better, bic, best_bic)
-        if not better.any():
+        going = better
+        if not going.any():
             break
     pick = best.argmax(axis=1)
     post = np.exp(single - single.max(axis=1, keepdims=True))
@@ -175,21 +194,19 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def train(docs: DataFrame, max_trigrams: int = MAX_TRIGRAMS) -> Model | None:
+def train(docs: DataFrame) -> Model | None:
     """The model, from all labelled training documents."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id").cast("long")))
     part = rows.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(_count_rows, "lang string, code long, n long")
-    counts = part.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
-    got = counts.withColumn("place", place).where(F.col("place") <= max_trigrams).select("lang", "code", "n").toPandas()
-    if not len(got):
+    got = part.groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    if not got.num_rows:
         return None
-    langs = sorted(got["lang"].unique())
-    codes = np.sort(got["code"].unique()).astype(np.int64)
-    n = np.zeros((len(codes), len(langs)))
-    n[np.searchsorted(codes, got["code"].to_numpy()), got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()] = got["n"].to_numpy()
-    norm = np.log(n.sum(axis=0) + SMOOTH * (len(codes) + 1))
-    return Model(langs, codes, np.log(n + SMOOTH) - norm, np.log(SMOOTH) - norm)
+    found = got["lang"].combine_chunks().dictionary_encode()
+    names = found.dictionary.to_pylist()
+    langs = sorted(names)
+    place = {x: i for i, x in enumerate(langs)}
+    lang = np.array([place[x] for x in names], np.int64)[found.indices.to_numpy()]
+    return Model.of_counts(langs, got["code"].to_numpy(), lang, got["n"].to_numpy())
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
