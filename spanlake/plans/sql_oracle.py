@@ -204,10 +204,12 @@ FROM wins
 """
 
 
-def span_positions(max_length: int = 64, stride: int = 16, n_special: int = 3) -> str:
-    """Every position of every document window with its offsets and logits."""
+def span_positions(max_length: int = 64, stride: int = 16, n_special: int = 3, whole: bool = False) -> str:
+    """Every position of every document window with its offsets and logits: one logit per vector
+    component, with ``whole`` one per position of the sequence (the vector repeated)."""
     cap = max_length - n_special
     step = cap - stride
+    size = f"CAST(least({cap}, n - window_no * {step}) + {n_special} AS BIGINT)" if whole else "m"
     return f"""
 {TOKENS_DOCS},
 doc_n AS (
@@ -224,12 +226,12 @@ we AS (
   FROM w JOIN embeddings e ON e.vec_id = w.doc_id
 ),
 pos AS (
-  SELECT doc_id, window_no, n, emb, m, unnest(range(m)) AS p FROM we
+  SELECT doc_id, window_no, n, emb, m, unnest(range({size})) AS p FROM we
 ),
 lp AS (
   SELECT doc_id, window_no, p,
          emb[((p + window_no) % m) + 1] AS sv,
-         emb[((m - 1 - p + window_no) % m) + 1] AS ev,
+         emb[((m - 1 - p % m + window_no) % m) + 1] AS ev,
          CASE WHEN p >= {n_special - 1} AND p - {n_special - 1} < least({cap}, n - window_no * {step})
               THEN window_no * {step} + p - {n_special - 1} END AS tpos
   FROM pos
@@ -289,8 +291,7 @@ FROM documents d LEFT JOIN chars c USING (doc_id)
 
 
 ORACLE["best_span"] = best_span(SPAN, 10)
-ORACLE["span_from_logits"] = best_span(
-    span_positions(512, 128).replace("ON e.vec_id = w.doc_id", "ON e.vec_id = w.doc_id AND w.window_no < 3") + top_spans(20), 100)
+ORACLE["span_from_logits"] = best_span(span_positions(512, 128, whole=True) + top_spans(20), 100)
 
 
 def tokens_13a(x: str) -> str:
@@ -580,10 +581,7 @@ r AS (
   SELECT *, row_number() OVER (ORDER BY md5('42|' || pair_id), pair_id) AS rank, count(*) OVER () AS n
   FROM uniq
 ),
-val AS (
-  SELECT * FROM r WHERE rank <= ceil(n * 0.1)
-  QUALIFY row_number() OVER (ORDER BY md5('42|' || pair_id), pair_id) <= 3
-),
+val AS (SELECT * FROM r WHERE rank <= ceil(n * 0.1)),
 pred AS (
   SELECT pair_id, "Segment" AS answer,
          array_to_string(regexp_extract_all("Query", '{TOKEN_PATTERN}', 0)[1:62], ' ') AS prediction_text

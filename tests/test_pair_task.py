@@ -19,8 +19,9 @@ def test_registered_query_scores_the_whole_validation_split(spark):
     n = dedup.drop_all_duplicates(views.pairs(spark, SF_SMALL).select("Query", "Segment")).count()
     got = {r.pair_id: r for r in QUERIES["pair_end_to_end"](spark, SF_SMALL).collect()}
     assert len(got) == math.ceil(n * 0.1) > 3
-    # the twin's three pairs are scored as it scores them
-    for r in duck(SF_SMALL).execute(ORACLE["pair_end_to_end"]).df().itertuples():
+    rows = list(duck(SF_SMALL).execute(ORACLE["pair_end_to_end"]).df().itertuples())
+    assert len(rows) == len(got)
+    for r in rows:
         s = got[r.pair_id]
         assert s.prediction_text == r.prediction_text and s.em == r.em
         assert abs(s.f1 - r.f1) < 1e-4 and abs(s.bleu - r.bleu) < 1e-4
