@@ -26,13 +26,14 @@ WITH l AS (
   FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)
 ),
 w AS (
-  SELECT doc_id, pos, line AS a, lead(line, 1) OVER p AS b, lead(line, 2) OVER p AS c FROM l WINDOW p AS (PARTITION BY doc_id ORDER BY pos)
+  SELECT doc_id, pos, line AS a, lead(line, 1) OVER p AS b, lead(line, 2) OVER p AS c, count(*) OVER (PARTITION BY doc_id) AS lines
+  FROM l WINDOW p AS (PARTITION BY doc_id ORDER BY pos)
 ),
 n AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS n FROM w
-  WHERE c IS NOT NULL AND NOT (trim(a, ' ') = '' AND trim(b, ' ') = '' AND trim(c, ' ') = '')
+  SELECT doc_id, pos, least(lines, 3) AS span, row_number() OVER (PARTITION BY least(lines, 3), a, b, c ORDER BY doc_id, pos) AS n FROM w
+  WHERE (c IS NOT NULL OR (lines < 3 AND pos = 0)) AND trim(a, ' ') || trim(coalesce(b, ''), ' ') || trim(coalesce(c, ''), ' ') <> ''
 ),
-gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM n, (VALUES (0), (1), (2)) t(k) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM n, (VALUES (0), (1), (2)) t(k) WHERE n > 1 AND k < span),
 kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
          coalesce(string_agg(g.pos::VARCHAR, ',' ORDER BY g.pos), '') AS removed,

@@ -58,12 +58,13 @@ def removed_lines(docs):
             out[d] = (0, set(), None)
             continue
         lines, gone = t.split("\n"), set()
-        for i in range(len(lines) - 2):
-            w = tuple(lines[i : i + 3])
+        size = min(3, len(lines))  # a text of fewer lines is one window
+        for i in range(len(lines) - size + 1):
+            w = tuple(lines[i : i + size])
             if any(x.strip(" ") for x in w):
-                if w in seen:
-                    gone |= {i, i + 1, i + 2}
-                seen.add(w)
+                if (len(w), w) in seen:
+                    gone |= set(range(i, i + size))
+                seen.add((len(w), w))
         out[d] = (len(lines), gone, "\n".join(x for i, x in enumerate(lines) if i not in gone))
     return out
 

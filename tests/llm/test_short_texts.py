@@ -18,18 +18,9 @@ def test_copies_of_short_texts_are_found(spark):
     assert all(got[d][3] == t for d, t in data if d not in (2, 4, 13))
 
 
-def test_whole_table_differs_from_the_twin_in_short_copies_only(spark):
+def test_whole_table_equals_the_twin_with_short_copies(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
     want = {r[0]: r for r in con.execute(ORACLE["op4_line_dedup"]).fetchall()}
-    seen, short = set(), {}
-    for d, t in con.execute("SELECT doc_id, text FROM documents WHERE len(string_split(text, chr(10))) < 3 ORDER BY doc_id").fetchall():
-        if t in seen and t.replace("\n", "").strip(" "):
-            short[d] = t.count("\n") + 1
-        seen.add(t)
-    assert short
-    for r in queries.op4_line_dedup(spark, SF).collect():
-        if r.doc_id in short:
-            assert (r.n_removed, r.kept_chars) == (short[r.doc_id], 0)
-        else:
-            assert tuple(r) == want[r.doc_id]
+    got = {r.doc_id: tuple(r) for r in queries.op4_line_dedup(spark, SF).collect()}
+    assert got == want and any(r[1] < 3 and r[2] for r in got.values())
