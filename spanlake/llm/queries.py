@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.llm import (
-    decontaminate, html_content, language_mix, line_dedup, matrix_knn, near_dedup, secret_scan, source_mix, toxicity, warc_chunks,
+    best_fit, decontaminate, html_content, language_mix, line_dedup, matrix_knn, near_dedup, secret_scan, source_mix, toxicity, warc_chunks,
 )
 from spanlake.llm.common import table
 
@@ -62,10 +62,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op12_best_fit(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    with open(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:  # a public file, beside the library
+        return best_fit.pack_documents(table(spark, sf_dir, "documents"), f.read())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_main_text, op3_matrix_knn, op4_line_dedup, op5_toxicity, op6_near_dedup, op7_warc_chunks, op8_language_mix,
-        op9_source_mix, op10_decontaminate,
+        op9_source_mix, op10_decontaminate, op12_best_fit,
     )
 }
