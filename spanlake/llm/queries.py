@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.llm import (
-    best_fit, decontaminate, html_content, language_mix, line_dedup, matrix_knn, near_dedup, secret_scan, source_mix, toxicity, warc_chunks,
+    best_fit, decontaminate, hard_negatives, html_content, language_mix, line_dedup, matrix_knn, near_dedup, secret_scan, source_mix, toxicity, warc_chunks,
 )
 from spanlake.llm.common import table
 
@@ -69,10 +69,16 @@ def op12_best_fit(spark: SparkSession, sf_dir: str, tokenizer: str | None = None
         return best_fit.pack_documents(table(spark, sf_dir, "documents"), f.read())
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", "embedding", label.alias("label")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_main_text, op3_matrix_knn, op4_line_dedup, op5_toxicity, op6_near_dedup, op7_warc_chunks, op8_language_mix,
-        op9_source_mix, op10_decontaminate, op12_best_fit,
+        op9_source_mix, op10_decontaminate, op12_best_fit, op13_hard_negatives,
     )
 }
