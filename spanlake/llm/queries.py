@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.llm import (
-    best_fit, decontaminate, hard_negatives, html_content, language_mix, line_dedup, matrix_knn, near_dedup, secret_scan, source_mix, toxicity, warc_chunks,
+    best_fit, conversation_repair, decontaminate, hard_negatives, html_content, language_mix, line_dedup, matrix_knn, near_dedup, secret_scan, source_mix, toxicity, warc_chunks,
 )
 from spanlake.llm.common import table
 
@@ -62,6 +62,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report_all(table(spark, sf_dir, "conversations"))
+
+
 def op12_best_fit(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -79,6 +83,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_main_text, op3_matrix_knn, op4_line_dedup, op5_toxicity, op6_near_dedup, op7_warc_chunks, op8_language_mix,
-        op9_source_mix, op10_decontaminate, op12_best_fit, op13_hard_negatives,
+        op9_source_mix, op10_decontaminate, op11_conversation_repair, op12_best_fit, op13_hard_negatives,
     )
 }
