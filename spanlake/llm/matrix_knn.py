@@ -17,8 +17,9 @@ Results are exact: bounds never lose a neighbour, ties go to the smaller id.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take
 no part; a query meets only vectors of its own dimension; fewer than k candidates give them
-all; of rows that repeat an id the smallest vector (component by component) counts; null ids
-take no part.
+all; rows that repeat an id are rows of their own (each is a candidate of all but itself, and each
+query row gives its own results); null ids take no part; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,11 +46,11 @@ MERGE = 64
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(id, v): vectors of finite components, not all zero, as doubles."""
+    """(rid, id, v): vectors of finite components, not all zero, as doubles; ``rid`` tells rows apart once written."""
     v = F.col("embedding").cast("array<double>")
     fine = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).where(fine)
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    return rows.select(F.monotonically_increasing_id().alias("rid"), "id", "v")
 
 
 def quantise(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,8 +69,8 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def tile(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
-    """The k nearest rows of ``v`` for each row of ``q`` but its own id, as sorted (distance, id)."""
+def tile(q_rid: np.ndarray, q: np.ndarray, v_rid: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
+    """The k nearest rows of ``v`` for each row of ``q`` but itself: its place, sorted (distance, id)."""
     qi, qs, qe = quantise(q)
     vi, vs, ve = quantise(v)
     kind = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64
@@ -84,7 +85,7 @@ def tile(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: in
         near = np.sqrt(sq)
         slack = qe[s, None] + ve[None, :] + 1e-6 * (np.sqrt(qn)[:, None] + np.sqrt(vn)[None, :])
         upper = near + slack
-        own = q_id[s, None] == v_id[None, :]
+        own = q_rid[s, None] == v_rid[None, :]
         upper[own] = np.inf
         if len(v) > k:
             bound = np.partition(upper, k - 1, axis=1)[:, k - 1]
@@ -104,16 +105,16 @@ def tile(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: in
                     held[n] = heapq.nsmallest(k, held.get(n, []) + list(zip(d[part].tolist(), v_id[c[part]].tolist())))
         if len(row):
             for n, best in held.items():
-                yield int(q_id[lo + n]), best
+                yield lo + n, best
 
 
-def _matrix(pdf: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Ids and matrix of the rows of each dimension, from the last two columns."""
+def _matrix(pdf: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row keys, ids and matrix of the rows of each dimension, from the last three columns."""
     out = {}
     size = pdf.iloc[:, -1].map(len)
     for d in sorted(size.unique()):
         part = pdf[size == d]
-        out[int(d)] = part.iloc[:, -2].to_numpy(np.int64), np.stack(part.iloc[:, -1].to_numpy()).astype(np.float64)
+        out[int(d)] = part.iloc[:, -3].to_numpy(np.int64), part.iloc[:, -2].to_numpy(np.int64), np.stack(part.iloc[:, -1].to_numpy()).astype(np.float64)
     return out
 
 
@@ -122,11 +123,12 @@ def _tiles(k: int):
         rows = []
         if len(left) and len(right):
             vectors = _matrix(right)
-            for dim, (q_id, q) in _matrix(left).items():
+            for dim, (q_rid, q_id, q) in _matrix(left).items():
                 if dim in vectors:
-                    for n, best in tile(q_id, q, *vectors[dim], k):
-                        rows += [(n, int(key[1]), i, d) for d, i in best]
-        return pd.DataFrame(rows, columns=["query_id", "c", "vec_id", "score"]).astype({"query_id": "int64", "c": "int64", "vec_id": "int64", "score": "float64"})
+                    for n, best in tile(q_rid, q, *vectors[dim], k):
+                        rows += [(q_rid[n], q_id[n], int(key[1]), i, d) for d, i in best]
+        kinds = {"rid": "int64", "query_id": "int64", "c": "int64", "vec_id": "int64", "score": "float64"}
+        return pd.DataFrame(rows, columns=list(kinds)).astype(kinds)
 
     return run
 
@@ -136,15 +138,15 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, que
     rows = written(usable(vectors), "vectors")
     n = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("id") % step == 0, 1))).first()
     across, down = -(-n[0] // vector_block) or 1, -(-n[1] // query_block) or 1
-    pick = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m)).cast("int")
+    pick = lambda m, seed: F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(m)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = rows.where(F.col("id") % step == 0).select(
-        pick(down, 1).alias("q_block"), each(across).alias("q_tile"), F.col("id").alias("q_id"), F.col("v").alias("q_v"))
-    right = rows.select(each(down).alias("block"), pick(across, 2).alias("tile"), "id", "v")
-    best = left.groupBy("q_block", "q_tile").cogroup(right.groupBy("block", "tile")).applyInPandas(_tiles(k), "query_id long, c long, vec_id long, score double")
+        pick(down, 1).alias("q_block"), each(across).alias("q_tile"), F.col("rid").alias("q_rid"), F.col("id").alias("q_id"), F.col("v").alias("q_v"))
+    right = rows.select(each(down).alias("block"), pick(across, 2).alias("tile"), "rid", "id", "v")
+    best = left.groupBy("q_block", "q_tile").cogroup(right.groupBy("block", "tile")).applyInPandas(_tiles(k), "rid long, query_id long, c long, vec_id long, score double")
     # the sorted lists of MERGE tiles meet first, so no row holds the lists of all tiles
-    for group in ([F.col("query_id"), F.floor(F.col("c") / MERGE).alias("g")], [F.col("query_id")]):
+    for group in ([F.col("rid"), F.col("query_id"), F.floor(F.col("c") / MERGE).alias("g")], [F.col("rid"), F.col("query_id")]):
         got = best.groupBy(*group).agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("l"))
         best = got.select(*[c for c in got.columns if c != "l"], F.posexplode("l").alias("p", "e")).select(
-            "query_id", "p", *[F.col(f"e.{c}").alias(c) for c in ("score", "vec_id")], *(["g"] if "g" in got.columns else []))
+            "rid", "query_id", "p", *[F.col(f"e.{c}").alias(c) for c in ("score", "vec_id")], *(["g"] if "g" in got.columns else []))
     return best.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "vec_id", "score")

@@ -7,17 +7,17 @@ brute-force versions, exact round trips or held-out accuracy."""
 ORACLE: dict[str, str] = {
     "op3_matrix_knn": """
 WITH v AS (
-  SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings
+  SELECT row_number() OVER () AS rid, vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding::DOUBLE[], lambda x: x <> 0)) > 0
 ),
 p AS (
-  SELECT q.id AS query_id, c.id AS vec_id,
+  SELECT q.rid, q.id AS query_id, c.id AS vec_id,
          sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score
-  FROM v q JOIN v c ON q.id % 100 = 0 AND q.id <> c.id AND len(q.e) = len(c.e)
+  FROM v q JOIN v c ON q.id % 100 = 0 AND q.rid <> c.rid AND len(q.e) = len(c.e)
 ),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM p)
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score, vec_id) AS rank FROM p)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """,
     "op4_line_dedup": """
@@ -76,7 +76,7 @@ FROM x
     "op10_decontaminate": """
 WITH b AS (
   SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL
+  FROM benchmark
 ),
 bw AS (
   SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS win
@@ -92,7 +92,7 @@ dw AS (
 ),
 h AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+it AS (SELECT doc_id, count(item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)

@@ -16,12 +16,13 @@ VEC = "vec_id long, embedding array<float>"
 
 
 def brute(rows, k=10, step=100):
-    ok = {i: np.array(v, float) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)}
+    ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
     out = []
-    for q in sorted(i for i in ok if i % step == 0):
-        near = sorted((float(np.sqrt(((ok[q] - v) ** 2).sum())), i) for i, v in ok.items() if i != q and len(v) == len(ok[q]))[:k]
-        out += [(q, n + 1, i, d) for n, (d, i) in enumerate(near)]
-    return out
+    for n, (q, x) in sorted(enumerate(ok), key=lambda e: e[1][0]):
+        if q % step == 0:
+            near = sorted((float(np.sqrt(((x - v) ** 2).sum())), i) for m, (i, v) in enumerate(ok) if m != n and len(v) == len(x))[:k]
+            out += [(q, r + 1, i, d) for r, (d, i) in enumerate(near)]
+    return sorted(out)
 
 
 def same(got, want):
@@ -51,8 +52,10 @@ def test_ties_copies_and_odd_vectors(spark, blocks):
 def test_knn_repeats_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0])], VEC)
     got = matrix_knn.nearest(df).collect()
-    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 1, 1.0)]  # the smaller vector of id 0 counts
-    assert matrix_knn.nearest(df.limit(0)).count() == 0 and matrix_knn.nearest(df.where("vec_id = 0")).count() == 0
+    # every row of an id is a query and a candidate of the others
+    want = [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 0, np.sqrt(5.0)), (0, 1, 1, np.sqrt(2.0)), (0, 2, 1, np.sqrt(2.0)), (0, 3, 0, np.sqrt(5.0))]
+    same([(r.query_id, r["rank"], r.vec_id, r.score) for r in got], sorted(want))
+    assert matrix_knn.nearest(df.limit(0)).count() == 0 and matrix_knn.nearest(df.where("vec_id = 0").limit(1)).count() == 0
 
 
 def test_bounds_hold():
