@@ -175,6 +175,10 @@ def write_archives(chunks: DataFrame, plan: DataFrame, root: str) -> DataFrame:
 # --- reading ------------------------------------------------------------------------
 
 
+#: Archive bytes that one task reads.
+READ_BYTES = 32 << 20
+
+
 def stream_record(source, offset: int, length: int) -> Iterator[bytes]:
     """Decompressed pieces (at most ``CHUNK`` bytes) of the gzip member at ``offset``."""
     source.seek(offset)
@@ -263,7 +267,10 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     plan = written(plan_records(payloads, least), "warc-plan")
     root = shared_dir(pages.sparkSession, "warc")
     places = written(write_archives(chunks, plan, root), "warc-places")
-    places = places.repartitionByRange(F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
+    # the places are few bytes, what they stand for is not: as many tasks as the archives need
+    size = places.agg(F.sum("length")).first()[0] or 0
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, -(-int(size) // READ_BYTES))
+    places = places.repartitionByRange(tasks, F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
     back = read_archives(places, root).drop("data").groupBy("row", "page_id", "record_type", "refers_to", "head_digest", "head_bytes").agg(
         F.max("n_bytes").alias("n"), F.max("digest").alias("d"), F.count(F.lit(1)).alias("n_chunks"))
     back = written(back, "warc-back")
