@@ -41,12 +41,18 @@ CACHE = 400_000
 #: Words handled at once, which bounds the work arrays.
 BLOCK = 1 << 18
 
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
+def has_letter(text: str) -> bool:
+    return any(c.isalpha() for c in set(text))
+
+
 def words_of(text: str) -> list[str]:
     """Lower-cased runs of letters; long ones in pieces."""
+    if not text.isascii():  # numerals such as one half or superscript two are no letters
+        odd = [c for c in set(text) if c.isnumeric() and not c.isalpha()]
+        text = text.translate({ord(c): " " for c in odd}) if odd else text
     out = _OTHER.sub(" ", text.lower()).split()
     if max(map(len, out), default=0) > MAX_WORD:
         out = [w[i : i + MAX_WORD] for w in out for i in range(0, len(w), MAX_WORD)]
@@ -230,7 +236,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             held = 0
             for j, t in enumerate(b.column(1)):
                 text = t.as_py()
-                if model is None or not text or not _LETTER.search(text):
+                if model is None or not text or not has_letter(text):
                     continue
                 bags.append(Counter(words_of(text)))
                 where.append(j)

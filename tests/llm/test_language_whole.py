@@ -42,3 +42,10 @@ def test_likelihoods_are_over_all_counts(spark):
         for lang, v in zip(model.langs, row):
             total = sum(want[lang].values()) + 0.5 * (len(model.codes) + 1)
             assert np.isclose(v, sum(np.log((want[lang][c] + 0.5) / total) for c in language_mix.trigrams([w])[0].tolist()))
+
+
+def test_numerals_are_no_letters(spark):
+    assert language_mix.words_of("Ab½c² d3e ⅷ x_y 一二") == ["ab", "c", "d", "e", "x", "y", "一二"]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["some words here"] * 12 + ["½", "² ³ ¼!", "½ a"])], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_mix.identify(df, language_mix.train(df)).collect()}
+    assert (got[12], got[13], got[14]) == ("und", "und", "en")
