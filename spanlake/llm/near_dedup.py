@@ -20,7 +20,8 @@ components that shares a bucket is left out, and a group of n near copies costs
 Defined cases: null, empty and blank texts have an empty set and stand alone; fewer words
 than a shingle make one shingle of them all; rows with a null doc_id link with nothing, get a
 null component and are kept; rows that repeat a doc_id count as one document, which links by any of
-its texts; ties go to the smaller doc_id.
+its texts and so joins what each of them is similar to; ties go to the smaller doc_id; an empty table gives
+an empty result; extra columns are ignored; a very long text is hashed in pieces.
 """
 
 from __future__ import annotations
@@ -304,7 +305,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, per_cent: int = SIM
     # what shares a bucket across trees; then components of the trees
     placed = members.select("bucket", "node", "n").join(tree.withColumnRenamed("node", "t"), F.col("node") == F.col("t"), "left")
     placed = written(placed.select("bucket", "node", "n", F.coalesce("root", "node").alias("comp")), "placed")
-    found = written(_linked(_tile_candidates(placed, sets, per_cent).distinct(), sets, per_cent), "links")
+    # rows of one document with different sets tie their nodes together
+    again = base.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("again"))
+    again = written(base.join(again, F.col("doc_id") == F.col("again")).select("again", "n", "k1", "k2").distinct(), "repeated")
+    again = again.join(nodes.withColumnsRenamed({"k1": "r1", "k2": "r2"}), (F.col("n") > 0) & (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left")
+    again = written(again.select("again", F.coalesce("node", "again").alias("node")), "repeated-nodes")
+    least = again.groupBy("again").agg(F.min("node").alias("b")).withColumnRenamed("again", "of")
+    ties = again.join(least, F.col("again") == F.col("of")).where("node > b").select(F.col("node").alias("a"), "b").distinct()
+    found = written(_linked(_tile_candidates(placed, sets, per_cent).distinct(), sets, per_cent).unionByName(ties), "links")
     root_of = lambda c: tree.select(F.col("node").alias(f"{c}_n"), F.col("root").alias(f"{c}_r"))
     found = found.join(root_of("a"), F.col("a") == F.col("a_n"), "left").join(root_of("b"), F.col("b") == F.col("b_n"), "left")
     merged = written(components(found.select(F.coalesce("a_r", "a").alias("a"), F.coalesce("b_r", "b").alias("b"))), "merged")
