@@ -8,11 +8,14 @@ original text for the documents that have a hit.
 
 The automaton holds at most ``MAX_PATTERN_BYTES`` of distinct windows; a larger benchmark is
 dealt into several automata (by window hash), each scanned in turn inside the same task, so
-memory is bounded and no window is lost.
+memory is bounded and no window is lost. The automata know window numbers only; which items
+hold a window is a table, joined once for each distinct set of windows that documents hit.
 
 Defined cases: null and empty texts have no words and no hit; an item with fewer than
 ``WINDOW`` words is one window, an item without words is none; windows shared by items count
-for each item; null item ids are ignored; repeated document rows give repeated result rows.
+for each item; the windows of an item without id mark words but name no item; repeated document rows
+give repeated result rows; an empty benchmark hits nothing, an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -52,7 +55,7 @@ def item_windows(text: str | None, window: int = WINDOW) -> list[bytes]:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct windows with the ids of the items that hold them: (window binary, items)."""
+    """Distinct (window binary, item_id) pairs; rows without id keep their windows under a null id."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -63,44 +66,39 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                     wins.append(w)
             yield pa.RecordBatch.from_arrays([pa.array(wins, pa.binary()), pa.array(ids, pa.string())], ["window", "item_id"])
 
-    # an item's windows are bounded by its text, a window's items by the benchmark that holds it
-    return (
-        benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string"), F.col("text").cast("string"))
-        .mapInArrow(rows, "window binary, item_id string")
-        .groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    )
+    return benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(rows, "window binary, item_id string").distinct()
 
 
-def _automaton(patterns: list[tuple[str, int, tuple[str, ...]]]):
+def _automaton(patterns: list[tuple[str, int, int]]):
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for p, n, items in patterns:
-        a.add_word(p, (len(p), n, items))
+    for p, n, no in patterns:
+        a.add_word(p, (len(p), n, no))
     a.make_automaton()
     return a
 
 
-def scan(text: str, automata: list) -> tuple[int, np.ndarray | None, set[str]]:
-    """Number of words, a mark for every word inside an occurrence (None: no hit), items hit."""
+def scan(text: str, automata: list) -> tuple[int, np.ndarray | None, set[int]]:
+    """Number of words, a mark for every word inside an occurrence (None: no hit), windows hit."""
     norm = normalise(text)
     n = norm.count(b" ") - 1 if len(norm) > 2 else 0
     if not n:
         return 0, None, set()
     line = norm.decode("latin-1")
-    hits, items = [], set()
+    hits, wins = [], set()
     for a in automata:
-        for end, (length, words, owners) in a.iter(line):
+        for end, (length, words, no) in a.iter(line):
             hits.append((end - length + 1, words))
-            items.update(owners)
+            wins.add(no)
     if not hits:
-        return n, None, items
+        return n, None, wins
     spaces = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
     first = np.searchsorted(spaces, [h[0] for h in hits])
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, first, 1)
     np.add.at(edge, first + np.array([h[1] for h in hits]), -1)
-    return n, np.cumsum(edge[:n]) > 0, items
+    return n, np.cumsum(edge[:n]) > 0, wins
 
 
 def spans(text: str, mark: np.ndarray) -> list[tuple[int, int]]:
@@ -114,38 +112,57 @@ def spans(text: str, mark: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
+SCANNED = "doc_id long, n_words long, n_hit long, spans string, wins array<long>"
 
 
-def _shares(benchmark: DataFrame, window: int, max_bytes: int) -> tuple[DataFrame, int]:
-    """The windows dealt into shares of about ``max_bytes`` (column ``_share``), and their number."""
-    wins = written(benchmark_windows(benchmark, window), "bench-windows")
-    total = wins.agg(F.sum(F.length("window") + 16)).first()[0] or 0
+def _shares(benchmark: DataFrame, window: int, max_bytes: int) -> tuple[DataFrame, DataFrame, int]:
+    """Distinct windows with a number, dealt into shares of about ``max_bytes`` (columns window, no, _share);
+    (no, item_id) pairs; and the number of shares."""
+    pairs = written(benchmark_windows(benchmark, window), "bench-pairs")
+    total = pairs.select("window").distinct().agg(F.sum(F.length("window") + 16)).first()[0] or 0
     parts = -(-int(total) // max_bytes) or 1
-    return wins.withColumn("_share", F.pmod(F.xxhash64("window"), F.lit(parts))), parts
+    # the numbers are kept by the write
+    wins = pairs.select("window").distinct().select("window", F.monotonically_increasing_id().alias("no"), F.pmod(F.xxhash64("window"), F.lit(parts)).alias("_share"))
+    wins = written(wins, "bench-windows")
+    owners = pairs.where(F.col("item_id").isNotNull()).join(wins.select("window", "no"), "window").select("no", "item_id")
+    return wins, written(owners, "bench-owners"), parts
+
+
+def _with_items(scanned: DataFrame, owners: DataFrame) -> DataFrame:
+    """Adds n_items and items_sha256. Documents that hit the same windows (copies, and all that quote one
+    passage) look their items up once."""
+    hits = scanned.where(F.size("wins") > 0).select("wins").distinct()
+    # an item list is as long as the contract's digest input
+    items = hits.select("wins", F.explode("wins").alias("_no")).join(owners, F.col("_no") == F.col("no")).groupBy("wins").agg(
+        F.array_sort(F.collect_set("item_id")).alias("items")).select(
+        F.col("wins").alias("_wins"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
+    none = hashlib.sha256().hexdigest()
+    return scanned.join(items, F.col("wins") == F.col("_wins"), "left").select(
+        "doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.lit(none)).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"), "spans")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
     """One row per document row with its hits; ``spans`` lists start:end of the runs of hit words
     (code points of the original text)."""
-    wins, parts = _shares(benchmark, window, max_bytes)
+    wins, owners, parts = _shares(benchmark, window, max_bytes)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if parts == 1:
-        return docs.mapInArrow(_scanner([_rows(wins)]), SCHEMA)
+        return _with_items(written(docs.mapInArrow(_scanner(_rows(wins)), SCANNED), "scanned"), owners)
     # documents are scanned against one bounded share at a time; what the shares find is put
     # together by document (marks as runs of word numbers)
     docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "scan-docs")
     found = None
     for k in range(parts):
-        hit = docs.select("_row", "text").mapInArrow(_run_finder(_rows(wins.where(F.col("_share") == k))), "_row long, lo long, hi long, items array<string>")
+        hit = docs.select("_row", "text").mapInArrow(_run_finder(_rows(wins.where(F.col("_share") == k))), "_row long, lo long, hi long, wins array<long>")
         hit = written(hit, "scan-share")
         found = hit if found is None else found.unionByName(hit)
-    return _put_together(docs, found)
+    return _with_items(written(_put_together(docs, found), "scanned"), owners)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
     """The rows whose text holds no window, all columns unchanged: a filter per share, no join."""
-    wins, parts = _shares(benchmark, window, max_bytes)
+    wins, _, parts = _shares(benchmark, window, max_bytes)
     for k in range(parts):
         docs = docs.where(_clean(_rows(wins.where(F.col("_share") == k)))(F.col("text").cast("string")))
     return docs
@@ -161,30 +178,28 @@ def _clean(share: list):
     return clean
 
 
-def _rows(wins: DataFrame) -> list[tuple[str, int, tuple[str, ...]]]:
-    return [(bytes(r[0]).decode("latin-1"), bytes(r[0]).count(b" ") - 1, tuple(r[1])) for r in wins.select("window", "items").collect()]
+def _rows(wins: DataFrame) -> list[tuple[str, int, int]]:
+    """The windows of one share (at most ``max_bytes``) with their words and numbers."""
+    return [(bytes(r[0]).decode("latin-1"), bytes(r[0]).count(b" ") - 1, r[1]) for r in wins.select("window", "no").collect()]
 
 
-def _digest(items) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def _scanned(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 5
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_words", "n_hit", "spans", "wins"])
 
 
-def _scanner(shares: list):
+def _scanner(share: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [_automaton(s) for s in shares if s]
-        names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
-        none = _digest([])
+        automata = [_automaton(share)] if share else []
         for b in batches:
-            out: list[list] = [[] for _ in names[1:]]
-            for t in b.column(1):
+            rows = []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1)):
                 text = t.as_py() or ""
-                n, mark, items = scan(text, automata)
+                n, mark, wins = scan(text, automata)
                 hit = int(mark.sum()) if mark is not None else 0
-                where = ",".join(f"{s}:{e}" for s, e in spans(text, mark)) if hit else ""
-                for col, v in zip(out, (n, hit, len(items), _digest(items) if items else none, hit > 0, where)):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(out, kinds[1:]))], names)
+                rows.append((d, n, hit, ",".join(f"{s}:{e}" for s, e in spans(text, mark)) if hit else "", sorted(wins)))
+            yield _scanned(rows)
 
     return run
 
@@ -195,37 +210,35 @@ def _run_finder(share: list):
         for b in batches:
             rows: list[tuple] = []
             for row, t in zip(b.column(0).to_pylist(), b.column(1)):
-                _, mark, items = scan(t.as_py() or "", automata)
+                _, mark, wins = scan(t.as_py() or "", automata)
                 if mark is not None:
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]])))
                     for k, (lo, hi) in enumerate(zip(edge[::2].tolist(), edge[1::2].tolist())):
-                        rows.append((row, lo, hi, sorted(items) if k == 0 else []))
+                        rows.append((row, lo, hi, sorted(wins) if k == 0 else []))
             cols = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.string()))],
-                ["_row", "lo", "hi", "items"])
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64()))],
+                ["_row", "lo", "hi", "wins"])
 
     return run
 
 
 def _put_together(docs: DataFrame, found: DataFrame) -> DataFrame:
-    # a document's runs are bounded by its words
-    per = found.groupBy(F.col("_row").alias("_r")).agg(F.collect_list(F.struct("lo", "hi")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    both = docs.join(per, F.col("_row") == F.col("_r"), "left").select("doc_id", "text", "runs", "items")
+    # a document's runs and windows are bounded by its words
+    per = found.groupBy(F.col("_row").alias("_r")).agg(
+        F.collect_list(F.struct("lo", "hi")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("wins")))).alias("wins"))
+    both = docs.join(per, F.col("_row") == F.col("_r"), "left").select("doc_id", "text", "runs", "wins")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for d, t, runs, items in zip(*(c.to_pylist() for c in b.columns)):
+            for d, t, runs, wins in zip(*(c.to_pylist() for c in b.columns)):
                 n = len(normalise(t or "").split())
                 mark = np.zeros(n, bool)
                 for r in runs or []:
                     mark[r["lo"] : r["hi"]] = True
-                hit, items = int(mark.sum()), items or []
-                rows.append((d, n, hit, len(items), _digest(items), hit > 0, ",".join(f"{s}:{e}" for s, e in spans(t or "", mark)) if hit else ""))
-            cols = list(zip(*rows)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
-            names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
-
-    return both.mapInArrow(run, SCHEMA)
+                hit = int(mark.sum())
+                rows.append((d, n, hit, ",".join(f"{s}:{e}" for s, e in spans(t or "", mark)) if hit else "", wins or []))
+            yield _scanned(rows)
+
+    return both.mapInArrow(run, SCANNED)

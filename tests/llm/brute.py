@@ -77,16 +77,16 @@ def contamination(docs, bench, n=10):
     for i, t in bench:
         w = BENCH_WORD.findall((t or "").translate(LOWER))
         for k in range(max(1, len(w) - n + 1) if w else 0):
-            wins[tuple(w[k : k + n])].add(str(i))
+            wins[tuple(w[k : k + n])] |= set() if i is None else {str(i)}
     out = {}
     for d, t in docs:
         w = BENCH_WORD.findall((t or "").translate(LOWER))
         hit, items = set(), set()
         for size in {len(x) for x in wins}:
             for k in range(len(w) - size + 1):
-                if found := wins.get(tuple(w[k : k + size])):
+                if tuple(w[k : k + size]) in wins:
                     hit |= set(range(k, k + size))
-                    items |= found
+                    items |= wins[tuple(w[k : k + size])]
         out[d] = (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit))
     return out
 

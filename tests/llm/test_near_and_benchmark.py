@@ -81,6 +81,13 @@ def test_near_edges(spark):
     assert kept.columns == ["doc_id", "text", "_gone"] and kept.count() == 4
 
 
+def test_rows_of_one_document_tie_their_groups(spark):
+    a, b, c = "a b c d e f g h", "p q r s t u v w", "k l m n o"
+    data = [(3, a), (5, a), (5, b), (9, b), (9, None), (11, c), (12, c), (12, ""), (13, ""), (20, "x y"), (20, "y x"), (21, "y x")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(data, DOC), shingle=2).collect()}
+    assert got == {(3, 7): 3, (5, 7): 3, (9, 7): 3, (9, 0): 3, (11, 4): 11, (12, 4): 11, (12, 0): 11, (13, 0): 13, (20, 1): 20, (21, 1): 20}
+
+
 def test_op6_whole_table(spark):
     data = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op6_near_dedup(spark, SF).collect()}
@@ -134,7 +141,8 @@ def check(spark, docs, bench, **how):
 @pytest.mark.parametrize("bound", [1 << 20, 200])
 def test_contamination_equals_brute_force(spark, bound):
     got, spans = check(spark, DOCS, BENCH, max_bytes=bound)
-    assert got == contamination(DOCS, [b for b in BENCH if b[0] is not None])
+    assert got == contamination(DOCS, BENCH)
+    assert got[8][1:3] == (3, 0) and got[8][4]  # an item without id still contaminates
     a, b = map(int, spans[3].split(",")[0].split(":"))
     assert DOCS[2][1][a:b] == "Short\n\nITEM"
     a, b = map(int, spans[1].split(":"))
@@ -143,7 +151,7 @@ def test_contamination_equals_brute_force(spark, bound):
 
 def test_contaminated_documents_are_dropped(spark):
     docs, bench = spark.createDataFrame(DOCS, DOC), spark.createDataFrame(BENCH, "item_id long, text string")
-    want = sorted(d for d, v in contamination(DOCS, [b for b in BENCH if b[0] is not None]).items() if not v[4])
+    want = sorted(d for d, v in contamination(DOCS, BENCH).items() if not v[4])
     for bound in (1 << 20, 200):
         assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench, max_bytes=bound).collect()) == want
 
