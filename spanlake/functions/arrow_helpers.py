@@ -1,17 +1,18 @@
 """Vectorised Arrow helpers for the two things built-in SQL cannot do in linear time
-inside a row: token offsets (a running sum over each row's piece lengths) and the
-longest common subsequence.
+inside a row: tokens with their offsets and the longest common subsequence.
 
-The offsets work on whole Arrow batches at once (one running sum per batch, no per-row
+Tokens are cut from whole Arrow batches at once (array operations on code points, no per-row
 Python objects); the LCS is a bit-parallel loop per row over Arrow-batched input.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,31 +30,87 @@ TOKEN_TYPE = T.ArrayType(
 )
 
 
-def _pieces_batch(pieces: pa.Array) -> pa.Array:
-    """Each piece is leading whitespace + one token; returns the tokens with their
-    0-based code-point offsets, one running sum per row over the whole batch."""
-    if isinstance(pieces, pa.ChunkedArray):
-        pieces = pieces.combine_chunks()
-    offsets = np.asarray(pieces.offsets, dtype=np.int64)
-    offsets = offsets - offsets[0]
-    flat = pieces.flatten()
-    toks = pc.utf8_ltrim(flat, characters=WS_CHARS)
-    plen = np.asarray(pc.utf8_length(flat).fill_null(0), dtype=np.int64)
-    tlen = np.asarray(pc.utf8_length(toks).fill_null(0), dtype=np.int64)
-    total = np.concatenate(([0], np.cumsum(plen)))
-    ends = total[1:] - np.repeat(total[offsets[:-1]], np.diff(offsets))
-    starts = ends - tlen
+#: Bytes of text that are cut into tokens at once; bounds the work arrays (about 50 bytes per byte).
+CUT_BYTES = 4 << 20
+_WORD, _SPACE = 1, 2
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """Class of every code point: a word character (letter, mark, number, underscore), white space, or neither."""
+    out = np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)), np.uint8, 0x110000)
+    out[ord("_")] = _WORD
+    out[[ord(c) for c in WS_CHARS]] = _SPACE
+    return out
+
+
+def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes and the byte where each begins."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    cp = data[at].astype(np.int32)
+    for size, lead, low in ((2, 0xC0, 0x1F), (3, 0xE0, 0x0F), (4, 0xF0, 0x07)):
+        here = np.flatnonzero(cp >= lead) if size == 4 else np.flatnonzero((cp >= lead) & (cp < lead + low + 1))
+        value = cp[here] & low
+        for k in range(1, size):
+            value = (value << 6) | (data[at[here] + k] & 0x3F)
+        cp[here] = -value  # negative: decoded
+    return np.abs(cp), at
+
+
+def _cut(data: np.ndarray, row_at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Tokens (structs of text, start, end) of texts that stand one after another in ``data``, and the number
+    of the first token of each row (one more than rows)."""
+    cp, at = _code_points(data)
+    kind = _classes()[cp]
+    first = np.searchsorted(at, row_at)  # code point where each row begins
+    edge = np.zeros(len(cp) + 1, bool)
+    edge[first] = True
+    word = kind == _WORD
+    before, after = np.empty(len(cp), bool), np.empty(len(cp), bool)
+    before[:1], before[1:] = False, word[:-1]
+    after[-1:], after[:-1] = False, word[1:]
+    alone = kind == 0
+    start = np.flatnonzero(alone | (word & (~before | edge[:-1])))
+    end = np.flatnonzero(alone | (word & (~after | edge[1:]))) + 1
+    size = np.append(at, len(data))
+    text_at = np.concatenate(([0], np.cumsum(size[end] - size[start])))
+    if (kind == _SPACE).any():
+        data = data[np.repeat(kind != _SPACE, np.diff(size))]
+    toks = pa.StringArray.from_buffers(len(start), pa.py_buffer(text_at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+    token_at = np.searchsorted(start, first)
+    base = np.repeat(first[:-1], np.diff(token_at))
     items = pa.StructArray.from_arrays(
-        [toks, pa.array(starts, type=pa.int32()), pa.array(ends, type=pa.int32())],
-        names=["tok", "start", "end"],
-    )
-    return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), items, mask=pieces.is_null())
+        [toks, pa.array((start - base).astype(np.int32)), pa.array((end - base).astype(np.int32))], names=["tok", "start", "end"])
+    return items, token_at
+
+
+def tokenize_batch(texts: pa.Array) -> pa.Array:
+    """Texts to ``array<struct<tok, start, end>>``: runs of word characters and single other characters that are
+    not white space, with 0-based code-point offsets. Whole batches are cut at once, by array operations
+    on the code points; long batches in pieces of ``CUT_BYTES`` (a longer text is a piece of its own)."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    null = texts.is_null()
+    texts = texts.fill_null("").cast(pa.large_string())
+    _, offsets, body = texts.buffers()
+    row_at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.empty(0, np.uint8)
+    parts, firsts, i, total = [], [np.zeros(1, np.int64)], 0, 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(row_at, row_at[i] + CUT_BYTES, "right")) - 1)
+        items, token_at = _cut(data[row_at[i] : row_at[j]], row_at[i : j + 1] - row_at[i])
+        parts.append(items)
+        firsts.append(token_at[1:] + total)
+        total += len(items)
+        i = j
+    items = pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("tok", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(firsts).astype(np.int32)), items, mask=null)
 
 
 @F.arrow_udf(TOKEN_TYPE)
-def pieces_to_tokens(pieces: pa.Array) -> pa.Array:
-    """``array<string>`` of whitespace+token pieces -> ``array<struct<tok,start,end>>``."""
-    return _pieces_batch(pieces)
+def text_to_tokens(texts: pa.Array) -> pa.Array:
+    """``string`` -> ``array<struct<tok,start,end>>``."""
+    return tokenize_batch(texts)
 
 
 def lcs_length(a, b) -> int:

@@ -1,11 +1,9 @@
 """Native tokenizer with character offsets (G1).
 
 Tokens are runs of word characters or single other non-space characters. Offsets are
-0-based code points, end exclusive. The tokenizer is a narrow (per-row) expression:
-one JVM regex pass cuts the text into "leading whitespace + token" pieces, and one
-vectorised Arrow function per batch strips the whitespace and turns piece lengths into
-offsets with a single running sum. Tokenising never needs a shuffle; token rows come
-from an explode of the per-row array.
+0-based code points, end exclusive. The tokenizer is a narrow (per-row) expression: one
+vectorised Arrow function per batch classifies code points and cuts tokens at the changes of
+class. Tokenising never needs a shuffle; token rows come from an explode of the per-row array.
 """
 
 from __future__ import annotations
@@ -14,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.arrays import posexplode_rows
-from spanlake.functions.arrow_helpers import pieces_to_tokens
-from spanlake.functions.text import GAP_TOKEN_PATTERN, TOKEN_PATTERN
+from spanlake.functions.arrow_helpers import text_to_tokens
+from spanlake.functions.text import TOKEN_PATTERN
 
 
 def _c(col) -> Column:
@@ -24,7 +22,7 @@ def _c(col) -> Column:
 
 def token_array(text) -> Column:
     """``array<struct<tok:string, start:int, end:int>>`` for a text column."""
-    return pieces_to_tokens(F.regexp_extract_all(_c(text), F.lit(GAP_TOKEN_PATTERN), F.lit(0)))
+    return text_to_tokens(_c(text))
 
 
 def token_strings(text) -> Column:

@@ -29,6 +29,13 @@ def window_count(n: Column, cap: Column, step: Column) -> Column:
     )
 
 
+def question_tokens(question_col: str | None) -> Column:
+    """Tokens of the stripped question (none without a question column)."""
+    if question_col is None:
+        return F.array().cast("array<struct<tok:string,start:int,end:int>>")
+    return token_array(F.coalesce(strip_text(question_col), F.lit("")))
+
+
 def window_features(
     examples: DataFrame,
     max_length: int = 512,
@@ -60,21 +67,13 @@ def window_features(
     ``too_long`` without context tokens.
     """
     keep = list(keep or [])
-    q_arr = (
-        token_array(F.coalesce(strip_text(question_col), F.lit("")))
-        if question_col
-        else F.array().cast("array<struct<tok:string,start:int,end:int>>")
-    )
     base = examples.select(
         F.col(id_col).alias("id"),
         *keep,
-        q_arr.alias("_q"),
+        question_tokens(question_col).alias("_q"),
         token_array(F.coalesce(F.col(context_col), F.lit(""))).alias("_ctx"),
         F.coalesce(F.col(context_col), F.lit("")).alias("_context"),
     )
-    qn = F.size("_q")
-    cap = F.lit(max_length - n_special) - qn
-    step = cap - F.lit(stride)
     bounds = []
     if answer_cols:
         sc, ec = F.col(answer_cols[0]), F.col(answer_cols[1])
@@ -83,10 +82,18 @@ def window_features(
             (F.size(F.filter("_ctx", lambda t: t["start"] <= sc)) - 1).alias("_S"),
             (F.size("_ctx") - F.size(F.filter("_ctx", lambda t: t["end"] >= ec))).alias("_E"),
         ]
-    sized = base.select(
-        "*", qn.alias("q_len"), cap.alias("_cap"), step.alias("_step"), F.size("_ctx").alias("_n"),
-        *bounds,
-    ).select("*", (F.col("_step") <= 0).alias("too_long"))
+    extra = ["_S", "_E"] if answer_cols else []
+    sized = base.select("*", F.size("_q").alias("q_len"), *bounds)
+    win = cut_windows(sized, ["id", *keep, *extra, "_q", "q_len"], max_length, stride, n_special)
+    return pack_windows(win, ["id", "window_no", *keep, *extra], max_length, n_special, pad)
+
+
+def cut_windows(sized: DataFrame, base_cols: list[str], max_length: int, stride: int, n_special: int = 3) -> DataFrame:
+    """Rows with context tokens (``_ctx``), context (``_context``) and ``q_len`` to one row per window:
+    ``base_cols``, too_long, window_no, ctx_first, _w (its tokens), ctx_start, ctx_end, ctx_text."""
+    cap = F.lit(max_length - n_special) - F.col("q_len")
+    step = cap - F.lit(stride)
+    sized = sized.select("*", cap.alias("_cap"), step.alias("_step"), F.size("_ctx").alias("_n")).select("*", (F.col("_step") <= 0).alias("too_long"))
     fits = ~F.col("too_long")
     # windows in a block: as many as make its steps cover one window's capacity
     per = F.when(fits, F.greatest(F.lit(1), F.ceil(F.col("_cap") / F.col("_step")).cast("int"))).otherwise(1)
@@ -110,8 +117,7 @@ def window_features(
 
     blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.col("_n_win") / F.col("_per")).cast("int") - 1), one_block)
     gen, keep_row = explode_rows(blocks, "_b")
-    extra = ["_S", "_E"] if answer_cols else []
-    base_cols = ["id", *keep, *extra, "_q", "q_len", "too_long"]
+    base_cols = [*base_cols, "too_long"]
     blocked = sized.select(*base_cols, "_cap", "_step", gen).where(keep_row)
 
     def one_window(k):
@@ -126,9 +132,12 @@ def window_features(
         )
 
     gen, keep_row = explode_rows(F.transform(F.sequence(F.lit(0), F.col("_b.here") - 1), one_window), "_win")
-    win = blocked.select(*base_cols, gen).where(keep_row).select(*base_cols, "_win.*")
-    # Packed sequence from native array expressions (field extraction, concat, repeat):
-    # [CLS] question [SEP]*(n_special-2) window [SEP] [PAD]*
+    return blocked.select(*base_cols, gen).where(keep_row).select(*base_cols, "_win.*")
+
+
+def pack_windows(win: DataFrame, first_cols: list[str], max_length: int, n_special: int = 3, pad: bool = True) -> DataFrame:
+    """Windows with question tokens (``_q``) to packed sequences, from native array expressions (field
+    extraction, concat, repeat): ``[CLS] question [SEP]*(n_special-2) window [SEP] [PAD]*``."""
     m = F.size("_w")
     n_sep = n_special - 2
     seq_len = F.col("q_len") + F.lit(n_special) + m
@@ -149,10 +158,7 @@ def window_features(
         F.array_repeat(null_off, n_pad + 1),
     )
     return win.select(
-        "id",
-        "window_no",
-        *keep,
-        *extra,
+        *first_cols,
         "q_len",
         "ctx_first",
         m.alias("n_ctx"),

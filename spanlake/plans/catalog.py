@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.functions.arrays import top_n_indices
-from spanlake.operators import decode, dedup, encode, sampling, scoring, windows
+from spanlake.operators import contexts, decode, dedup, encode, sampling, scoring, windows
 from spanlake.operators.flatten import flatten_qa, to_pair_references
 from spanlake.operators.metrics import bleu, registry, rouge, squad
 from spanlake.operators.tokens import tokenize_offsets
@@ -456,6 +456,17 @@ def q_span_from_logits(spark: SparkSession, sf: str) -> DataFrame:
         F.col("end_char").cast("bigint").alias("end_char"), _round(F.col("score"), 5).alias("score"))
 
 
+def q_shared_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """Four questions about every document: each different text is tokenised once, windows are cut once per
+    question length, and labelled (G1, G3, G6)."""
+    ex = views.asked_documents(spark, sf).withColumn("ctx_key", contexts.context_key())
+    docs = views.table(spark, sf, "documents").select(F.col("text").alias("context"))
+    f = windows.align_span(contexts.shared_window_features(
+        ex, contexts.distinct_contexts(docs), max_length=256, stride=64, keep=["answer_start", "answer_end"]))
+    return f.select("id", *[F.col(c).cast("bigint").alias(c) for c in
+                            ["window_no", "q_len", "ctx_first", "n_ctx", "seq_len", "ctx_start", "ctx_end", "start_position", "end_position"]])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_qa": q_flatten_qa,
     "squad_em_f1": q_squad_em_f1,
@@ -499,5 +510,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "map_batches": q_map_batches,
     "unanswerable_labels": q_unanswerable_labels,
     "span_from_logits": q_span_from_logits,
+    "shared_contexts": q_shared_contexts,
 }
 FLAGSHIP = "span_end_to_end"

@@ -152,10 +152,10 @@ FROM doc_tokens
 """
 
 
-def qa_windows(max_length: int, stride: int, n_special: int = 3) -> str:
+def qa_windows(max_length: int, stride: int, n_special: int = 3, examples: str = QA_EXAMPLES) -> str:
     """Window rows of qa_examples with their context tokens (range join on pos)."""
     return f"""
-{QA_EXAMPLES},
+{examples},
 {TOKENS_DOCS},
 doc_n AS (SELECT doc_id, count(*) AS n FROM doc_tokens GROUP BY doc_id),
 ex AS (
@@ -783,3 +783,21 @@ ORACLE["map_batches"] = f"""
 WITH {PAIRS}
 SELECT pair_id, unnest(range(len(string_split("Segment", '. '))))::BIGINT AS no, unnest(string_split("Segment", '. ')) AS sentence FROM pairs
 """
+
+
+ASKED = """
+qa_examples AS (
+  SELECT d.doc_id::VARCHAR || '-' || b.item_id::VARCHAR AS id, d.doc_id, b.text AS question,
+         CASE WHEN instr(d.text, b.text) > 0 THEN instr(d.text, b.text) - 1 END AS answer_start,
+         CASE WHEN instr(d.text, b.text) > 0 THEN instr(d.text, b.text) - 1 + length(b.text) END AS answer_end
+  FROM documents d JOIN benchmark b ON b.item_id < 40 AND (b.item_id - d.doc_id) % 10 = 0
+)"""
+
+ORACLE["shared_contexts"] = f"""
+WITH {qa_windows(256, 64, examples=ASKED)}
+SELECT id, window_no::BIGINT AS window_no, qn::BIGINT AS q_len, (window_no * step)::BIGINT AS ctx_first, n_ctx::BIGINT AS n_ctx,
+       (qn + 3 + n_ctx)::BIGINT AS seq_len, ctx_start::BIGINT AS ctx_start, ctx_end::BIGINT AS ctx_end,
+       (CASE WHEN sc IS NULL OR n_ctx = 0 OR ctx_start > sc OR ctx_end < ec THEN 0 ELSE qn + 2 + n_le - 1 END)::BIGINT AS start_position,
+       (CASE WHEN sc IS NULL OR n_ctx = 0 OR ctx_start > sc OR ctx_end < ec THEN 0 ELSE qn + 2 + n_ctx - n_ge END)::BIGINT AS end_position
+FROM wins
+"""

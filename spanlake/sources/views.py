@@ -183,6 +183,24 @@ def references(examples: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: questions asked about each document, and the distance of their item ids
+QUESTIONS_PER_DOC, ITEM_CYCLE = 4, 40
+
+
+def asked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with several questions (M1 unnested): the passages whose id is (doc_id + 10 k)
+    modulo 40, k = 0..3. The answer is the passage if the document contains it, else none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("context"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    step = ITEM_CYCLE // QUESTIONS_PER_DOC
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(QUESTIONS_PER_DOC - 1)), lambda k: F.pmod(F.col("doc_id") + k * step, F.lit(ITEM_CYCLE)))
+    asked = docs.select("*", F.explode(wanted).alias("item_id")).join(items, "item_id")
+    at = F.instr("context", F.col("question"))
+    return asked.select(
+        F.concat_ws("-", F.col("doc_id").cast("string"), F.col("item_id").cast("string")).alias("id"), "doc_id", "question", "context",
+        F.when(at > 0, at - 1).alias("answer_start"), F.when(at > 0, at - 1 + F.length("question")).alias("answer_end"))
+
+
 # fixed values: the span_logits contract of the test views
 SPAN_MAX_LENGTH = 64
 SPAN_STRIDE = 16
