@@ -113,6 +113,99 @@ def text_to_tokens(texts: pa.Array) -> pa.Array:
     return tokenize_batch(texts)
 
 
+#: Windows whose candidates are searched at once.
+SEARCH_ROWS = 4_096
+SPAN_TYPE = T.StructType([
+    T.StructField("score", T.FloatType()),
+    *[T.StructField(c, T.IntegerType()) for c in ("si", "ei", "start_char", "end_char")],
+])
+
+
+def _matrix(lists: pa.Array, width: int, fill: float, kind: type) -> np.ndarray:
+    """A list array as rows of ``width`` values; what a list lacks or has as null is ``fill``."""
+    at = np.asarray(lists.offsets, np.int64)
+    values = lists.flatten()
+    at = at - at[0]
+    size = np.diff(at)
+    out = np.full((len(lists), width), fill, kind)
+    if len(values):
+        flat = values.fill_null(fill).to_numpy(zero_copy_only=False).astype(kind)
+        place = np.arange(width)[None, :] < size[:, None]
+        out[place] = flat
+    return out
+
+
+def _top(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and values of each row's ``n`` largest, largest first, the higher position first on ties."""
+    width = values.shape[1]
+    n = min(n, width)
+    back = values[:, ::-1]  # a stable sort of the reversed row puts the higher position first
+    if n < width:  # everything above the n-th value, and as many of its ties from the end as are needed
+        least = -np.partition(-back, n - 1, axis=1)[:, n - 1 : n]
+        more = back > least
+        ties = (back == least) & (np.cumsum(back == least, axis=1) <= n - more.sum(axis=1, keepdims=True))
+        pos = np.nonzero(more | ties)[1].reshape(len(back), n)
+    else:
+        pos = np.broadcast_to(np.arange(width), back.shape)
+    found = np.take_along_axis(back, pos, axis=1)
+    order = np.argsort(-found, axis=1, kind="stable")
+    return width - 1 - np.take_along_axis(pos, order, axis=1), np.take_along_axis(found, order, axis=1)
+
+
+def span_search(start: np.ndarray, end: np.ndarray, from_char: np.ndarray, to_char: np.ndarray, n_best: int, max_tokens: int) -> tuple[np.ndarray, ...]:
+    """(score, rank of the start, rank of the end, first char, last char) per row of logits; rank -1 where no
+    candidate is admissible. Positions without offset have ``from_char`` -1."""
+    rows = np.arange(len(start))
+    s_at, s_val = _top(start, n_best)
+    e_at, e_val = _top(end, n_best)
+    known = from_char >= 0
+    s_ok = np.take_along_axis(known, s_at, axis=1) & (s_val > -np.inf)
+    e_ok = np.take_along_axis(known, e_at, axis=1) & (e_val > -np.inf)
+    best = np.full(len(start), -np.inf, np.float32)
+    si, ei = np.full(len(start), -1), np.full(len(start), -1)
+    reach = e_val[:, 0] if e_val.shape[1] else np.empty(0, np.float32)
+    open_rows = rows
+    for k in range(s_at.shape[1]):
+        # starts fall, so a row ends when this start with the best end of all is no better
+        open_rows = open_rows[s_val[open_rows, k] + reach[open_rows] > best[open_rows]]
+        if not len(open_rows):
+            break
+        r = open_rows[s_ok[open_rows, k]]
+        span = e_at[r] - s_at[r, k][:, None]
+        ends = np.where(e_ok[r] & (span >= 0) & (span < max_tokens), e_val[r], -np.inf)
+        pick = ends.argmax(axis=1)  # the first of equal ends
+        found = s_val[r, k] + ends[np.arange(len(r)), pick]
+        better = found > best[r]
+        r, pick = r[better], pick[better]
+        best[r], si[r], ei[r] = found[better], k, pick
+    hit = si >= 0
+    first, last = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+    first[hit] = from_char[rows[hit], s_at[rows[hit], si[hit]]]
+    last[hit] = to_char[rows[hit], e_at[rows[hit], ei[hit]]]
+    return best, si, ei, first, last
+
+
+@functools.cache
+def best_candidates(n_best: int, max_tokens: int):
+    """Arrow function (start logits, end logits, offset starts, offset ends) -> the best admissible candidate."""
+
+    @F.arrow_udf(SPAN_TYPE)
+    def search(start: pa.Array, end: pa.Array, from_char: pa.Array, to_char: pa.Array) -> pa.Array:
+        whole = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (start, end, from_char, to_char)]
+        parts = []
+        for i in range(0, max(1, len(whole[0])), SEARCH_ROWS):
+            s, e, a, b = (x.slice(i, SEARCH_ROWS) for x in whole)
+            width = max([0, *(int(np.diff(np.asarray(x.offsets)).max(initial=0)) for x in (s, e, a))])
+            logits = [np.nan_to_num(_matrix(x, width, np.nan, np.float32), copy=False, nan=-np.inf, posinf=np.inf, neginf=-np.inf) for x in (s, e)]
+            score, si, ei, first, last = span_search(*logits, _matrix(a, width, -1, np.int64), _matrix(b, width, -1, np.int64), n_best, max_tokens)
+            none = si < 0
+            cols = [pa.array(score), *(pa.array(x.astype(np.int32)) for x in (si, ei, first, last))]
+            parts.append(pa.StructArray.from_arrays(cols, names=["score", "si", "ei", "start_char", "end_char"], mask=pa.array(none)))
+        return pa.concat_arrays(parts)
+
+    return search
+
+
 def lcs_length(a, b) -> int:
     """Length of the longest common subsequence of two token lists (bit-parallel)."""
     if not a or not b:

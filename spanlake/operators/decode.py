@@ -1,8 +1,8 @@
 """Start/end logits -> best answer span per example.
 
 Per window everything happens inside the row: top-n start and end indices (F5), the
-n x n candidate grid (D4) filtered by offsets and length (C1, C2), scored by
-``start + end`` in float (F8) and reduced to the window's best. Across windows one
+candidates (D4) that pass offsets and length (C1, C2), scored by ``start + end`` in float
+(F8) and searched by bounds for the window's best. Across windows one
 aggregation by example id (partially pre-aggregated, so a hot id cannot pile up in
 one task) keeps the first maximum (F6). Examples without any window get ``''`` (F7).
 """
@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.functions.arrays import top_n_indices
-from spanlake.functions.bags import let
+from spanlake.functions.arrow_helpers import best_candidates
 
 
 def attach_logits(features: DataFrame, logits: DataFrame, keys=("id", "window_no")) -> DataFrame:
@@ -33,57 +32,22 @@ def window_best(feat_logits: DataFrame, n_best: int = 20, max_answer_length: int
     """Best candidate of each window: ``id, window_no, best`` where ``best`` is the
     ordering key ``{score, neg_window, neg_si, neg_ei, start_char, end_char}`` (NULL
     when no candidate survives). The window number is inside the key so one ``max``
-    per example picks the first maximum across windows."""
-    off = F.col("offsets")
-    sl, el = F.col("start_logits"), F.col("end_logits")
-
-    def grid(st, en):
-        cands = F.flatten(
-            F.transform(
-                st,
-                lambda s, si: F.transform(
-                    en, lambda e, ei: F.struct(s.alias("s"), e.alias("e"), si.alias("si"), ei.alias("ei"))
-                ),
-            )
-        )
-        ok = F.filter(
-            cands,
-            lambda c: F.get(off, c["s"]).isNotNull()
-            & F.get(off, c["e"]).isNotNull()
-            & (c["e"] >= c["s"])
-            & (c["e"] - c["s"] + 1 <= max_answer_length),
+    per example picks the first maximum across windows.
+
+    Candidates come from an Arrow function over whole batches (``best_candidates``): starts in
+    falling order of their logit, each with the best of its admissible ends; a window is done
+    when its next start cannot reach its best score any more. A NaN logit is no candidate."""
+    b = best_candidates(n_best, max_answer_length)("start_logits", "end_logits", F.col("offsets.start"), F.col("offsets.end"))
+    # the span text comes from the window's own text: one substring per window
+    text = F.substring(F.col("ctx_text"), F.col("_b.start_char") - F.col("ctx_start") + 1, F.col("_b.end_char") - F.col("_b.start_char"))
+    best = F.when(F.col("_b").isNull(), F.lit(None)).otherwise(
+        F.struct(
+            F.col("_b.score").alias("score"), (-F.col("window_no")).alias("neg_w"), (-F.col("_b.si")).alias("neg_si"), (-F.col("_b.ei")).alias("neg_ei"),
+            F.col("_b.start_char").alias("start_char"), F.col("_b.end_char").alias("end_char"), text.alias("text"),
         )
-        scored = F.transform(
-            ok,
-            lambda c: F.struct(
-                (F.get(sl, c["s"]) + F.get(el, c["e"])).alias("score"),
-                (-F.col("window_no")).alias("neg_w"),
-                (-c["si"]).alias("neg_si"),
-                (-c["ei"]).alias("neg_ei"),
-                F.get(off, c["s"])["start"].alias("start_char"),
-                F.get(off, c["e"])["end"].alias("end_char"),
-            ),
-        )
-        return F.array_max(scored)
-
-    def with_text(b):
-        # the span text comes from the window's own text: one substring per window
-        text = F.substring(
-            F.col("ctx_text"), b["start_char"] - F.col("ctx_start") + 1, b["end_char"] - b["start_char"]
-        )
-        return F.when(b.isNull(), F.lit(None)).otherwise(
-            F.struct(
-                b["score"].alias("score"), b["neg_w"].alias("neg_w"), b["neg_si"].alias("neg_si"),
-                b["neg_ei"].alias("neg_ei"), b["start_char"].alias("start_char"),
-                b["end_char"].alias("end_char"), text.alias("text"),
-            )
-        )
-
-    best = let(
-        top_n_indices(sl, n_best),
-        lambda st: let(top_n_indices(el, n_best), lambda en: let(grid(st, en), with_text)),
     )
-    return feat_logits.select("id", "window_no", best.alias("best"))
+    scored = feat_logits.select("id", "window_no", "ctx_text", "ctx_start", b.alias("_b"))
+    return scored.select("id", "window_no", best.alias("best"))
 
 
 def best_span(examples: DataFrame, feat_logits: DataFrame, n_best: int = 20,
