@@ -253,10 +253,12 @@ def q_span_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("id", "prediction_text", "em", _round(F.col("f1")).alias("f1"))
 
 
-def q_pair_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
-    r = pair_plan.run_pair_task(views.pairs(spark, sf), k_val=None, seed=SEED)
-    return r.select("pair_id", "prediction_text", "em", _round(F.col("f1")).alias("f1"),
-                    _round(F.col("bleu")).alias("bleu"))
+def _pair_task(generator: str):
+    def q(spark: SparkSession, sf: str) -> DataFrame:
+        r = pair_plan.run_pair_task(views.pairs(spark, sf), k_val=None, seed=SEED, generator=generator)
+        return r.select("pair_id", "prediction_text", "em", _round(F.col("f1")).alias("f1"), _round(F.col("bleu")).alias("bleu"))
+
+    return q
 
 
 def q_stream_tokenize(spark: SparkSession, sf: str) -> DataFrame:
@@ -445,12 +447,12 @@ def q_unanswerable_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_span_from_logits(spark: SparkSession, sf: str) -> DataFrame:
-    """Model output as a table joined by (id, window_no), decoded with 512/128 and 20/100.
-    The table has logits for every window of the documents that have a vector; it is written once,
-    as it is read twice."""
+    """Model output at rest, decoded with 512/128 and 20/100 (D3, D4): the documents that have a vector are
+    windowed once; features and logits are tables bucketed by (id, window_no), joined without an exchange."""
     ex = views.doc_examples(spark, sf)
-    logits = cut_lineage(views.logits_table(spark, sf, 512, 128), "logits")
-    b = span_plan.decode_with_logits(ex, logits, 512, 128, 20, 100)
+    feats = span_plan.at_rest(span_plan.decode_features(ex.join(views.vector_ids(spark, sf), "id", "left_semi"), 512, 128), "features")
+    logits = span_plan.at_rest(views.logits_of(spark, sf, feats.select("id", "window_no", "seq_len")), "logits")
+    b = decode.best_span(ex, decode.attach_logits(feats.hint("merge"), logits), 20, 100)
     return b.select(
         F.col("id").cast("bigint").alias("id"), "prediction_text", F.col("start_char").cast("bigint").alias("start_char"),
         F.col("end_char").cast("bigint").alias("end_char"), _round(F.col("score"), 5).alias("score"))
@@ -493,7 +495,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "decode_text": q_decode_text,
     "lexical_score": q_lexical_score,
     "span_end_to_end": q_span_end_to_end,
-    "pair_end_to_end": q_pair_end_to_end,
+    "pair_end_to_end": _pair_task("nearest"),
+    "pair_echo": _pair_task("echo"),
     "stream_tokenize": q_stream_tokenize,
     "csv_round_trip": q_csv_round_trip,
     "json_round_trip": q_json_round_trip,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spanlake.operators import decode, scoring, windows
 from spanlake.operators.metrics import registry, squad
-from spanlake.session import cut_lineage
+from spanlake.session import bucketed_table, cut_lineage
 
 
 def prepare(examples: DataFrame, max_length: int = 512, stride: int = 128, n_special: int = 3,
@@ -38,6 +38,18 @@ def decode_with_logits(examples: DataFrame, logits: DataFrame, max_length: int =
     return decode.best_span(examples, decode.attach_logits(feats, logits), n_best, max_answer_length)
 
 
+def decode_features(examples: DataFrame, max_length: int = 512, stride: int = 128) -> DataFrame:
+    """What decoding needs of each window: its key, length, offsets and text."""
+    f = windows.window_features(examples, max_length, stride, question_col=None)
+    return f.select("id", "window_no", "seq_len", "offsets", "ctx_start", "ctx_text")
+
+
+def at_rest(df: DataFrame, name: str, buckets: int | None = None) -> DataFrame:
+    """A table of features or logits in the shared folder, bucketed and sorted by (id, window_no): two such
+    tables of as many buckets join without an exchange (D3)."""
+    return bucketed_table(df, name, ["id", "window_no"], buckets)
+
+
 def predict(examples: DataFrame, max_length: int = 512, stride: int = 128, n_best: int = 20,
             max_answer_length: int = 100, logits: DataFrame | None = None) -> DataFrame:
     """Best span per example; ``logits`` (id, window_no, start_logits, end_logits) from a

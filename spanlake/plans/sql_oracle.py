@@ -570,7 +570,25 @@ FROM ov
 ORACLE["span_end_to_end"] = _span_end_to_end()
 
 
-def _pair_end_to_end() -> str:
+TERMS = f"list_distinct(list_transform(regexp_extract_all(\"Query\", '{TOKEN_PATTERN}', 0), lambda x: lower(x)))"
+
+# the query itself, or the segment of the training query of the largest shared idf weight (all compared)
+ECHO = f"""
+gen AS (SELECT pair_id, "Segment" AS answer, "Query" AS generated FROM val)"""
+NEAREST = f"""
+train AS (SELECT * FROM r WHERE rank > ceil(n * 0.1)),
+tt AS (SELECT pair_id AS d, unnest({TERMS}) AS term FROM train),
+tw AS (SELECT term, round((ln(((SELECT count(*) FROM train WHERE len({TERMS}) > 0) + 1) / (count(*) + 1)) + 1) * 1000)::BIGINT AS w FROM tt GROUP BY term),
+vt AS (SELECT pair_id, unnest({TERMS}) AS term FROM val),
+sc AS (SELECT pair_id, d, sum(w) AS score FROM vt JOIN tw USING (term) JOIN tt USING (term) GROUP BY pair_id, d),
+top AS (SELECT pair_id, d FROM sc QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, d) = 1),
+gen AS (
+  SELECT val.pair_id, val."Segment" AS answer, coalesce(train."Segment", '') AS generated
+  FROM val LEFT JOIN top USING (pair_id) LEFT JOIN train ON train.pair_id = top.d
+)"""
+
+
+def _pair_end_to_end(generated: str) -> str:
     return f"""
 WITH {PAIRS},
 uniq AS (
@@ -582,10 +600,10 @@ r AS (
   FROM uniq
 ),
 val AS (SELECT * FROM r WHERE rank <= ceil(n * 0.1)),
+{generated},
 pred AS (
-  SELECT pair_id, "Segment" AS answer,
-         array_to_string(regexp_extract_all("Query", '{TOKEN_PATTERN}', 0)[1:62], ' ') AS prediction_text
-  FROM val
+  SELECT pair_id, answer, array_to_string(regexp_extract_all(generated, '{TOKEN_PATTERN}', 0)[1:62], ' ') AS prediction_text
+  FROM gen
 ),
 tk AS (
   SELECT pair_id, prediction_text, answer, {squad_tokens('prediction_text')} AS pt, {squad_tokens('answer')} AS gt,
@@ -612,7 +630,8 @@ FROM ov JOIN agg USING (pair_id)
 """
 
 
-ORACLE["pair_end_to_end"] = _pair_end_to_end()
+ORACLE["pair_end_to_end"] = _pair_end_to_end(NEAREST)
+ORACLE["pair_echo"] = _pair_end_to_end(ECHO)
 
 ORACLE["stream_tokenize"] = ORACLE["tokenize_offsets"]
 

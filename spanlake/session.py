@@ -66,4 +66,16 @@ def cut_lineage(df, name: str = "table"):
     return df.sparkSession.read.parquet(path)
 
 
-__all__ = ["get_spark", "checkpoint_root", "shared_dir", "cut_lineage"]
+def bucketed_table(df, name: str, keys: list[str], buckets: int | None = None):
+    """The rows as a table in the shared folder, bucketed and sorted by ``keys`` (as many buckets as shuffle
+    partitions by default): joins on the keys between such tables need no exchange."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_dir(spark, name)
+    table = f"spanlake_{name}_{path[-12:]}"
+    # the same hash deals rows to tasks and to buckets: one file per bucket
+    df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+__all__ = ["bucketed_table", "get_spark", "checkpoint_root", "shared_dir", "cut_lineage"]

@@ -240,6 +240,17 @@ def logits_table(spark: SparkSession, sf_dir: str, max_length: int = 512, stride
     return embedding_logits(feats.select("id", "window_no", "seq_len", "_e"), F.col("seq_len")).drop("seq_len")
 
 
+def vector_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id`` of the documents that have a vector."""
+    return table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select(F.col("vec_id").alias("id"))
+
+
+def logits_of(spark: SparkSession, sf_dir: str, features: DataFrame) -> DataFrame:
+    """Model output (id, window_no, start_logits, end_logits) for finished windows (id, window_no, seq_len)."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("_e")).where(F.size("_e") > 0)
+    return embedding_logits(features.join(e, "id"), F.col("seq_len")).drop("seq_len")
+
+
 def span_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of every document that has a vector (64 positions, stride 16) with
     logits attached. The key join runs before tokenising, so documents without

@@ -35,7 +35,7 @@ def test_containment_views_have_no_nested_loop(spark):
 
 
 def test_scorer_runs_once(spark):
-    p = _plan(QUERIES["pair_end_to_end"](spark, SF_SMALL))
+    p = _plan(QUERIES["pair_echo"](spark, SF_SMALL))
     assert len(re.findall(r"^\(\d+\) MapInPandas", p, re.M)) == 1, p[:3000]
 
 
@@ -62,3 +62,14 @@ def test_best_span_has_one_aggregation_shuffle(plans):
     p = plans["best_span"]
     assert "partial_max" in p
     assert "SortMergeJoin" not in p
+
+
+def test_logits_at_rest_join_without_exchange(spark):
+    """Windows are cut before the plan starts; the only exchange left is the one by example id."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = _plan(QUERIES["span_from_logits"](spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert _exchanges(p) == 1 and "SortMergeJoin" in p and "text_to_tokens" not in p, p[:4000]
