@@ -12,15 +12,21 @@ boilerplate words), open or closed. A boilerplate container (menu, header, foote
 notice, advert, form, comments) is one negative token: its words never enter the result, and
 an article that goes on after it is not cut off by its length. An ``article`` or ``main`` element
 is never inside one (but for an article inside a container of an outer article: a comment or a
-teaser). Classes and ids count as whole names; an element that has a boilerplate word only as a
-part of a name (``with-sidebar``, ``share-story``) is a negative token of its own and its words
-count as any others, less a price at its end. Tag weights are at most 0.
+teaser). Classes and ids count as whole names, and by their parts where a part says what the element is: the
+last word (``site-footer``, ``userComments``) or the first (``comment-list``, ``ad-slot``), unless the name says that the
+element only has one (``with-sidebar``). A container that is known by a part of a name for anything but comments and
+adverts, and holds more than half of the page's words, is the page's frame and no boilerplate.
+Any other element with a boilerplate word in a name (``share-story``) is a negative token of its own
+and its words count as any others, less a price at its end. Tag weights are at most 0.
 Counts come from a bounded sample (the labelled ones of about ``MAX_LABELLED`` pages by id
-hash); a sample without labelled pages uses the default weights below.
+hash), the weights of the ``MAX_TAGS`` most frequent tag names; other tags, and a sample without
+labelled pages, use the default weights below.
 
-Defined cases: null and empty html give an empty text; unclosed and stray tags are allowed;
+Defined cases: null and empty html give an empty text; unclosed and stray tags are allowed, and cost
+the same as any others (a page is read in time proportional to its length); attributes are read one after another, so
+what stands inside a value is no attribute, and an apostrophe in an unquoted value quotes nothing;
 comments, scripts, styles and other raw elements hold no text; ties go to the first and
-shortest region; repeated rows give repeated results.
+shortest region; repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +42,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_LABELLED = 2_000
+MAX_TAGS = 1_000
+#: Frames inside each other that are looked through.
+MAX_FRAMES = 8
 WORD_WEIGHT = 1.0
 TAG_WEIGHT = -2.0
 #: Default weight of inline tags and of tags that set text blocks.
@@ -65,58 +74,114 @@ BOILERPLATE_WORDS = {
 BLOCKS = {"p", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "table", "tr", "td", "th", "tbody", "thead", "figure", "figcaption", "hr"}
 LABEL = {"article", "main"}
 
+#: Words that say what an element is when they end a name, and those that do when they begin one.
+LAST_WORDS = BOILERPLATE_WORDS - {"form", "header", "related", "share", "social", "notice", "responses", "widget", "widgets", "toolbar"} | {"notice", "notices"}
+FIRST_WORDS = {"ad", "ads", "advert", "advertisement", "comment", "comments", "cookie", "cookies", "consent", "disqus", "footer", "gdpr", "newsletter", "promo", "sidebar", "sponsored", "subscribe"}
+#: What a frame of the whole page is never.
+NEVER_FRAMES = {"ad", "ads", "advert", "adverts", "advertisement", "comment", "comments", "commentlist", "disqus"}
+#: Words by which a name says that an element has something, or not.
+HAVING = {"with", "has", "have", "no", "without", "hide", "show", "is"}
+
+# quotes count only behind an equals sign
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+
+
+def _name_mark(name: str) -> str:
+    """What one class or id says: ``*`` boilerplate by a whole name or for what no frame is, ``?`` boilerplate by a
+    part of the name, ``~`` a boilerplate word elsewhere in it."""
+    if name.lower() in BOILERPLATE_WORDS:
+        return "*"
+    words = [w.lower() for w in _PART.findall(name)]
+    if BOILERPLATE_WORDS.isdisjoint(words):
+        return ""
+    if HAVING.isdisjoint(words):
+        said = {words[-1]} & LAST_WORDS | {words[0]} & FIRST_WORDS
+        if said:
+            return "?" if said.isdisjoint(NEVER_FRAMES) else "*"
+    return "~"
 
 
 def _mark(name: str, attrs: str) -> str:
-    """``*`` for a boilerplate container, ``~`` for an element with a boilerplate word as part of a name."""
+    """The strongest mark of an element: ``*`` a boilerplate container, ``?`` one by a part of a name, ``~`` an
+    element with a boilerplate word as part of a name."""
     if name in BOILERPLATE:
         return "*"
     if name in LABEL or name in ("html", "body") or not attrs or name in VOID:
         return ""
-    part = ""
+    found = set()
     for m in _ATTR.finditer(attrs):
-        key, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in BOILERPLATE_ROLES:
+        key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in BOILERPLATE_ROLES:
             return "*"
         if key in ("class", "id"):
-            if not BOILERPLATE_WORDS.isdisjoint(value.split()):
-                return "*"
-            if not BOILERPLATE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-                part = "~"
-    return part
+            found |= set(map(_name_mark, value.split()))
+    return next((x for x in "*?~" if x in found), "")
 
 
-def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(kind, text, boilerplate, labelled) in page order. Kind ``w`` is a run of text, any other
-    the name of a tag (with ``/`` if it closes, ``*`` if it opens or closes boilerplate, ``~`` if it
-    opens or closes an element with a boilerplate word in a name)."""
+class _Open:
+    """The open elements, with the places of each name and of the containers (so that no end searches the stack)."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, str, tuple[bool, bool, bool]]] = []
+        self.at: dict[str, list[int]] = {}
+        self.walls: list[int] = []
+
+    def push(self, name: str, mark: str, around: tuple[bool, bool, bool]) -> None:
+        self.at.setdefault(name, []).append(len(self.stack))
+        if mark == "*" or name in ("table", "ul", "ol", "dl", "div", "section"):
+            self.walls.append(len(self.stack))
+        self.stack.append((name, mark, around))
+
+    def depth(self, name: str) -> int | None:
+        """Where the innermost open element of a name is."""
+        return self.at[name][-1] if self.at.get(name) else None
+
+    def close(self, depth: int) -> tuple[list[str], tuple[bool, bool, bool]]:
+        """Ends the elements from ``depth`` on: their marks, and the states around the outermost."""
+        gone = self.stack[depth:]
+        del self.stack[depth:]
+        for name, _, _ in gone:
+            self.at[name].pop()
+        while self.walls and self.walls[-1] >= depth:
+            self.walls.pop()
+        return [g[1] for g in gone], gone[0][2]
+
+
+def _read(page: str, frames: set[int]) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[int, int]], int]:
+    """Tokens; (tag number, words inside) of outermost containers by a part of a name; all words. Tags numbered in
+    ``frames`` are no containers."""
     out: list[tuple[str, str, bool, bool]] = []
-    # open elements: name, mark, and the three states around it
-    stack: list[tuple[str, str, tuple[bool, bool, bool]]] = []
+    held = _Open()
+    named: list[tuple[int, int]] = []
+    running: tuple[int, int, int] | None = None  # an open container by a part of a name: depth, tag number, words so far
     boiler = label = article = False
-    pos, n = 0, len(page)
+    pos, n, number, words = 0, len(page), 0, 0
     while pos < n:
         m = _TOKEN.search(page, pos)
         text = page[pos : m.start()] if m else page[pos:]
         if text:
-            out.append(("w", _html.unescape(text), boiler, label))
+            text = _html.unescape(text)
+            words += len(text.split())
+            out.append(("w", text, boiler, label))
         if not m:
             break
         pos = m.end()
+        number += 1
         name = (m.group(2) or "").lower()
         if not name:
             continue
         if m.group(1):
-            depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == name), None)
+            depth = held.depth(name)
             ends = ""
             if depth is not None:
-                marks = [s[1] for s in stack[depth:]]
+                marks, (boiler, label, article) = held.close(depth)
                 ends = "*" if "*" in marks else "~" if "~" in marks else ""
-                boiler, label, article = stack[depth][2]
-                del stack[depth:]
+                if running and depth <= running[0]:
+                    named.append((running[1], words - running[2]))
+                    running = None
             out.append(("/" + name + ends, "", boiler, label))
             continue
         if name in RAW:
@@ -126,6 +191,7 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
             out.append((name, "", boiler, label))
             continue
         mark = _mark(name, m.group(3))
+        by_part, mark = mark == "?", "~" if mark == "?" and number in frames else mark.replace("?", "*")
         around = boiler, label, article
         if name in LABEL and not article:
             boiler = False
@@ -133,17 +199,33 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
         if name in VOID or m.group(3).rstrip().endswith("/"):
             boiler = around[0]
             continue
-        if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and any(s[0] == name for s in stack):
-            depth = max(d for d, s in enumerate(stack) if s[0] == name)
+        if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
+            depth = held.depth(name)
             # an open one of the same kind ends here, unless a container was opened inside it
-            if not any(s[1] == "*" or s[0] in ("table", "ul", "ol", "dl", "div", "section") for s in stack[depth + 1 :]):
-                around = boiler, label, article = stack[depth][2]
-                del stack[depth:]
-        stack.append((name, mark, around))
+            if depth is not None and not (held.walls and held.walls[-1] > depth):
+                around = boiler, label, article = held.close(depth)[1]
+        if by_part and mark == "*" and not boiler and running is None:
+            running = len(held.stack), number, words
+        held.push(name, mark, around)
         boiler |= mark == "*"
         label |= name in LABEL
         article |= name == "article"
-    return out
+    if running:
+        named.append((running[1], words - running[2]))
+    return out, named, words
+
+
+def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
+    """(kind, text, boilerplate, labelled) in page order. Kind ``w`` is a run of text, any other
+    the name of a tag (with ``/`` if it closes, ``*`` if it opens or closes boilerplate, ``~`` if it
+    opens or closes an element with a boilerplate word in a name)."""
+    frames: set[int] = set()
+    while True:
+        out, named, words = _read(page, frames)
+        more = {k for k, inside in named if inside * 2 > words}
+        if not more or len(frames) >= MAX_FRAMES:
+            return out
+        frames |= more
 
 
 def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
@@ -239,7 +321,7 @@ def learn_weights(pages: DataFrame, limit: int = MAX_LABELLED) -> dict[str, floa
     got = (
         sample.mapInArrow(rows, "token string, inside boolean, n long").groupBy("token")
         .agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("o"))
-        .orderBy(F.desc(F.col("i") + F.col("o")), "token").limit(1_000).collect()
+        .orderBy(F.desc(F.col("i") + F.col("o")), "token").limit(MAX_TAGS).collect()
     )
     return weigh({r[0]: (int(r[1]), int(r[2])) for r in got})
 
