@@ -13,11 +13,13 @@ A text's margin is that of its worst unit, and a logistic curve placed by the la
 texts turns it into a score.
 
 Labels belong to whole texts, so units get theirs from counts (multiple-instance learning): a
-unit is counted once per context (the word before), so that copies of a text count once;
-positive units have significantly more toxic contexts than chance over all units would give,
-and hardly any clean one, or open like that (compounds of an insult); negative units are
-drawn from clean texts, and the hardest of a larger draw are added for a
-second fit. All counts are made by Spark over a bounded sample
+unit is counted once per document that has it in a context (the word before) of its own, so that copies of
+a text count once and long texts no more than short ones;
+positive units have significantly more toxic documents than chance over all units would give,
+and hardly any clean one, or open like that (compounds of an insult); the evident ones also stand in
+spelt variants (a character inserted, doubled or masked, marks or a gap between letters, digits for
+letters). Negative units are drawn from clean texts, and the hardest of a larger draw are added for
+two further fits. Labelled texts place the score, with variants of characters that the learned ones do not have. All counts are made by Spark over a bounded sample
 (``MAX_LABELLED`` labelled texts by id hash); the driver receives at most ``MAX_POSITIVE`` +
 ``NEGATIVE_POOL`` units and ``MAX_LABELLED`` margins.
 
@@ -29,6 +31,7 @@ overlapping windows of ``MAX_UNIT`` characters, so whole texts are scored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import uuid
@@ -47,7 +50,8 @@ from spanlake.llm.common import held_out, written
 ORDER = 3
 DECAY = 0.4
 MAX_UNIT = 24
-ALPHABET = 64
+#: Character classes, and the first of those that characters beyond ASCII share.
+ALPHABET, OTHERS = 128, 64
 MAX_LABELLED = 8_000
 MAX_POSITIVE = 1_500
 #: Length of the openings that stand for all compounds with them, and most openings kept.
@@ -63,25 +67,43 @@ LEAST_POSITIVE = 10
 #: Negative units from which the hardest are added for a second fit, and how many.
 NEGATIVE_POOL, HARD = 40_000, 1_500
 #: Place of the score's middle in the gap between clean and toxic margins.
-UPPER = 0.8
+UPPER = 0.4
 #: Units whose margins a worker remembers; cleared when full (margins are a pure function).
 CACHE = 500_000
 
 _SPACED = re.compile(r"(?:(?<=\s)|^)\S(?:[ \t]\S){2,}(?=\s|$)")
+#: Letters of a spaced-out run, or of a unit with a masked letter, at least.
+LEAST_RUN = 4
+#: Variants of the positive units that are learned, and that place the score, at most; characters inserted in each.
+MAX_VARIANTS = 4_000
+LEARNED_INSERTS, PLACING_INSERTS = "xq.zj-", "kv'wy~"
+_DIGITS = str.maketrans({"a": "4", "e": "3", "i": "1", "o": "0", "s": "5", "t": "7"})  # fixed values: digits that look like letters
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»¡¿“”‘’…"
 
 # --- units --------------------------------------------------------------------------
 
 
 def raw_units(text: str) -> set[str]:
-    """Distinct lower-cased words, and spaced-out runs without their spaces."""
+    """Distinct lower-cased words, and spaced-out runs without their spaces (also without a first or last
+    character, which may be a word of its own, as in ``a w o r d``)."""
     text = text.lower()
     out = set(text.split())
     for m in _SPACED.finditer(text):
-        out.add("".join(m.group().split()))
+        run = "".join(m.group().split())
+        out |= {run, run[1:], run[:-1], run[1:-1]} if len(run) > LEAST_RUN else {run}
     return out
 
 
+def variants(unit: str, inserts: str) -> list[str]:
+    """A unit as it is spelt to slip through: a character inserted or doubled, marks between the letters, a
+    letter masked, a gap, digits for letters. Inserted characters come from ``inserts``, in turn."""
+    inner = range(1, len(unit))
+    out = [unit[:k] + inserts[k % len(inserts)] + unit[k:] for k in inner] + [unit[:k] + unit[k - 1] + unit[k:] for k in inner]
+    out += [unit[:k] + "**" + unit[k:] for k in inner if 1 < k < len(unit) - 1] + [unit[:k] + "*" + unit[k + 1 :] for k in inner if len(unit) > LEAST_RUN and k < len(unit) - 1]
+    out += [mark.join(unit) for mark in ".-_*"] + [unit.translate(_DIGITS)]
+    return [v for v in dict.fromkeys(out) if v != unit and len(v) <= MAX_UNIT]
+
+
 def pieces(unit: str) -> list[str]:
     """A unit without outer punctuation, cut into overlapping windows if it is long."""
     unit = unit.strip(_EDGE)
@@ -93,15 +115,20 @@ def pieces(unit: str) -> list[str]:
 
 def _codes(units: list[str]) -> np.ndarray:
     """Character classes of units of one length, with a mark at both ends (class 1): a-z are
-    classes 2-27, digits 28; other characters share the remaining classes by code point."""
+    classes 2-27, digits 28, other ASCII characters from 29 on; all others share the remaining classes by code point."""
     n = len(units[0])
     c = np.array(["".join(units)]).view(np.uint32).astype(np.int64).reshape(len(units), n)
     low = (c >= 97) & (c <= 122)
     digit = (c >= 48) & (c <= 57)
-    out = np.where(low, c - 95, np.where(digit, 28, 29 + c % (ALPHABET - 29)))
+    out = np.where(low, c - 95, np.where(digit, 28, np.where(c < 128, _MARK_CLASS[np.minimum(c, 127)], OTHERS + c % (ALPHABET - OTHERS))))
     return np.pad(out, ((0, 0), (1, 1)), constant_values=1)
 
 
+#: Classes of ASCII characters that are neither small letters nor digits: printable marks apart, the rest alike.
+_MARK_CLASS = np.full(128, 29, np.int64)
+_MARK_CLASS[[c for c in range(33, 127) if not chr(c).isalnum()]] = 30 + np.arange(32)
+
+
 _TRIPLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -224,8 +251,9 @@ def _landmarks(gram: np.ndarray, count: int) -> list[int]:
     return picked
 
 
-def fit_svm(positive: list[str], negative: list[str], rounds: int = 25, ridge: float = 1e-4) -> Model:
-    """Nystrom features on landmarks, then a linear squared-hinge SVM by Newton steps."""
+def fit_svm(positive: list[str], negative: list[str], rounds: int = 25, ridge: float = 1e-4, hard: int = 0) -> Model:
+    """Nystrom features on landmarks, then a linear squared-hinge SVM by Newton steps. The first ``hard``
+    negatives have half of the weight of all."""
     pool = positive[: POOL // 2] + negative[: POOL // 2]
     vocab = _all_subsequences(pool)
     phi = _features(pool, vocab)
@@ -238,6 +266,8 @@ def fit_svm(positive: list[str], negative: list[str], rounds: int = 25, ridge: f
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
     cost = np.where(y > 0, 0.5 / max(1, len(positive)), 0.5 / max(1, len(negative)))
+    if 0 < hard < len(negative):
+        cost[len(positive) :] = np.where(np.arange(len(negative)) < hard, 0.25 / hard, 0.25 / (len(negative) - hard))
     w = np.zeros(x.shape[1])
     reg = np.full(len(w), ridge)
     reg[-1] = 1e-8
@@ -253,10 +283,11 @@ def fit_svm(positive: list[str], negative: list[str], rounds: int = 25, ridge: f
     return Model(table, float(w[-1]))
 
 
-def fit_score(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+def fit_score(margin: np.ndarray, label: np.ndarray, spelt: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and offset of the logistic score. A score of 0.5 lies where texts are separated with the
-    fewest errors, in the widest such gap between margins, nearer to its upper end (new clean words
-    are more frequent than new insults); the slope gives the median of the texts above 0.95."""
+    fewest errors, in the widest such gap between margins; if nine in ten of ``spelt``, the margins of
+    spelt insults, lie over the gap's lower end, they end the gap. Its place is ``UPPER`` of the gap; the
+    slope gives the median of the texts above 0.95."""
     cuts, at = np.unique(margin, return_inverse=True)
     toxic = np.bincount(at, label, len(cuts))
     clean = np.bincount(at, 1 - label, len(cuts))
@@ -265,7 +296,10 @@ def fit_score(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     edge = np.concatenate([[cuts[0] - 1], cuts, [cuts[-1] + 1]])
     width = np.diff(edge)
     k = max(np.flatnonzero(errors == errors.min()), key=lambda i: width[i])
-    cut = edge[k] + UPPER * width[k]
+    low, high = edge[k], edge[k + 1]
+    if spelt is not None and len(spelt) and (tenth := float(np.quantile(spelt, 0.1))) > low:
+        high = min(high, tenth)
+    cut = low + UPPER * (high - low)
     above = margin[margin > cut]
     slope = np.log(19.0) / max(1e-6, np.median(above) - cut) if len(above) else 1.0
     return float(slope), float(-slope * cut)
@@ -286,10 +320,10 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> D
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(unit, context, toxic) of every word and of its opening ``PREFIX`` characters (marked by a
+    """(unit, context, doc_id, toxic) of every word and of its opening ``PREFIX`` characters (marked by a
     space). The context is the word before, for an opening also the rest of the word."""
     for b in batches:
-        for t, y in zip(b.column(0), b.column(1).to_pylist()):
+        for d, t, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
             words = [w for u in (t.as_py() or "").lower().split() for w in pieces(u)]
             pairs = set(zip(words, ["", *words]))
             units = [w for w, _ in pairs]
@@ -300,7 +334,8 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     context.append(crc32(f"{w[PREFIX:]} {c}".encode("utf-8", "replace")))
             if units:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(units, pa.string()), pa.array(context, pa.int64()), pa.array([y] * len(units), pa.int32())], ["unit", "context", "toxic"])
+                    [pa.array(units, pa.string()), pa.array(context, pa.int64()), pa.array([d] * len(units), pa.int64()), pa.array([y] * len(units), pa.int32())],
+                    ["unit", "context", "doc_id", "toxic"])
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model | None:
@@ -310,9 +345,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
     n_toxic, n_clean = int(n[0] or 0), int(n[1] or 0)
     if not n_toxic or not n_clean:
         return None
-    seen = sample.select("text", "toxic").mapInArrow(_unit_rows, "unit string, context long, toxic int")
-    # a unit's contexts count once, so copies of one text do not
-    seen = seen.groupBy("unit", "context").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("c"))
+    seen = sample.select("doc_id", "text", "toxic").mapInArrow(_unit_rows, "unit string, context long, doc_id long, toxic int")
+    # a context counts for one document, so copies of a text do not count; and a document counts once, however long
+    seen = seen.groupBy("unit", "context").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("c"), F.min("doc_id").alias("doc_id"))
+    seen = seen.groupBy("unit", "doc_id").agg(F.max("t").alias("t"), F.max("c").alias("c"))
     stats = written(seen.groupBy("unit").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "toxic-units")
     words = stats.where(~F.col("unit").startswith(" "))
     total = words.agg(F.sum("t"), F.sum("c")).first()
@@ -330,22 +366,33 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
     words = stats.where(~F.col("unit").startswith(" "))
     openings = best(stats.where(F.col("unit").startswith(" ") & sign), MAX_OPENINGS).select(F.col("unit").alias("opening"))
     opened = words.where(c == 0).join(F.broadcast(openings), F.concat(F.lit(" "), F.substring("unit", 1, PREFIX)) == F.col("opening"))
+    evident = {r[0] for r in best(words.where(sign), MAX_POSITIVE).select("unit").collect()}
     positive = [r[0] for r in best(words.where(sign).unionByName(opened.drop("opening")).distinct(), MAX_POSITIVE).select("unit").collect()]
     if len(positive) < LEAST_POSITIVE:
         more = best(words.where((t > 1) & (F.col("evidence") > 0)), LEAST_POSITIVE).select("unit").collect()
         positive = list(dict.fromkeys([*positive, *(r[0] for r in more)]))[:LEAST_POSITIVE]
     known = set(positive)
-    neg = words.where((c > 0) & (F.col("evidence") < 1.0)).orderBy(F.xxhash64("unit"), "unit").limit(NEGATIVE_POOL)
-    pool = [r[0] for r in neg.select("unit").collect() if r[0] not in known]
+    # half of the negatives are the words of most clean documents, which texts consist of, half any words
+    neg = words.where((c > 0) & ((F.col("evidence") < 1.0) | (c >= t)))
+    often, anyone = ([r[0] for r in neg.orderBy(*by).limit(NEGATIVE_POOL // 2).select("unit").collect()] for by in ([c.desc(), "unit"], [F.xxhash64("unit"), "unit"]))
+    pool = [u for pair in itertools.zip_longest(often, anyone) for u in pair if u is not None and u not in known]
+    pool = list(dict.fromkeys(pool))
     negative = pool[:MAX_NEGATIVE]
     if not positive or not negative:
         return None
-    model = fit_svm(positive, negative)
-    hardest = np.argsort(-model.unit_margins(pool), kind="stable")[:HARD]
-    model = fit_svm(positive, list(dict.fromkeys([*(pool[i] for i in hardest), *negative])))
+    spelt = lambda inserts: [v for u in positive if u in evident and len(u) >= LEAST_RUN for v in variants(u, inserts) if v not in seen_clean]
+    seen_clean = set(pool)
+    some = lambda units: [u for u in units if crc32(u.encode()) % max(1, -(-len(units) // MAX_VARIANTS)) == 0]
+    learned = positive + some(spelt(LEARNED_INSERTS))
+    model = fit_svm(learned, negative)
+    hard: dict[str, None] = {}
+    for _ in range(2):
+        hardest = np.argsort(-model.unit_margins(pool), kind="stable")[:HARD]
+        hard |= dict.fromkeys(pool[i] for i in hardest)
+        model = fit_svm(learned, list(dict.fromkeys([*hard, *negative])), hard=len(hard))
     got = _scored(sample.select("doc_id", "text"), model, raw=True).join(sample.select("doc_id", "toxic"), "doc_id").select("score", "toxic").collect()
     m = np.maximum(np.array([r[0] for r in got]), -20.0)
-    model.slope, model.offset = fit_score(m, np.array([r[1] for r in got], float))
+    model.slope, model.offset = fit_score(m, np.array([r[1] for r in got], float), model.unit_margins(some(spelt(PLACING_INSERTS))))
     return model
 
 
