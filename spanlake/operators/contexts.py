@@ -1,13 +1,14 @@
 """Windows of contexts that many questions share (G1, G3 over distinct contexts).
 
 In nested QA documents a paragraph's questions repeat its context. Here a context is known by its
-content (a 256-bit digest), and each distinct one is tokenised once. Its windows depend on
-the question only through the number of question tokens, so windows are cut once per
-(context, question length) and the questions are joined to finished windows. Contexts that
-occur in many paragraphs or documents, as copies do, are one context.
-
-Texts move once, to meet their copies; questions travel without them. A context
-with very many questions is many rows on the question side of an equi-join, which adaptive execution splits.
+content (a 256-bit digest), and each distinct one is tokenised once, where its copies meet; the
+questions, which travel without their context, are joined to the tokens there, and windows
+are cut behind the join. Contexts that occur in many paragraphs or documents, as copies do, are one context.
+
+Texts move once and tokens never: the digest that copies meet by is the join key. (Joining questions to
+finished windows instead was measured: windows of four question lengths are several times the
+texts, and all of them would be shuffled.) A context with very many questions is many rows
+on the question side of an equi-join, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -51,10 +52,7 @@ def shared_window_features(
     (ctx_key, context; one row per key). A question whose context is missing gives no row."""
     keep = list(keep or [])
     q = questions.select(F.col(id_col).alias("id"), "ctx_key", *keep, question_tokens(question_col).alias("_q"))
-    q = q.withColumn("q_len", F.size("_q"))
-    lengths = q.select(F.col("ctx_key").alias("_key"), "q_len").distinct()
-    sized = context_tokens(contexts).join(lengths, F.col("ctx_key") == F.col("_key")).drop("_key")
-    win = cut_windows(sized, ["ctx_key", "q_len"], max_length, stride, n_special)
-    win = win.withColumnsRenamed({"ctx_key": "_key", "q_len": "_len"})
-    joined = q.join(win, (F.col("ctx_key") == F.col("_key")) & (F.col("q_len") == F.col("_len"))).drop("_key", "_len")
-    return pack_windows(joined, ["id", "window_no", *keep], max_length, n_special, pad)
+    # both sides are dealt by the digest: the token table comes out of its aggregation that way
+    sized = q.withColumn("q_len", F.size("_q")).join(context_tokens(contexts).withColumnRenamed("ctx_key", "_key"), F.col("ctx_key") == F.col("_key"))
+    win = cut_windows(sized, ["id", *keep, "_q", "q_len"], max_length, stride, n_special)
+    return pack_windows(win, ["id", "window_no", *keep], max_length, n_special, pad)

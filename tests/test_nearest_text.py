@@ -52,15 +52,21 @@ def test_empty_sides(spark):
     assert nearest_text.nearest_text(q, t).count() == 0
 
 
-def test_frequent_tokens_are_not_opened(spark, monkeypatch):
-    """One rare token decides: the posting list of the token that all texts have is never joined."""
-    train = [(f"t{i}", f"all r{i} s{i}", f"a{i}") for i in range(60)]
-    made = []
-    scored = nearest_text._scored
-    monkeypatch.setattr(nearest_text, "_scored", lambda pairs, *rest: (made.append(pairs), scored(pairs, *rest))[1])
-    got = search(spark, [(f"q{i}", f"all r{i} s{i}") for i in range(60)], train)
-    assert got == {f"q{i}": (f"t{i}", got[f"q{i}"][1], f"a{i}") for i in range(60)}
-    assert sum(p.count() for p in made) <= 2 * 60  # of 3,600 pairs
+def test_frequent_tokens_are_not_opened():
+    """One rare token decides: the posting list of the token that all texts have is never read."""
+    texts = [["all", f"r{i}", f"s{i}"] for i in range(60)]
+    opened = []
+    got = nearest_text.best_in_block([([f"r{i}", f"s{i}", "all"], [4000, 4000, 1000]) for i in range(60)], texts, opened)
+    assert got == [(9000, i) for i in range(60)] and opened == [1] * 120
+
+
+def test_small_blocks(spark, monkeypatch):
+    train = [(f"t{i:02}", f"a b{i % 7} c{i % 5} d{i}", f"s{i}") for i in range(80)]
+    queries = [(f"q{i}", f"a b{i % 7} c{i % 3} x") for i in range(30)]
+    q = spark.createDataFrame(queries, "pair_id string, Query string")
+    t = spark.createDataFrame(train, "pair_id string, Query string, Segment string")
+    rows = nearest_text.nearest_text(q, t, query_block=7, text_block=9).collect()
+    assert {r.pair_id: (r.match, r.score, r.Segment) for r in rows} == full(queries, train)
 
 
 def test_pair_task_predicts_from_training_data(spark):
