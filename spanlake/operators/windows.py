@@ -11,6 +11,8 @@ Layout of a packed sequence with ``n_special`` specials (default 3):
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +31,11 @@ def window_count(n: Column, cap: Column, step: Column) -> Column:
     )
 
 
-def question_tokens(question_col: str | None) -> Column:
+def question_tokens(question_col: str | None, tokens: Callable[[Column | str], Column] = token_array) -> Column:
     """Tokens of the stripped question (none without a question column)."""
     if question_col is None:
         return F.array().cast("array<struct<tok:string,start:int,end:int>>")
-    return token_array(F.coalesce(strip_text(question_col), F.lit("")))
+    return tokens(F.coalesce(strip_text(question_col), F.lit("")))
 
 
 def window_features(
@@ -47,6 +49,7 @@ def window_features(
     keep: list[str] | None = None,
     pad: bool = True,
     answer_cols: tuple[str, str] | None = None,
+    tokens: Callable[[Column | str], Column] = token_array,
 ) -> DataFrame:
     """Tokenise question and context, cut the context into overlapping windows and
     build the packed sequence of each window (G1-G5, G7, B7).
@@ -62,6 +65,9 @@ def window_features(
     context again. Windows are cut in two steps, blocks of windows and then windows, so
     that no row holds more than a block (about twice its share of the context).
 
+    ``tokens`` is the tokenizer, a function from a text column to token structs (``tok``, ``start``, ``end``):
+    words by default, ``functions.subwords.subword_array`` for sub-words.
+
     Every example comes out: a NULL question or context counts as empty, and an example
     whose question leaves no room for a step (``cap <= stride``) gives one row flagged
     ``too_long`` without context tokens.
@@ -70,8 +76,8 @@ def window_features(
     base = examples.select(
         F.col(id_col).alias("id"),
         *keep,
-        question_tokens(question_col).alias("_q"),
-        token_array(F.coalesce(F.col(context_col), F.lit(""))).alias("_ctx"),
+        question_tokens(question_col, tokens).alias("_q"),
+        tokens(F.coalesce(F.col(context_col), F.lit(""))).alias("_ctx"),
         F.coalesce(F.col(context_col), F.lit("")).alias("_context"),
     )
     bounds = []

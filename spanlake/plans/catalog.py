@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlake.functions import subwords
 from spanlake.functions.arrays import top_n_indices
 from spanlake.operators import contexts, decode, dedup, encode, sampling, scoring, windows
 from spanlake.operators.flatten import flatten_qa, to_pair_references
@@ -469,6 +470,28 @@ def q_shared_contexts(spark: SparkSession, sf: str) -> DataFrame:
                             ["window_no", "q_len", "ctx_first", "n_ctx", "seq_len", "ctx_start", "ctx_end", "start_position", "end_position"]])
 
 
+def q_subword_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text as sub-word ids and back (G1, G11), with the tokens' last offset and the gaps between them."""
+    v = subwords.public_vocabulary()
+    docs = views.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    enc = docs.select("doc_id", subwords.subword_array(spark, v)("text").alias("t"))
+    gaps = F.size(F.filter(F.zip_with("t.end", F.slice("t.start", F.lit(2), F.size("t")), lambda a, b: a < b), lambda g: g))
+    return enc.select("doc_id", subwords.decode_ids(spark, v)(subwords.ids_of("t")).alias("text"),
+                      F.coalesce(F.array_max("t.end"), F.lit(0)).cast("bigint").alias("n_chars"), gaps.cast("bigint").alias("n_gaps"))
+
+
+def q_subword_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of 512 sub-words with a stride of 128 over every document (G1, G3): each document is covered from its
+    first to its last character, the text of each window is the document's between its offsets."""
+    docs = views.doc_examples(spark, sf)
+    f = windows.window_features(docs, 512, 128, question_col=None, keep=["context"], tokens=subwords.subword_array(spark, subwords.public_vocabulary()))
+    same = F.substring("context", F.col("ctx_start") + 1, F.col("ctx_end") - F.col("ctx_start")) == F.col("ctx_text")
+    return f.groupBy("id").agg(
+        F.min("ctx_start").cast("bigint").alias("first_char"), F.max("ctx_end").cast("bigint").alias("last_char"),
+        F.sum(F.when(~same, 1).otherwise(0)).cast("bigint").alias("n_other"),
+        (F.max("window_no") + 1 - F.count(F.lit(1))).cast("bigint").alias("n_missing"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_qa": q_flatten_qa,
     "squad_em_f1": q_squad_em_f1,
@@ -514,5 +537,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "unanswerable_labels": q_unanswerable_labels,
     "span_from_logits": q_span_from_logits,
     "shared_contexts": q_shared_contexts,
+    "subword_round_trip": q_subword_round_trip,
+    "subword_windows": q_subword_windows,
 }
 FLAGSHIP = "span_end_to_end"

@@ -820,3 +820,13 @@ SELECT id, window_no::BIGINT AS window_no, qn::BIGINT AS q_len, (window_no * ste
        (CASE WHEN sc IS NULL OR n_ctx = 0 OR ctx_start > sc OR ctx_end < ec THEN 0 ELSE qn + 2 + n_ctx - n_ge END)::BIGINT AS end_position
 FROM wins
 """
+
+# decode(encode(x)) = x, and windows cover the texts without gaps
+ORACLE["subword_round_trip"] = """
+SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars, 0::BIGINT AS n_gaps FROM documents
+"""
+ORACLE["subword_windows"] = """
+SELECT doc_id AS id, CASE WHEN text <> '' THEN 0 END::BIGINT AS first_char, CASE WHEN text <> '' THEN length(text) END::BIGINT AS last_char,
+       0::BIGINT AS n_other, 0::BIGINT AS n_missing
+FROM documents
+"""
