@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions.arrays import explode_rows, pad_array
-from spanlake.operators.sampling import global_rank, shuffle
+from spanlake.operators.sampling import range_rank, shuffle
 from spanlake.operators.tokens import token_strings
 
 # fixed values: special tokens and their ids, label padding
@@ -23,18 +23,11 @@ LABEL_PAD = -100
 def build_vocab(texts: DataFrame, cols: list[str]) -> DataFrame:
     """``tok, cnt, id`` over all tokens of ``cols``; ids after the specials, by count
     (desc) then token. Counting is partially pre-aggregated; the rank is exact and
-    distributed: buckets are (count, first three characters), a prefix of the order,
-    so even the count-1 tokens are split across many buckets."""
+    distributed by range."""
     gen, keep = explode_rows(F.flatten(F.array(*[token_strings(c) for c in cols])), "tok")
     toks = texts.select(gen).where(keep)
     counts = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = global_rank(
-        counts,
-        [F.col("cnt").desc(), F.col("tok")],
-        F.struct((-F.col("cnt")).alias("c"), F.substring("tok", 1, 3).alias("f")),
-        rank_col="_r",
-        broadcast_offsets=False,
-    )
+    ranked = range_rank(counts, [F.col("cnt").desc(), F.col("tok")], "_r")
     return ranked.select("tok", "cnt", (F.col("_r") - 1 + len(SPECIALS)).cast("int").alias("id"))
 
 

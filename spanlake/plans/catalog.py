@@ -492,6 +492,29 @@ def q_subword_windows(spark: SparkSession, sf: str) -> DataFrame:
         (F.max("window_no") + 1 - F.count(F.lit(1))).cast("bigint").alias("n_missing"))
 
 
+def q_json_variant(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of varying shape (A1): by doc_id modulo 4 as they are, without answers, with unknown fields and the
+    answer start as text, or cut off. Each example is one line, read back as VARIANT."""
+    from spanlake.session import shared_dir
+    from spanlake.sources import files
+
+    ex = views.qa_examples(spark, sf)
+    shape = F.pmod(F.col("doc_id"), F.lit(4))
+
+    def doc(answers, **more):
+        qa = F.struct("question", "id", *([answers.alias("answers")] if answers is not None else []), *[F.lit(v).alias(k) for k, v in more.items()])
+        para = F.struct("context", F.array(qa).alias("qas"))
+        return F.to_json(F.struct(F.array(F.struct(F.array(para).alias("paragraphs"))).alias("data"), *[F.lit(v).alias(k) for k, v in more.items()]))
+
+    whole = doc(F.array(F.struct(F.col("answer").alias("text"), "answer_start")))
+    odd = doc(F.array(F.struct(F.col("answer").alias("text"), F.col("answer_start").cast("string").alias("answer_start"))), version="1.1", note="x")
+    line = F.when(shape == 0, whole).when(shape == 1, doc(None)).when(shape == 2, odd).otherwise(F.substring(whole, F.lit(1), F.length(whole) - 9))
+    path = shared_dir(spark, "varying-json")
+    ex.select(line.alias("value")).write.text(path)
+    back = files.read_qa_variant(spark, path, multi_line=False)
+    return back.select("question", "answer", F.col("answer_start").cast("bigint").alias("answer_start"), F.col("answer_end").cast("bigint").alias("answer_end"), "context", "id", "problem")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_qa": q_flatten_qa,
     "squad_em_f1": q_squad_em_f1,
@@ -539,5 +562,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shared_contexts": q_shared_contexts,
     "subword_round_trip": q_subword_round_trip,
     "subword_windows": q_subword_windows,
+    "json_variant": q_json_variant,
 }
 FLAGSHIP = "span_end_to_end"

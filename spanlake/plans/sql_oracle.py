@@ -830,3 +830,12 @@ SELECT doc_id AS id, CASE WHEN text <> '' THEN 0 END::BIGINT AS first_char, CASE
        0::BIGINT AS n_other, 0::BIGINT AS n_missing
 FROM documents
 """
+
+ORACLE["json_variant"] = f"""
+WITH {QA_EXAMPLES},
+s AS (SELECT *, doc_id % 4 AS shape FROM qa_examples)
+SELECT CASE WHEN shape < 3 THEN question END AS question, CASE WHEN shape = 1 THEN 'NA' WHEN shape < 3 THEN answer END AS answer,
+       CASE WHEN shape IN (0, 2) THEN answer_start END::BIGINT AS answer_start, CASE WHEN shape IN (0, 2) THEN answer_end END::BIGINT AS answer_end,
+       CASE WHEN shape < 3 THEN context END AS context, CASE WHEN shape < 3 THEN id END AS id, CASE WHEN shape = 3 THEN 'not json' END AS problem
+FROM s
+"""

@@ -36,6 +36,31 @@ def read_qa_json(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
     return spark.read.schema(QA_DOCUMENT).json(path, multiLine=multi_line)
 
 
+def read_qa_variant(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Nested QA documents of varying shape (A1, B2-B4): ``question, answer, answer_start, answer_end, context,
+    id, problem``, a row per question. Documents are VARIANT values, so fields may be missing, of
+    another type (``"12"`` for 12) or unknown; a question without answers has the answer ``NA``. What cannot be read
+    is a row of its own whose ``problem`` says why, never a failure: ``not json``, ``no data``,
+    ``no paragraphs``, ``no context``, ``no questions``, ``no answer start``."""
+    get = F.try_variant_get
+    text = spark.read.text(path, wholetext=multi_line).where(F.col("value").rlike(r"\S"))
+    docs = text.select(F.try_parse_json("value").alias("v"))
+    data = docs.select("v", F.explode_outer(get("v", "$.data", "array<variant>")).alias("d"))
+    paras = data.select("v", "d", F.explode_outer(get("d", "$.paragraphs", "array<variant>")).alias("p"))
+    asked = paras.select("v", "d", "p", get("p", "$.context", "string").alias("context"), F.explode_outer(get("p", "$.qas", "array<variant>")).alias("q"))
+    first = F.get(get("q", "$.answers", "array<variant>"), 0)
+    rows = asked.select(
+        "*", get("q", "$.question", "string").alias("question"), get("q", "$.id", "string").alias("id"), first.isNotNull().alias("_has"),
+        get(first, "$.text", "string").alias("_text"), get(first, "$.answer_start", "int").alias("_start"))
+    problem = (
+        F.when(F.col("v").isNull(), "not json").when(F.col("d").isNull(), "no data").when(F.col("p").isNull(), "no paragraphs")
+        .when(F.col("context").isNull(), "no context").when(F.col("q").isNull(), "no questions").when(F.col("_has") & F.col("_start").isNull(), "no answer start"))
+    answer = F.when(F.col("q").isNull(), F.lit(None)).when(F.col("_has"), F.col("_text")).otherwise(F.lit("NA"))
+    return rows.select(
+        "question", answer.alias("answer"), F.col("_start").alias("answer_start"), (F.col("_start") + F.length("_text")).alias("answer_end"),
+        "context", "id", problem.alias("problem"))
+
+
 def write_qa_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Nested documents as JSON lines, one document per line (read back with
     ``multi_line=False``); written in parallel, one file per task."""
