@@ -29,7 +29,6 @@ A very long text is encoded whole in one task (its ids take four bytes each).
 
 from __future__ import annotations
 
-import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -39,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.functions.subwords import vocabulary as compiled
 from spanlake.llm import bin_plan
 from spanlake.llm.common import written
 
@@ -48,30 +48,6 @@ END_ID = 2
 BUCKET_ROWS = 512
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_ENCODERS: dict[int, object] = {}
-
-
-def byte_of() -> dict[str, int]:
-    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 bytes stand
-    for themselves, the others follow from code point 256 on, in order."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-def encoder(vocabulary: str):
-    """The encoder of a vocabulary file's text (kept by the worker process)."""
-    import tiktoken
-
-    key = zlib.crc32(vocabulary.encode())
-    if key not in _ENCODERS:
-        spec, at = json.loads(vocabulary), byte_of()
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {bytes(at[c] for c in tok): i for tok, i in spec["model"]["vocab"].items() if tok not in special}
-        # fixed value: the split pattern of byte-level pre-tokenisation
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        _ENCODERS[key] = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    return _ENCODERS[key]
 
 
 def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
@@ -86,11 +62,11 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # one file of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(shared.value).encode_to_numpy
+        encode = compiled(shared.value).encode
         for b in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.append(encode(text.as_py() or "", allowed_special="all"), end_id).astype("<u4")
+                ids = np.append(encode(text.as_py() or ""), end_id).astype("<u4")
                 rows += [(doc_id, k, lo, hi - lo, zlib.crc32(ids[lo:hi].tobytes())) for k, (lo, hi) in enumerate(cut(ids, capacity))]
             cols = list(zip(*rows)) if rows else [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
