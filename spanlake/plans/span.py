@@ -24,7 +24,7 @@ def prepare(examples: DataFrame, max_length: int = 512, stride: int = 128, n_spe
         examples, max_length, stride, n_special, keep=["answer_start", "answer_end", *(keep or [])],
         answer_cols=("answer_start", "answer_end"),
     )
-    f = windows.align_span(f, n_special=n_special)
+    f = windows.align_span(f, n_special=n_special).drop("_w", "_S", "_E")  # the packed columns say it all
     return cut_lineage(f) if checkpoint_features else f
 
 
