@@ -7,8 +7,8 @@ block of queries, so only the best of each (query, block) is shuffled, never a c
 
 Inside a block a query opens posting lists in falling order of weight and adds up scores. A text that
 has none of the tokens so far can score at most the sum of the others: once that is below the
-best score, no further list is opened (the frequent tokens at the end mostly are not), and
-only the texts that can still win look their remaining tokens up.
+best score, and few texts can still win, no further list is opened (the frequent tokens at the end
+mostly are not), and those few look their remaining tokens up.
 
 Texts of equal token sets score alike, so each set is searched, and answered, once: copies cost one
 aggregation.
@@ -26,7 +26,9 @@ from spanlake.session import cut_lineage
 
 SCALE = 1000  # weights are in thousandths
 #: Queries and training texts (different token sets) of a tile.
-QUERY_BLOCK, TEXT_BLOCK = 2_048, 8_192
+QUERY_BLOCK, TEXT_BLOCK = 512, 8_192
+#: Texts whose remaining tokens are looked up one by one, in place of reading posting lists.
+LOOKUPS = 64
 
 
 def token_set(text: str | Column) -> Column:
@@ -60,7 +62,8 @@ def best_in_block(asked: list[tuple[list[str], list[int]]], texts: list[list[str
         score, best = np.zeros(len(texts), np.int64), 0
         left = sum(h[2] for h in have)
         for k, (at, _, w) in enumerate(have):
-            if left < best:  # an untouched text cannot win any more
+            # an untouched text cannot win any more, and few of the others still can
+            if left < best and np.count_nonzero(score + left >= best) <= LOOKUPS:
                 break
             score[at] += w
             left -= w
