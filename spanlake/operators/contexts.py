@@ -5,9 +5,9 @@ content (a 256-bit digest), and each distinct one is tokenised once, where its c
 questions, which travel without their context, are joined to the tokens there, and windows
 are cut behind the join. Contexts that occur in many paragraphs or documents, as copies do, are one context.
 
-Texts move once and tokens never: the digest that copies meet by is the join key. (Joining questions to
+Texts move once to meet their copies, and the token table once to meet the questions. (Joining questions to
 finished windows instead was measured: windows of four question lengths are several times the
-texts, and all of them would be shuffled.) A context with very many questions is many rows
+tokens, and all of them would be shuffled.) A context with very many questions is many rows
 on the question side of an equi-join, which adaptive execution splits.
 """
 
@@ -52,7 +52,6 @@ def shared_window_features(
     (ctx_key, context; one row per key). A question whose context is missing gives no row."""
     keep = list(keep or [])
     q = questions.select(F.col(id_col).alias("id"), "ctx_key", *keep, question_tokens(question_col).alias("_q"))
-    # both sides are dealt by the digest: the token table comes out of its aggregation that way
     sized = q.withColumn("q_len", F.size("_q")).join(context_tokens(contexts).withColumnRenamed("ctx_key", "_key"), F.col("ctx_key") == F.col("_key"))
     win = cut_windows(sized, ["id", *keep, "_q", "q_len"], max_length, stride, n_special)
     return pack_windows(win, ["id", "window_no", *keep], max_length, n_special, pad)
