@@ -26,14 +26,14 @@ def qa_json_stream(spark: SparkSession, src_dir: str) -> DataFrame:
 def parquet_table_stream(spark: SparkSession, sf_dir: str, name: str,
                          files_per_batch: int = 1000) -> DataFrame:
     """One table of the driver's folder as a file stream (schema from its footer);
-    ``files_per_batch`` bounds each micro-batch."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
+    ``files_per_batch`` bounds each micro-batch. A table is one file or a folder of part files: its path is
+    given as a pattern that only it matches, since a file stream takes a plain path for a folder."""
+    root = sf_dir.rstrip("/")
+    schema = spark.read.parquet(f"{root}/{name}.parquet").schema
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
         .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(sf_dir)
+        .parquet(f"{root}/{{{name}.parquet}}")
     )
 
 

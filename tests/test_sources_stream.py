@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from spanlake.operators.flatten import flatten_qa, strip_questions, to_references
+from spanlake.operators.tokens import tokenize_offsets
 from spanlake.sources import files, rowid
 from spanlake.streaming import qa_stream
 
@@ -103,3 +104,20 @@ def test_stream_windows_and_labels(spark):
         )
     ).select("id", "window_no", "start_position", "end_position", "ctx_text")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, static.collect()))
+
+
+def test_stream_of_a_table_in_one_file_or_many(spark):
+    """Tables are one file, or a folder of part files that a stream reads whole, in several micro-batches too."""
+    docs = spark.createDataFrame([(i, f"Word {i}, more." if i % 5 else None) for i in range(40)], "doc_id long, text string")
+    many, one = tempfile.mkdtemp(prefix="spanlake-many-"), tempfile.mkdtemp(prefix="spanlake-one-")
+    docs.repartition(5).write.parquet(f"{many}/documents.parquet")
+    docs.limit(3).write.parquet(f"{many}/other.parquet")
+    docs.toPandas().to_parquet(f"{one}/documents.parquet")
+    docs.limit(3).toPandas().to_parquet(f"{one}/my_documents.parquet")
+    want = sorted(map(tuple, tokenize_offsets(docs, "doc_id", "text").collect()))
+    for folder in (many, one):
+        path = qa_stream.run_to_parquet(qa_stream.token_stream(spark, folder), "test-tokens")
+        assert sorted(map(tuple, spark.read.parquet(path).collect())) == want
+    batches = qa_stream.parquet_table_stream(spark, many, "documents", files_per_batch=2).select("doc_id")
+    path = qa_stream.run_to_parquet(batches, "test-batches")
+    assert sorted(r.doc_id for r in spark.read.parquet(path).collect()) == list(range(40))
