@@ -1,18 +1,23 @@
 """Vectorised Arrow helpers for the two things built-in SQL cannot do in linear time
 inside a row: tokens with their offsets and the longest common subsequence.
 
-Tokens are cut from whole Arrow batches at once (array operations on code points, no per-row
+Tokens are cut from many rows at once (array operations on code points, no per-row
 Python objects); the LCS is a bit-parallel loop per row over Arrow-batched input.
+
+A result several times its input is made and handed back in pieces of bounded size (iterator
+functions), so a worker holds Spark's input batch and one piece, whatever the batch grows to.
 """
 
 from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +35,8 @@ TOKEN_TYPE = T.ArrayType(
 )
 
 
-#: Bytes of text that are cut into tokens at once; bounds the work arrays (about 50 bytes per byte).
-CUT_BYTES = 4 << 20
+#: Bytes of text that are cut into tokens at once; bounds the work arrays (about 50 bytes per byte) and the result.
+CUT_BYTES = 1 << 20
 _WORD, _SPACE = 1, 2
 
 
@@ -84,33 +89,41 @@ def _cut(data: np.ndarray, row_at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return items, token_at
 
 
-def tokenize_batch(texts: pa.Array) -> pa.Array:
-    """Texts to ``array<struct<tok, start, end>>``: runs of word characters and single other characters that are
-    not white space, with 0-based code-point offsets. Whole batches are cut at once, by array operations
-    on the code points; long batches in pieces of ``CUT_BYTES`` (a longer text is a piece of its own)."""
+def pieces(rows: pa.Array, sizes: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """Successive slices of the rows whose sizes (null: 0) sum to ``limit`` at most; a larger row is a slice of its own."""
+    at = np.concatenate(([0], np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+    i = 0
+    while i < len(rows):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
+        yield rows.slice(i, j - i)
+        i = j
+
+
+def text_pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """Successive slices of ``CUT_BYTES`` of text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    return pieces(texts, pc.binary_length(texts), CUT_BYTES)
+
+
+def tokenize(texts: pa.Array) -> pa.Array:
+    """Texts to ``array<struct<tok, start, end>>``: runs of word characters and single other characters that are
+    not white space, with 0-based code-point offsets. All are cut at once, by array operations on the code points."""
     null = texts.is_null()
     texts = texts.fill_null("").cast(pa.large_string())
     _, offsets, body = texts.buffers()
     row_at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.empty(0, np.uint8)
-    parts, firsts, i, total = [], [np.zeros(1, np.int64)], 0, 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(row_at, row_at[i] + CUT_BYTES, "right")) - 1)
-        items, token_at = _cut(data[row_at[i] : row_at[j]], row_at[i : j + 1] - row_at[i])
-        parts.append(items)
-        firsts.append(token_at[1:] + total)
-        total += len(items)
-        i = j
-    items = pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("tok", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(firsts).astype(np.int32)), items, mask=null)
+    items, token_at = _cut(data[row_at[0] : row_at[-1]], row_at - row_at[0])
+    return pa.ListArray.from_arrays(pa.array(token_at.astype(np.int32)), items, mask=null)
 
 
 @F.arrow_udf(TOKEN_TYPE)
-def text_to_tokens(texts: pa.Array) -> pa.Array:
-    """``string`` -> ``array<struct<tok,start,end>>``."""
-    return tokenize_batch(texts)
+def text_to_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """``string`` -> ``array<struct<tok,start,end>>``, in pieces of ``CUT_BYTES`` of text."""
+    for texts in batches:
+        for piece in text_pieces(texts):
+            yield tokenize(piece)
 
 
 #: Windows whose candidates are searched at once.

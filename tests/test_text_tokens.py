@@ -1,10 +1,12 @@
 import random
+import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import pyref
 from spanlake.functions import text as T
-from spanlake.functions.arrow_helpers import WS_CHARS
+from spanlake.functions.arrow_helpers import CUT_BYTES, WS_CHARS, text_to_tokens
 from spanlake.operators.tokens import token_array, tokenize_offsets
 
 ALPHABET = list("abcXYZ éüñ😀,.;!?-'\"\t\n  _0123456789") + ["the", "a", "an", "The"]
@@ -98,3 +100,22 @@ def test_token_offsets_arbitrary_unicode(spark):
             assert t[prev:].strip() == ""
 
     check()
+
+
+def test_tokens_leave_in_bounded_pieces(spark):
+    """A batch's tokens are several times its texts: they leave the worker in pieces, whatever the batch holds."""
+    texts = ["", *_random_texts(200), None, *["naïve café, 漢字 " * 9000] * 20, "x y " * CUT_BYTES, None, "", "end.", None]
+    got = list(text_to_tokens.func(iter([pa.array(texts).slice(1), pa.array([None, "a b"])])))
+    assert len(got) > 5 and sorted(len(p.flatten()) for p in got)[-2] <= CUT_BYTES
+    want = [None if t is None else [(m.group(), m.start(), m.end()) for m in re.finditer(r"\w+|[^\w\s]", t)] for t in [*texts[1:], None, "a b"]]
+    found = [x for p in got for x in p]
+    assert len(found) == len(want)
+    for x, w in zip(found, want):
+        assert x.is_valid == (w is not None)
+        if w is not None:
+            t = x.values
+            assert list(zip(*(t.field(c).to_pylist() for c in ("tok", "start", "end")))) == w
+    # two tokenised columns of one row, read beside each other
+    df = spark.createDataFrame([(i, t, t[::-1]) for i, t in enumerate(texts) if t is not None and len(t) < 10**6], "id int, a string, b string").coalesce(1)
+    n = df.select("id", F.size(text_to_tokens("a")).alias("a"), F.size(text_to_tokens("b")).alias("b")).collect()
+    assert len(n) > 200 and all(r.a == len(want[r.id - 1] if r.id else []) == r.b for r in n)
