@@ -126,8 +126,8 @@ def text_to_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             yield tokenize(piece)
 
 
-#: Windows whose candidates are searched at once.
-SEARCH_ROWS = 4_096
+#: Windows whose candidates are searched at once; bounds the work arrays (about 100 bytes per position).
+SEARCH_ROWS = 512
 SPAN_TYPE = T.StructType([
     T.StructField("score", T.FloatType()),
     *[T.StructField(c, T.IntegerType()) for c in ("si", "ei", "start_char", "end_char")],
@@ -202,19 +202,19 @@ def span_search(start: np.ndarray, end: np.ndarray, from_char: np.ndarray, to_ch
 def best_candidates(n_best: int, max_tokens: int):
     """Arrow function (start logits, end logits, offset starts, offset ends) -> the best admissible candidate."""
 
+    def find(start: pa.Array, end: pa.Array, from_char: pa.Array, to_char: pa.Array) -> pa.Array:
+        width = max([0, *(int(np.diff(np.asarray(x.offsets)).max(initial=0)) for x in (start, end, from_char))])
+        logits = [np.nan_to_num(_matrix(x, width, np.nan, np.float32), copy=False, nan=-np.inf, posinf=np.inf, neginf=-np.inf) for x in (start, end)]
+        score, si, ei, first, last = span_search(*logits, _matrix(from_char, width, -1, np.int64), _matrix(to_char, width, -1, np.int64), n_best, max_tokens)
+        cols = [pa.array(score), *(pa.array(x.astype(np.int32)) for x in (si, ei, first, last))]
+        return pa.StructArray.from_arrays(cols, names=["score", "si", "ei", "start_char", "end_char"], mask=pa.array(si < 0))
+
     @F.arrow_udf(SPAN_TYPE)
-    def search(start: pa.Array, end: pa.Array, from_char: pa.Array, to_char: pa.Array) -> pa.Array:
-        whole = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (start, end, from_char, to_char)]
-        parts = []
-        for i in range(0, max(1, len(whole[0])), SEARCH_ROWS):
-            s, e, a, b = (x.slice(i, SEARCH_ROWS) for x in whole)
-            width = max([0, *(int(np.diff(np.asarray(x.offsets)).max(initial=0)) for x in (s, e, a))])
-            logits = [np.nan_to_num(_matrix(x, width, np.nan, np.float32), copy=False, nan=-np.inf, posinf=np.inf, neginf=-np.inf) for x in (s, e)]
-            score, si, ei, first, last = span_search(*logits, _matrix(a, width, -1, np.int64), _matrix(b, width, -1, np.int64), n_best, max_tokens)
-            none = si < 0
-            cols = [pa.array(score), *(pa.array(x.astype(np.int32)) for x in (si, ei, first, last))]
-            parts.append(pa.StructArray.from_arrays(cols, names=["score", "si", "ei", "start_char", "end_char"], mask=pa.array(none)))
-        return pa.concat_arrays(parts)
+    def search(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            whole = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in batch]
+            for i in range(0, len(whole[0]), SEARCH_ROWS):
+                yield find(*(x.slice(i, SEARCH_ROWS) for x in whole))
 
     return search
 

@@ -55,3 +55,15 @@ def test_odd_logits_do_not_crash(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = {r.id: r.prediction_text for r in decode.best_span(df.select("id"), df, 3, 5).collect()}
     assert got == {"ok": "bc", "nan": "", "inf": "a", "short": "", "null": "abc", "none": "", "empty": "", "long": "bc"}
+
+
+def test_windows_are_searched_in_bounded_pieces():
+    rng = random.Random(3)
+    rows = [_random_window(rng, rng.randint(0, 9), True) for _ in range(2 * A.SEARCH_ROWS + 7)]
+    logits = [pa.array([r[k] for r in rows], pa.list_(pa.float32())) for k in (0, 1)]
+    chars = [pa.array([[None if o is None else o[j] for o in r[2]] for r in rows], pa.list_(pa.int32())) for j in (0, 1)]
+    context = "".join(chr(97 + i) for i in range(20))
+    got = list(A.best_candidates(3, 4).func(iter([(*logits, *chars)])))
+    assert [len(p) for p in got] == [A.SEARCH_ROWS, A.SEARCH_ROWS, 7]
+    for r, b in zip(rows, (x for p in got for x in p.to_pylist())):
+        assert ("" if b is None else context[b["start_char"] : b["end_char"]]) == pyref.best_span_loop([r], 3, 4, context), r
