@@ -1,7 +1,9 @@
 """Sub-words: ids and offsets of the vocabulary's own library, round trips, windows."""
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spanlake.functions import subwords
@@ -52,3 +54,16 @@ def test_windows_of_subwords(spark, vocabulary):
     first = rows[0]
     assert text[first.offsets[first.start_position].start : first.offsets[first.end_position].end].strip() == text[13:23].strip()
     assert len(rows) == -(-(len(c.ids) - cap) // (cap - 16)) + 1
+
+
+def test_encoding_hands_back_bounded_pieces(spark, vocabulary):
+    """A batch's tokens are many times its texts: they leave the worker in pieces, whatever the batch holds."""
+    v, lib = subwords.vocabulary(vocabulary), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = ["", *ODD, None, "plain words and 3 numbers. " * 2000, None, *["naïve café " * 3000] * 60, "one long text " * 100_000, "end", None]
+    got = list(v.token_pieces(pa.array(rows).slice(1)))
+    assert len(got) > 3 and max(len(p.flatten()) for p in got[:-2]) <= 1 << 20
+    assert [x for p in got for x in (None if t is None else [y["id"] for y in t] for t in p.to_pylist())] == [None if t is None else lib.encode(t, add_special_tokens=False).ids for t in rows[1:]]
+    assert list(v.token_pieces(pa.array([None, ""]))) == [pa.array([None, []], got[0].type)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, text string").coalesce(1)
+    n = {r.id: r.n for r in df.select("id", F.size(subwords.subword_array(spark, vocabulary)("text")).alias("n")).collect()}
+    assert [n[i] for i in range(1, len(rows))] == [len(x) if x.is_valid else None for p in got for x in p]
