@@ -67,3 +67,12 @@ def test_encoding_hands_back_bounded_pieces(spark, vocabulary):
     df = spark.createDataFrame(list(enumerate(rows)), "id int, text string").coalesce(1)
     n = {r.id: r.n for r in df.select("id", F.size(subwords.subword_array(spark, vocabulary)("text")).alias("n")).collect()}
     assert [n[i] for i in range(1, len(rows))] == [len(x) if x.is_valid else None for p in got for x in p]
+
+
+def test_decoding_hands_back_bounded_pieces(vocabulary):
+    v = subwords.vocabulary(vocabulary)
+    rows = [[464, -1, None, 99_999_999], None, [], [226], *[v.encode("naïve café, 漢字 " * 5000).tolist()] * 9, [464] * 700_000, [], None]
+    got = list(v.decoded_pieces(pa.array(rows, pa.list_(pa.int32()))))
+    assert len(got) > 3
+    assert [x for p in got for x in p.to_pylist()] == [None if r is None else v.decode(i for i in r if i is not None) for r in rows]
+    assert [p.to_pylist() for p in v.decoded_pieces(pa.array([[], None], pa.list_(pa.int32())))] == [["", None]]
